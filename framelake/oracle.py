@@ -124,3 +124,283 @@ fill(video_id, sample_pos, frame_idx, total_frames) AS (
 SELECT video_id, sample_pos, frame_idx, kind, {r6("change")} AS change FROM picked
 UNION ALL
 SELECT video_id, sample_pos, frame_idx, 'fill', NULL FROM fill"""
+
+
+ANALYSES = """
+analyses AS (
+  SELECT user_id AS video_id,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame_idx,
+         event_id, event_type <> 'error' AS success,
+         CASE WHEN event_type <> 'error' THEN event_type || ' ' || props END AS description,
+         CASE WHEN event_type = 'error' THEN 'Processing error: ' || props END AS error,
+         value AS processing_time, event_type AS model_used
+  FROM events)"""
+
+LONG = """
+long_analyses AS (
+  SELECT d.source AS video_id,
+         CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS BIGINT) AS frame_idx,
+         d.doc_id, NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS success,
+         d.text AS description
+  FROM documents d)"""
+
+LEDGER = """
+led AS (
+  SELECT event_id AS seq, event_type AS tag,
+         CASE WHEN event_id % 2 = 0 THEN 'alloc' ELSE 'dealloc' END AS op,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) * 1024 AS bytes
+  FROM events)"""
+
+RESULTS = """
+results AS (
+  SELECT 'video_' || CAST(user_id AS VARCHAR) || '.mp4' AS path, event_id AS seq, value % 1 AS confidence,
+         event_type <> 'error' AS success, event_type AS model_used, value AS processing_time
+  FROM events)"""
+
+WS = "[ \\t\\n\\r\\f\\x0B]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+COLOR_BRIGHT = ("list_sum([0.299 * pixels[3*j+3] + 0.587 * pixels[3*j+2] + 0.114 * pixels[3*j+1] "
+                "FOR j IN range(0, 21)]) / 21.0")
+
+HIST = f"""
+codes AS (SELECT video_id, frame_idx,
+                 unnest(list_transform(pixels, lambda x, k: CAST(((k - 1) % 3) * 32 + x // 8 AS INTEGER))) AS code
+          FROM cframes),
+cnt AS (SELECT video_id, frame_idx, code, count(*) AS n FROM codes GROUP BY ALL),
+ent AS (SELECT video_id, frame_idx, sum(-(n / 21.0) * log2(n / 21.0)) AS entropy FROM cnt GROUP BY ALL)"""
+
+SQL["frame_color_entropy"] = f"""
+WITH {CFRAMES}, {HIST}
+SELECT f.video_id, f.frame_idx, {r6("e.entropy")} AS entropy, {r6(COLOR_BRIGHT.replace("pixels", "f.pixels"))} AS brightness
+FROM cframes f JOIN ent e USING (video_id, frame_idx)"""
+
+SQL["frame_histogram"] = f"""
+WITH {CFRAMES}, {HIST}
+SELECT video_id, frame_idx, CAST(code // 32 AS INTEGER) AS channel, CAST(code % 32 AS INTEGER) AS bin,
+       CAST(n AS BIGINT) AS count
+FROM cnt"""
+
+SQL["frame_features_color"] = f"""
+WITH {CFRAMES}, {HIST},
+samp AS (
+  SELECT s.video_id, p.i AS sample_pos,
+         CAST(trunc((CAST(p.i AS DOUBLE) / 15) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
+  FROM sizes s, {positions(16)} p),
+sf AS (
+  SELECT m.video_id, m.sample_pos, f.pixels, e.entropy,
+         list_transform(range(0, 21), lambda j: 0.299 * f.pixels[3*j+3] + 0.587 * f.pixels[3*j+2] + 0.114 * f.pixels[3*j+1]) AS gray
+  FROM samp m JOIN cframes f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx
+  JOIN ent e ON e.video_id = m.video_id AND e.frame_idx = m.frame_idx),
+lagged AS (SELECT *, lag(gray) OVER (PARTITION BY video_id ORDER BY sample_pos) AS prev FROM sf),
+per AS (
+  SELECT video_id, {COLOR_BRIGHT} AS brightness, entropy,
+         CASE WHEN prev IS NULL THEN 0.0
+              ELSE list_sum(list_transform(gray, lambda g, k: abs(g - prev[k]))) / 21.0 END AS motion
+  FROM lagged),
+agg AS (
+  SELECT video_id, count(*) AS n, sum(brightness) / (count(*) * 255.0) AS b,
+         CASE WHEN count(*) > 1 THEN sum(motion) / ((count(*) - 1) * 255.0) END AS m,
+         sum(entropy) / count(*) AS e
+  FROM per GROUP BY video_id)
+SELECT video_id, CAST(n AS BIGINT) AS n_frames,
+       list_transform([b, m, e, 0.0, (e + 0.0) / 2, m, b, n / 32.0], lambda x: {r6("x")}) AS features
+FROM agg"""
+
+SQL["frame_chunks"] = f"""
+WITH {FRAMES}
+SELECT video_id, frame_idx // 3 AS chunk, count(*) AS n_frames, min(frame_idx) AS first_idx,
+       max(frame_idx) AS last_idx, {r6("avg(list_sum(pixels) / len(pixels))")} AS brightness
+FROM frames GROUP BY video_id, frame_idx // 3"""
+
+SQL["frame_rank"] = f"""
+WITH {FRAMES}
+SELECT f.video_id, f.frame_idx, 'Frame ' || CAST(f.frame_idx + 1 AS VARCHAR) AS label,
+       CAST(f.frame_idx + 1 AS VARCHAR) || ' of ' || CAST(s.total_frames AS VARCHAR) AS of_n
+FROM frames f JOIN sizes s USING (video_id)"""
+
+SQL["video_catalog"] = f"""
+WITH {FRAMES}
+SELECT video_id, total_frames, 10.0::DOUBLE AS fps, {r6("total_frames / 10.0")} AS duration,
+       8::INTEGER AS width, 8::INTEGER AS height, 'MJPG' AS codec
+FROM sizes"""
+
+SQL["frame_memory"] = f"""
+WITH {FRAMES}
+SELECT video_id, count(*) AS frames, CAST(sum(3 * 7 * 3) AS BIGINT) AS bytes FROM frames GROUP BY video_id"""
+
+SQL["frame_content"] = f"""
+WITH {FRAMES}
+SELECT video_id, frame_idx,
+       list_bool_or(list_transform(pixels, lambda x: x > 0)) AND list_bool_and(list_transform(pixels, lambda x: x BETWEEN 0 AND 255)) AS content_ok,
+       CAST(len(pixels) AS INTEGER) AS n_values,
+       {r6("list_sum(list_transform(pixels, lambda x: CAST(CAST(x AS FLOAT) * CAST(1.0 / 255.0 AS FLOAT) AS DOUBLE)))")} AS norm_sum
+FROM frames"""
+
+SQL["fit_dimensions"] = """
+WITH o AS (SELECT o_orderkey, CAST(o_custkey % 1080 + 1 AS INTEGER) AS h, CAST(o_orderkey % 1920 + 1 AS INTEGER) AS w FROM orders)
+SELECT o_orderkey, h, w,
+       CAST(trunc(w * (CAST(384 AS DOUBLE) / greatest(h, w))) AS INTEGER) AS new_w,
+       CAST(trunc(h * (CAST(384 AS DOUBLE) / greatest(h, w))) AS INTEGER) AS new_h
+FROM o"""
+
+SQL["batch_assignment"] = """
+WITH p AS (SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos,
+                  count(*) OVER () AS n FROM orders),
+s AS (SELECT *, CAST(greatest(least(4, 2, n), 1) AS BIGINT) AS batch_size FROM p)
+SELECT o_orderkey, pos, batch_size, pos // batch_size AS batch_id, pos % 4 AS device FROM s"""
+
+# Clamped running total computed the plain sequential way (recursive CTE).
+SQL["ledger_running"] = f"""
+WITH RECURSIVE {LEDGER},
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn,
+                    CASE WHEN op = 'alloc' THEN bytes ELSE -bytes END AS x FROM led),
+walk(rn, total) AS (
+  SELECT rn, greatest(0, x) FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.rn, greatest(0, w.total + n.x) FROM walk w JOIN numbered n ON n.rn = w.rn + 1)
+SELECT n.seq, n.tag, n.op, n.bytes, CAST(w.total AS BIGINT) AS total,
+       CAST(greatest(0, max(w.total) OVER (ORDER BY n.seq ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS peak,
+       w.total + {q.LEDGER_REQUIRED} <= {q.LEDGER_LIMIT} AS admit
+FROM numbered n JOIN walk w USING (rn)"""
+
+LEDGER_TAG_WALK = f"""
+WITH RECURSIVE {LEDGER},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY seq) AS rn,
+                    count(*) OVER (PARTITION BY tag) AS cnt FROM led),
+walk(tag, rn, present, val) AS (
+  SELECT tag, rn, op = 'alloc', CASE WHEN op = 'alloc' THEN bytes ELSE 0 END FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.tag, n.rn,
+         CASE WHEN n.op = 'alloc' THEN true
+              WHEN NOT w.present THEN false
+              ELSE greatest(0, w.val - n.bytes) > 0 END,
+         CASE WHEN n.op = 'alloc' THEN w.val + n.bytes
+              WHEN NOT w.present THEN w.val
+              ELSE greatest(0, w.val - n.bytes) END
+  FROM walk w JOIN numbered n ON n.tag = w.tag AND n.rn = w.rn + 1),
+final AS (SELECT w.tag, CAST(w.val AS BIGINT) AS bytes FROM walk w JOIN numbered n USING (tag, rn)
+          WHERE n.rn = n.cnt AND w.present)"""
+
+SQL["ledger_by_tag"] = LEDGER_TAG_WALK + "\nSELECT tag, bytes FROM final"
+
+SQL["ledger_report"] = LEDGER_TAG_WALK + """
+SELECT tag, bytes, bytes // 1048576 AS mb FROM final
+UNION ALL
+SELECT '__total__', CAST(coalesce(sum(bytes), 0) AS BIGINT), CAST(coalesce(sum(bytes), 0) // 1048576 AS BIGINT) FROM final"""
+
+
+def _cpu_summary(src: str) -> str:
+    d = strip("coalesce(description, '')")
+    return f"""
+parts AS (
+  SELECT video_id, count(*) FILTER (WHERE success) AS n_success,
+         count(*) FILTER (WHERE success AND length({d}) > 0 AND {d} <> 'No description available') AS n_mean,
+         arg_max({d}, struct_pack(l := length({d}), f := -frame_idx))
+           FILTER (WHERE success AND length({d}) > 0 AND {d} <> 'No description available') AS longest
+  FROM {src} GROUP BY video_id),
+summ AS (
+  SELECT video_id,
+         CASE WHEN n_success = 0 THEN 'No frames were successfully analyzed.'
+              WHEN n_mean = 0 THEN 'Video analysis completed but no meaningful descriptions were generated.'
+              ELSE 'Video analysis of ' || CAST(n_success AS VARCHAR) || ' frames completed. ' ||
+                   CASE WHEN length(longest) > 50 THEN 'Primary content: ' || longest
+                        ELSE 'Video contains visual content that was analyzed frame by frame.' END END AS summary
+  FROM parts)"""
+
+
+SQL["video_rollup"] = f"""
+WITH {ANALYSES}, {_cpu_summary("analyses")}
+SELECT a.video_id, bool_or(a.success) AS success, count(*) FILTER (WHERE a.success) AS frames_analyzed,
+       count(*) AS total_frames_extracted, round(sum(a.processing_time), 2) AS total_processing_time,
+       arg_min(a.model_used, a.frame_idx) AS model_used, s.summary
+FROM analyses a JOIN summ s USING (video_id) GROUP BY a.video_id, s.summary"""
+
+SQL["batch_stats"] = f"""
+WITH {ANALYSES},
+v AS (SELECT video_id, bool_or(success) AS success, round(sum(processing_time), 2) AS t FROM analyses GROUP BY video_id),
+s AS (SELECT count(*) AS total, count(*) FILTER (WHERE success) AS successful,
+             coalesce(sum(t) FILTER (WHERE success), 0.0) AS tt FROM v)
+SELECT total, successful, total - successful AS failed, {r6("tt")} AS total_time,
+       {r6("CASE WHEN successful > 0 THEN tt / successful ELSE 0.0 END")} AS avg_per_success,
+       {r6("successful / total")} AS success_ratio, successful = total AS all_passed,
+       (successful * 100) // total AS pass_rate,
+       CASE WHEN successful = total THEN 'all' WHEN (successful * 100) // total >= 80 THEN 'mostly' ELSE 'attention' END AS grade
+FROM s"""
+
+SQL["batch_dedupe"] = f"""
+WITH {RESULTS}
+SELECT path, max(seq) AS seq, {r6("arg_max(confidence, seq)")} AS confidence,
+       arg_max(success, seq) AS success, arg_max(model_used, seq) AS model_used
+FROM results GROUP BY path"""
+
+SQL["throughput_stats"] = f"""
+WITH {ANALYSES}, {RESULTS},
+a AS (SELECT count(*) AS frames, sum(processing_time) AS elapsed, count(DISTINCT video_id) AS videos FROM analyses),
+c AS (SELECT avg(confidence) AS mc FROM (SELECT arg_max(confidence, seq) AS confidence FROM results GROUP BY path))
+SELECT frames, videos, {r6("frames / elapsed")} AS frames_per_sec, {r6("elapsed / videos")} AS sec_per_video,
+       {r6("mc")} AS mean_confidence
+FROM a, c"""
+
+SQL["latency_profile"] = f"""
+WITH {ANALYSES}
+SELECT model_used, count(*) AS frames, {r6("avg(processing_time)")} AS avg_time,
+       {r6("quantile_cont(processing_time, 0.95)")} AS p95_time,
+       {r6("quantile_cont(processing_time, 0.99)")} AS p99_time,
+       {r6("avg(CAST(success AS DOUBLE))")} AS success_rate,
+       {r6("count(*) / sum(processing_time)")} AS frames_per_sec
+FROM analyses GROUP BY model_used"""
+
+SQL["observation_text"] = f"""
+WITH {LONG}
+SELECT video_id, frame_idx // 4096 AS part, min(frame_idx) AS first_frame,
+       string_agg({strip("coalesce(description, '')")}, ' | ' ORDER BY frame_idx) AS text
+FROM long_analyses WHERE success GROUP BY video_id, frame_idx // 4096"""
+
+SQL["fallback_summary_cpu"] = f"""
+WITH {LONG}, {_cpu_summary("long_analyses")}
+SELECT video_id, summary FROM summ"""
+
+SQL["fallback_summary_gpu"] = f"""
+WITH {LONG},
+parts AS (
+  SELECT video_id, count(*) FILTER (WHERE success) AS n_success,
+         count(*) FILTER (WHERE success AND length(coalesce(description, '')) > 10) AS n_mean,
+         arg_max(description, struct_pack(l := length(description), f := -frame_idx))
+           FILTER (WHERE success AND length(coalesce(description, '')) > 10) AS longest
+  FROM long_analyses GROUP BY video_id)
+SELECT video_id,
+       CASE WHEN n_success = 0 THEN 'No frames were successfully analyzed.'
+            WHEN n_mean = 0 THEN 'GPU-analyzed video with ' || CAST(n_success AS VARCHAR) || ' frames processed successfully.'
+            ELSE 'GPU-analyzed video with ' || CAST(n_success AS VARCHAR) || ' frames processed successfully. ' ||
+                 CASE WHEN length(longest) > 50 THEN 'Primary content: ' || longest
+                      ELSE 'Video contains visual content analyzed via GPU acceleration.' END END AS summary
+FROM parts"""
+
+_THEMES = {
+    "person": ["person", "people", "man", "woman", "individual"],
+    "action": ["showing", "demonstrating", "performing", "doing", "using"],
+    "object": ["object", "item", "tool", "device", "equipment"],
+    "setting": ["room", "indoor", "outdoor", "background", "environment"],
+}
+
+
+def _theme_cond(kws):
+    d = strip("coalesce(description, '')")
+    return " OR ".join(f"contains(lower({d}), '{k}')" for k in kws)
+
+
+SQL["theme_tags"] = f"""
+WITH {LONG},
+m AS (SELECT * FROM long_analyses
+      WHERE success AND length({strip("coalesce(description, '')")}) > 0
+        AND {strip("coalesce(description, '')")} <> 'No description available'),
+t AS (SELECT v.video_id,
+             {", ".join(f"coalesce(bool_or({_theme_cond(k)}), false) AS {n}" for n, k in _THEMES.items())}
+      FROM (SELECT DISTINCT video_id FROM long_analyses) v LEFT JOIN m USING (video_id) GROUP BY v.video_id)
+SELECT video_id, list_filter([{", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _THEMES)}], lambda x: x IS NOT NULL) AS themes
+FROM t"""

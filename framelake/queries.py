@@ -94,3 +94,195 @@ def frame_sample_keyframes(spark, sf):
     frames = tb.frames_color(spark, sf)
     k = smp.sample_keyframes(frames, tb.video_sizes(frames), KEYFRAME_N, tb.COLOR_PIXELS)
     return k.select("video_id", "sample_pos", "frame_idx", "kind", r6(F.col("change")).alias("change"))
+
+
+@query("frame_color_entropy")
+def frame_color_entropy(spark, sf):
+    """A16 + N15 per colour frame."""
+    f = tb.frames_color(spark, sf)
+    return f.select("video_id", "frame_idx",
+                    r6(feat.color_entropy(F.col("pixels"))).alias("entropy"),
+                    r6(feat.brightness(F.col("pixels"), 3)).alias("brightness"))
+
+
+@query("frame_histogram")
+def frame_histogram(spark, sf):
+    """Non-empty (channel, bin) counts per colour frame."""
+    return feat.channel_histogram(tb.frames_color(spark, sf))
+
+
+@query("frame_features_color")
+def frame_features_color(spark, sf):
+    """A17 over a uniform sample of colour frames: brightness, motion (gray of
+    each frame), colour entropy; edges come from the image path (N16)."""
+    frames = tb.frames_color(spark, sf)
+    s = smp.sample_uniform(frames, tb.video_sizes(frames), 16)
+    s = (s.withColumn("brightness", feat.brightness(F.col("pixels"), 3))
+         .withColumn("entropy", feat.color_entropy(F.col("pixels"))))
+    s = feat.with_motion(s, pos="sample_pos", channels=3)
+    v = feat.video_features(s)
+    return v.select("video_id", F.col("n_frames").cast("long").alias("n_frames"),
+                    F.transform(feat.feature_fallback(F.col("features")), lambda x: r6(x)).alias("features"))
+
+
+@query("frame_chunks")
+def frame_chunks(spark, sf):
+    """Chunks of 3 consecutive frames per video, last partial kept."""
+    from framelake.operators import batches
+    f = batches.chunk_by_count(tb.frames_gray(spark, sf), 3)
+    return f.groupBy("video_id", "chunk").agg(
+        F.count(F.lit(1)).alias("n_frames"), F.min("frame_idx").alias("first_idx"),
+        F.max("frame_idx").alias("last_idx"),
+        r6(F.avg(feat.brightness(F.col("pixels")))).alias("brightness"))
+
+
+@query("frame_rank")
+def frame_rank(spark, sf):
+    from framelake.operators import batches
+    f = tb.frames_gray(spark, sf)
+    return batches.frame_rank(f.select("video_id", "frame_idx"), tb.video_sizes(f))
+
+
+@query("video_catalog")
+def video_catalog(spark, sf):
+    """S3 + S9: per-video header info and the --info JSON line."""
+    from framelake.sources import json_io
+    f = tb.frames_gray(spark, sf)
+    cat = json_io.video_catalog(f, fps=tb.FRAME_FPS, codec_code=1196444237)
+    return cat.select("video_id", "total_frames", "fps", r6(F.col("duration")).alias("duration"),
+                      "width", "height", "codec")
+
+
+@query("frame_memory")
+def frame_memory(spark, sf):
+    return feat.frame_memory(tb.frames_color(spark, sf))
+
+
+@query("frame_content")
+def frame_content(spark, sf):
+    """N19 content check and N10 normalisation per gray frame."""
+    f = tb.frames_gray(spark, sf)
+    norm = feat.normalize_pixels(F.col("pixels"))
+    return f.select("video_id", "frame_idx", feat.content_check(F.col("pixels"), 1).alias("content_ok"),
+                    F.size(norm).alias("n_values"),
+                    r6(F.aggregate(norm, F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("norm_sum"))
+
+
+@query("fit_dimensions")
+def fit_dimensions(spark, sf):
+    """N14 over order-derived frame sizes (height 1..1080, width 1..1920)."""
+    o = tb.read(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 1080 + 1).cast("int").alias("h"),
+        (F.col("o_orderkey") % 1920 + 1).cast("int").alias("w"))
+    nw, nh = feat.fit_dimensions(F.col("h"), F.col("w"))
+    return o.select("o_orderkey", "h", "w", nw.alias("new_w"), nh.alias("new_h"))
+
+
+# --- batches -------------------------------------------------------------------------
+
+@query("batch_assignment")
+def batch_assignment(spark, sf):
+    """I8 (1024 MB, 2 threads) and I9 (4 devices) over orders by key."""
+    from framelake.operators import batches
+    o = tb.read(spark, sf, "orders").select("o_orderkey")
+    b = batches.assign_batches(o, "o_orderkey", max_memory_mb=1024, num_threads=2)
+    b = batches.assign_round_robin(b, 4)
+    return b.select("o_orderkey", "pos", "batch_size", "batch_id", "device")
+
+
+# --- ledger --------------------------------------------------------------------------
+
+LEDGER_LIMIT = 8 * 1024 * 1024
+LEDGER_REQUIRED = 1024 * 1024
+
+
+@query("ledger_running")
+def ledger_running(spark, sf):
+    from framelake.operators import ledger
+    return ledger.ledger_running(tb.ledger(spark, sf), LEDGER_LIMIT, LEDGER_REQUIRED).select(
+        "seq", "tag", "op", "bytes", "total", "peak", "admit")
+
+
+@query("ledger_by_tag")
+def ledger_by_tag(spark, sf):
+    from framelake.operators import ledger
+    return ledger.ledger_by_tag(tb.ledger(spark, sf))
+
+
+@query("ledger_report")
+def ledger_report(spark, sf):
+    from framelake.operators import ledger
+    return ledger.ledger_report(ledger.ledger_by_tag(tb.ledger(spark, sf)))
+
+
+# --- analyses rollups ----------------------------------------------------------------
+
+@query("video_rollup")
+def video_rollup(spark, sf):
+    from framelake.operators import rollups
+    return rollups.video_rollup(tb.analyses(spark, sf))
+
+
+@query("batch_stats")
+def batch_stats(spark, sf):
+    from framelake.operators import rollups
+    return rollups.batch_stats(rollups.video_rollup(tb.analyses(spark, sf)))
+
+
+@query("batch_dedupe")
+def batch_dedupe(spark, sf):
+    from framelake.operators import rollups
+    d = rollups.dedupe_results(tb.results(spark, sf))
+    return d.select("path", "seq", r6(F.col("confidence")).alias("confidence"), "success", "model_used")
+
+
+@query("throughput_stats")
+def throughput_stats(spark, sf):
+    """Frames per second over all analyses, seconds per video, and mean
+    confidence over distinct paths (after A10)."""
+    from framelake.operators import rollups
+    a = tb.analyses(spark, sf).select(
+        F.lit(1).alias("f"), F.col("processing_time").alias("e"), "video_id",
+        F.lit(None).cast("double").alias("c"))
+    conf = rollups.dedupe_results(tb.results(spark, sf)).select(
+        F.lit(0).alias("f"), F.lit(0.0).alias("e"), F.lit(None).cast(a.schema["video_id"].dataType).alias("video_id"),
+        F.col("confidence").alias("c"))
+    both = a.unionByName(conf).agg(
+        F.sum("f").cast("long").alias("frames"), F.sum("e").alias("elapsed"),
+        F.count_distinct("video_id").alias("videos"), F.avg("c").alias("mean_confidence"))
+    fps, per_video = rollups.throughput(F.col("frames"), F.col("elapsed"), F.col("videos"))
+    return both.select(
+        "frames", "videos", r6(fps).alias("frames_per_sec"), r6(per_video).alias("sec_per_video"),
+        r6(F.col("mean_confidence")).alias("mean_confidence"))
+
+
+@query("latency_profile")
+def latency_profile(spark, sf):
+    from framelake.operators import rollups
+    p = rollups.latency_profile(tb.analyses(spark, sf))
+    return p.select("model_used", "frames", *[r6(F.col(c)).alias(c) for c in
+                    ("avg_time", "p95_time", "p99_time", "success_rate", "frames_per_sec")])
+
+
+@query("observation_text")
+def observation_text(spark, sf):
+    from framelake.operators import rollups
+    return rollups.join_observations(tb.long_analyses(spark, sf))
+
+
+@query("fallback_summary_cpu")
+def fallback_summary_cpu(spark, sf):
+    from framelake.operators import rollups
+    return rollups.fallback_summary_cpu(rollups.summary_parts(tb.long_analyses(spark, sf)))
+
+
+@query("fallback_summary_gpu")
+def fallback_summary_gpu(spark, sf):
+    from framelake.operators import rollups
+    return rollups.fallback_summary_gpu(rollups.summary_parts(tb.long_analyses(spark, sf)))
+
+
+@query("theme_tags")
+def theme_tags(spark, sf):
+    from framelake.operators import rollups
+    return rollups.theme_tags(rollups.summary_parts(tb.long_analyses(spark, sf)))

@@ -76,14 +76,14 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_type + ' ' + props (NULL for failures, which carry an error text).
     """
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    ev = ordered.with_segments(ev, F.expr(f"unix_micros(ts) div {ANALYSIS_SEGMENT_US}"))
+    ev = ordered.with_segments(ev, F.expr(f"unix_micros(cast(ts as timestamp)) div {ANALYSIS_SEGMENT_US}"))
     pos = ordered.dense_positions(ev, ["user_id"], ["ts", "event_id"], out="frame_idx")
     ok = F.col("event_type") != F.lit("error")
     return pos.select(
         F.col("user_id").alias("video_id"), "frame_idx", "event_id",
-        (F.unix_micros("ts") / F.lit(1e6)).alias("timestamp"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp"),
         ok.alias("success"),
-        F.when(ok, F.concat_ws(" ", "event_type", "props")).alias("description"),
+        F.when(ok, F.concat("event_type", F.lit(" "), "props")).alias("description"),
         F.when(~ok, F.concat(F.lit("Processing error: "), F.col("props"))).alias("error"),
         F.col("value").alias("processing_time"),
         F.col("event_type").alias("model_used"),
@@ -91,12 +91,30 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long descriptions: video = source, frame_idx = position by doc_id, description = text."""
+    """Long descriptions: video = source, frame_idx = position by doc_id,
+    description = text, success = the document is not labelled toxic."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    toxic = (read(spark, sf_dir, "labels").filter(F.col("toxic") == 1)
+             .select("doc_id").distinct().withColumn("_toxic", F.lit(True)))
+    docs = docs.join(toxic, "doc_id", "left")
     docs = ordered.with_segments(docs, ordered.span_segments("doc_id"))
     pos = ordered.dense_positions(docs, ["source"], ["doc_id"], out="frame_idx")
     return pos.select(F.col("source").alias("video_id"), "frame_idx", "doc_id",
-                      F.lit(True).alias("success"), F.col("text").alias("description"))
+                      F.col("_toxic").isNull().alias("success"), F.col("text").alias("description"),
+                      F.lit(None).cast("string").alias("error"),
+                      F.length("text").cast("double").alias("processing_time"),
+                      F.lit("text").alias("model_used"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch results in input order: path per user, seq = event_id,
+    confidence = fractional part of value, success = not an error event."""
+    ev = read(spark, sf_dir, "events")
+    return ev.select(
+        F.concat(F.lit("video_"), F.col("user_id").cast("string"), F.lit(".mp4")).alias("path"),
+        F.col("event_id").alias("seq"), (F.col("value") % 1).alias("confidence"),
+        (F.col("event_type") != "error").alias("success"), F.col("event_type").alias("model_used"),
+        F.col("value").alias("processing_time"))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
