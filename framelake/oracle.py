@@ -404,3 +404,137 @@ t AS (SELECT v.video_id,
       FROM (SELECT DISTINCT video_id FROM long_analyses) v LEFT JOIN m USING (video_id) GROUP BY v.video_id)
 SELECT video_id, list_filter([{", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _THEMES)}], lambda x: x IS NOT NULL) AS themes
 FROM t"""
+
+
+def words_sql(col: str) -> str:
+    return f"list_filter(regexp_split_to_array({col}, '{WS}+'), lambda w: w <> '')"
+
+
+VOCAB = f"""
+vwords AS (SELECT unnest({words_sql("text")}) AS token FROM benchmark),
+vocab AS (
+  SELECT token, CAST(999 + row_number() OVER (ORDER BY freq DESC, token) AS BIGINT) AS id
+  FROM (SELECT token, count(*) AS freq FROM vwords WHERE NOT regexp_full_match(token, '[a-z]') GROUP BY token)
+  UNION ALL
+  SELECT chr(CAST(96 + i AS INTEGER)), CAST(i AS BIGINT) FROM range(1, 27) t(i))"""
+
+TOKENIZE = VOCAB + f""",
+dwords AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS wpos
+           FROM (SELECT doc_id, {words_sql("text")} AS ws FROM documents)),
+misses AS (SELECT DISTINCT d.word FROM dwords d LEFT JOIN vocab v ON v.token = d.word WHERE v.id IS NULL),
+cmap AS (SELECT token, min(id) AS id FROM vocab WHERE length(token) = 1 AND ascii(token) < 128 GROUP BY token),
+wchars AS (SELECT word, unnest(string_split(word, '')) AS ch, generate_subscripts(string_split(word, ''), 1) AS cpos FROM misses),
+cids AS (SELECT c.word, c.cpos,
+                CASE WHEN ascii(c.ch) < 128 THEN [CAST(coalesce(m.id, 100) AS BIGINT)]
+                     ELSE list_transform(range(strlen(c.ch)), lambda b: CAST(100 AS BIGINT)) END AS ids
+         FROM wchars c LEFT JOIN cmap m ON m.token = c.ch),
+fallback AS (SELECT word, flatten(list(ids ORDER BY cpos)) AS ids FROM cids GROUP BY word),
+placed AS (SELECT d.doc_id, d.wpos, coalesce(CASE WHEN v.id IS NOT NULL THEN [v.id] END, f.ids) AS ids
+           FROM dwords d LEFT JOIN vocab v ON v.token = d.word LEFT JOIN fallback f ON f.word = d.word),
+per_doc AS (SELECT doc_id, flatten(list(ids ORDER BY wpos)) AS ids FROM placed GROUP BY doc_id),
+tok AS (SELECT doc.doc_id,
+               CASE WHEN len(coalesce(p.ids, [])) > 0 THEN list_prepend(CAST(151643 AS BIGINT), p.ids)
+                    ELSE CAST([] AS BIGINT[]) END AS input_ids
+        FROM documents doc LEFT JOIN per_doc p USING (doc_id))"""
+
+SQL["vocab_table"] = f"WITH {VOCAB}\nSELECT token, id FROM vocab"
+
+SQL["tokenize_docs"] = f"""
+WITH {TOKENIZE}
+SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_tokens, input_ids FROM tok"""
+
+
+def fallback_ids(col: str) -> str:
+    return (f"CAST(list_transform(list_filter(string_split({col}, ''), lambda ch: ascii(ch) BETWEEN 32 AND 126), "
+            f"lambda ch: CASE WHEN ch = ' ' THEN 220 ELSE ascii(ch) + 1000 END) AS BIGINT[])")
+
+
+SQL["tokenize_fallback"] = f"SELECT doc_id, {fallback_ids('text')} AS ids FROM documents"
+
+
+def signed_bytes_sql(col: str) -> str:
+    return (f"CAST(list_transform(regexp_extract_all(hex(encode({col})), '..'), "
+            f"lambda x: CASE WHEN CAST('0x' || x AS INTEGER) >= 128 THEN CAST('0x' || x AS INTEGER) - 256 "
+            f"ELSE CAST('0x' || x AS INTEGER) END) AS BIGINT[])")
+
+
+SQL["token_padding"] = f"""
+WITH c AS (SELECT conv_id, turn, {fallback_ids('text')} AS fb, {signed_bytes_sql('text')} AS b FROM conversations),
+a AS (SELECT *, list_transform(b, lambda x: CASE WHEN x BETWEEN 32 AND 126 THEN x ELSE 32 END) AS asc16 FROM c)
+SELECT conv_id, turn,
+       list_concat(fb, list_transform(range(1024), lambda i: CAST(220 AS BIGINT)))[1:1024] AS padded_1024,
+       CAST(least(len(fb), 2048) AS INTEGER) AS n_2048,
+       CAST(least(len(b), 4096) AS INTEGER) AS n_4096,
+       list_concat(asc16, list_transform(range(greatest(0, 16 - len(asc16))), lambda i: CAST(32 AS BIGINT))) AS ascii_16,
+       list_concat(b, list_transform(range(512), lambda i: CAST(0 AS BIGINT)))[1:512] AS bytes_512,
+       CAST(len(b) AS INTEGER) AS n_bytes, CAST(coalesce(list_sum(b), 0) AS BIGINT) AS bytes_sum
+FROM a"""
+
+_SPECIALS = "[151643, 151645, 151655, 151656, 151652, 151653, 151654]"
+_SPECIAL_TEXT = ("CASE {x} WHEN 151643 THEN '<|endoftext|>' WHEN 151645 THEN '<|im_end|>' "
+                 "WHEN 151655 THEN '<|image|>' WHEN 151656 THEN '<|video|>' WHEN 151652 THEN '<|vision_start|>' "
+                 "WHEN 151653 THEN '<|vision_end|>' WHEN 151654 THEN '<|vision|>' END")
+
+SQL["detokenize_docs"] = f"""
+WITH {TOKENIZE},
+ex AS (SELECT doc_id, unnest(input_ids) AS tid, generate_subscripts(input_ids, 1) AS ipos FROM tok),
+rev AS (SELECT id, min(token) AS token FROM vocab GROUP BY id),
+pieces AS (
+  SELECT e.doc_id, e.ipos, r.token IS NOT NULL AS from_vocab,
+         coalesce(r.token, {_SPECIAL_TEXT.format(x="e.tid")},
+                  CASE WHEN e.tid >= 0 AND e.tid < 50000 THEN '[' || CAST(e.tid AS VARCHAR) || ']' ELSE '<unk>' END) AS piece
+  FROM ex e LEFT JOIN rev r ON r.id = e.tid
+  WHERE NOT list_contains({_SPECIALS}, e.tid)),
+folded AS (
+  SELECT doc_id,
+         list_reduce(list_prepend({{'p': '', 'v': false}}, list({{'p': piece, 'v': from_vocab}} ORDER BY ipos)),
+                     lambda acc, x: {{'p': CASE WHEN x.v AND starts_with(x.p, 'Ġ')
+                                                THEN acc.p || CASE WHEN acc.p = '' THEN '' ELSE ' ' END || substr(x.p, 2)
+                                                ELSE acc.p || x.p END, 'v': false}}).p AS raw
+  FROM pieces GROUP BY doc_id),
+dec AS (SELECT t.doc_id, regexp_replace(regexp_replace(coalesce(f.raw, ''), '^ +', ''), ' +', ' ', 'g') AS text
+        FROM tok t LEFT JOIN folded f USING (doc_id))
+SELECT d.doc_id, d.text,
+       CAST(len(list_filter(t.input_ids, lambda x: list_contains({_SPECIALS}, x))) AS INTEGER) AS n_special,
+       CAST(len(list_filter(t.input_ids, lambda x: NOT list_contains({_SPECIALS}, x))) AS INTEGER) AS n_plain,
+       {_SPECIAL_TEXT.format(x="t.input_ids[1]")} AS first_special
+FROM dec d JOIN tok t USING (doc_id)"""
+
+CHAT_PARTS = """
+cparts AS (
+  SELECT conv_id, turn, role, 0 AS ppos, 'image' AS kind, CAST(NULL AS VARCHAR) AS text FROM conversations
+  WHERE role = 'user' AND (conv_id + turn) % 3 = 0
+  UNION ALL
+  SELECT conv_id, turn, role, 1, 'video', NULL FROM conversations WHERE role = 'user' AND (conv_id + turn) % 4 = 0
+  UNION ALL
+  SELECT conv_id, turn, role, 2, 'text', text FROM conversations)"""
+
+SQL["chat_template"] = f"""
+WITH {CHAT_PARTS},
+numbered AS (
+  SELECT *, sum(CASE WHEN kind = 'image' THEN 1 ELSE 0 END) OVER w AS image_no,
+            sum(CASE WHEN kind = 'video' THEN 1 ELSE 0 END) OVER w AS video_no
+  FROM cparts WINDOW w AS (PARTITION BY conv_id ORDER BY turn, ppos ROWS UNBOUNDED PRECEDING)),
+pieces AS (
+  SELECT conv_id, turn, role, ppos,
+         CASE WHEN role <> 'user' THEN coalesce(text, '')
+              WHEN kind = 'text' THEN coalesce(text, '')
+              WHEN kind = 'image' THEN 'Picture ' || CAST(image_no AS VARCHAR) || ': <|vision_start|><|image_pad|><|vision_end|>'
+              ELSE 'Video ' || CAST(video_no AS VARCHAR) || ': <|vision_start|><|video_pad|><|vision_end|>' END AS piece
+  FROM numbered),
+turns AS (
+  SELECT conv_id, turn, role, string_agg(piece, '' ORDER BY ppos) AS body FROM pieces GROUP BY conv_id, turn, role),
+wrapped AS (
+  SELECT conv_id, turn,
+         CASE role WHEN 'system' THEN '<|im_start|>system' || chr(10) || body || '<|im_end|>' || chr(10)
+                   WHEN 'user' THEN '<|im_start|>user' || chr(10) || body || '<|im_end|>' || chr(10)
+                   WHEN 'assistant' THEN '<|im_start|>assistant' || chr(10) || body || '<|im_end|>' || chr(10) END AS w
+  FROM turns),
+conv AS (SELECT conv_id, bool_or(role = 'system') AS has_sys, max(turn) AS last FROM conversations GROUP BY conv_id)
+SELECT w.conv_id, w.turn // 4096 AS part,
+       CASE WHEN w.turn // 4096 = 0 AND NOT c.has_sys
+            THEN '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) ELSE '' END
+       || string_agg(w.w, '' ORDER BY w.turn)
+       || CASE WHEN w.turn // 4096 = c.last // 4096 THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS text
+FROM wrapped w JOIN conv c USING (conv_id) WHERE w.w IS NOT NULL
+GROUP BY w.conv_id, w.turn // 4096, c.has_sys, c.last"""

@@ -120,3 +120,15 @@ def with_previous(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[s
     for c in cols:
         both = both.withColumn(prefix + c, F.lag(c).over(w))
     return both.filter(~F.col("_carry")).drop(pseg, "_carry")
+
+
+def global_positions(df: DataFrame, order: Sequence[str | Column], out: str = "pos") -> DataFrame:
+    """0-based position over the whole table in ``order`` (no key).
+
+    A global sort range-partitions the rows, so the partition id after the sort
+    is monotone in the order and serves as the segment; each range partition is
+    bounded by the sort's sampling, and the per-segment table has one row per
+    partition.
+    """
+    s = df.orderBy(*order).withColumn(SEG, F.spark_partition_id().cast("long"))
+    return dense_positions(s, [], order, out=out).drop(SEG)

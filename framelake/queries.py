@@ -286,3 +286,130 @@ def fallback_summary_gpu(spark, sf):
 def theme_tags(spark, sf):
     from framelake.operators import rollups
     return rollups.theme_tags(rollups.summary_parts(tb.long_analyses(spark, sf)))
+
+
+# --- tokens ----------------------------------------------------------------------------
+
+def _vocab(spark, sf):
+    from framelake.functions import tokens as tk
+    return tk.build_vocab(spark, tb.read(spark, sf, "benchmark"))
+
+
+@query("vocab_table")
+def vocab_table(spark, sf):
+    """S13/J2 source: ranked vocabulary built from ``benchmark``."""
+    return _vocab(spark, sf)
+
+
+@query("tokenize_docs")
+def tokenize_docs(spark, sf):
+    """T1 + J2 over every document."""
+    from framelake.functions import tokens as tk
+    docs = tb.read(spark, sf, "documents").select("doc_id", "text")
+    t = tk.tokenize(docs, _vocab(spark, sf), "doc_id")
+    return t.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"), "input_ids")
+
+
+@query("tokenize_fallback")
+def tokenize_fallback(spark, sf):
+    """T2 over every document."""
+    from framelake.functions import tokens as tk
+    d = tb.read(spark, sf, "documents")
+    return d.select("doc_id", tk.tokenize_fallback(F.col("text")).alias("ids"))
+
+
+@query("token_padding")
+def token_padding(spark, sf):
+    """T3-T7 over page urls and conversation texts: padding, truncation, byte encodings."""
+    from framelake.functions import tokens as tk
+    c = tb.read(spark, sf, "conversations").select("conv_id", "turn", "text")
+    fb = tk.tokenize_fallback(F.col("text"))
+    b = tk.signed_bytes(F.col("text"))
+    return c.select(
+        "conv_id", "turn",
+        tk.pad_or_truncate(fb, 1024, tk.SPACE_ID).alias("padded_1024"),
+        F.size(tk.truncate_tokens(fb, tk.QWEN_MAX_TOKENS)).alias("n_2048"),
+        F.size(tk.truncate_tokens(b, tk.LLAMA_MAX_TOKENS)).alias("n_4096"),
+        tk.ascii_padded(F.col("text")).alias("ascii_16"),
+        tk.prompt_bytes_512(F.col("text")).alias("bytes_512"),
+        F.size(b).alias("n_bytes"),
+        F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes_sum"))
+
+
+@query("detokenize_docs")
+def detokenize_docs(spark, sf):
+    """T8-T11 + J3: decode the T1 ids of every document, specials skipped."""
+    from framelake.functions import tokens as tk
+    docs = tb.read(spark, sf, "documents").select("doc_id", "text")
+    vocab = _vocab(spark, sf)
+    t = tk.tokenize(docs, vocab, "doc_id")
+    d = tk.detokenize(t, vocab, "doc_id")
+    s = t.select("doc_id", F.size(F.filter("input_ids", lambda x: tk.is_special(x))).alias("n_special"),
+                 F.size(tk.strip_special(F.col("input_ids"))).alias("n_plain"),
+                 tk.token_to_string(F.col("input_ids")[0], F.lit(None).cast("string")).alias("first_special"))
+    return d.join(s, "doc_id")
+
+
+# --- prompts and model inputs --------------------------------------------------------
+
+@query("chat_template")
+def chat_template(spark, sf):
+    from framelake.functions import prompts as pr
+    return pr.chat_template(tb.chat_parts(spark, sf))
+
+
+def _conv_counts(c):
+    return c.withColumn("n_img", F.pmod(F.col("turn"), F.lit(4))).withColumn("n_vid", F.pmod(F.col("conv_id"), F.lit(3)))
+
+
+@query("vision_prompts")
+def vision_prompts(spark, sf):
+    """T14-T21 per conversation message (n images = turn mod 4, n videos = conv_id mod 3)."""
+    from framelake.functions import prompts as pr
+    c = _conv_counts(tb.read(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    n = F.col("n_img") + F.col("n_vid")
+    return c.select(
+        "conv_id", "turn",
+        pr.vision_prompt(F.col("text"), F.col("n_img"), F.col("n_vid")).alias("vision_prompt"),
+        pr.video_chat_prompt(n).alias("video_chat"),
+        pr.llama_vision_prompt(F.col("text"), n).alias("llama_prompt"),
+        pr.describe_prompt(F.col("role")).alias("describe"),
+        pr.analysis_prompt(F.col("role")).alias("analysis"),
+        pr.extraction_prompt(F.col("role")).alias("extraction"),
+        pr.multipart_prompt(F.col("role")).alias("multipart"),
+        pr.default_prompt(F.when(F.col("role") != "system", F.col("text")).otherwise(F.lit(""))).alias("prompt"),
+        pr.placeholder_description(F.col("text"), n).alias("placeholder"),
+        pr.scene_context(n).alias("scene"),
+        pr.vision_tokens(F.col("n_img"), F.col("n_vid")).alias("vision_ids"))
+
+
+@query("model_inputs")
+def model_inputs(spark, sf):
+    """Vision tokens + fallback text ids -> model input arrays."""
+    from framelake.functions import prompts as pr
+    from framelake.functions import tokens as tk
+    c = _conv_counts(tb.read(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    ids = F.concat(pr.vision_tokens(F.col("n_img"), F.col("n_vid")), tk.tokenize_fallback(F.col("text")))
+    m = c.select("conv_id", "turn", pr.model_input(ids).alias("m"))
+    n = F.col("m.sequence_length")
+    mm = pr.multimodal_positions(n, F.col("m.image_positions"), F.col("m.video_positions"))
+    return m.select(
+        "conv_id", "turn", F.col("m.input_ids").alias("input_ids"), "m.sequence_length",
+        F.size("m.attention_mask").alias("mask_len"), "m.image_positions", "m.video_positions",
+        F.aggregate(pr.mask_float(F.col("m.attention_mask")), F.lit(0.0), lambda a, x: a + x).alias("mask_sum"),
+        F.size(pr.batched_positions(n, 2)).alias("batched_len"),
+        mm["mrope_deltas"][0].alias("mrope_delta"),
+        F.size(pr.position_tensor_3d(n)).alias("pos3d_len"))
+
+
+@query("placeholder_analysis")
+def placeholder_analysis(spark, sf):
+    """I5 + T19 + T20 per conversation: n frames = turns, prompt = first user text."""
+    from framelake.functions import prompts as pr
+    c = tb.read(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"),
+                                 F.min_by(F.when(F.col("role") == "user", F.col("text")),
+                                          F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"))
+    a = g.select("conv_id", "n", pr.placeholder_analysis(pr.default_prompt(F.col("prompt")), F.col("n")).alias("r"))
+    return a.select("conv_id", "n", "r.description", "r.objects", "r.actions", "r.scene_context",
+                    "r.temporal_events", "r.confidence_score")

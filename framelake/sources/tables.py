@@ -126,3 +126,19 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"), F.col("event_type").alias("tag"),
         F.when(F.col("event_id") % 2 == 0, F.lit("alloc")).otherwise(F.lit("dealloc")).alias("op"),
         (k * 1024).alias("bytes"))
+
+
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat content parts from ``conversations``: every turn has its text
+    (ppos 2); a user turn also carries an image (ppos 0) when
+    (conv_id + turn) mod 3 = 0 and a video (ppos 1) when (conv_id + turn) mod 4 = 0."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    user = F.col("role") == "user"
+    k = F.col("conv_id") + F.col("turn")
+    parts = F.filter(F.array(
+        F.when(user & (F.pmod(k, F.lit(3)) == 0), F.struct(F.lit(0).alias("ppos"), F.lit("image").alias("kind"))),
+        F.when(user & (F.pmod(k, F.lit(4)) == 0), F.struct(F.lit(1).alias("ppos"), F.lit("video").alias("kind"))),
+        F.struct(F.lit(2).alias("ppos"), F.lit("text").alias("kind"))), lambda x: x.isNotNull())
+    e = c.select("conv_id", "turn", "role", "text", F.explode(parts).alias("p"))
+    return e.select("conv_id", "turn", "role", F.col("p.ppos").alias("ppos"), F.col("p.kind").alias("kind"),
+                    F.when(F.col("p.kind") == "text", F.col("text")).alias("text"))
