@@ -149,8 +149,8 @@ def vision_tokens(n_images: Column, n_videos: Column) -> Column:
     """N x (start, image, end) then m x (start, video, end)."""
     img = F.array(*[F.lit(x).cast("long") for x in (tk.VISION_START_ID, tk.IMAGE_ID, tk.VISION_END_ID)])
     vid = F.array(*[F.lit(x).cast("long") for x in (tk.VISION_START_ID, tk.VIDEO_ID, tk.VISION_END_ID)])
-    return F.concat(F.flatten(F.array_repeat(img, F.greatest(n_images, F.lit(0)))),
-                    F.flatten(F.array_repeat(vid, F.greatest(n_videos, F.lit(0)))))
+    return F.concat(F.flatten(F.array_repeat(img, F.greatest(n_images, F.lit(0)).cast("int"))),
+                    F.flatten(F.array_repeat(vid, F.greatest(n_videos, F.lit(0)).cast("int"))))
 
 
 def positions(n: Column) -> Column:
@@ -169,7 +169,7 @@ def model_input(ids: Column, max_length: int = tk.QWEN_MAX_TOKENS) -> Column:
     t = tk.truncate_tokens(ids, max_length)
     n = F.size(t)
     return F.struct(
-        t.alias("input_ids"), F.array_repeat(F.lit(1).cast("long"), n).alias("attention_mask"),
+        t.alias("input_ids"), F.array_repeat(F.lit(1).cast("long"), n.cast("int")).alias("attention_mask"),
         positions(n).alias("position_ids"), index_of(t, tk.IMAGE_ID).alias("image_positions"),
         index_of(t, tk.VIDEO_ID).alias("video_positions"), n.cast("long").alias("sequence_length"))
 
@@ -181,7 +181,7 @@ def mask_float(mask: Column) -> Column:
 
 def batched_positions(n: Column, batch: int) -> Column:
     """0..n-1 repeated ``batch`` times."""
-    return F.flatten(F.array_repeat(positions(n), batch))
+    return F.flatten(F.array_repeat(positions(n), F.lit(batch)))
 
 
 def multimodal_positions(n: Column, image_pos: Column, video_pos: Column) -> Column:
@@ -194,7 +194,7 @@ def multimodal_positions(n: Column, image_pos: Column, video_pos: Column) -> Col
 
 def position_tensor_3d(n: Column) -> Column:
     """3 x n row-major positions."""
-    return F.flatten(F.array_repeat(positions(n), 3))
+    return F.flatten(F.array_repeat(positions(n), F.lit(3)))
 
 
 # --- chat template ----------------------------------------------------------------

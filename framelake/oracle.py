@@ -538,3 +538,82 @@ SELECT w.conv_id, w.turn // 4096 AS part,
        || CASE WHEN w.turn // 4096 = c.last // 4096 THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS text
 FROM wrapped w JOIN conv c USING (conv_id) WHERE w.w IS NOT NULL
 GROUP BY w.conv_id, w.turn // 4096, c.has_sys, c.last"""
+
+NL = "chr(10)"
+
+
+def _rep(s: str, n: str) -> str:
+    return f"repeat('{s}', greatest({n}, 0))"
+
+
+SQL["vision_prompts"] = f"""
+WITH c AS (SELECT conv_id, turn, role, text, turn % 4 AS n_img, conv_id % 3 AS n_vid FROM conversations)
+SELECT conv_id, turn,
+       {_rep('<|vision_start|><|image_pad|><|vision_end|>', 'n_img')} || {_rep('<|vision_start|><|video_pad|><|vision_end|>', 'n_vid')} || text AS vision_prompt,
+       '<|im_start|>system' || {NL} || 'You are a helpful assistant that describes video content in detail.<|im_end|>' || {NL}
+         || '<|im_start|>user' || {NL} || {_rep('<|vision_start|><|image_pad|><|vision_end|>', 'n_img + n_vid')}
+         || {NL} || {NL} || 'Please describe what you see in this video in detail. Focus on:' || {NL}
+         || '- Objects and people present' || {NL} || '- Actions and activities' || {NL}
+         || '- Scene setting and environment' || {NL} || '- Any interesting details' || {NL} || {NL}
+         || 'Video description:<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} AS video_chat,
+       '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || {NL} || {NL}
+         || 'You are a helpful AI assistant that can analyze videos and describe their content in detail.<|eot_id|>'
+         || '<|start_header_id|>user<|end_header_id|>' || {NL} || {NL} || {_rep('<|image|>', 'n_img + n_vid')}
+         || {NL} || text || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || {NL} || {NL} AS llama_prompt,
+       'Describe this image in detail. ' || role AS describe,
+       'Analyze the content of this image/video and ' || role AS analysis,
+       'Extract ' || role || ' from this image/video.' AS extraction,
+       'Describe this video: ' || role AS multipart,
+       CASE WHEN role = 'system' OR coalesce(text, '') = '' THEN
+         {NL} || '            Analyze this video sequence and provide:' || {NL}
+         || '            1. A detailed description of what''s happening' || {NL}
+         || '            2. Key objects and people identified  ' || {NL}
+         || '            3. Actions and activities taking place' || {NL}
+         || '            4. Scene context and environment' || {NL}
+         || '            5. Any notable events or changes over time' || {NL}
+         || '            ' || {NL}
+         || '            Be specific and comprehensive in your analysis.' || {NL} || '        '
+         ELSE text END AS prompt,
+       'Placeholder analysis of ' || CAST(n_img + n_vid AS VARCHAR) || ' frames: ' ||
+         CASE WHEN contains(text, 'detailed') THEN 'Detailed scene analysis with multiple objects and activities detected. '
+              ELSE 'Basic scene analysis with recognizable elements. ' END AS placeholder,
+       CASE WHEN n_img + n_vid > 12 THEN 'Extended sequence - comprehensive scene analysis'
+            WHEN n_img + n_vid > 8 THEN 'Medium sequence - moderate scene coverage'
+            ELSE 'Short sequence - focused scene analysis' END AS scene,
+       CAST(flatten(list_transform(range(n_img), lambda i: [151652, 151655, 151653])
+                    || list_transform(range(n_vid), lambda i: [151652, 151656, 151653])) AS BIGINT[]) AS vision_ids
+FROM c"""
+
+SQL["model_inputs"] = f"""
+WITH c AS (SELECT conv_id, turn, text, turn % 4 AS n_img, conv_id % 3 AS n_vid FROM conversations),
+ids AS (SELECT conv_id, turn,
+               (CAST(flatten(list_transform(range(n_img), lambda i: [151652, 151655, 151653])
+                             || list_transform(range(n_vid), lambda i: [151652, 151656, 151653])) AS BIGINT[])
+                || {fallback_ids('text')})[1:2048] AS input_ids
+        FROM c)
+SELECT conv_id, turn, input_ids, CAST(len(input_ids) AS BIGINT) AS sequence_length,
+       CAST(len(input_ids) AS INTEGER) AS mask_len,
+       CAST(list_filter(list_transform(input_ids, lambda x, i: CASE WHEN x = 151655 THEN i - 1 END), lambda x: x IS NOT NULL) AS BIGINT[]) AS image_positions,
+       CAST(list_filter(list_transform(input_ids, lambda x, i: CASE WHEN x = 151656 THEN i - 1 END), lambda x: x IS NOT NULL) AS BIGINT[]) AS video_positions,
+       CAST(len(input_ids) AS DOUBLE) AS mask_sum,
+       CAST(2 * len(input_ids) AS INTEGER) AS batched_len,
+       CAST(len(list_filter(input_ids, lambda x: x IN (151655, 151656))) AS BIGINT) AS mrope_delta,
+       CAST(3 * len(input_ids) AS INTEGER) AS pos3d_len
+FROM ids"""
+
+SQL["placeholder_analysis"] = """
+WITH g AS (SELECT conv_id, count(*) AS n, arg_min(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS prompt
+           FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, n, CASE WHEN coalesce(prompt, '') = '' THEN 'default' ELSE prompt END AS prompt FROM g)
+SELECT conv_id, n,
+       'Placeholder analysis of ' || CAST(n AS VARCHAR) || ' frames: ' ||
+         CASE WHEN contains(prompt, 'detailed') THEN 'Detailed scene analysis with multiple objects and activities detected. '
+              ELSE 'Basic scene analysis with recognizable elements. ' END AS description,
+       ['person', 'object', 'background', 'furniture'] AS objects,
+       ['walking', 'sitting', 'interacting', 'moving'] AS actions,
+       CASE WHEN n > 12 THEN 'Extended sequence - comprehensive scene analysis'
+            WHEN n > 8 THEN 'Medium sequence - moderate scene coverage'
+            ELSE 'Short sequence - focused scene analysis' END AS scene_context,
+       ['scene_change', 'object_appearance', 'action_sequence'] AS temporal_events,
+       0.75 AS confidence_score
+FROM p"""
