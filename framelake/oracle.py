@@ -617,3 +617,256 @@ SELECT conv_id, n,
        ['scene_change', 'object_appearance', 'action_sequence'] AS temporal_events,
        0.75 AS confidence_score
 FROM p"""
+
+
+def py_float(x: str) -> str:
+    t = strip(x)
+    return (f"(CASE WHEN regexp_full_match({t}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') "
+            f"THEN CAST({t} AS DOUBLE) END)")
+
+
+VECTORS = """
+vectors AS (
+  SELECT vec_id, label, embedding,
+         list_transform(embedding, lambda x, i: CASE WHEN i - 1 = vec_id % 64 THEN
+             CASE WHEN vec_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN vec_id % 11 = 0 THEN 'Infinity'::DOUBLE
+                  WHEN vec_id % 5 = 0 THEN CAST(x AS DOUBLE) * 1000 ELSE CAST(x AS DOUBLE) END
+           ELSE CAST(x AS DOUBLE) END) AS vec
+  FROM embeddings)"""
+
+SQL["vector_sanitize"] = f"""
+WITH {VECTORS}
+SELECT vec_id,
+       list_transform(vec, lambda x: CASE WHEN isnan(x) OR isinf(x) THEN 0.0 ELSE greatest(-30.0, least(30.0, x)) END) AS values,
+       CAST(len(list_filter(vec, lambda x: isnan(x) OR isinf(x))) AS INTEGER) AS invalid_count,
+       CAST(len(list_filter(vec, lambda x: NOT isnan(x) AND NOT isinf(x) AND abs(x) > 30)) AS INTEGER) AS clamped_count
+FROM vectors"""
+
+SQL["vector_stats"] = f"""
+WITH {VECTORS},
+f AS (SELECT vec_id, vec, list_filter(vec, lambda x: NOT isnan(x) AND NOT isinf(x)) AS fin FROM vectors),
+m AS (SELECT *, CASE WHEN len(fin) > 0 THEN list_sum(fin) / len(fin) END AS mean FROM f)
+SELECT vec_id, {r6("CASE WHEN len(fin) > 0 THEN list_min(fin) END")} AS min,
+       {r6("CASE WHEN len(fin) > 0 THEN list_max(fin) END")} AS max, {r6("mean")} AS mean,
+       {r6("sqrt(list_sum(list_transform(fin, lambda x: (x - mean) * (x - mean))) / len(fin))")} AS std,
+       CAST(len(list_filter(vec, lambda x: isnan(x))) AS INTEGER) AS nan_count,
+       CAST(len(list_filter(vec, lambda x: isinf(x))) AS INTEGER) AS inf_count,
+       CAST(len(list_filter(fin, lambda x: abs(x) > 100)) AS INTEGER) AS extreme_count,
+       len(list_filter(vec, lambda x: isnan(x) OR isinf(x))) + len(list_filter(fin, lambda x: abs(x) > 100)) = 0 AS valid
+FROM m"""
+
+SQL["vector_resize"] = f"""
+WITH {VECTORS}
+SELECT vec_id, CAST(embedding AS DOUBLE[])[1:48] AS v48,
+       list_concat(CAST(embedding AS DOUBLE[]), list_transform(range(80), lambda i: 0.0))[1:80] AS v80,
+       CAST((label + 1) * 1536 AS INTEGER) AS combined_len,
+       {r6("list_sum(CAST(embedding AS DOUBLE[]))")} AS combined_sum
+FROM vectors"""
+
+LINES = """
+lines AS (
+  SELECT 'host' || CAST(user_id % 16 AS VARCHAR) AS host, event_id AS line_no,
+    CASE event_type
+      WHEN 'view' THEN CASE WHEN user_id % 13 = 0 THEN ' 10:01  up 3 days, load average: n/a'
+           ELSE ' 10:01  up 3 days,  2 users,  load average: ' || CAST(k // 10 AS VARCHAR) || '.' || CAST(k % 10 AS VARCHAR) || '0, 0.50, 0.25' END
+      WHEN 'click' THEN CASE WHEN user_id % 5 = 0 THEN 'root ' || CAST(event_id AS VARCHAR) || ' ' || CAST(k AS VARCHAR) || '.5 ollama serve'
+           ELSE 'user  ' || CAST(event_id AS VARCHAR) || '  ' || CAST(k * 2 AS VARCHAR) || '.5  1.0 /usr/bin/Ollama Runner --port 11434' END
+      WHEN 'purchase' THEN CASE WHEN user_id % 7 = 0 THEN 'GPU use (%): ' || CAST(k AS VARCHAR)
+           ELSE 'GPU[' || CAST(user_id % 4 AS VARCHAR) || ']   ' || CAST(k AS VARCHAR) || '%   busy' END
+      WHEN 'signup' THEN CASE WHEN user_id % 9 = 0 THEN 'card0,N/A' ELSE 'card' || CAST(user_id % 4 AS VARCHAR) || ',' || CAST(k AS VARCHAR) END
+      ELSE 'error: ' || props END AS line
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+fl AS (SELECT *, list_filter(regexp_split_to_array(""" + strip("line") + f""", '{WS}+'), lambda x: x <> '') AS f FROM lines)"""
+
+SQL["host_gate"] = f"""
+WITH {LINES},
+g AS (SELECT host,
+             arg_max(line, line_no) FILTER (WHERE contains(line, 'load average:')) AS up,
+             arg_min(f[3], line_no) FILTER (WHERE contains(lower(line), 'ollama runner') AND len(f) > 2) AS cpu_txt
+      FROM fl GROUP BY host),
+v AS (SELECT *, list_transform(string_split(split_part(up, 'load average:', 2), ','), lambda x: {py_float("x")}) AS vals FROM g),
+c AS (SELECT host, up IS NOT NULL AND list_bool_or(list_transform(vals, lambda x: x IS NULL)) AS bad,
+             CASE WHEN up IS NULL THEN 0.0 ELSE vals[1] END AS load,
+             coalesce({py_float("cpu_txt")}, 0.0) AS cpu FROM v)
+SELECT host, CASE WHEN bad THEN 0.0 ELSE load END AS system_load,
+       CASE WHEN bad THEN 0.0 ELSE cpu END AS ollama_cpu_usage,
+       CASE WHEN bad THEN true ELSE load < 8.0 AND cpu < 150.0 END AS can_process,
+       CASE WHEN bad OR load < 8.0 THEN 'normal' ELSE 'wait_or_restart' END AS recommendation
+FROM c"""
+
+SQL["gpu_status"] = f"""
+WITH {LINES},
+u AS (SELECT *, contains(line, 'GPU') AND contains(line, '%') AS is_gpu,
+             {py_float("replace(list_filter(f, lambda p: contains(p, '%'))[1], '%', '')")} AS util,
+             starts_with(line, 'card') AS is_csv FROM fl),
+g AS (SELECT host, arg_max(util, line_no) FILTER (WHERE is_gpu) AS util,
+             count(*) FILTER (WHERE is_gpu AND util IS NULL) AS bad,
+             arg_min(split_part(line, ',', 2), line_no) FILTER (WHERE is_csv) AS csv
+      FROM u GROUP BY host),
+d AS (SELECT DISTINCT 'host' || CAST(user_id % 16 AS VARCHAR) AS host, (user_id % 16) % 3 <> 0 AS available FROM events),
+j AS (SELECT d.host, d.available, coalesce(g.bad, 0) > 0 AS failed, g.util, g.csv,
+             TRY_CAST(regexp_extract(coalesce(g.csv, ''), '^{WS}*([+-]?[0-9]+)', 1) AS BIGINT) AS lead
+      FROM d LEFT JOIN g USING (host))
+SELECT host, available AND NOT failed AS decoder_available,
+       CASE WHEN failed THEN 0.0 ELSE coalesce(util, 0.0) END AS gpu_utilization,
+       available AND NOT failed AND (CASE WHEN failed THEN 0.0 ELSE coalesce(util, 0.0) END) < 80.0 AS can_process,
+       CASE WHEN available AND NOT failed THEN 'gpu_ready' ELSE 'fallback_cpu' END AS recommendation,
+       CASE WHEN NOT available THEN 'CPU_FALLBACK' WHEN csv IS NULL THEN 'GPU_UNKNOWN'
+            WHEN lead IS NULL THEN 'GPU_STATUS_ERROR' WHEN lead < 50 THEN 'GPU_READY'
+            WHEN lead < 80 THEN 'GPU_BUSY' ELSE 'GPU_OVERLOADED' END AS status
+FROM j"""
+
+
+def _fourcc(code: str) -> str:
+    b = [f"CAST(({code} >> {8 * k}) & 255 AS INTEGER)" for k in range(4)]
+    out = "''"
+    for k in reversed(range(4)):
+        out = f"(CASE WHEN {b[k]} = 0 THEN '' ELSE chr({b[k]}) || {out} END)"
+    return out
+
+
+SQL["fourcc_codes"] = f"""
+WITH c AS (SELECT event_id, (event_id * 7919 + user_id) % 4294967296 AS code FROM events)
+SELECT event_id, code, {_fourcc("code")} AS codec FROM c"""
+
+SQL["probe_metadata"] = f"""
+WITH e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+                  CASE WHEN event_type = 'click' THEN CAST(30000 AS DOUBLE) / 1001
+                       ELSE CAST(20 + 5 * (user_id % 4) AS DOUBLE) END AS fps,
+                  CASE WHEN event_type = 'view' THEN 0.0 ELSE value END AS dur
+           FROM events)
+SELECT event_id,
+       CASE WHEN event_type IN ('signup', 'error') THEN 100 WHEN event_type = 'purchase' THEN k
+            ELSE CAST(trunc(fps * dur) AS BIGINT) END AS frames,
+       {r6("CASE WHEN event_type IN ('signup', 'error') THEN 25.0 ELSE fps END")} AS fps,
+       {r6("CASE WHEN event_type IN ('signup', 'error') THEN 4.0 ELSE dur END")} AS duration,
+       {r6("CASE WHEN event_type IN ('signup', 'error') THEN 25.0 ELSE fps END")} AS lenient_fps,
+       {r6("CASE WHEN event_type IN ('signup', 'error') OR event_type = 'view' THEN 10.0 ELSE value END")} AS lenient_duration
+FROM e"""
+
+RESULT_CHUNKS = f"""
+{ANALYSES},
+rc AS (
+  SELECT video_id, frame_idx // 16 AS chunk, bool_or(success) AS success,
+         count(*) FILTER (WHERE success) AS frames_analyzed, count(*) AS total_frames_extracted,
+         round(sum(processing_time), 2) AS total_processing_time, arg_min(model_used, frame_idx) AS model_used,
+         coalesce(list(coalesce(description, '') ORDER BY frame_idx) FILTER (WHERE success), []) AS descs,
+         (video_id + frame_idx // 16) % 7 = 0 AS bad
+  FROM analyses GROUP BY video_id, frame_idx // 16)"""
+
+SQL["result_json_roundtrip"] = f"""
+WITH {RESULT_CHUNKS}
+SELECT video_id, chunk,
+       CASE WHEN bad THEN false ELSE success END AS success,
+       CASE WHEN bad THEN '' ELSE 'video_' || CAST(video_id AS VARCHAR) END AS video_path,
+       CASE WHEN bad THEN 0 ELSE frames_analyzed END AS frames_analyzed,
+       CASE WHEN bad THEN 0 ELSE total_frames_extracted END AS total_frames_extracted,
+       {r6("CASE WHEN bad THEN 0.0 ELSE total_processing_time END")} AS total_processing_time,
+       CASE WHEN bad THEN '' ELSE 'chunk ' || CAST(chunk AS VARCHAR) END AS video_summary,
+       CASE WHEN bad THEN '' ELSE model_used END AS model_used,
+       CASE WHEN bad THEN 'JSON parsing error' ELSE '' END AS error,
+       CASE WHEN bad THEN CAST([] AS VARCHAR[]) ELSE descs END AS frame_descriptions,
+       NOT bad AND success AS strict_success,
+       CASE WHEN bad THEN 'JSON parse error' WHEN NOT success THEN 'Unknown error' END AS strict_error
+FROM rc"""
+
+SQL["loose_json_keys"] = f"""
+WITH {RESULT_CHUNKS}
+SELECT video_id, chunk,
+       CASE WHEN bad THEN false ELSE success END AS success,
+       CASE WHEN bad THEN '' ELSE 'video_' || CAST(video_id AS VARCHAR) END AS video_path,
+       CASE WHEN bad THEN 0 ELSE frames_analyzed END AS frames_analyzed,
+       CASE WHEN bad THEN 0 ELSE total_frames_extracted END AS total_frames_extracted,
+       {r6("CASE WHEN bad THEN 0.0 ELSE total_processing_time END")} AS total_processing_time,
+       CASE WHEN bad THEN '' ELSE 'chunk ' || CAST(chunk AS VARCHAR) END AS video_summary,
+       CASE WHEN bad THEN '' ELSE model_used END AS model_used,
+       CASE WHEN bad THEN 'JSON parsing error' ELSE '' END AS error
+FROM rc"""
+
+SQL["batch_report"] = f"""
+WITH {ANALYSES}, {_cpu_summary("analyses")},
+v AS (SELECT a.video_id, bool_or(a.success) AS success, count(*) FILTER (WHERE a.success) AS fa,
+             count(*) AS tf, round(sum(a.processing_time), 2) AS t, s.summary
+      FROM analyses a JOIN summ s USING (video_id) GROUP BY a.video_id, s.summary),
+n AS (SELECT *, row_number() OVER (ORDER BY video_id) AS no FROM v)
+SELECT 'item' AS section, CAST(no AS BIGINT) AS item_no,
+       'Video ' || CAST(no AS VARCHAR) || ': video_' || CAST(video_id AS VARCHAR) || {NL} ||
+       CASE WHEN success THEN 'Status: SUCCESS' || {NL} || 'Frames: ' || CAST(fa AS VARCHAR) || '/' || CAST(tf AS VARCHAR)
+                 || {NL} || 'Time: ' || CAST(round(t, 2) AS VARCHAR) || 's' || {NL} || 'Method: cpu' || {NL}
+                 || 'Summary: ' || summary || {NL}
+            ELSE 'Status: FAILED' || {NL} || 'Error: No frames could be extracted from video' || {NL} END
+       || {NL} || repeat('-', 50) || {NL} AS text
+FROM n
+UNION ALL
+SELECT 'summary', NULL,
+       'SUMMARY' || {NL} || '=======' || {NL} || 'Total videos: ' || CAST(count(*) AS VARCHAR) || {NL}
+       || 'Successful: ' || CAST(count(*) FILTER (WHERE success) AS VARCHAR) || {NL}
+       || 'Failed: ' || CAST(count(*) - count(*) FILTER (WHERE success) AS VARCHAR) || {NL}
+       || 'Total processing time: ' || CAST(round(coalesce(sum(t) FILTER (WHERE success), 0.0), 2) AS VARCHAR) || 's' || {NL}
+       || 'Average per video: ' || CAST(round(CASE WHEN count(*) FILTER (WHERE success) > 0
+                THEN coalesce(sum(t) FILTER (WHERE success), 0.0) / count(*) FILTER (WHERE success) ELSE 0.0 END, 2) AS VARCHAR)
+       || 's' || {NL}
+FROM v"""
+
+SQL["inference_requests"] = f"""
+WITH {FRAMES},
+samp AS (
+  SELECT s.video_id, p.i AS sample_pos,
+         CAST(trunc((CAST(p.i AS DOUBLE) / {q.UNIFORM_N - 1}) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
+  FROM sizes s, {positions(q.UNIFORM_N)} p)
+SELECT m.video_id, m.sample_pos,
+       '{{"model":"llama3.2-vision:11b","prompt":"Describe what you see in this image concisely.","images":["'
+       || to_base64(unhex(array_to_string(list_transform(f.pixels, lambda x: lpad(hex(x), 2, '0')), '')))
+       || '"],"stream":false,"options":{{"temperature":0.3,"num_predict":60,"top_k":10,"top_p":0.9}}}}' AS request
+FROM samp m JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx"""
+
+SQL["summary_requests"] = f"""
+WITH {ANALYSES},
+parts AS (SELECT video_id, frame_idx // 4096 AS part,
+                 string_agg({strip("coalesce(description, '')")}, ' | ' ORDER BY frame_idx) AS text
+          FROM analyses WHERE success GROUP BY video_id, frame_idx // 4096)
+SELECT video_id, part,
+       '{{"model":"llama3.2-vision:11b","prompt":' || to_json('Create a brief video summary from these observations:' || {NL} || {NL} || text || {NL} || {NL} || 'Summary (1-2 sentences):')
+       || ',"stream":false,"options":{{"temperature":0.3,"num_predict":50,"top_k":10,"top_p":0.9,"repeat_penalty":1.1}}}}' AS cpu_request,
+       '{{"model":"llava:7b","prompt":' || to_json('Create a brief video summary from these GPU-analyzed observations:' || {NL} || {NL} || text || {NL} || {NL} || 'Summary (1-2 sentences):')
+       || ',"stream":false,"options":{{"temperature":0.3,"num_predict":50,"top_k":10,"top_p":0.9}}}}' AS gpu_request
+FROM parts"""
+
+SQL["parse_responses"] = """
+WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id AS request_id, event_type <> 'error' AS success,
+       CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN 'seen ' || CAST(k AS VARCHAR)
+            ELSE event_type || ' ' || CAST(k AS VARCHAR) END AS description,
+       CASE WHEN event_type = 'error' THEN 'HTTP ' || CAST(500 + k % 4 AS VARCHAR) END AS error,
+       CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN '' ELSE 'm' || CAST(k AS VARCHAR) END AS model,
+       CASE WHEN event_type = 'error' THEN NULL ELSE event_type <> 'view' END AS done,
+       CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN 0 ELSE k * 1000 END AS total_duration,
+       CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN 0 ELSE k END AS eval_count
+FROM e"""
+
+SQL["missing_inputs"] = """
+WITH r AS (SELECT DISTINCT 'video_' || CAST(user_id AS VARCHAR) || '.mp4' AS path FROM events),
+x AS (SELECT DISTINCT 'video_' || CAST(user_id AS VARCHAR) || '.mp4' AS path FROM events WHERE event_type = 'purchase')
+SELECT path, path IN (SELECT path FROM x) AS found FROM r"""
+
+SQL["first_available"] = """
+WITH u AS (SELECT DISTINCT user_id FROM events),
+c AS (SELECT user_id, p AS priority, 'model_' || CAST(user_id % 10 AS VARCHAR) || '_' || CAST(p AS VARCHAR) || '.onnx' AS path
+      FROM u, range(0, 3) t(p)),
+a AS (SELECT DISTINCT 'model_' || CAST(user_id % 10 AS VARCHAR) || '_' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS VARCHAR) || '.onnx' AS path
+      FROM events WHERE event_type = 'signup')
+SELECT user_id, coalesce(arg_min(path, priority) FILTER (WHERE path IN (SELECT path FROM a)), '') AS chosen
+FROM c GROUP BY user_id"""
+
+SQL["config_overlay"] = """
+WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id,
+       CASE WHEN event_type IN ('click', 'purchase') THEN k ELSE 151643 END AS bos_token_id,
+       CASE WHEN event_type = 'view' THEN k ELSE 151645 END AS eos_token_id,
+       CASE WHEN event_type = 'view' THEN 1000 WHEN event_type = 'signup' THEN k ELSE 151936 END AS vocab_size
+FROM e"""
+
+SQL["vocab_json"] = f"""
+WITH w AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos
+           FROM (SELECT item_id, {words_sql("text")} AS ws FROM benchmark))
+SELECT item_id, word AS token, CAST(min(pos) AS BIGINT) AS id FROM w WHERE item_id % 4 <> 0 GROUP BY item_id, word"""

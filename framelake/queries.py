@@ -346,7 +346,7 @@ def detokenize_docs(spark, sf):
     d = tk.detokenize(t, vocab, "doc_id")
     s = t.select("doc_id", F.size(F.filter("input_ids", lambda x: tk.is_special(x))).alias("n_special"),
                  F.size(tk.strip_special(F.col("input_ids"))).alias("n_plain"),
-                 tk.token_to_string(F.col("input_ids")[0], F.lit(None).cast("string")).alias("first_special"))
+                 tk.token_to_string(F.get(F.col("input_ids"), 0), F.lit(None).cast("string")).alias("first_special"))
     return d.join(s, "doc_id")
 
 
@@ -413,3 +413,244 @@ def placeholder_analysis(spark, sf):
     a = g.select("conv_id", "n", pr.placeholder_analysis(pr.default_prompt(F.col("prompt")), F.col("n")).alias("r"))
     return a.select("conv_id", "n", "r.description", "r.objects", "r.actions", "r.scene_context",
                     "r.temporal_events", "r.confidence_score")
+
+
+# --- vectors ----------------------------------------------------------------------------
+
+@query("vector_sanitize")
+def vector_sanitize(spark, sf):
+    """N6 over vectors with injected NaN / Inf / extreme values."""
+    v = tb.vectors(spark, sf).select("vec_id", feat.sanitize_vector(F.col("vec")).alias("s"))
+    return v.select("vec_id", F.col("s.values").alias("values"), "s.invalid_count", "s.clamped_count")
+
+
+@query("vector_stats")
+def vector_stats(spark, sf):
+    """A14 per vector."""
+    v = tb.vectors(spark, sf).select("vec_id", feat.tensor_stats(F.col("vec")).alias("t"))
+    return v.select("vec_id", *[r6(F.col(f"t.{c}")).alias(c) for c in ("min", "max", "mean", "std")],
+                    "t.nan_count", "t.inf_count", "t.extreme_count", "t.valid")
+
+
+@query("vector_resize")
+def vector_resize(spark, sf):
+    """N17 (truncate to 48 / pad to 80) and N18 (label+1 tokens x 1536)."""
+    v = tb.vectors(spark, sf)
+    comb = feat.combine_embeddings(F.transform("embedding", lambda x: x.cast("double")), F.col("label") + 1)
+    return v.select("vec_id", feat.resize_vector(F.col("embedding").cast("array<double>"), 48).alias("v48"),
+                    feat.resize_vector(F.col("embedding").cast("array<double>"), 80).alias("v80"),
+                    F.size(comb).alias("combined_len"),
+                    r6(F.aggregate(comb, F.lit(0.0), lambda a, x: a + x)).alias("combined_sum"))
+
+
+@query("vector_half_bits")
+def vector_half_bits(spark, sf):
+    """float16 bits by truncation, back to float, sanitised bits (Arrow UDFs)."""
+    from framelake.functions import halfprec as hp
+    v = tb.vectors(spark, sf).select("vec_id", F.col("vec").cast("array<float>").alias("v"))
+    b = v.select("vec_id", hp.to_half_bits(F.col("v")).alias("bits"))
+    return b.select("vec_id", "bits", hp.from_half_bits(F.col("bits")).alias("back"),
+                    hp.sanitize_half(F.col("bits")).alias("sanitized"))
+
+
+# --- telemetry -----------------------------------------------------------------------
+
+@query("host_gate")
+def host_gate(spark, sf):
+    from framelake.functions import telemetry as tm
+    return tm.host_gate(tb.telemetry_lines(spark, sf))
+
+
+@query("gpu_status")
+def gpu_status(spark, sf):
+    from framelake.functions import telemetry as tm
+    return tm.gpu_status(tb.telemetry_lines(spark, sf), tb.gpu_decoders(spark, sf))
+
+
+# --- JSON sources and sinks ------------------------------------------------------------
+
+@query("fourcc_codes")
+def fourcc_codes(spark, sf):
+    """S4 over event-derived 32-bit codes."""
+    from framelake.sources import json_io
+    ev = tb.read(spark, sf, "events").select(
+        "event_id", F.pmod(F.col("event_id") * 7919 + F.col("user_id"), F.lit(4294967296)).alias("code"))
+    return ev.select("event_id", "code", json_io.decode_fourcc(F.col("code")).alias("codec"))
+
+
+@query("probe_metadata")
+def probe_metadata(spark, sf):
+    """S5 + S6 over probe JSON built from events."""
+    from framelake.sources import json_io
+    p = tb.probe_json(spark, sf).select("event_id", json_io.parse_probe(F.col("probe")).alias("p"),
+                                         json_io.parse_probe_lenient(F.col("probe")).alias("l"))
+    return p.select("event_id", F.col("p.frames").alias("frames"), r6(F.col("p.fps")).alias("fps"),
+                    r6(F.col("p.duration")).alias("duration"), r6(F.col("l.fps")).alias("lenient_fps"),
+                    r6(F.col("l.duration")).alias("lenient_duration"))
+
+
+RESULT_CHUNK = 16
+
+
+def _result_docs(spark, sf):
+    """Per (video, chunk of 16 frames) result objects as Python-style JSON text;
+    every 7th (video + chunk) object is cut to 20 characters (malformed)."""
+    from framelake.sources import json_io
+    a = tb.analyses(spark, sf).withColumn("chunk", F.expr(f"frame_idx div {RESULT_CHUNK}"))
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    g = a.groupBy("video_id", "chunk").agg(
+        F.bool_or(ok).alias("success"), F.count_if(ok).alias("frames_analyzed"),
+        F.count(F.lit(1)).alias("total_frames_extracted"),
+        F.round(F.sum("processing_time"), 2).alias("total_processing_time"),
+        F.min_by("model_used", "frame_idx").alias("model_used"),
+        F.sort_array(F.collect_list(F.struct("frame_idx", ok.alias("success"),
+                                             F.coalesce(F.col("description"), F.lit("")).alias("description"))))
+        .alias("_fd"))
+    js = json_io.py_json(
+        success=F.col("success"),
+        video_path=F.concat(F.lit("video_"), F.col("video_id").cast("string")),
+        frames_analyzed=F.col("frames_analyzed"), total_frames_extracted=F.col("total_frames_extracted"),
+        total_processing_time=F.col("total_processing_time"),
+        video_summary=F.concat(F.lit("chunk "), F.col("chunk").cast("string")),
+        frame_details=F.transform("_fd", lambda f: F.struct(f["success"].alias("success"),
+                                                            f["description"].alias("description"))),
+        model_used=F.col("model_used"))
+    bad = F.pmod(F.col("video_id") + F.col("chunk"), F.lit(7)) == 0
+    return g.select("video_id", "chunk", F.when(bad, F.substring(js, 1, 20)).otherwise(js).alias("json"))
+
+
+@query("result_json_roundtrip")
+def result_json_roundtrip(spark, sf):
+    """S10 + S11 over result JSON text (some malformed)."""
+    from framelake.sources import json_io
+    d = _result_docs(spark, sf).select("video_id", "chunk", json_io.read_results_json(F.col("json")).alias("r"),
+                                       json_io.read_results_json_strict(F.col("json")).alias("s"))
+    return d.select("video_id", "chunk", "r.success", "r.video_path", "r.frames_analyzed",
+                    "r.total_frames_extracted", r6(F.col("r.total_processing_time")).alias("total_processing_time"),
+                    "r.video_summary", "r.model_used", "r.error", "r.frame_descriptions",
+                    F.col("s.success").alias("strict_success"), F.col("s.error").alias("strict_error"))
+
+
+@query("loose_json_keys")
+def loose_json_keys(spark, sf):
+    """The loose key scanner over the same result texts."""
+    from framelake.sources import json_io
+    d = _result_docs(spark, sf).select("video_id", "chunk", json_io.scan_result_json(F.col("json")).alias("r"))
+    return d.select("video_id", "chunk", "r.success", "r.video_path", "r.frames_analyzed",
+                    "r.total_frames_extracted", r6(F.col("r.total_processing_time")).alias("total_processing_time"),
+                    "r.video_summary", "r.model_used", "r.error")
+
+
+@query("batch_report")
+def batch_report(spark, sf):
+    """S20 over per-video results (A1) in video order."""
+    from framelake.operators import rollups
+    from framelake.sources import json_io
+    v = rollups.video_rollup(tb.analyses(spark, sf))
+    res = v.select(F.col("video_id").alias("seq"),
+                   F.concat(F.lit("video_"), F.col("video_id").cast("string")).alias("video_path"),
+                   "success", "frames_analyzed", "total_frames_extracted", "total_processing_time",
+                   F.lit("cpu").alias("acceleration_method"), F.col("summary").alias("video_summary"),
+                   F.lit("No frames could be extracted from video").alias("error"))
+    return json_io.batch_report(res)
+
+
+# --- requests and responses ----------------------------------------------------------
+
+@query("inference_requests")
+def inference_requests(spark, sf):
+    """S15 + S16 for the uniform sample of every video."""
+    from framelake.functions import prompts as pr
+    from framelake.sources import requests as rq
+    frames = tb.frames_gray(spark, sf)
+    s = smp.sample_uniform(frames, tb.video_sizes(frames), UNIFORM_N)
+    return s.select("video_id", "sample_pos", rq.frame_request(
+        F.lit(rq.CPU_MODEL), F.lit(pr.FRAME_PROMPT), F.array(rq.pixels_base64(F.col("pixels")))).alias("request"))
+
+
+@query("summary_requests")
+def summary_requests(spark, sf):
+    """T17 + S17: summary prompt over the joined observations (A2 parts), CPU and GPU forms."""
+    from framelake.functions import prompts as pr
+    from framelake.operators import rollups
+    from framelake.sources import requests as rq
+    parts = rollups.join_observations(tb.analyses(spark, sf))
+    return parts.select("video_id", "part",
+                        rq.summary_request(F.lit(rq.CPU_MODEL), pr.summary_prompt(F.col("text"))).alias("cpu_request"),
+                        rq.summary_request(F.lit(rq.GPU_MODEL), pr.summary_prompt(F.col("text"), gpu=True), gpu=True)
+                        .alias("gpu_request"))
+
+
+@query("parse_responses")
+def parse_responses(spark, sf):
+    """S18 over response rows built from events (errors answer 500-503)."""
+    from framelake.sources import requests as rq
+    ev = tb.read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    status = F.when(F.col("event_type") == "error", F.lit(500) + F.pmod(k.cast("int"), F.lit(4))).otherwise(F.lit(200))
+    body = F.when(F.col("event_type") == "view", F.concat(F.lit('{"response": "  seen '), k, F.lit('\\n"}'))) \
+        .otherwise(F.concat(F.lit('{"response": " '), F.col("event_type"), F.lit(" "), k,
+                            F.lit('", "model": "m'), k, F.lit('", "done": true, "total_duration": '),
+                            (k.cast("long") * 1000).cast("string"), F.lit(', "eval_count": '), k, F.lit("}")))
+    r = ev.select(F.col("event_id").alias("request_id"), rq.parse_response(status, body).alias("r"))
+    return r.select("request_id", "r.*")
+
+
+@query("missing_inputs")
+def missing_inputs(spark, sf):
+    """Requested per-user videos vs the ones that exist (users with a purchase)."""
+    from framelake.sources import requests as rq
+    ev = tb.read(spark, sf, "events")
+    path = F.concat(F.lit("video_"), F.col("user_id").cast("string"), F.lit(".mp4")).alias("path")
+    requested = ev.select(path).distinct()
+    existing = ev.filter(F.col("event_type") == "purchase").select(path)
+    return rq.split_missing_inputs(requested, existing)
+
+
+@query("first_available")
+def first_available(spark, sf):
+    """Per user, the first of 3 model candidates that exists."""
+    from framelake.sources import requests as rq
+    ev = tb.read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    users = ev.select("user_id").distinct()
+    cand = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("priority")).select(
+        "user_id", "priority", F.concat(F.lit("model_"), (F.col("user_id") % 10).cast("string"), F.lit("_"),
+                                        F.col("priority").cast("string"), F.lit(".onnx")).alias("path"))
+    avail = ev.filter(F.col("event_type") == "signup").select(
+        F.concat(F.lit("model_"), (F.col("user_id") % 10).cast("string"), F.lit("_"),
+                 (k % 3).cast("string"), F.lit(".onnx")).alias("path")).distinct()
+    return rq.first_available(cand, avail, "user_id")
+
+
+CONFIG_DEFAULTS = {"bos_token_id": 151643, "eos_token_id": 151645, "vocab_size": 151936}
+
+
+@query("config_overlay")
+def config_overlay(spark, sf):
+    """Per-event tokenizer config JSON overlaid on the defaults."""
+    from framelake.sources import requests as rq
+    ev = tb.read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    et = F.col("event_type")
+    js = (F.when(et == "click", F.concat(F.lit('{"bos_token_id": '), k, F.lit("}")))
+          .when(et == "view", F.concat(F.lit('{"eos_token_id": '), k, F.lit(', "vocab_size": 1000}')))
+          .when(et == "purchase", F.concat(F.lit('{"bos_token_id": '), k, F.lit(', "eos_token_id": "x", "vocab_size": 5}')))
+          .when(et == "signup", F.concat(F.lit('{"vocab_size": '), k, F.lit("}")))
+          .otherwise(F.lit("not json")))
+    return ev.select("event_id", rq.overlay_config(js, CONFIG_DEFAULTS).alias("c")).select("event_id", "c.*")
+
+
+@query("vocab_json")
+def vocab_json(spark, sf):
+    """A tokenizer JSON per benchmark item (words -> first position), parsed
+    back; every 4th item has no model section and yields nothing."""
+    from framelake.functions import tokens as tk
+    b = tb.read(spark, sf, "benchmark")
+    w = b.select("item_id", F.posexplode(tk.words(F.col("text"))).alias("pos", "word"))
+    firsts = w.groupBy("item_id", "word").agg(F.min("pos").cast("long").alias("pos"))
+    per = firsts.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "pos"))).alias("m"))
+    js = F.when(F.col("item_id") % 4 == 0, F.to_json(F.struct(F.col("m").alias("vocab")))) \
+        .otherwise(F.to_json(F.struct(F.struct(F.col("m").alias("vocab")).alias("model"))))
+    parsed = per.select("item_id", tk.vocab_from_json(js).alias("v"))
+    return parsed.select("item_id", F.explode("v").alias("token", "id"))

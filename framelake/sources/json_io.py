@@ -70,7 +70,7 @@ def info_json(cat: DataFrame) -> Column:
 
 def _first_video_stream(probe_json: Column) -> Column:
     parsed = F.from_json(probe_json, PROBE_SCHEMA)
-    return F.filter(parsed["streams"], lambda s: s["codec_type"] == "video")[0]
+    return F.get(F.filter(parsed["streams"], lambda s: s["codec_type"] == "video"), 0)
 
 
 def _rate(rate: Column) -> Column:
@@ -125,8 +125,11 @@ def batch_json(df: DataFrame) -> DataFrame:
 
 
 def read_results_json(js: Column) -> Column:
-    """Result JSON with per-key defaults; successful frame descriptions."""
+    """Result JSON with per-key defaults; successful frame descriptions.
+    Malformed text -> defaults with error 'JSON parsing error'."""
     r = F.from_json(js, VIDEO_RESULT_SCHEMA)
+    valid = F.get_json_object(js, "$").isNotNull()
+    r = F.when(valid, r)
     return F.struct(
         F.coalesce(r["success"], F.lit(False)).alias("success"),
         F.coalesce(r["video_path"], F.lit("")).alias("video_path"),
@@ -137,7 +140,7 @@ def read_results_json(js: Column) -> Column:
         F.coalesce(r["model_used"], F.lit("")).alias("model_used"),
         F.coalesce(r["acceleration_method"], F.lit("")).alias("acceleration_method"),
         F.coalesce(r["gpu_accelerated"], F.lit(False)).alias("gpu_accelerated"),
-        F.coalesce(r["error"], F.lit("")).alias("error"),
+        F.when(valid, F.coalesce(r["error"], F.lit(""))).otherwise(F.lit("JSON parsing error")).alias("error"),
         F.transform(F.filter(F.coalesce(r["frame_details"], F.array()),
                              lambda f: F.coalesce(f["success"], F.lit(False))),
                     lambda f: F.coalesce(f["description"], F.lit(""))).alias("frame_descriptions"))
@@ -191,15 +194,30 @@ def scan_result_json(js: Column) -> Column:
     fa, tf, tt = leading_int(g("frames_analyzed")), leading_int(g("total_frames_extracted")), \
         leading_double(g("total_processing_time"))
     bad = fa.isNull() | tf.isNull() | tt.isNull()
+    # a failed number aborts the whole parse: every field keeps its default
+    keep = lambda c, d: F.when(bad, d).otherwise(c)
     return F.struct(
-        F.when(bad, F.lit(False)).otherwise(g("success") == "true").alias("success"),
-        g("video_path").alias("video_path"), fa.alias("frames_analyzed"),
-        tf.alias("total_frames_extracted"), tt.alias("total_processing_time"),
-        g("video_summary").alias("video_summary"), g("model_used").alias("model_used"),
-        (g("gpu_accelerated") == "true").alias("gpu_accelerated"),
+        keep(g("success") == "true", F.lit(False)).alias("success"),
+        keep(g("video_path"), F.lit("")).alias("video_path"),
+        keep(fa, F.lit(0).cast("long")).alias("frames_analyzed"),
+        keep(tf, F.lit(0).cast("long")).alias("total_frames_extracted"),
+        keep(tt, F.lit(0.0)).alias("total_processing_time"),
+        keep(g("video_summary"), F.lit("")).alias("video_summary"),
+        keep(g("model_used"), F.lit("")).alias("model_used"),
+        keep(g("gpu_accelerated") == "true", F.lit(False)).alias("gpu_accelerated"),
         F.when(bad, F.lit("JSON parsing error")).otherwise(g("error")).alias("error"))
 
 
+def py_json(**cols: Column) -> Column:
+    """JSON object text in the layout of Python's json.dumps (', ' and ': ')."""
+    parts = []
+    for i, (k, c) in enumerate(cols.items()):
+        v = F.to_json(F.array(c))
+        parts += [F.lit(("{" if i == 0 else ", ") + f'"{k}": '), F.substring(v, F.lit(2), F.length(v) - 2)]
+    parts.append(F.lit("}"))
+    return F.concat(*parts)
+
+
 # --- text report ------------------------------------------------------------------
 
 def batch_report(results: DataFrame) -> DataFrame:

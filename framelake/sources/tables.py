@@ -142,3 +142,69 @@ def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = c.select("conv_id", "turn", "role", "text", F.explode(parts).alias("p"))
     return e.select("conv_id", "turn", "role", F.col("p.ppos").alias("ppos"), F.col("p.kind").alias("kind"),
                     F.when(F.col("p.kind") == "text", F.col("text")).alias("text"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with injected bad values: element vec_id % 64 becomes NaN when
+    vec_id % 7 = 0, +Inf when vec_id % 11 = 0, x1000 when vec_id % 5 = 0
+    (first rule wins). Values are doubles."""
+    e = read(spark, sf_dir, "embeddings")
+    vid = F.col("vec_id")
+    vec = F.transform("embedding", lambda x, i: F.when(
+        i == F.pmod(vid, F.lit(64)),
+        F.when(vid % 7 == 0, F.lit(float("nan"))).when(vid % 11 == 0, F.lit(float("inf")))
+        .when(vid % 5 == 0, x.cast("double") * 1000).otherwise(x.cast("double"))).otherwise(x.cast("double")))
+    return e.select("vec_id", "label", vec.alias("vec"), "embedding")
+
+
+def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines per host from events (host = user_id mod 16, line_no = event_id):
+    view -> uptime line, click -> process line, purchase -> GPU use line,
+    signup -> utilisation CSV line, error -> noise. Some users get malformed
+    variants (see the rules below) so every failure branch is exercised."""
+    ev = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    u = F.col("user_id")
+    s = lambda c: c.cast("string")
+    line = (F.when(F.col("event_type") == "view",
+                   F.when(u % 13 == 0, F.lit(" 10:01  up 3 days, load average: n/a"))
+                   .otherwise(F.concat(F.lit(" 10:01  up 3 days,  2 users,  load average: "), s((k / 10).cast("long")),
+                                       F.lit("."), s(k % 10), F.lit("0, 0.50, 0.25"))))
+            .when(F.col("event_type") == "click",
+                  F.when(u % 5 == 0, F.concat(F.lit("root "), s(F.col("event_id")), F.lit(" "), s(k), F.lit(".5 ollama serve")))
+                  .otherwise(F.concat(F.lit("user  "), s(F.col("event_id")), F.lit("  "), s(k * 2), F.lit(".5  1.0 /usr/bin/Ollama Runner --port 11434"))))
+            .when(F.col("event_type") == "purchase",
+                  F.when(u % 7 == 0, F.concat(F.lit("GPU use (%): "), s(k)))
+                  .otherwise(F.concat(F.lit("GPU["), s(u % 4), F.lit("]   "), s(k), F.lit("%   busy"))))
+            .when(F.col("event_type") == "signup",
+                  F.when(u % 9 == 0, F.lit("card0,N/A")).otherwise(F.concat(F.lit("card"), s(u % 4), F.lit(","), s(k))))
+            .otherwise(F.concat(F.lit("error: "), F.col("props"))))
+    return ev.select(F.concat(F.lit("host"), s(u % 16)).alias("host"), F.col("event_id").alias("line_no"),
+                     line.alias("line"))
+
+
+def gpu_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoder availability per host: host number not divisible by 3."""
+    ev = read(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("h")).distinct()
+    return ev.select(F.concat(F.lit("host"), F.col("h").cast("string")).alias("host"),
+                     (F.col("h") % 3 != 0).alias("available"))
+
+
+def probe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probe metadata JSON per event: an audio stream, then a video stream
+    (absent for signup). Rate '0/0' for errors, '30000/1001' for clicks,
+    else (20 + 5*(user_id mod 4))/1; duration text absent for views; nb_frames
+    only for purchases."""
+    ev = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    et = F.col("event_type")
+    rate = (F.when(et == "error", F.lit("0/0")).when(et == "click", F.lit("30000/1001"))
+            .otherwise(F.concat((F.lit(20) + (F.col("user_id") % 4) * 5).cast("string"), F.lit("/1"))))
+    video = F.concat(
+        F.lit('{"codec_type": "video", "r_frame_rate": "'), rate, F.lit('"'),
+        F.when(et != "view", F.concat(F.lit(', "duration": "'), F.col("value").cast("string"), F.lit('"'))).otherwise(F.lit("")),
+        F.when(et == "purchase", F.concat(F.lit(', "nb_frames": "'), k, F.lit('"'))).otherwise(F.lit("")),
+        F.lit("}"))
+    js = F.concat(F.lit('{"streams": [{"codec_type": "audio", "duration": "1.0"}'),
+                  F.when(et != "signup", F.concat(F.lit(", "), video)).otherwise(F.lit("")), F.lit("]}"))
+    return ev.select("event_id", js.alias("probe"))
