@@ -870,3 +870,74 @@ SQL["vocab_json"] = f"""
 WITH w AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos
            FROM (SELECT item_id, {words_sql("text")} AS ws FROM benchmark))
 SELECT item_id, word AS token, CAST(min(pos) AS BIGINT) AS id FROM w WHERE item_id % 4 <> 0 GROUP BY item_id, word"""
+
+
+UNIFORM_SAMPLE = f"""
+samp AS (
+  SELECT s.video_id, p.i AS sample_pos,
+         CAST(trunc((CAST(p.i AS DOUBLE) / {q.UNIFORM_N - 1}) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
+  FROM sizes s, {positions(q.UNIFORM_N)} p),
+sf AS (SELECT m.video_id, m.sample_pos, m.frame_idx, f.pixels, list_sum(f.pixels) AS level, len(f.pixels) AS npx
+       FROM samp m JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx)"""
+
+SQL["describe_frames_stub"] = f"""
+WITH {FRAMES}, {UNIFORM_SAMPLE}
+SELECT CAST(video_id AS BIGINT) AS video_id, sample_pos, frame_idx,
+       level % 400 < 300 AND level % 17 <> 0 AS success,
+       CASE WHEN level % 400 < 300 AND level % 17 <> 0
+            THEN 'Frame ' || CAST(sample_pos + 1 AS VARCHAR) || ': mean level ' || CAST(level // npx AS VARCHAR)
+                 || ' over ' || CAST(npx AS VARCHAR) || ' pixels' END AS description,
+       CASE WHEN level % 400 >= 300 THEN 'Timeout after 300 seconds'
+            WHEN level % 17 = 0 THEN 'HTTP 500' END AS error,
+       CASE WHEN level % 400 >= 300 THEN 300.0 ELSE CAST(level % 400 AS DOUBLE) END AS processing_time,
+       'Frame ' || CAST(sample_pos + 1 AS VARCHAR) AS frame_description,
+       'stub' AS model_used,
+       CASE WHEN level % 11 = 0 THEN 2 ELSE 1 END AS attempts
+FROM sf"""
+
+SQL["describe_frame_groups"] = f"""
+WITH {FRAMES}, {UNIFORM_SAMPLE}
+SELECT CAST(video_id AS BIGINT) AS video_id, count(*) AS n_frames,
+       CAST(count(*) AS VARCHAR) || ' frames, mean level ' || CAST(sum(level) // sum(npx) AS VARCHAR) AS description,
+       round(least(1.0, count(*) / 16.0), 6) AS confidence, CAST(NULL AS VARCHAR) AS error
+FROM sf GROUP BY video_id"""
+
+SQL["analyze_videos"] = f"""
+WITH {FRAMES},
+samp AS (
+  SELECT s.video_id, p.i AS sample_pos,
+         CAST(trunc((CAST(p.i AS DOUBLE) / 15) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
+  FROM sizes s, {positions(16)} p),
+sf AS (SELECT m.video_id, list_sum(f.pixels) AS level, len(f.pixels) AS npx
+       FROM samp m JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx)
+SELECT CAST(video_id AS BIGINT) AS video_id, count(*) AS n_frames,
+       CASE WHEN video_id % 6 = 0 THEN 'Analysis failed: model rejected video ' || CAST(video_id AS VARCHAR)
+            ELSE CAST(count(*) AS VARCHAR) || ' frames, mean level ' || CAST(sum(level) // sum(npx) AS VARCHAR) END AS description,
+       CASE WHEN video_id % 6 = 0 THEN 0.0 ELSE round(least(1.0, count(*) / 16.0), 6) END AS confidence,
+       CASE WHEN video_id % 6 = 0 THEN 'model rejected video ' || CAST(video_id AS VARCHAR) END AS error
+FROM sf GROUP BY video_id"""
+
+SQL["summarize_stub"] = f"""
+WITH {ANALYSES}, {_cpu_summary("analyses")},
+oparts AS (SELECT video_id, frame_idx // 4096 AS part,
+                  string_agg({strip("coalesce(description, '')")}, ' | ' ORDER BY frame_idx) AS text
+           FROM analyses WHERE success GROUP BY video_id, frame_idx // 4096)
+SELECT CAST(p.video_id AS BIGINT) AS video_id, CAST(p.part AS BIGINT) AS part,
+       CASE WHEN p.video_id % 7 = 0 THEN s.summary
+            WHEN p.video_id % 5 = 0 THEN 'Failed to generate video summary.'
+            ELSE 'Summary of ' || CAST(len(string_split(p.text, ' | ')) AS VARCHAR) || ' observations' END AS summary,
+       CASE WHEN p.video_id % 7 = 0 THEN 'fallback' WHEN p.video_id % 5 = 0 THEN 'http_error' ELSE 'model' END AS source
+FROM oparts p JOIN summ s USING (video_id)"""
+
+SQL["stream_chunks"] = f"""
+WITH {FRAMES},
+c AS (SELECT video_id, frame_idx // 3 AS chunk, count(*) AS n_frames, min(frame_idx) AS first_idx,
+             max(frame_idx) AS last_idx, avg(list_sum(pixels) / len(pixels)) AS b
+      FROM frames GROUP BY video_id, frame_idx // 3)
+SELECT CAST(video_id AS BIGINT) AS video_id, chunk, n_frames, first_idx, last_idx, {r6("b")} AS brightness,
+       n_frames < 3 AS final,
+       CASE WHEN (video_id + chunk) % 9 = 0 THEN
+              CASE WHEN n_frames < 3 THEN 'Final chunk analysis error: ' ELSE 'Streaming analysis error: ' END
+              || 'chunk ' || CAST(chunk AS VARCHAR) || ' rejected'
+            ELSE 'chunk ' || CAST(chunk AS VARCHAR) || ': ' || CAST(n_frames AS VARCHAR) || ' frames' END AS result
+FROM c"""

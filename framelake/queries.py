@@ -654,3 +654,112 @@ def vocab_json(spark, sf):
         .otherwise(F.to_json(F.struct(F.struct(F.col("m").alias("vocab")).alias("model"))))
     parsed = per.select("item_id", tk.vocab_from_json(js).alias("v"))
     return parsed.select("item_id", F.explode("v").alias("token", "id"))
+
+
+# --- inference (deterministic stub models) ---------------------------------------------
+
+@query("describe_frames_stub")
+def describe_frames_stub(spark, sf):
+    """I1 + I6 + I7 over the uniform sample of every video."""
+    from framelake.operators import inference as inf
+    frames = tb.frames_gray(spark, sf)
+    s = smp.sample_uniform(frames, tb.video_sizes(frames), UNIFORM_N)
+    return inf.describe_frames(s, timeout_s=300.0)
+
+
+@query("describe_frame_groups")
+def describe_frame_groups(spark, sf):
+    """All sampled frames of a video, one prompt, one answer."""
+    from framelake.functions import prompts as pr
+    from framelake.operators import inference as inf
+    frames = tb.frames_gray(spark, sf)
+    s = smp.sample_uniform(frames, tb.video_sizes(frames), UNIFORM_N)
+    return inf.describe_frame_groups(s, pr.FRAME_PROMPT)
+
+
+class FlakyGroupModel:
+    """Group stub that fails for video_id % 6 == 0 (exercises I4's error path)."""
+
+    def analyze(self, frames, prompt):
+        from framelake.operators.inference import StubGroupModel
+        vid = int(frames["video_id"].iloc[0])
+        if vid % 6 == 0:
+            raise RuntimeError(f"model rejected video {vid}")
+        return StubGroupModel().analyze(frames, prompt)
+
+
+@query("analyze_videos")
+def analyze_videos(spark, sf):
+    """I4: P8 (strategy 'adaptive' -> uniform, 16 frames) -> model -> result;
+    a failing model gives 'Analysis failed: ...' with confidence 0."""
+    from framelake.functions import prompts as pr
+    from framelake.operators import inference as inf
+    frames = tb.frames_gray(spark, sf)
+    s = smp.sample_frames(frames, tb.video_sizes(frames), 16, "adaptive")
+    return inf.describe_frame_groups(s, pr.DEFAULT_VIDEO_PROMPT, model_spec=FlakyGroupModel)
+
+
+@query("summarize_stub")
+def summarize_stub(spark, sf):
+    """Observation parts -> stub summariser, HTTP failure text, or the A3 fallback."""
+    from framelake.operators import inference as inf
+    from framelake.operators import rollups
+    a = tb.analyses(spark, sf)
+    parts = rollups.join_observations(a)
+    fb = rollups.fallback_summary_cpu(rollups.summary_parts(a))
+    return inf.summarize_videos(parts, fb)
+
+
+# --- decoded images ----------------------------------------------------------------------
+
+def _image_frames(spark, sf):
+    from framelake.functions import images as im
+    f = tb.frames_color(spark, sf)
+    return f.select("video_id", "frame_idx",
+                    im.image_struct(F.col("pixels"), F.col("height"), F.col("width"), F.col("channels")).alias("image"),
+                    "pixels")
+
+
+@query("image_preprocess")
+def image_preprocess(spark, sf):
+    """N10 + N12 + N13 (3x7 -> 6x14) + N16 + N19 on image structs of the colour frames."""
+    from framelake.functions import images as im
+    p = im.preprocess_images(_image_frames(spark, sf), 6, 14)
+    return p.select("video_id", "frame_idx", "out_height", "out_width",
+                    r6(F.col("rgb_norm_sum")).alias("rgb_norm_sum"), r6(F.col("edge_density")).alias("edge_density"),
+                    "content_ok")
+
+
+@query("pixel_tensor")
+def pixel_tensor(spark, sf):
+    """N11 per video over its uniform 16-frame sample."""
+    from framelake.functions import images as im
+    f = _image_frames(spark, sf)
+    sizes = f.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("total_frames"))
+    s = smp.sample_uniform(f, sizes, 16)
+    t = im.pixel_tensor(s)
+    return t.select("video_id", "n_frames", "shape", r6(F.col("value_sum")).alias("value_sum"), "nonzero")
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+STREAM_CHUNK = 3
+
+
+@query("stream_chunks")
+def stream_chunks(spark, sf):
+    """K1-K5: the gray frame table is written as files, read back as a stream,
+    chunked by 3 per video with the stateful operator (availableNow) and the
+    sink is returned. Same rows as ``frame_chunks`` plus final/result."""
+    from framelake.session import ensure_checkpoint_dir
+    from framelake.streaming import chunks as ch
+    frames = tb.frames_gray(spark, sf)
+    src = frames.join(tb.video_sizes(frames), "video_id").select(
+        F.col("video_id").cast("long"), "frame_idx", F.col("total_frames").cast("long"),
+        feat.brightness(F.col("pixels")).alias("brightness"))
+    work = ch.new_work_dir(ensure_checkpoint_dir(spark), "stream_chunks")
+    src.write.mode("overwrite").parquet(work + "/frames")
+    out = ch.run_available_now(spark, work + "/frames", src.schema, STREAM_CHUNK, work)
+    return spark.read.parquet(out).select(
+        "video_id", "chunk", "n_frames", "first_idx", "last_idx", r6(F.col("brightness")).alias("brightness"),
+        "final", "result")
