@@ -30,7 +30,7 @@ def _reflected(df: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 
 def ledger_running(ledger: DataFrame, limit_bytes: int | None = None,
-                   required_bytes: int = 0, span: int = ordered.SEGMENT_SPAN) -> DataFrame:
+                   required_bytes: int = 0, span: int | None = None) -> DataFrame:
     """W5 + W6 + W7: total after each event (clamped at 0), peak so far (starts
     at 0, never falls) and, if a limit is given, whether ``required_bytes``
     more would still fit (current + required <= limit)."""
@@ -43,7 +43,7 @@ def ledger_running(ledger: DataFrame, limit_bytes: int | None = None,
     return df
 
 
-def ledger_by_tag(ledger: DataFrame, span: int = ordered.SEGMENT_SPAN) -> DataFrame:
+def ledger_by_tag(ledger: DataFrame, span: int | None = None) -> DataFrame:
     """Bytes per tag after the last event.
 
     A deallocation clamps the tag at 0 and removes it when it reaches 0; a

@@ -40,9 +40,9 @@ def with_segments(df: DataFrame, seg_expr: Column | str, name: str = SEG) -> Dat
     return df.withColumn(name, e.cast("long"))
 
 
-def span_segments(order_col: str, span: int = SEGMENT_SPAN) -> Column:
-    """Segment = integer ordering key ``div span``."""
-    return F.expr(f"`{order_col}` div {int(span)}")
+def span_segments(order_col: str, span: int | None = None) -> Column:
+    """Segment = integer ordering key ``div span`` (default ``SEGMENT_SPAN``)."""
+    return F.expr(f"`{order_col}` div {int(span or SEGMENT_SPAN)}")
 
 
 def _local_window(keys: Sequence[str], order: Sequence[str | Column], seg: str = SEG):
@@ -103,7 +103,7 @@ def running_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str],
-                  prefix: str = "prev_", span: int = SEGMENT_SPAN) -> DataFrame:
+                  prefix: str = "prev_", span: int | None = None) -> DataFrame:
     """Attach the previous row's ``cols`` (row at ``pos - 1`` of the same key).
 
     ``pos`` must be dense (0, 1, 2, ...) within each key. The last row of every
@@ -111,6 +111,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[s
     window wider than ``span`` rows.
     """
     keys = list(keys)
+    span = int(span or SEGMENT_SPAN)
     pseg = "_pseg"
     base = df.withColumn(pseg, F.expr(f"`{pos}` div {span}")).withColumn("_carry", F.lit(False))
     carried = (base.filter(F.expr(f"pmod(`{pos}`, {span}) = {span - 1}"))
