@@ -20,16 +20,17 @@ LOAD_MARKER = "load average:"
 RUNNER_MARKER = "ollama runner"
 
 WS = "[ \\t\\n\\r\\f\\x0B]"
+WS_CHARS = " \t\n\r\f\x0b"
 
 
 def py_split(line: Column) -> Column:
     """str.split(): fields separated by whitespace runs, no empty fields."""
-    return F.filter(F.split(F.regexp_replace(line, f"^{WS}+|{WS}+$", ""), f"{WS}+"), lambda x: x != "")
+    return F.filter(F.split(F.trim(line, F.lit(WS_CHARS)), f"{WS}+"), lambda x: x != "")
 
 
 def py_float(s: Column) -> Column:
     """float(s) for plain decimal texts (surrounding whitespace allowed); NULL if invalid."""
-    t = F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
+    t = F.trim(s, F.lit(WS_CHARS))
     ok = t.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
     return F.when(ok, t.try_cast("double"))
 

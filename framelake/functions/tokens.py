@@ -45,6 +45,9 @@ UNK_TEXT = "<unk>"
 QWEN_MAX_TOKENS = 2048
 LLAMA_MAX_TOKENS = 4096
 
+# Vocabularies up to this many entries are broadcast for lookups (checked by count).
+VOCAB_BROADCAST_ROWS = 2_000_000
+
 # istringstream word separators, spelled out (a bare \s differs between engines)
 WS_CLASS = "[ \\t\\n\\r\\f\\x0B]"
 
@@ -113,17 +116,23 @@ def tokenize(texts: DataFrame, vocab: DataFrame, key: str, text_col: str = "text
     Whole-word vocabulary hit -> its id; else the per-character fallback; BOS is
     prepended only to a non-empty result when ``add_special``.
     """
-    w = texts.select(key, F.posexplode(words(F.col(text_col))).alias("wpos", "word"))
+    # outer explode: a text without words keeps one row (NULL word), so no
+    # second pass over the texts is needed to bring it back
+    from framelake.plans.joins import spread
+    w = spread(texts.select(key, text_col)).select(
+        key, F.posexplode_outer(words(F.col(text_col))).alias("wpos", "word"))
     cmap = single_char_map(vocab)
-    distinct = w.select("word").distinct()
-    hit = distinct.join(vocab.select(F.col("token").alias("word"), "id"), "word", "left")
-    word_ids = hit.select("word", F.when(F.col("id").isNotNull(), F.array(F.col("id").cast("long")))
-                          .otherwise(byte_fallback_ids(F.col("word"), cmap)).alias("ids"))
-    placed = w.join(word_ids, "word").select(key, "wpos", "ids")
-    # one empty marker row per text so texts without words still come out
-    marker = texts.select(key, F.lit(-1).cast("int").alias("wpos"), F.array().cast("array<bigint>").alias("ids"))
-    grouped = placed.unionByName(marker).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("wpos", "ids"))).alias("_parts"))
+    vocab_w = vocab.select(F.col("token").alias("word"), F.col("id").cast("long").alias("id"))
+    if vocab_w.limit(VOCAB_BROADCAST_ROWS + 1).count() <= VOCAB_BROADCAST_ROWS:
+        vocab_w = F.broadcast(vocab_w)       # bounded vocabulary: map-side lookup of distinct words
+    # the per-character fallback is computed once per distinct word, not per occurrence
+    distinct = w.select("word").filter(F.col("word").isNotNull()).distinct()
+    word_ids = distinct.join(vocab_w, "word", "left").select(
+        "word", F.when(F.col("id").isNotNull(), F.array("id"))
+        .otherwise(byte_fallback_ids(F.col("word"), cmap)).alias("ids"))
+    placed = w.join(word_ids, "word", "left").select(
+        key, "wpos", F.coalesce(F.col("ids"), F.array().cast("array<bigint>")).alias("ids"))
+    grouped = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("wpos", "ids"))).alias("_parts"))
     ids = F.flatten(F.transform("_parts", lambda p: p["ids"]))
     if add_special:
         ids = F.when(F.size(ids) > 0, F.concat(F.array(F.lit(BOS_ID).cast("long")), ids)).otherwise(ids)
@@ -209,40 +218,49 @@ def string_to_token(token: Column, vocab_id: Column) -> Column:
 
 
 def detokenize(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "input_ids",
-               skip_special: bool = True, out: str = "text") -> DataFrame:
+               skip_special: bool = True, out: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """T8 + J3: decode id arrays.
 
     Per id (specials skipped when asked): vocabulary text, where a leading 'Ġ'
     becomes one space if something was already written; else the special
     text; else '[id]' for 0 <= id < 50000, else '<unk>'. Then spaces are
     collapsed: leading spaces dropped, runs become one, one trailing kept.
-    Reverse lookup is a join on the distinct ids of the input.
+    Reverse lookup is a join of the exploded ids with the reverse vocabulary
+    (broadcast when its size is within the checked bound).
     """
-    ex = rows.select(key, F.posexplode(F.col(ids_col)).alias("ipos", "tid"))
+    # outer explode keeps texts without ids; ``carry`` columns ride along so the
+    # caller does not need a second pass over ``rows``
+    ex = rows.select(key, *carry, F.posexplode_outer(F.col(ids_col)).alias("ipos", "tid"))
     if skip_special:
-        ex = ex.filter(~is_special(F.col("tid")))
-    ids = ex.select("tid").distinct()
-    rev = vocab.groupBy("id").agg(F.min("token").alias("token"))
-    pieces = ids.join(rev.select(F.col("id").alias("tid"), "token"), "tid", "left").select(
-        "tid",
-        F.coalesce(F.col("token"), F.try_element_at(special_text_map(), F.col("tid")),
-                   F.when((F.col("tid") >= 0) & (F.col("tid") < KNOWN_ID_LIMIT),
-                          F.concat(F.lit("["), F.col("tid").cast("string"), F.lit("]")))
-                   .otherwise(F.lit(UNK_TEXT))).alias("piece"),
+        ex = ex.withColumn("tid", F.when(~is_special(F.col("tid")), F.col("tid")))
+    rev = vocab.groupBy("id").agg(F.min("token").alias("token")).select(F.col("id").alias("tid"), "token")
+    if rev.limit(VOCAB_BROADCAST_ROWS + 1).count() <= VOCAB_BROADCAST_ROWS:
+        # bounded vocabulary: map-side lookup; also keeps a very frequent id
+        # (the unknown-byte id) from becoming a skewed shuffle key
+        rev = F.broadcast(rev)
+    placed = ex.join(rev, "tid", "left").select(
+        key, *carry, "ipos",
+        F.when(F.col("tid").isNotNull(), F.coalesce(
+            F.col("token"), F.try_element_at(special_text_map(), F.col("tid")),
+            F.when((F.col("tid") >= 0) & (F.col("tid") < KNOWN_ID_LIMIT),
+                   F.concat(F.lit("["), F.col("tid").cast("string"), F.lit("]")))
+            .otherwise(F.lit(UNK_TEXT)))).alias("piece"),
         F.col("token").isNotNull().alias("from_vocab"))
-    placed = ex.join(pieces, "tid").select(key, "ipos", "piece", "from_vocab")
-    marker = rows.select(key, F.lit(-1).cast("int").alias("ipos"), F.lit(None).cast("string").alias("piece"),
-                         F.lit(False).alias("from_vocab"))
-    grouped = placed.unionByName(marker).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("ipos", "piece", "from_vocab"))).alias("_p"))
-    parts = F.filter("_p", lambda p: p["piece"].isNotNull())
-
-    def step(acc, p):
-        piece = p["piece"]
-        bpe = p["from_vocab"] & F.startswith(piece, F.lit(BPE_SPACE))
-        return F.when(bpe, F.concat(acc, F.when(acc == "", F.lit("")).otherwise(F.lit(" ")),
-                                    F.substring(piece, 2, 1 << 30))).otherwise(F.concat(acc, piece))
-
-    raw = F.aggregate(parts, F.lit(""), step)
+    grouped = placed.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("ipos", "piece", "from_vocab"))).alias("_p"),
+        *[F.first(c).alias(c) for c in carry])
+    parts = grouped.select(key, *carry, F.filter("_p", lambda p: p["piece"].isNotNull()).alias("_p"))
+    # A BPE-marked piece gets its space only once something has been written,
+    # i.e. after the first piece that writes a character. That index is found
+    # with one pass (its own column, so the lambda below does not recompute
+    # it), and decoding stays linear in the text length.
+    bpe = lambda p: p["from_vocab"] & F.startswith(p["piece"], F.lit(BPE_SPACE))
+    writes = F.transform("_p", lambda p: F.when(bpe(p), F.length(p["piece"]) > 1).otherwise(F.length(p["piece"]) > 0))
+    parts = parts.select(key, *carry, "_p", F.coalesce(F.array_position(writes, True), F.lit(0)).alias("_first"))
+    first = F.col("_first")   # 1-based, 0 = nothing written
+    rendered = F.transform("_p", lambda p, i: F.when(
+        bpe(p), F.concat(F.when((first > 0) & (i + 1 > first), F.lit(" ")).otherwise(F.lit("")),
+                         F.substring(p["piece"], 2, 1 << 30))).otherwise(p["piece"]))
+    raw = F.array_join(rendered, "")
     cleaned = F.regexp_replace(F.regexp_replace(raw, "^ +", ""), " +", " ")
-    return grouped.select(key, cleaned.alias(out))
+    return parts.select(key, cleaned.alias(out), *carry)

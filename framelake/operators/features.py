@@ -71,15 +71,18 @@ def channel_codes(pixels: Column) -> Column:
     return F.transform(pixels, lambda x, k: (k % 3) * HIST_BINS + (x / HIST_WIDTH).cast("int"))
 
 
-def color_entropy(pixels: Column) -> Column:
+def entropy_of_codes(codes: Column, n_px: Column) -> Column:
+    """-sum p*log2(p) over code counts; ``codes`` must be a column reference
+    (computed once) so the lambda does not recompute it."""
+    counts = F.transform(F.array_distinct(codes), lambda d: F.size(F.filter(codes, lambda x: x == d)))
+    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - (c / n_px) * F.log2(c / n_px))
+
+
+def with_color_entropy(frames: DataFrame, out: str = "entropy") -> DataFrame:
     """-sum p*log2(p) over the 32-bin histograms of the 3 channels,
     p = count / (rows*cols)."""
-    codes = channel_codes(pixels)
-    n_px = (F.size(pixels) / 3).cast("double")
-    return F.aggregate(
-        F.array_distinct(codes), F.lit(0.0),
-        lambda acc, d: acc - (F.size(F.filter(codes, lambda x: x == d)) / n_px)
-        * F.log2(F.size(F.filter(codes, lambda x: x == d)) / n_px))
+    f = frames.withColumn("_codes", channel_codes(F.col("pixels")))
+    return f.withColumn(out, entropy_of_codes(F.col("_codes"), (F.size("pixels") / 3).cast("double"))).drop("_codes")
 
 
 def channel_histogram(frames: DataFrame) -> DataFrame:
@@ -88,10 +91,10 @@ def channel_histogram(frames: DataFrame) -> DataFrame:
     Histograms are counted inside the row (one entry per non-empty bin), then
     exploded: at most 96 rows per frame, never one row per pixel.
     """
-    codes = channel_codes(F.col("pixels"))
-    hist = F.transform(F.array_distinct(codes),
-                       lambda d: F.struct(d.alias("code"), F.size(F.filter(codes, lambda x: x == d)).alias("n")))
-    return (frames.select("video_id", "frame_idx", F.explode(hist).alias("h"))
+    f = frames.select("video_id", "frame_idx", channel_codes(F.col("pixels")).alias("_codes"))
+    hist = F.transform(F.array_distinct("_codes"),
+                       lambda d: F.struct(d.alias("code"), F.size(F.filter("_codes", lambda x: x == d)).alias("n")))
+    return (f.select("video_id", "frame_idx", F.explode(hist).alias("h"))
             .select("video_id", "frame_idx",
                     (F.col("h.code") / HIST_BINS).cast("int").alias("channel"),
                     (F.col("h.code") % HIST_BINS).cast("int").alias("bin"),
@@ -165,20 +168,33 @@ def fit_dimensions(h: Column, w: Column, target: int = 384) -> tuple[Column, Col
 def tensor_stats(vec: Column) -> Column:
     """Counts of NaN, +-Inf and |x| > 100 (exclusive, in that order) and the
     valid flag; min/max/mean/population std over the finite values (the
-    reference's NaN-poisoned statistics are only logged)."""
-    finite = F.filter(vec, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    nf = F.size(finite)
-    mean = F.try_divide(arr_sum(finite, F.lit(0.0)), nf)
-    var = F.try_divide(F.aggregate(finite, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), nf)
-    n_nan = F.size(F.filter(vec, lambda x: F.isnan(x)))
-    n_inf = F.size(F.filter(vec, lambda x: ~F.isnan(x) & (F.abs(x) == F.lit(float("inf")))))
-    n_big = F.size(F.filter(finite, lambda x: F.abs(x) > VALUE_LIMIT))
+    reference's NaN-poisoned statistics are only logged). One pass (Welford)."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"),
+                    F.lit(0).alias("nan"), F.lit(0).alias("inf"), F.lit(0).alias("big"),
+                    F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+
+    def step(a, x):
+        is_nan = F.isnan(x)
+        is_inf = ~is_nan & (F.abs(x) == F.lit(float("inf")))
+        fin = ~is_nan & ~is_inf
+        n1 = a["n"] + 1
+        d = x - a["mean"]
+        mean1 = a["mean"] + d / n1
+        return F.struct(
+            F.when(fin, n1).otherwise(a["n"]).alias("n"),
+            F.when(fin, mean1).otherwise(a["mean"]).alias("mean"),
+            F.when(fin, a["m2"] + d * (x - mean1)).otherwise(a["m2"]).alias("m2"),
+            (a["nan"] + is_nan.cast("int")).alias("nan"), (a["inf"] + is_inf.cast("int")).alias("inf"),
+            (a["big"] + (fin & (F.abs(x) > VALUE_LIMIT)).cast("int")).alias("big"),
+            F.when(fin, F.least(a["lo"], x)).otherwise(a["lo"]).alias("lo"),
+            F.when(fin, F.greatest(a["hi"], x)).otherwise(a["hi"]).alias("hi"))
+
+    r = F.aggregate(vec, zero, step)
     return F.struct(
-        F.when(nf > 0, F.array_min(finite)).alias("min"),
-        F.when(nf > 0, F.array_max(finite)).alias("max"),
-        mean.alias("mean"), F.sqrt(var).alias("std"),
-        n_nan.alias("nan_count"), n_inf.alias("inf_count"), n_big.alias("extreme_count"),
-        ((n_nan + n_inf + n_big) == 0).alias("valid"))
+        r["lo"].alias("min"), r["hi"].alias("max"),
+        F.when(r["n"] > 0, r["mean"]).alias("mean"), F.when(r["n"] > 0, F.sqrt(r["m2"] / r["n"])).alias("std"),
+        r["nan"].alias("nan_count"), r["inf"].alias("inf_count"), r["big"].alias("extreme_count"),
+        ((r["nan"] + r["inf"] + r["big"]) == 0).alias("valid"))
 
 
 def sanitize_vector(vec: Column, limit: float = SANITIZE_LIMIT) -> Column:

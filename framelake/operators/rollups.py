@@ -36,14 +36,15 @@ THEMES = {
 
 # Python's str.strip() whitespace for the texts we see; spelled out so every
 # engine agrees (a bare \s differs on vertical tab).
-WS = "[ \\t\\n\\r\\f\\x0B]"
+WS_CHARS = " \t\n\r\f\x0b"
 
 # Frames per part of the joined observation text (A2).
 OBSERVATION_PART_FRAMES = 4096
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Both-sides trim of the whitespace set (linear, no regex)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def filter_successful(df: DataFrame) -> DataFrame:
@@ -68,24 +69,34 @@ def _longest(desc: Column, keep: Column) -> Column:
 
 
 def summary_parts(df: DataFrame) -> DataFrame:
-    """Per-video pieces both fallback summaries need (all partial aggregates)."""
+    """Per-video pieces both fallback summaries need (all partial aggregates).
+
+    The per-row texts (stripped, lower-cased) and keyword flags are computed
+    once in a projection, so long descriptions are scanned a fixed number of
+    times whatever the number of keywords.
+    """
     ok = F.coalesce(F.col("success"), F.lit(False))
-    stripped = strip_ws(F.coalesce(F.col("description"), F.lit("")))
-    raw = F.coalesce(F.col("description"), F.lit(""))
-    cpu_keep = ok & meaningful_cpu(F.col("description"))
-    gpu_keep = ok & meaningful_gpu(F.col("description"))
-    return df.groupBy("video_id").agg(
+    rows = df.select(
+        "video_id", "frame_idx", ok.alias("_ok"),
+        strip_ws(F.coalesce(F.col("description"), F.lit(""))).alias("_s"),
+        F.coalesce(F.col("description"), F.lit("")).alias("_raw"))
+    rows = rows.select(
+        "video_id", "frame_idx", "_ok", "_s", "_raw",
+        (F.col("_ok") & (F.length("_s") > 0) & (F.col("_s") != F.lit(NO_DESCRIPTION))).alias("_cpu"),
+        (F.col("_ok") & (F.length("_raw") > GPU_MEANINGFUL)).alias("_gpu"),
+        F.length("_s").alias("_ls"), F.length("_raw").alias("_lr"), F.lower("_s").alias("_low"))
+    rows = rows.select("*", *[
+        (F.col("_cpu") & F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(F.col("_low"), k)))
+        .alias(f"_t_{name}") for name, kws in THEMES.items()])
+    neg = -F.col("frame_idx")
+    return rows.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(ok).alias("n_success"),
-        F.count_if(cpu_keep).alias("n_cpu_meaningful"),
-        F.count_if(gpu_keep).alias("n_gpu_meaningful"),
-        F.max_by(F.when(cpu_keep, stripped),
-                 F.when(cpu_keep, F.struct(F.length(stripped), -F.col("frame_idx")))).alias("cpu_longest"),
-        F.max_by(F.when(gpu_keep, raw),
-                 F.when(gpu_keep, F.struct(F.length(raw), -F.col("frame_idx")))).alias("gpu_longest"),
-        *[F.bool_or(cpu_keep & F.exists(F.array(*[F.lit(k) for k in kws]),
-                                        lambda k: F.contains(F.lower(stripped), k))).alias(f"theme_{name}")
-          for name, kws in THEMES.items()])
+        F.count_if("_ok").alias("n_success"),
+        F.count_if("_cpu").alias("n_cpu_meaningful"),
+        F.count_if("_gpu").alias("n_gpu_meaningful"),
+        F.max_by(F.when(F.col("_cpu"), F.col("_s")), F.when(F.col("_cpu"), F.struct("_ls", neg))).alias("cpu_longest"),
+        F.max_by(F.when(F.col("_gpu"), F.col("_raw")), F.when(F.col("_gpu"), F.struct("_lr", neg))).alias("gpu_longest"),
+        *[F.bool_or(f"_t_{name}").alias(f"theme_{name}") for name in THEMES])
 
 
 def fallback_summary_cpu(parts: DataFrame) -> DataFrame:

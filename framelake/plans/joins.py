@@ -18,3 +18,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
+    shared checkpoint folder (used for small tables read several times, such
+    as a vocabulary). Never a local checkpoint: it must survive lost executors."""
+    from framelake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (tokenizing long texts) at least one task per
+    core: when a scan yields fewer partitions than the default parallelism
+    (few parquet row groups), round-robin repartition it. At scale the scan
+    already has far more partitions than cores and nothing changes."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

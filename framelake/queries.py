@@ -99,9 +99,8 @@ def frame_sample_keyframes(spark, sf):
 @query("frame_color_entropy")
 def frame_color_entropy(spark, sf):
     """A16 + N15 per colour frame."""
-    f = tb.frames_color(spark, sf)
-    return f.select("video_id", "frame_idx",
-                    r6(feat.color_entropy(F.col("pixels"))).alias("entropy"),
+    f = feat.with_color_entropy(tb.frames_color(spark, sf))
+    return f.select("video_id", "frame_idx", r6(F.col("entropy")).alias("entropy"),
                     r6(feat.brightness(F.col("pixels"), 3)).alias("brightness"))
 
 
@@ -117,8 +116,7 @@ def frame_features_color(spark, sf):
     each frame), colour entropy; edges come from the image path (N16)."""
     frames = tb.frames_color(spark, sf)
     s = smp.sample_uniform(frames, tb.video_sizes(frames), 16)
-    s = (s.withColumn("brightness", feat.brightness(F.col("pixels"), 3))
-         .withColumn("entropy", feat.color_entropy(F.col("pixels"))))
+    s = feat.with_color_entropy(s.withColumn("brightness", feat.brightness(F.col("pixels"), 3)))
     s = feat.with_motion(s, pos="sample_pos", channels=3)
     v = feat.video_features(s)
     return v.select("video_id", F.col("n_frames").cast("long").alias("n_frames"),
@@ -291,8 +289,10 @@ def theme_tags(spark, sf):
 # --- tokens ----------------------------------------------------------------------------
 
 def _vocab(spark, sf):
+    """The vocabulary, computed once per query (it is read several times)."""
     from framelake.functions import tokens as tk
-    return tk.build_vocab(spark, tb.read(spark, sf, "benchmark"))
+    from framelake.plans.joins import materialize
+    return materialize(tk.build_vocab(spark, tb.read(spark, sf, "benchmark")))
 
 
 @query("vocab_table")
@@ -314,7 +314,8 @@ def tokenize_docs(spark, sf):
 def tokenize_fallback(spark, sf):
     """T2 over every document."""
     from framelake.functions import tokens as tk
-    d = tb.read(spark, sf, "documents")
+    from framelake.plans.joins import spread
+    d = spread(tb.read(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", tk.tokenize_fallback(F.col("text")).alias("ids"))
 
 
@@ -322,16 +323,18 @@ def tokenize_fallback(spark, sf):
 def token_padding(spark, sf):
     """T3-T7 over page urls and conversation texts: padding, truncation, byte encodings."""
     from framelake.functions import tokens as tk
-    c = tb.read(spark, sf, "conversations").select("conv_id", "turn", "text")
-    fb = tk.tokenize_fallback(F.col("text"))
-    b = tk.signed_bytes(F.col("text"))
+    c = tb.read(spark, sf, "conversations").select(
+        "conv_id", "turn", "text", tk.tokenize_fallback(F.col("text")).alias("_fb"),
+        tk.signed_bytes(F.col("text")).alias("_b"))
+    fb, b = F.col("_fb"), F.col("_b")
     return c.select(
         "conv_id", "turn",
         tk.pad_or_truncate(fb, 1024, tk.SPACE_ID).alias("padded_1024"),
         F.size(tk.truncate_tokens(fb, tk.QWEN_MAX_TOKENS)).alias("n_2048"),
         F.size(tk.truncate_tokens(b, tk.LLAMA_MAX_TOKENS)).alias("n_4096"),
-        tk.ascii_padded(F.col("text")).alias("ascii_16"),
-        tk.prompt_bytes_512(F.col("text")).alias("bytes_512"),
+        tk.pad_min(F.transform(b, lambda x: F.when((x >= 32) & (x <= 126), x).otherwise(F.lit(32).cast("long"))),
+                   16, 32).alias("ascii_16"),
+        tk.pad_or_truncate(b, 512, 0).alias("bytes_512"),
         F.size(b).alias("n_bytes"),
         F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes_sum"))
 
@@ -343,11 +346,11 @@ def detokenize_docs(spark, sf):
     docs = tb.read(spark, sf, "documents").select("doc_id", "text")
     vocab = _vocab(spark, sf)
     t = tk.tokenize(docs, vocab, "doc_id")
-    d = tk.detokenize(t, vocab, "doc_id")
-    s = t.select("doc_id", F.size(F.filter("input_ids", lambda x: tk.is_special(x))).alias("n_special"),
+    t = t.select("doc_id", "input_ids",
+                 F.size(F.filter("input_ids", lambda x: tk.is_special(x))).alias("n_special"),
                  F.size(tk.strip_special(F.col("input_ids"))).alias("n_plain"),
                  tk.token_to_string(F.get(F.col("input_ids"), 0), F.lit(None).cast("string")).alias("first_special"))
-    return d.join(s, "doc_id")
+    return tk.detokenize(t, vocab, "doc_id", carry=("n_special", "n_plain", "first_special"))
 
 
 # --- prompts and model inputs --------------------------------------------------------
@@ -390,7 +393,8 @@ def model_inputs(spark, sf):
     from framelake.functions import tokens as tk
     c = _conv_counts(tb.read(spark, sf, "conversations").select("conv_id", "turn", "text"))
     ids = F.concat(pr.vision_tokens(F.col("n_img"), F.col("n_vid")), tk.tokenize_fallback(F.col("text")))
-    m = c.select("conv_id", "turn", pr.model_input(ids).alias("m"))
+    m = c.select("conv_id", "turn", tk.truncate_tokens(ids, tk.QWEN_MAX_TOKENS).alias("_ids"))
+    m = m.select("conv_id", "turn", pr.model_input(F.col("_ids")).alias("m"))
     n = F.col("m.sequence_length")
     mm = pr.multimodal_positions(n, F.col("m.image_positions"), F.col("m.video_positions"))
     return m.select(
@@ -482,8 +486,9 @@ def fourcc_codes(spark, sf):
 def probe_metadata(spark, sf):
     """S5 + S6 over probe JSON built from events."""
     from framelake.sources import json_io
-    p = tb.probe_json(spark, sf).select("event_id", json_io.parse_probe(F.col("probe")).alias("p"),
-                                         json_io.parse_probe_lenient(F.col("probe")).alias("l"))
+    p = tb.probe_json(spark, sf).select("event_id", F.from_json("probe", json_io.PROBE_SCHEMA).alias("_pj"))
+    p = p.select("event_id", json_io.parse_probe(F.col("_pj"), parsed=True).alias("p"),
+                 json_io.parse_probe_lenient(F.col("_pj"), parsed=True).alias("l"))
     return p.select("event_id", F.col("p.frames").alias("frames"), r6(F.col("p.fps")).alias("fps"),
                     r6(F.col("p.duration")).alias("duration"), r6(F.col("l.fps")).alias("lenient_fps"),
                     r6(F.col("l.duration")).alias("lenient_duration"))

@@ -68,9 +68,9 @@ def info_json(cat: DataFrame) -> Column:
 
 # --- probe metadata -----------------------------------------------------------------
 
-def _first_video_stream(probe_json: Column) -> Column:
-    parsed = F.from_json(probe_json, PROBE_SCHEMA)
-    return F.get(F.filter(parsed["streams"], lambda s: s["codec_type"] == "video"), 0)
+def _first_video_stream(probe_json: Column, parsed: bool = False) -> Column:
+    p = probe_json if parsed else F.from_json(probe_json, PROBE_SCHEMA)
+    return F.get(F.filter(p["streams"], lambda s: s["codec_type"] == "video"), 0)
 
 
 def _rate(rate: Column) -> Column:
@@ -81,9 +81,10 @@ def _rate(rate: Column) -> Column:
     return F.when(F.size(parts) == 1, num).when(F.size(parts) == 2, F.try_divide(num, den))
 
 
-def parse_probe(probe_json: Column) -> Column:
-    """struct(frames, fps, duration) from probe JSON; any failure -> fallback."""
-    s = _first_video_stream(probe_json)
+def parse_probe(probe_json: Column, parsed: bool = False) -> Column:
+    """struct(frames, fps, duration) from probe JSON (or its parsed struct
+    when ``parsed``); any failure -> fallback."""
+    s = _first_video_stream(probe_json, parsed)
     fps = _rate(F.coalesce(s["r_frame_rate"], F.lit(PROBE_DEFAULT_RATE)))
     dur = F.when(s["duration"].isNull(), F.lit(0.0)).otherwise(F.trim(s["duration"]).try_cast("double"))
     nb = F.when(s["nb_frames"].isNull(), (fps * dur).try_cast("long")).otherwise(
@@ -95,9 +96,9 @@ def parse_probe(probe_json: Column) -> Column:
         .otherwise(F.struct(nb.alias("frames"), fps.alias("fps"), dur.alias("duration")))
 
 
-def parse_probe_lenient(probe_json: Column) -> Column:
+def parse_probe_lenient(probe_json: Column, parsed: bool = False) -> Column:
     """Fps and duration only, defaults 25.0 and 10.0; failure -> defaults."""
-    s = _first_video_stream(probe_json)
+    s = _first_video_stream(probe_json, parsed)
     fps = _rate(F.coalesce(s["r_frame_rate"], F.lit(PROBE_DEFAULT_RATE)))
     dur = F.when(s["duration"].isNull(), F.lit(LENIENT_DEFAULTS[1])).otherwise(
         F.trim(s["duration"]).try_cast("double"))

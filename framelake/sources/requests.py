@@ -48,6 +48,7 @@ RESPONSE_SCHEMA = T.StructType([
     T.StructField("eval_count", T.LongType())])
 
 WS = "[ \\t\\n\\r\\f\\x0B]"
+WS_CHARS = " \t\n\r\f\x0b"
 
 
 def parse_response(status: Column, body: Column) -> Column:
@@ -57,7 +58,7 @@ def parse_response(status: Column, body: Column) -> Column:
     ok = status == 200
     return F.struct(
         ok.alias("success"),
-        F.when(ok, F.regexp_replace(F.coalesce(r["response"], F.lit("")), f"^{WS}+|{WS}+$", "")).alias("description"),
+        F.when(ok, F.trim(F.coalesce(r["response"], F.lit("")), F.lit(" \t\n\r\f\x0b"))).alias("description"),
         F.when(~ok, F.concat(F.lit("HTTP "), status.cast("string"))).alias("error"),
         F.when(ok, F.coalesce(r["model"], F.lit(""))).alias("model"),
         F.when(ok, F.coalesce(r["done"], F.lit(False))).alias("done"),
