@@ -220,7 +220,8 @@ FROM frames GROUP BY video_id, frame_idx // 3"""
 SQL["frame_rank"] = f"""
 WITH {FRAMES}
 SELECT f.video_id, f.frame_idx, 'Frame ' || CAST(f.frame_idx + 1 AS VARCHAR) AS label,
-       CAST(f.frame_idx + 1 AS VARCHAR) || ' of ' || CAST(s.total_frames AS VARCHAR) AS of_n
+       CAST(f.frame_idx + 1 AS VARCHAR) || ' of ' || CAST(s.total_frames AS VARCHAR) AS of_n,
+       {r6("f.frame_idx / 10.0")} AS ts
 FROM frames f JOIN sizes s USING (video_id)"""
 
 SQL["video_catalog"] = f"""
@@ -564,6 +565,10 @@ SELECT conv_id, turn,
        'Analyze the content of this image/video and ' || role AS analysis,
        'Extract ' || role || ' from this image/video.' AS extraction,
        'Describe this video: ' || role AS multipart,
+       CASE role WHEN 'system' THEN '<|im_start|>system' || {NL} || text || '<|im_end|>' || {NL}
+                 WHEN 'user' THEN '<|im_start|>user' || {NL} || text || '<|im_end|>' || {NL}
+                 WHEN 'assistant' THEN '<|im_start|>assistant' || {NL} || text || '<|im_end|>' || {NL}
+                 ELSE text END AS chat_message,
        CASE WHEN role = 'system' OR coalesce(text, '') = '' THEN
          {NL} || '            Analyze this video sequence and provide:' || {NL}
          || '            1. A detailed description of what''s happening' || {NL}
@@ -941,3 +946,46 @@ SELECT CAST(video_id AS BIGINT) AS video_id, chunk, n_frames, first_idx, last_id
               || 'chunk ' || CAST(chunk AS VARCHAR) || ' rejected'
             ELSE 'chunk ' || CAST(chunk AS VARCHAR) || ': ' || CAST(n_frames AS VARCHAR) || ' frames' END AS result
 FROM c"""
+
+
+SQL["video_info_json"] = f"""
+WITH {FRAMES}
+SELECT video_id, to_json(struct_pack(video_path := 'video_' || CAST(video_id AS VARCHAR), total_frames := total_frames,
+       fps := 10.0::DOUBLE, duration := total_frames / 10.0, frame_size := [8::INTEGER, 8::INTEGER], codec := 'MJPG')) AS info_json
+FROM sizes"""
+
+SQL["result_json_write"] = """
+WITH g AS (SELECT conv_id, count(*) AS n, arg_min(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS prompt
+           FROM conversations GROUP BY conv_id)
+SELECT conv_id, to_json(struct_pack(
+  video_path := 'conv_' || CAST(conv_id AS VARCHAR) || '.mp4',
+  description := 'Placeholder analysis of ' || CAST(n AS VARCHAR) || ' frames: ' ||
+    CASE WHEN contains(coalesce(prompt, ''), 'detailed') THEN 'Detailed scene analysis with multiple objects and activities detected. '
+         ELSE 'Basic scene analysis with recognizable elements. ' END,
+  objects := ['person', 'object', 'background', 'furniture'],
+  actions := ['walking', 'sitting', 'interacting', 'moving'],
+  scene_context := CASE WHEN n > 12 THEN 'Extended sequence - comprehensive scene analysis'
+                        WHEN n > 8 THEN 'Medium sequence - moderate scene coverage'
+                        ELSE 'Short sequence - focused scene analysis' END,
+  temporal_events := ['scene_change', 'object_appearance', 'action_sequence'],
+  confidence_score := 0.75::DOUBLE, processing_time_ms := n * 100, total_time_ms := n * 100 + 5)) AS json
+FROM g"""
+
+SQL["batch_json"] = f"""
+WITH {RESULTS},
+d AS (SELECT path, arg_max(model_used, seq) AS m, arg_max(confidence, seq) AS c, arg_max(processing_time, seq) AS t
+      FROM results GROUP BY path)
+SELECT path, to_json(MAP {{path: struct_pack(description := m, confidence_score := round(c, 6),
+                                            processing_time_ms := CAST(trunc(t * 1000) AS BIGINT))}}) AS json
+FROM d"""
+
+SQL["keyframe_frames"] = f"""
+WITH {CFRAMES}
+SELECT k.video_id, k.sample_pos, k.frame_idx, {r6(COLOR_BRIGHT.replace("pixels", "f.pixels"))} AS brightness
+FROM ({SQL["frame_sample_keyframes"]}) k JOIN cframes f ON f.video_id = k.video_id AND f.frame_idx = k.frame_idx"""
+
+SQL["frame_processor_plugin"] = f"""
+WITH {FRAMES}
+SELECT video_id, frame_idx, CAST(len(pixels) AS INTEGER) AS n_values,
+       {r6("list_sum(list_transform(pixels, lambda x: CAST(CAST(x AS FLOAT) * CAST(1.0 / 255.0 AS FLOAT) AS DOUBLE)))")} AS norm_sum
+FROM frames"""

@@ -45,7 +45,7 @@ TIMES_N = 10
 def frame_motion_brightness(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: P1 uniform sample -> N15 brightness -> W1 motion -> A17 per video."""
     frames = tb.frames_gray(spark, sf)
-    sizes = tb.video_sizes(frames)
+    sizes = tb.frame_sizes(spark, sf)
     s = smp.sample_uniform(frames, sizes, UNIFORM_N)
     s = s.withColumn("brightness", feat.brightness(F.col("pixels")))
     s = feat.with_motion(s, pos="sample_pos")
@@ -65,25 +65,25 @@ def _sampled(rows: DataFrame) -> DataFrame:
 @query("frame_sample_uniform")
 def frame_sample_uniform(spark, sf):
     frames = tb.frames_gray(spark, sf)
-    return _sampled(smp.sample_uniform(frames, tb.video_sizes(frames), UNIFORM_N))
+    return _sampled(smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N))
 
 
 @query("frame_sample_midpoint")
 def frame_sample_midpoint(spark, sf):
     frames = tb.frames_gray(spark, sf)
-    return _sampled(smp.sample_midpoint(frames, tb.video_sizes(frames), MIDPOINT_N))
+    return _sampled(smp.sample_midpoint(frames, tb.frame_sizes(spark, sf), MIDPOINT_N))
 
 
 @query("frame_sample_linspace")
 def frame_sample_linspace(spark, sf):
     frames = tb.frames_gray(spark, sf)
-    return _sampled(smp.sample_linspace(frames, tb.video_sizes(frames), UNIFORM_N))
+    return _sampled(smp.sample_linspace(frames, tb.frame_sizes(spark, sf), UNIFORM_N))
 
 
 @query("frame_sample_times")
 def frame_sample_times(spark, sf):
     frames = tb.frames_gray(spark, sf)
-    s = smp.sample_times(frames, tb.video_sizes(frames), TIMES_N, tb.FRAME_FPS)
+    s = smp.sample_times(frames, tb.frame_sizes(spark, sf), TIMES_N, tb.FRAME_FPS)
     return s.select(
         "video_id", F.col("sample_pos").cast("long").alias("sample_pos"),
         r6(F.col("t")).alias("t"), "frame_idx", r6(F.col("ts")).alias("ts"))
@@ -92,7 +92,7 @@ def frame_sample_times(spark, sf):
 @query("frame_sample_keyframes")
 def frame_sample_keyframes(spark, sf):
     frames = tb.frames_color(spark, sf)
-    k = smp.sample_keyframes(frames, tb.video_sizes(frames), KEYFRAME_N, tb.COLOR_PIXELS)
+    k = smp.sample_keyframes(frames, tb.frame_sizes(spark, sf), KEYFRAME_N, tb.COLOR_PIXELS)
     return k.select("video_id", "sample_pos", "frame_idx", "kind", r6(F.col("change")).alias("change"))
 
 
@@ -115,7 +115,7 @@ def frame_features_color(spark, sf):
     """A17 over a uniform sample of colour frames: brightness, motion (gray of
     each frame), colour entropy; edges come from the image path (N16)."""
     frames = tb.frames_color(spark, sf)
-    s = smp.sample_uniform(frames, tb.video_sizes(frames), 16)
+    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), 16)
     s = feat.with_color_entropy(s.withColumn("brightness", feat.brightness(F.col("pixels"), 3)))
     s = feat.with_motion(s, pos="sample_pos", channels=3)
     v = feat.video_features(s)
@@ -138,7 +138,8 @@ def frame_chunks(spark, sf):
 def frame_rank(spark, sf):
     from framelake.operators import batches
     f = tb.frames_gray(spark, sf)
-    return batches.frame_rank(f.select("video_id", "frame_idx"), tb.video_sizes(f))
+    r = batches.frame_rank(f.select("video_id", "frame_idx"), tb.frame_sizes(spark, sf))
+    return r.withColumn("ts", r6(smp.frame_timestamps(F.col("frame_idx"), F.lit(tb.FRAME_FPS))))
 
 
 @query("video_catalog")
@@ -380,6 +381,7 @@ def vision_prompts(spark, sf):
         pr.analysis_prompt(F.col("role")).alias("analysis"),
         pr.extraction_prompt(F.col("role")).alias("extraction"),
         pr.multipart_prompt(F.col("role")).alias("multipart"),
+        pr.chat_message(F.col("role"), F.col("text")).alias("chat_message"),
         pr.default_prompt(F.when(F.col("role") != "system", F.col("text")).otherwise(F.lit(""))).alias("prompt"),
         pr.placeholder_description(F.col("text"), n).alias("placeholder"),
         pr.scene_context(n).alias("scene"),
@@ -568,7 +570,7 @@ def inference_requests(spark, sf):
     from framelake.functions import prompts as pr
     from framelake.sources import requests as rq
     frames = tb.frames_gray(spark, sf)
-    s = smp.sample_uniform(frames, tb.video_sizes(frames), UNIFORM_N)
+    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N)
     return s.select("video_id", "sample_pos", rq.frame_request(
         F.lit(rq.CPU_MODEL), F.lit(pr.FRAME_PROMPT), F.array(rq.pixels_base64(F.col("pixels")))).alias("request"))
 
@@ -668,7 +670,7 @@ def describe_frames_stub(spark, sf):
     """I1 + I6 + I7 over the uniform sample of every video."""
     from framelake.operators import inference as inf
     frames = tb.frames_gray(spark, sf)
-    s = smp.sample_uniform(frames, tb.video_sizes(frames), UNIFORM_N)
+    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N)
     return inf.describe_frames(s, timeout_s=300.0)
 
 
@@ -678,7 +680,7 @@ def describe_frame_groups(spark, sf):
     from framelake.functions import prompts as pr
     from framelake.operators import inference as inf
     frames = tb.frames_gray(spark, sf)
-    s = smp.sample_uniform(frames, tb.video_sizes(frames), UNIFORM_N)
+    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N)
     return inf.describe_frame_groups(s, pr.FRAME_PROMPT)
 
 
@@ -700,7 +702,7 @@ def analyze_videos(spark, sf):
     from framelake.functions import prompts as pr
     from framelake.operators import inference as inf
     frames = tb.frames_gray(spark, sf)
-    s = smp.sample_frames(frames, tb.video_sizes(frames), 16, "adaptive")
+    s = smp.sample_frames(frames, tb.frame_sizes(spark, sf), 16, "adaptive")
     return inf.describe_frame_groups(s, pr.DEFAULT_VIDEO_PROMPT, model_spec=FlakyGroupModel)
 
 
@@ -759,7 +761,7 @@ def stream_chunks(spark, sf):
     from framelake.session import ensure_checkpoint_dir
     from framelake.streaming import chunks as ch
     frames = tb.frames_gray(spark, sf)
-    src = frames.join(tb.video_sizes(frames), "video_id").select(
+    src = frames.join(tb.frame_sizes(spark, sf), "video_id").select(
         F.col("video_id").cast("long"), "frame_idx", F.col("total_frames").cast("long"),
         feat.brightness(F.col("pixels")).alias("brightness"))
     work = ch.new_work_dir(ensure_checkpoint_dir(spark), "stream_chunks")
@@ -768,3 +770,57 @@ def stream_chunks(spark, sf):
     return spark.read.parquet(out).select(
         "video_id", "chunk", "n_frames", "first_idx", "last_idx", r6(F.col("brightness")).alias("brightness"),
         "final", "result")
+
+
+# --- sinks and plug-ins ------------------------------------------------------------------
+
+@query("video_info_json")
+def video_info_json(spark, sf):
+    """The --info object per video."""
+    from framelake.sources import json_io
+    cat = json_io.video_catalog(tb.frames_gray(spark, sf), fps=tb.FRAME_FPS, codec_code=1196444237)
+    return cat.select("video_id", json_io.info_json(cat).alias("info_json"))
+
+
+@query("result_json_write")
+def result_json_write(spark, sf):
+    """One result object per conversation (placeholder analysis, I5) with
+    video_path, processing_time_ms and total_time_ms."""
+    from framelake.functions import prompts as pr
+    from framelake.sources import json_io
+    c = tb.read(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"),
+                                 F.min_by(F.when(F.col("role") == "user", F.col("text")),
+                                          F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"))
+    a = g.select("conv_id", "n", pr.placeholder_analysis(pr.default_prompt(F.col("prompt")), F.col("n")).alias("r"))
+    rows = a.select("conv_id", F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".mp4")).alias("video_path"),
+                    "r.*", (F.col("n") * 100).alias("processing_time_ms"), (F.col("n") * 100 + 5).alias("total_time_ms"))
+    return rows.select("conv_id", json_io.result_json(rows).alias("json"))
+
+
+@query("batch_json")
+def batch_json(spark, sf):
+    """S8 (+A10): last result per path as {"<path>": {...}} lines, key-sorted."""
+    from framelake.operators import rollups
+    d = rollups.dedupe_results(tb.results(spark, sf))
+    return d.select("path", F.to_json(F.create_map(F.col("path"), F.struct(
+        F.col("model_used").alias("description"), F.round("confidence", 6).alias("confidence_score"),
+        (F.col("processing_time") * 1000).cast("long").alias("processing_time_ms")))).alias("json"))
+
+
+@query("keyframe_frames")
+def keyframe_frames(spark, sf):
+    """P8 ('keyframe') -> P7/J1 ordered fetch of the picked colour frames."""
+    frames = tb.frames_color(spark, sf)
+    picked = smp.sample_frames(frames, tb.frame_sizes(spark, sf), KEYFRAME_N, "keyframe", pixels=tb.COLOR_PIXELS)
+    return picked.select("video_id", "sample_pos", "frame_idx",
+                         r6(feat.brightness(F.col("pixels"), 3)).alias("brightness"))
+
+
+@query("frame_processor_plugin")
+def frame_processor_plugin(spark, sf):
+    """the frame-processor plug-in (normalise to [0, 1]) through an Arrow UDF."""
+    from framelake.operators import inference as inf
+    f = inf.process_frames(tb.frames_gray(spark, sf))
+    return f.select("video_id", "frame_idx", F.size("processed").alias("n_values"),
+                    r6(F.aggregate("processed", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("norm_sum"))

@@ -71,6 +71,13 @@ def video_sizes(frames: DataFrame) -> DataFrame:
     return frames.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("total_frames"))
 
 
+def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames per video of the frame fixture, read from the one column it
+    needs (the label), without deriving frame positions first."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("video_id"))
+    return video_sizes(e)
+
+
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-frame analysis rows from ``events``.
 
