@@ -112,15 +112,14 @@ def with_previous(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[s
     """
     keys = list(keys)
     span = int(span or SEGMENT_SPAN)
-    pseg = "_pseg"
-    base = df.withColumn(pseg, F.expr(f"`{pos}` div {span}")).withColumn("_carry", F.lit(False))
-    carried = (base.filter(F.expr(f"pmod(`{pos}`, {span}) = {span - 1}"))
-               .withColumn(pseg, F.col(pseg) + 1).withColumn("_carry", F.lit(True)))
-    both = base.unionByName(carried)
-    w = Window.partitionBy(*keys, pseg).orderBy(pos)
-    for c in cols:
-        both = both.withColumn(prefix + c, F.lag(c).over(w))
-    return both.filter(~F.col("_carry")).drop(pseg, "_carry")
+    seg = F.expr(f"`{pos}` div {span}")
+    # one pass: a segment's last row is emitted twice, the second copy tagged
+    # as the carry into the next segment (no union, no second scan)
+    segs = F.when(F.expr(f"pmod(`{pos}`, {span}) = {span - 1}"), F.array(seg, seg + 1)).otherwise(F.array(seg))
+    both = df.select("*", F.posexplode(segs).alias("_copy", "_pseg"))
+    w = Window.partitionBy(*keys, "_pseg").orderBy(pos)
+    both = both.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols])
+    return both.filter(F.col("_copy") == 0).drop("_pseg", "_copy")
 
 
 def global_positions(df: DataFrame, order: Sequence[str | Column], out: str = "pos") -> DataFrame:
