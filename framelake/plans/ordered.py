@@ -15,9 +15,10 @@ small per-segment table:
 
 Each step is one shuffle of the data on ``(keys, segment)``; later steps on the
 same segments reuse that partitioning, so only the per-segment table (rows /
-span) is shuffled again. The per-segment table is joined back without a
-broadcast hint: its size is rows/span, which grows with the data, so Spark/AQE
-decide from measured sizes.
+span) is shuffled again. The prefix over the per-segment table is itself
+two-level (``segment_prefix``), so no window anywhere sees an unbounded group.
+The per-segment table is joined back without a broadcast hint: its size is
+rows/span, which grows with the data, so Spark/AQE decide from measured sizes.
 """
 
 from __future__ import annotations
@@ -49,9 +50,35 @@ def _local_window(keys: Sequence[str], order: Sequence[str | Column], seg: str =
     return Window.partitionBy(*keys, seg).orderBy(*order)
 
 
-def _prior_segments(keys: Sequence[str], seg: str = SEG):
-    w = Window.partitionBy(*keys) if keys else Window
-    return w.orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
+# Segments per super-segment in the two-level prefix over segment tables.
+SUPER_SPAN = 1 << 12
+
+
+def segment_prefix(table: DataFrame, keys: Sequence[str], value: str, out: str, how: str = "sum",
+                   seg: str = SEG) -> DataFrame:
+    """Exclusive prefix (over earlier segments of the same key) of a per-segment value.
+
+    Two levels, so no window is unbounded even for a key with billions of rows
+    or for the key-less global case: a prefix within (key, super-segment) of at
+    most ``SUPER_SPAN`` segments, plus a prefix over super-segment totals
+    (rows / (span * SUPER_SPAN) per key). ``how``: sum, min or max. NULL when
+    there is no earlier segment (min/max) or 0 (sum).
+    """
+    keys = list(keys)
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    comb = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+            "min": F.least, "max": F.greatest}[how]
+    t = table.withColumn("_super", F.col(seg).bitwiseAND(F.lit(-SUPER_SPAN)))
+    w_in = Window.partitionBy(*keys, "_super").orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
+    local = t.withColumn("_pin", agg(value).over(w_in))
+    sup = t.groupBy(*keys, "_super").agg(agg(value).alias("_sv"))
+    w_sup = (Window.partitionBy(*keys) if keys else Window).orderBy("_super") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    sup = sup.select(*keys, "_super", agg("_sv").over(w_sup).alias("_psup"))
+    res = local.join(sup, keys + ["_super"], "inner").withColumn(out, comb(F.col("_psup"), F.col("_pin")))
+    if how == "sum":
+        res = res.withColumn(out, F.col(out).cast(table.schema[value].dataType))
+    return res.drop("_super", "_pin", "_psup")
 
 
 def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -63,9 +90,7 @@ def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     keys = list(keys)
     local = df.withColumn("_lrn", F.row_number().over(_local_window(keys, order, seg)))
     seg_counts = local.groupBy(*keys, seg).agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = seg_counts.select(
-        *keys, seg,
-        F.coalesce(F.sum("_cnt").over(_prior_segments(keys, seg)), F.lit(0)).alias("_off"))
+    offsets = segment_prefix(seg_counts, keys, "_cnt", "_off", "sum", seg).select(*keys, seg, "_off")
     return (local.join(offsets, on=keys + [seg], how="inner")
             .withColumn(out, (F.col("_off") + F.col("_lrn") - 1).cast("long"))
             .drop("_lrn", "_off"))
@@ -78,9 +103,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     w = _local_window(keys, order, seg).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("_lsum", F.sum(value).over(w))
     seg_tot = local.groupBy(*keys, seg).agg(F.sum(value).alias("_tot"))
-    offsets = seg_tot.select(
-        *keys, seg,
-        F.coalesce(F.sum("_tot").over(_prior_segments(keys, seg)), F.lit(0)).alias("_off"))
+    offsets = segment_prefix(seg_tot, keys, "_tot", "_off", "sum", seg).select(*keys, seg, "_off")
     return (local.join(offsets, on=keys + [seg], how="inner")
             .withColumn(out, F.col("_off") + F.col("_lsum"))
             .drop("_lsum", "_off"))
@@ -95,7 +118,7 @@ def running_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     w = _local_window(keys, order, seg).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("_lext", agg(value).over(w))
     seg_ext = local.groupBy(*keys, seg).agg(agg(value).alias("_sext"))
-    prior = seg_ext.select(*keys, seg, agg("_sext").over(_prior_segments(keys, seg)).alias("_prior"))
+    prior = segment_prefix(seg_ext, keys, "_sext", "_prior", how, seg).select(*keys, seg, "_prior")
     # least/greatest skip NULLs, so the first segment keeps its local value.
     return (local.join(prior, on=keys + [seg], how="inner")
             .withColumn(out, comb(F.col("_prior"), F.col("_lext")))

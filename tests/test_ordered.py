@@ -39,3 +39,23 @@ def test_global_positions(spark):
     got = ordered.global_positions(df, [F.col("x").desc(), F.col("o").asc()], out="pos")
     ref = df.withColumn("pos", (F.row_number().over(Window.orderBy(F.col("x").desc(), "o")) - 1).cast("long"))
     assert sorted(got.select("o", "pos").collect()) == sorted(ref.select("o", "pos").collect())
+
+
+def test_two_level_segment_prefix(spark, monkeypatch):
+    """Force several super-segments so both prefix levels are exercised."""
+    monkeypatch.setattr(ordered, "SUPER_SPAN", 4)
+    df = skewed(spark)
+    seg = ordered.with_segments(df, ordered.span_segments("o", 5))
+    got = ordered.dense_positions(seg, ["k"], ["o"], out="pos")
+    got = ordered.running_sum(got, ["k"], ["o"], "x", "rs")
+    got = ordered.running_extreme(got, ["k"], ["o"], "rs", "rmin", how="min").drop(ordered.SEG)
+    w = Window.partitionBy("k").orderBy("o")
+    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("rs", F.sum("x").over(wr))
+    ref = ref.withColumn("rmin", F.min("rs").over(wr))
+    cols = ["k", "o", "x", "pos", "rs", "rmin"]
+    assert sorted(got.select(cols).collect()) == sorted(ref.select(cols).collect())
+    g = ordered.with_segments(df, ordered.span_segments("o", 5))
+    gl = ordered.running_sum(g, [], ["o"], "x", "rs").drop(ordered.SEG)
+    gref = df.withColumn("rs", F.sum("x").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(gl.select("o", "rs").collect()) == sorted(gref.select("o", "rs").collect())
