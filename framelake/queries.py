@@ -542,7 +542,7 @@ def result_json_roundtrip(spark, sf):
 def loose_json_keys(spark, sf):
     """The loose key scanner over the same result texts."""
     from framelake.sources import json_io
-    d = _result_docs(spark, sf).select("video_id", "chunk", json_io.scan_result_json(F.col("json")).alias("r"))
+    d = json_io.scan_result_json(_result_docs(spark, sf), "json").select("video_id", "chunk", "r")
     return d.select("video_id", "chunk", "r.success", "r.video_path", "r.frames_analyzed",
                     "r.total_frames_extracted", r6(F.col("r.total_processing_time")).alias("total_processing_time"),
                     "r.video_summary", "r.model_used", "r.error")

@@ -164,17 +164,23 @@ def read_results_json_strict(js: Column) -> Column:
 def scan_json_key(js: Column, key: str) -> Column:
     """Loose '"key": value' scan. A quoted value runs to the next quote; any
     other value runs to the next ',' or '}'; not found -> ''."""
+    return _scan_value(_after_key(js, key))
+
+
+def _after_key(js: Column, key: str) -> Column:
+    """Text after the first '"key": ' (NULL when the key is absent)."""
     start = F.instr(js, f'"{key}": ')
-    rest = F.when(start > 0, F.substring(js, start + F.lit(len(key) + 4), F.lit(1 << 30)))
-    quoted = F.startswith(rest, F.lit('"'))
-    q_body = F.substring(rest, F.lit(2), F.lit(1 << 30))
-    q_end = F.instr(q_body, '"')
+    return F.when(start > 0, F.substring(js, start + F.lit(len(key) + 4), F.lit(1 << 30)))
+
+
+def _scan_value(rest: Column) -> Column:
+    q_end = F.instr(F.substring(rest, F.lit(2), F.lit(1 << 30)), '"')
     n_end = F.least(*[F.when(F.instr(rest, ch) > 0, F.instr(rest, ch)) for ch in (",", "}")])
-    val = (F.when(rest.isNull(), F.lit(""))
-           .when(quoted, F.when(q_end > 0, F.substring(q_body, F.lit(1), q_end - 1)).otherwise(F.lit("")))
-           .when(n_end.isNotNull(), F.substring(rest, F.lit(1), n_end - 1))
-           .otherwise(F.lit("")))
-    return val
+    return (F.when(rest.isNull(), F.lit(""))
+            .when(F.startswith(rest, F.lit('"')),
+                  F.when(q_end > 0, F.substring(rest, F.lit(2), q_end - 1)).otherwise(F.lit("")))
+            .when(n_end.isNotNull(), F.substring(rest, F.lit(1), n_end - 1))
+            .otherwise(F.lit("")))
 
 
 def leading_int(s: Column) -> Column:
@@ -188,25 +194,35 @@ def leading_double(s: Column) -> Column:
         .try_cast("double")
 
 
-def scan_result_json(js: Column) -> Column:
-    """S12 applied to the result object: booleans by == 'true', numbers like
-    stoi/stod; a missing number makes the row a parse failure."""
-    g = lambda k: scan_json_key(js, k)
-    fa, tf, tt = leading_int(g("frames_analyzed")), leading_int(g("total_frames_extracted")), \
-        leading_double(g("total_processing_time"))
-    bad = fa.isNull() | tf.isNull() | tt.isNull()
-    # a failed number aborts the whole parse: every field keeps its default
-    keep = lambda c, d: F.when(bad, d).otherwise(c)
-    return F.struct(
-        keep(g("success") == "true", F.lit(False)).alias("success"),
-        keep(g("video_path"), F.lit("")).alias("video_path"),
-        keep(fa, F.lit(0).cast("long")).alias("frames_analyzed"),
-        keep(tf, F.lit(0).cast("long")).alias("total_frames_extracted"),
-        keep(tt, F.lit(0.0)).alias("total_processing_time"),
-        keep(g("video_summary"), F.lit("")).alias("video_summary"),
-        keep(g("model_used"), F.lit("")).alias("model_used"),
-        keep(g("gpu_accelerated") == "true", F.lit(False)).alias("gpu_accelerated"),
-        F.when(bad, F.lit("JSON parsing error")).otherwise(g("error")).alias("error"))
+SCAN_KEYS = ("success", "video_path", "frames_analyzed", "total_frames_extracted", "total_processing_time",
+             "video_summary", "model_used", "gpu_accelerated", "error")
+
+
+def scan_result_json(df: DataFrame, js: str, out: str = "r") -> DataFrame:
+    """S12 applied to result objects: booleans by == 'true', numbers like
+    stoi/stod; a missing number aborts the parse (all fields default, error
+    'JSON parsing error'). Staged projections: the text after each key is cut
+    once, then each value is read from it, then converted."""
+    cols = [c for c in df.columns]
+    d = df.select(*cols, *[_after_key(F.col(js), k).alias(f"_r_{k}") for k in SCAN_KEYS])
+    d = d.select(*cols, *[_scan_value(F.col(f"_r_{k}")).alias(f"_v_{k}") for k in SCAN_KEYS])
+    d = d.select(*cols, *[F.col(f"_v_{k}") for k in SCAN_KEYS],
+                 leading_int(F.col("_v_frames_analyzed")).alias("_fa"),
+                 leading_int(F.col("_v_total_frames_extracted")).alias("_tf"),
+                 leading_double(F.col("_v_total_processing_time")).alias("_tt"))
+    bad = F.col("_fa").isNull() | F.col("_tf").isNull() | F.col("_tt").isNull()
+    keep = lambda c, dflt: F.when(bad, dflt).otherwise(c)
+    v = lambda k: F.col(f"_v_{k}")
+    return d.select(*cols, F.struct(
+        keep(v("success") == "true", F.lit(False)).alias("success"),
+        keep(v("video_path"), F.lit("")).alias("video_path"),
+        keep(F.col("_fa"), F.lit(0).cast("long")).alias("frames_analyzed"),
+        keep(F.col("_tf"), F.lit(0).cast("long")).alias("total_frames_extracted"),
+        keep(F.col("_tt"), F.lit(0.0)).alias("total_processing_time"),
+        keep(v("video_summary"), F.lit("")).alias("video_summary"),
+        keep(v("model_used"), F.lit("")).alias("model_used"),
+        keep(v("gpu_accelerated") == "true", F.lit(False)).alias("gpu_accelerated"),
+        F.when(bad, F.lit("JSON parsing error")).otherwise(v("error")).alias("error")).alias(out))
 
 
 def py_json(**cols: Column) -> Column:

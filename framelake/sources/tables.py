@@ -21,8 +21,8 @@ GRAY_SIDE = 8            # 64 elements -> 8x8 single-channel tile
 COLOR_PIXELS = 21        # elements 0..62 -> 21 BGR pixels, 3 rows x 7 columns
 COLOR_H, COLOR_W = 3, 7
 
-# One hour of event time per ordering segment for the analyses fixture.
-ANALYSIS_SEGMENT_US = 3_600_000_000
+# Minutes of event time per ordering segment for the analyses fixture.
+ANALYSIS_SEGMENT_MINUTES = 60
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +86,11 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_type + ' ' + props (NULL for failures, which carry an error text).
     """
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    ev = ordered.with_segments(ev, F.expr(f"unix_micros(cast(ts as timestamp)) div {ANALYSIS_SEGMENT_US}"))
+    # segment = event-time minute bucket, computed on the zone-less timestamp so
+    # it is monotone in ts whatever the session time zone (no DST jumps)
+    minute = (F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long") * 1440
+              + F.hour("ts") * 60 + F.minute("ts"))
+    ev = ordered.with_segments(ev, F.floor(minute / F.lit(ANALYSIS_SEGMENT_MINUTES)))
     pos = ordered.dense_positions(ev, ["user_id"], ["ts", "event_id"], out="frame_idx")
     ok = F.col("event_type") != F.lit("error")
     return pos.select(

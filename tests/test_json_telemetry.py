@@ -13,7 +13,7 @@ def test_loose_scan_cases(spark):
         ('{"success": true, "video_path": "a.mp4", "frames_analyzed": 3, "total_frames_extracted": 4, '
          '"total_processing_time": 1.5}',),
         ('{"success": true}',)], "j string")
-    r = df.select(json_io.scan_result_json(F.col("j")).alias("r")).collect()
+    r = json_io.scan_result_json(df, "j").select("r").collect()
     assert r[0].r.video_path == "a.mp4" and r[0].r.frames_analyzed == 3 and r[0].r.success
     assert r[0].r.total_processing_time == 1.5 and r[0].r.error == ""
     assert not r[1].r.success and r[1].r.error == "JSON parsing error"

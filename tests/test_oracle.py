@@ -40,7 +40,7 @@ def test_query_with_tiny_segments(spark, duck, monkeypatch, name):
     from framelake.plans import ordered
     from framelake.sources import tables
     monkeypatch.setattr(ordered, "SEGMENT_SPAN", 3)
-    monkeypatch.setattr(tables, "ANALYSIS_SEGMENT_US", 60_000_000)
+    monkeypatch.setattr(tables, "ANALYSIS_SEGMENT_MINUTES", 1)
     cols, got = spark_rows(QUERIES[name](spark, SF_SMALL))
     want = duck_rows(duck, ORACLE[name], cols)
     assert got == want
