@@ -4,8 +4,9 @@ Ledger rows: seq (unique, increasing), tag, op ('alloc' | 'dealloc'), bytes.
 A total that clamps at zero on every deallocation is the reflected running
 sum  S_t = C_t - least(0, min_{u<=t} C_u)  with C the plain running sum of
 signed bytes, so the clamp needs no sequential loop. Running sums and minima
-are segmented (``framelake.plans.ordered``): the global ledger has no key, and
-a plain ``Window.orderBy(seq)`` would put every event into one task.
+are segmented and fused into two window passes
+(``ordered.clamped_running_total``): the global ledger has no key, and a plain
+``Window.orderBy(seq)`` would put every event into one task.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ def _signed(df: DataFrame) -> DataFrame:
     return df.withColumn("_x", F.when(F.col("op") == "alloc", F.col("bytes")).otherwise(-F.col("bytes")))
 
 
-def _reflected(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Adds ``out`` = clamp-at-zero running total within ``keys`` (needs _x, _seg)."""
-    c = ordered.running_sum(df, keys, ["seq"], "_x", "_c")
-    m = ordered.running_extreme(c, keys, ["seq"], "_c", "_cmin", how="min")
-    return m.withColumn(out, F.col("_c") - F.least(F.lit(0), F.col("_cmin"))).drop("_c", "_cmin")
+def _reflected(df: DataFrame, keys: list[str], out: str, peak: str | None = None) -> DataFrame:
+    """Adds ``out`` = clamp-at-zero running total within ``keys`` (needs _x, _seg)
+    and, if asked, its running peak."""
+    return ordered.clamped_running_total(df, keys, ["seq"], "_x", out, peak)
 
 
 def ledger_running(ledger: DataFrame, limit_bytes: int | None = None,
@@ -35,9 +35,7 @@ def ledger_running(ledger: DataFrame, limit_bytes: int | None = None,
     at 0, never falls) and, if a limit is given, whether ``required_bytes``
     more would still fit (current + required <= limit)."""
     df = ordered.with_segments(_signed(ledger), ordered.span_segments("seq", span))
-    df = _reflected(df, [], "total")
-    df = ordered.running_extreme(df, [], ["seq"], "total", "_pk", how="max")
-    df = df.withColumn("peak", F.greatest(F.col("_pk"), F.lit(0))).drop("_pk", "_x", ordered.SEG)
+    df = _reflected(df, [], "total", peak="peak").drop("_x", ordered.SEG)
     if limit_bytes is not None:
         df = df.withColumn("admit", (F.col("total") + F.lit(required_bytes)) <= F.lit(limit_bytes))
     return df

@@ -125,6 +125,48 @@ def running_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
             .drop("_lext", "_prior"))
 
 
+def clamped_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str,
+                          out: str, peak: str | None = None, seg: str = SEG) -> DataFrame:
+    """Running total of ``value`` that clamps at zero, and optionally its running peak.
+
+    S_t = C_t - least(0, min_{u<=t} C_u) with C the plain running sum.
+
+    round 1: one window pass over (keys, segment) gives the local running sum
+    lc, the local running min of lc, and per segment the total and the minimum
+    of lc. The per-segment table (one row per segment) gets its two-level
+    prefixes -- offset = sum of earlier totals, minimum of C over earlier
+    segments -- and is checkpointed (a small table written once to the shared
+    checkpoint folder), then joined back behind a size check.
+    round 2 (only for ``peak``): the same for the running max of S; the peak
+    starts at 0.
+    The data is read once per round plus once for the result, whatever the
+    key skew, instead of once per branch of a long lineage.
+    """
+    from framelake.plans.joins import broadcast_if_small, materialize
+    keys = list(keys)
+    w = _local_window(keys, order, seg)
+    wr = w.rowsBetween(Window.unboundedPreceding, 0)
+    ws = Window.partitionBy(*keys, seg)
+    r1 = (df.withColumn("_lc", F.sum(value).over(wr))
+          .withColumn("_lm", F.min("_lc").over(wr))
+          .withColumn("_M", F.min("_lc").over(ws)))
+    segt = r1.groupBy(*keys, seg).agg(F.sum(value).alias("_T"), F.first("_M").alias("_M"))
+    segt = segment_prefix(segt, keys, "_T", "_off", "sum", seg)
+    segt = segment_prefix(segt.withColumn("_offM", F.col("_off") + F.col("_M")), keys, "_offM", "_pm", "min", seg)
+    segt = materialize(segt.select(*keys, seg, "_off", "_pm"))
+    j = r1.drop("_M").join(broadcast_if_small(segt), keys + [seg], "inner")
+    c = F.col("_off") + F.col("_lc")
+    run_min = F.least(F.col("_pm"), F.col("_off") + F.col("_lm"))
+    j = j.withColumn(out, c - F.least(F.lit(0), run_min)).drop("_lc", "_lm", "_off", "_pm")
+    if peak is None:
+        return j
+    r2 = j.withColumn("_ls", F.max(out).over(wr))
+    segx = r2.groupBy(*keys, seg).agg(F.max(out).alias("_X"))
+    segx = materialize(segment_prefix(segx, keys, "_X", "_px", "max", seg).select(*keys, seg, "_px"))
+    res = r2.join(broadcast_if_small(segx), keys + [seg], "inner")
+    return res.withColumn(peak, F.greatest(F.col("_px"), F.col("_ls"), F.lit(0))).drop("_ls", "_px")
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str],
                   prefix: str = "prev_", span: int | None = None) -> DataFrame:
     """Attach the previous row's ``cols`` (row at ``pos - 1`` of the same key).
