@@ -225,8 +225,7 @@ def chat_template(parts: DataFrame, add_generation_prompt: bool = True, add_visi
              .withColumn("_vid", (F.col("kind") == "video").cast("long")) \
              .withColumn("_ord", F.col("turn") * 65536 + F.col("ppos"))
     p = ordered.with_segments(p, ordered.span_segments("turn"))
-    p = ordered.running_sum(p, ["conv_id"], ["_ord"], "_img", "image_no")
-    p = ordered.running_sum(p, ["conv_id"], ["_ord"], "_vid", "video_no").drop(ordered.SEG)
+    p = ordered.running_sums(p, ["conv_id"], ["_ord"], {"_img": "image_no", "_vid": "video_no"}).drop(ordered.SEG)
     user_piece = content_markup(F.col("kind"), F.col("text"), F.col("image_no"), F.col("video_no"), add_vision_id)
     piece = F.when(F.col("role") == "user", user_piece).otherwise(F.coalesce(F.col("text"), F.lit("")))
     per_turn = (p.withColumn("_piece", piece).groupBy("conv_id", "turn", "role")

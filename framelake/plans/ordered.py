@@ -109,6 +109,25 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
             .drop("_lsum", "_off"))
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                 values: dict[str, str], seg: str = SEG) -> DataFrame:
+    """Several inclusive running sums ``{value: out}`` in one window pass and
+    one per-segment table (instead of chaining ``running_sum`` calls)."""
+    keys = list(keys)
+    w = _local_window(keys, order, seg).rowsBetween(Window.unboundedPreceding, 0)
+    local = df
+    for v in values:
+        local = local.withColumn(f"_l_{v}", F.sum(v).over(w))
+    seg_tot = local.groupBy(*keys, seg).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    for v in values:
+        seg_tot = segment_prefix(seg_tot, keys, f"_t_{v}", f"_o_{v}", "sum", seg)
+    seg_tot = seg_tot.select(*keys, seg, *[f"_o_{v}" for v in values])
+    res = local.join(seg_tot, on=keys + [seg], how="inner")
+    for v, o in values.items():
+        res = res.withColumn(o, F.col(f"_o_{v}") + F.col(f"_l_{v}")).drop(f"_o_{v}", f"_l_{v}")
+    return res
+
+
 def running_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                     value: str, out: str, how: str = "min", seg: str = SEG) -> DataFrame:
     """Inclusive running min or max of ``value`` within ``keys`` (segmented)."""
