@@ -20,13 +20,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
-    shared checkpoint folder (used for small tables read several times, such
-    as a vocabulary). Never a local checkpoint: it must survive lost executors."""
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once and cut its lineage: write it as parquet into a fresh
+    folder under the shared checkpoint folder (``spark.checkpoint.dir``) and read
+    it back. Used for small tables read several times (a vocabulary, the
+    per-segment summaries of a running total). One job, reliable storage --
+    never a local checkpoint or a machine-local folder on a cluster."""
+    import os
+    import uuid
+
     from framelake.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "framelake", name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
