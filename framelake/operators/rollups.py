@@ -143,13 +143,28 @@ def join_observations(df: DataFrame, part_frames: int = OBSERVATION_PART_FRAMES)
                  F.expr(f"listagg(_d, '{OBSERVATION_SEP}') WITHIN GROUP (ORDER BY frame_idx)").alias("text")))
 
 
-def video_rollup(df: DataFrame) -> DataFrame:
+NO_FRAMES_ERROR = "No frames could be extracted from video"
+
+
+def video_rollup(df: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """A1: one result per video (frame details stay in the frame table).
 
     success = any success; frames_analyzed = successful frames;
     total_frames_extracted = all frames; total_processing_time = sum rounded to 2;
     model = model of the first frame; summary = CPU fallback summary.
+    With ``requested`` (video_id), requested videos without any frame row get
+    the error result (success false, error 'No frames could be extracted from
+    video').
     """
+    if requested is not None:
+        done = video_rollup(df)
+        missing = requested.select("video_id").distinct().join(done.select("video_id"), "video_id", "left_anti")
+        err = missing.select(
+            "video_id", F.lit(False).alias("success"), F.lit(0).cast("long").alias("frames_analyzed"),
+            F.lit(0).cast("long").alias("total_frames_extracted"),
+            F.lit(None).cast("double").alias("total_processing_time"), F.lit(None).cast("string").alias("model_used"),
+            F.lit(None).cast("string").alias("summary"), F.lit(NO_FRAMES_ERROR).alias("error"))
+        return done.withColumn("error", F.lit(None).cast("string")).unionByName(err)
     ok = F.coalesce(F.col("success"), F.lit(False))
     agg = df.groupBy("video_id").agg(
         F.bool_or(ok).alias("success"),

@@ -66,3 +66,15 @@ def test_report_integer_mb(spark):
     ev = [("a", "alloc", 3 * MIB + 5), ("b", "alloc", MIB - 1)]
     rep = {r.tag: r.mb for r in lg.ledger_report(lg.ledger_by_tag(ledger_df(spark, ev))).collect()}
     assert rep == {"a": 3, "b": 0, "__total__": 4}
+
+
+def test_video_rollup_error_rows(spark):
+    from framelake.operators import rollups
+    a = spark.createDataFrame([(1, 0, True, "a person walks", None, 1.234, "m"), (1, 1, False, None, "HTTP 500", 2.0, "m")],
+                              "video_id long, frame_idx long, success boolean, description string, error string, "
+                              "processing_time double, model_used string")
+    req = spark.createDataFrame([(1,), (2,)], "video_id long")
+    got = {r.video_id: r for r in rollups.video_rollup(a, req).collect()}
+    assert got[1].success and got[1].frames_analyzed == 1 and got[1].total_frames_extracted == 2
+    assert got[1].total_processing_time == 3.23 and got[1].error is None
+    assert not got[2].success and got[2].error == "No frames could be extracted from video"
