@@ -145,10 +145,8 @@ def frame_memory(frames: DataFrame) -> DataFrame:
 def content_check(pixels: Column, channels: int) -> Column:
     """Frame non-empty (some channel mean > 0) and all values in [0, 255]."""
     in_range = F.forall(pixels, lambda x: (x >= 0) & (x <= 255))
-    if channels == 1:
-        nonempty = F.exists(pixels, lambda x: x > 0)
-    else:
-        nonempty = F.exists(pixels, lambda x: x > 0)  # a channel mean > 0 iff some value > 0
+    # for any channel count, some channel mean is > 0 iff some value is > 0
+    nonempty = F.exists(pixels, lambda x: x > 0)
     return nonempty & in_range
 
 

@@ -140,7 +140,6 @@ def describe_frames(frames: DataFrame, model_spec: str = "stub-frame", model_nam
         for pdf in it:
             n = len(pdf)
             attempts = np.ones(n, dtype=np.int32)
-            out = None
             pending = np.ones(n, dtype=bool)
             result = {k: [None] * n for k in ("status", "response", "latency", "error")}
             for a in range(MAX_ATTEMPTS):
@@ -200,7 +199,8 @@ def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group
     Frames are capped to the first ``max_frames`` sample positions *before*
     grouping (P9), so every group handed to the model is bounded.
     """
-    capped = frames.filter(F.col("sample_pos") < max_frames).select(
+    from framelake.operators.sampling import cap_frames
+    capped = cap_frames(frames, max_frames).select(
         F.col("video_id").cast("long"), F.col("sample_pos").cast("long"), "pixels")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -63,11 +63,6 @@ def meaningful_gpu(desc: Column) -> Column:
     return F.length(F.coalesce(desc, F.lit(""))) > GPU_MEANINGFUL
 
 
-def _longest(desc: Column, keep: Column) -> Column:
-    """O3: longest kept description, first in frame order wins ties."""
-    return F.max_by(F.when(keep, desc), F.when(keep, F.struct(F.length(desc), -F.col("frame_idx"))))
-
-
 def summary_parts(df: DataFrame) -> DataFrame:
     """Per-video pieces both fallback summaries need (all partial aggregates).
 
@@ -94,6 +89,7 @@ def summary_parts(df: DataFrame) -> DataFrame:
         F.count_if("_ok").alias("n_success"),
         F.count_if("_cpu").alias("n_cpu_meaningful"),
         F.count_if("_gpu").alias("n_gpu_meaningful"),
+        # O3: longest kept description, the first in frame order wins ties
         F.max_by(F.when(F.col("_cpu"), F.col("_s")), F.when(F.col("_cpu"), F.struct("_ls", neg))).alias("cpu_longest"),
         F.max_by(F.when(F.col("_gpu"), F.col("_raw")), F.when(F.col("_gpu"), F.struct("_lr", neg))).alias("gpu_longest"),
         *[F.bool_or(f"_t_{name}").alias(f"theme_{name}") for name in THEMES])

@@ -22,10 +22,6 @@ from framelake.plans import ordered
 from framelake.plans.joins import broadcast_if_small
 
 
-def _i(c: str = "i") -> Column:
-    return F.col(c).cast("double")
-
-
 # --- index rules, as columns of (i, total_frames) --------------------------------
 
 def uniform_index(n: int, i: Column, t: Column) -> Column:
