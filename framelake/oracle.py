@@ -486,13 +486,16 @@ pieces AS (
                   CASE WHEN e.tid >= 0 AND e.tid < 50000 THEN '[' || CAST(e.tid AS VARCHAR) || ']' ELSE '<unk>' END) AS piece
   FROM ex e LEFT JOIN rev r ON r.id = e.tid
   WHERE NOT list_contains({_SPECIALS}, e.tid)),
+flags AS (
+  SELECT *, from_vocab AND starts_with(piece, 'Ġ') AS bpe,
+         CASE WHEN from_vocab AND starts_with(piece, 'Ġ') THEN length(piece) > 1 ELSE length(piece) > 0 END AS writes
+  FROM pieces),
+firsts AS (SELECT *, min(ipos) FILTER (WHERE writes) OVER (PARTITION BY doc_id) AS first_w FROM flags),
 folded AS (
   SELECT doc_id,
-         list_reduce(list_prepend({{'p': '', 'v': false}}, list({{'p': piece, 'v': from_vocab}} ORDER BY ipos)),
-                     lambda acc, x: {{'p': CASE WHEN x.v AND starts_with(x.p, 'Ġ')
-                                                THEN acc.p || CASE WHEN acc.p = '' THEN '' ELSE ' ' END || substr(x.p, 2)
-                                                ELSE acc.p || x.p END, 'v': false}}).p AS raw
-  FROM pieces GROUP BY doc_id),
+         string_agg(CASE WHEN bpe THEN (CASE WHEN first_w IS NOT NULL AND ipos > first_w THEN ' ' ELSE '' END) || substr(piece, 2)
+                         ELSE piece END, '' ORDER BY ipos) AS raw
+  FROM firsts GROUP BY doc_id),
 dec AS (SELECT t.doc_id, regexp_replace(regexp_replace(coalesce(f.raw, ''), '^ +', ''), ' +', ' ', 'g') AS text
         FROM tok t LEFT JOIN folded f USING (doc_id))
 SELECT d.doc_id, d.text,
