@@ -51,6 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        # a driver-local folder is invisible to executors on a cluster
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (streaming state and "
+                           "materialised tables are written there)")
     local = tempfile.mkdtemp(prefix="framelake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
