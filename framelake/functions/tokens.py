@@ -249,7 +249,9 @@ def detokenize(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "inpu
     grouped = placed.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("ipos", "piece", "from_vocab"))).alias("_p"),
         *[F.first(c).alias(c) for c in carry])
-    parts = grouped.select(key, *carry, F.filter("_p", lambda p: p["piece"].isNotNull()).alias("_p"))
+    # NULL pieces (skipped specials, texts without ids) stay in the array: both
+    # array_position and array_join below ignore them, so no extra filter pass
+    parts = grouped
     # A BPE-marked piece gets its space only once something has been written,
     # i.e. after the first piece that writes a character. That index is found
     # with one pass (its own column, so the lambda below does not recompute
