@@ -992,3 +992,33 @@ WITH {FRAMES}
 SELECT video_id, frame_idx, CAST(len(pixels) AS INTEGER) AS n_values,
        {r6("list_sum(list_transform(pixels, lambda x: CAST(CAST(x AS FLOAT) * CAST(1.0 / 255.0 AS FLOAT) AS DOUBLE)))")} AS norm_sum
 FROM frames"""
+
+SQL["round_robin"] = f"""
+WITH {FRAMES}, {UNIFORM_SAMPLE}
+SELECT video_id, sample_pos, CAST(row_number() OVER (ORDER BY video_id, sample_pos) - 1 AS BIGINT) AS pos,
+       CAST((row_number() OVER (ORDER BY video_id, sample_pos) - 1) % 3 AS BIGINT) AS device
+FROM sf"""
+
+SQL["ledger_admission"] = f"""
+WITH RECURSIVE {LEDGER},
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn,
+                    CASE WHEN op = 'alloc' THEN bytes ELSE -bytes END AS x FROM led),
+walk(rn, total) AS (
+  SELECT rn, greatest(0, x) FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.rn, greatest(0, w.total + n.x) FROM walk w JOIN numbered n ON n.rn = w.rn + 1)
+SELECT n.seq, n.bytes, CAST(w.total - n.bytes AS BIGINT) AS current, w.total <= 4194304 AS admit
+FROM numbered n JOIN walk w USING (rn) WHERE n.op = 'alloc'"""
+
+SQL["multimodal_positions"] = f"""
+WITH c AS (SELECT conv_id, turn, text, turn % 4 AS n_img, conv_id % 3 AS n_vid FROM conversations),
+ids AS (SELECT conv_id, turn,
+               (CAST(flatten(list_transform(range(n_img), lambda i: [151652, 151655, 151653])
+                             || list_transform(range(n_vid), lambda i: [151652, 151656, 151653])) AS BIGINT[])
+                || {fallback_ids('text')})[1:2048] AS input_ids
+        FROM c),
+p AS (SELECT conv_id, turn, input_ids, CAST(range(0, len(input_ids)) AS BIGINT[]) AS pos FROM ids)
+SELECT conv_id, turn, pos AS temporal, pos AS height, pos AS width,
+       [CAST(len(list_filter(input_ids, lambda x: x IN (151655, 151656))) AS BIGINT)] AS mrope_deltas,
+       pos || pos || pos AS position_3d
+FROM p"""

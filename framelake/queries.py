@@ -824,3 +824,43 @@ def frame_processor_plugin(spark, sf):
     f = inf.process_frames(tb.frames_gray(spark, sf))
     return f.select("video_id", "frame_idx", F.size("processed").alias("n_values"),
                     r6(F.aggregate("processed", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("norm_sum"))
+
+
+@query("round_robin")
+def round_robin(spark, sf):
+    """Uniform-sampled frames dealt to 3 devices in (video, sample) order."""
+    from framelake.operators import batches
+    from framelake.plans import ordered
+    frames = tb.frames_gray(spark, sf)
+    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N).select(
+        "video_id", "sample_pos", (F.col("video_id").cast("long") * UNIFORM_N + F.col("sample_pos")).alias("_o"))
+    s = ordered.with_segments(s, ordered.span_segments("_o"))
+    s = ordered.dense_positions(s, [], ["_o"], out="pos").drop(ordered.SEG, "_o")
+    return batches.assign_round_robin(s, 3)
+
+
+@query("ledger_admission")
+def ledger_admission(spark, sf):
+    """Would each allocation fit under a 4 MiB limit given the total before it?"""
+    from framelake.operators import ledger
+    run = ledger.ledger_running(tb.ledger(spark, sf))
+    before = F.col("total") - F.when(F.col("op") == "alloc", F.col("bytes")).otherwise(F.lit(0))
+    return run.filter(F.col("op") == "alloc").select(
+        "seq", "bytes", before.alias("current"), ((before + F.col("bytes")) <= F.lit(4 * 1024 * 1024)).alias("admit"))
+
+
+@query("multimodal_positions")
+def multimodal_positions(spark, sf):
+    """N4/N5 over the model inputs of every conversation message."""
+    from framelake.functions import prompts as pr
+    from framelake.functions import tokens as tk
+    c = _conv_counts(tb.read(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    ids = F.concat(pr.vision_tokens(F.col("n_img"), F.col("n_vid")), tk.tokenize_fallback(F.col("text")))
+    m = c.select("conv_id", "turn", tk.truncate_tokens(ids, tk.QWEN_MAX_TOKENS).alias("_ids"))
+    m = m.select("conv_id", "turn", pr.model_input(F.col("_ids")).alias("m"))
+    n = F.col("m.sequence_length")
+    mm = m.select("conv_id", "turn", n.alias("n"),
+                  pr.multimodal_positions(n, F.col("m.image_positions"), F.col("m.video_positions")).alias("p"))
+    return mm.select("conv_id", "turn", F.col("p.temporal").alias("temporal"), F.col("p.height").alias("height"),
+                     F.col("p.width").alias("width"), F.col("p.mrope_deltas").alias("mrope_deltas"),
+                     pr.position_tensor_3d(F.col("n")).alias("position_3d"))
