@@ -154,14 +154,14 @@ def clamped_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[st
     lc, the local running min of lc, and per segment the total and the minimum
     of lc. The per-segment table (one row per segment) gets its two-level
     prefixes -- offset = sum of earlier totals, minimum of C over earlier
-    segments -- and is checkpointed (a small table written once to the shared
-    checkpoint folder), then joined back behind a size check.
+    segments -- and is written once to the shared checkpoint folder, then joined
+    back (broadcast by the planner from the written file size when small).
     round 2 (only for ``peak``): the same for the running max of S; the peak
     starts at 0.
     The data is read once per round plus once for the result, whatever the
     key skew, instead of once per branch of a long lineage.
     """
-    from framelake.plans.joins import broadcast_if_small, materialize
+    from framelake.plans.joins import materialize
     keys = list(keys)
     w = _local_window(keys, order, seg)
     wr = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -173,7 +173,9 @@ def clamped_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[st
     segt = segment_prefix(segt, keys, "_T", "_off", "sum", seg)
     segt = segment_prefix(segt.withColumn("_offM", F.col("_off") + F.col("_M")), keys, "_offM", "_pm", "min", seg)
     segt = materialize(segt.select(*keys, seg, "_off", "_pm"))
-    j = r1.drop("_M").join(broadcast_if_small(segt), keys + [seg], "inner")
+    # segt is a written parquet table: the planner sees its file size and
+    # broadcasts it when small (no extra counting job)
+    j = r1.drop("_M").join(segt, keys + [seg], "inner")
     c = F.col("_off") + F.col("_lc")
     run_min = F.least(F.col("_pm"), F.col("_off") + F.col("_lm"))
     j = j.withColumn(out, c - F.least(F.lit(0), run_min)).drop("_lc", "_lm", "_off", "_pm")
@@ -182,7 +184,7 @@ def clamped_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[st
     r2 = j.withColumn("_ls", F.max(out).over(wr))
     segx = r2.groupBy(*keys, seg).agg(F.max(out).alias("_X"))
     segx = materialize(segment_prefix(segx, keys, "_X", "_px", "max", seg).select(*keys, seg, "_px"))
-    res = r2.join(broadcast_if_small(segx), keys + [seg], "inner")
+    res = r2.join(segx, keys + [seg], "inner")
     return res.withColumn(peak, F.greatest(F.col("_px"), F.col("_ls"), F.lit(0))).drop("_ls", "_px")
 
 
