@@ -1022,3 +1022,33 @@ SELECT conv_id, turn, pos AS temporal, pos AS height, pos AS width,
        [CAST(len(list_filter(input_ids, lambda x: x IN (151655, 151656))) AS BIGINT)] AS mrope_deltas,
        pos || pos || pos AS position_3d
 FROM p"""
+
+# float16 by mantissa truncation, computed arithmetically (independent of the
+# bit manipulation in the Arrow UDFs)
+SQL["vector_half_bits"] = f"""
+WITH {VECTORS},
+e AS (SELECT vec_id, unnest(CAST(vec AS FLOAT[])) AS x, generate_subscripts(vec, 1) AS i FROM vectors),
+a AS (SELECT vec_id, i, x, CASE WHEN x < 0 THEN 1 ELSE 0 END AS s, abs(CAST(x AS DOUBLE)) AS ax FROM e),
+g AS (SELECT *, CASE WHEN isnan(x) OR isinf(x) OR ax = 0 THEN 0 ELSE CAST(floor(log2(ax)) AS INTEGER) END AS e0 FROM a),
+h AS (SELECT *, CASE WHEN ax = 0 OR isnan(x) OR isinf(x) THEN e0
+                     WHEN pow(2.0, e0) > ax THEN e0 - 1 WHEN pow(2.0, e0 + 1) <= ax THEN e0 + 1 ELSE e0 END AS ex FROM g),
+bits AS (
+  SELECT vec_id, i,
+         CAST(CASE WHEN isnan(x) THEN 32256
+                   WHEN isinf(x) THEN s * 32768 + 31744
+                   WHEN ax < pow(2.0, -126) THEN s * 32768
+                   WHEN ex + 15 <= 0 THEN s * 32768
+                   WHEN ex + 15 >= 31 THEN s * 32768 + 31744
+                   ELSE s * 32768 + (ex + 15) * 1024 + CAST(floor((ax / pow(2.0, ex) - 1) * 1024) AS INTEGER) END AS INTEGER) AS b
+  FROM h),
+d AS (SELECT vec_id, i, b, b // 32768 AS hs, (b // 1024) % 32 AS he, b % 1024 AS hm FROM bits),
+v AS (SELECT *, CAST(CASE WHEN he = 31 AND hm = 0 THEN (CASE WHEN hs = 1 THEN '-Infinity' ELSE 'Infinity' END)::DOUBLE
+                          WHEN he = 31 THEN 'NaN'::DOUBLE
+                          WHEN he = 0 THEN (1 - 2 * hs) * hm * pow(2.0, -24)
+                          ELSE (1 - 2 * hs) * pow(2.0, he - 15) * (1 + hm / 1024.0) END AS FLOAT) AS back FROM d),
+z AS (SELECT *, isnan(back) OR isinf(back) AS bad, NOT (isnan(back) OR isinf(back)) AND abs(back) > 50 AS big FROM v)
+SELECT vec_id, list(b ORDER BY i) AS bits, list(back ORDER BY i) AS back,
+       list(CASE WHEN bad THEN 0 WHEN big THEN CAST(hs * 32768 + 21056 AS INTEGER) ELSE b END ORDER BY i) AS sanitized_bits,
+       CAST(count(*) FILTER (WHERE bad) AS INTEGER) AS invalid_count,
+       CAST(count(*) FILTER (WHERE big) AS INTEGER) AS clamped_count
+FROM z GROUP BY vec_id"""

@@ -455,8 +455,10 @@ def vector_half_bits(spark, sf):
     from framelake.functions import halfprec as hp
     v = tb.vectors(spark, sf).select("vec_id", F.col("vec").cast("array<float>").alias("v"))
     b = v.select("vec_id", hp.to_half_bits(F.col("v")).alias("bits"))
-    return b.select("vec_id", "bits", hp.from_half_bits(F.col("bits")).alias("back"),
-                    hp.sanitize_half(F.col("bits")).alias("sanitized"))
+    r = b.select("vec_id", "bits", hp.from_half_bits(F.col("bits")).alias("back"),
+                 hp.sanitize_half(F.col("bits")).alias("s"))
+    return r.select("vec_id", "bits", "back", F.col("s.bits").alias("sanitized_bits"),
+                    F.col("s.invalid_count").alias("invalid_count"), F.col("s.clamped_count").alias("clamped_count"))
 
 
 # --- telemetry -----------------------------------------------------------------------
