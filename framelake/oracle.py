@@ -1052,3 +1052,23 @@ SELECT vec_id, list(b ORDER BY i) AS bits, list(back ORDER BY i) AS back,
        CAST(count(*) FILTER (WHERE bad) AS INTEGER) AS invalid_count,
        CAST(count(*) FILTER (WHERE big) AS INTEGER) AS clamped_count
 FROM z GROUP BY vec_id"""
+
+# Bilinear resize with half-pixel centres, rounded half to even (numpy rint).
+SQL["image_resize"] = f"""
+WITH {CFRAMES},
+grid AS (SELECT y, x, c FROM range(0, 6) t1(y), range(0, 14) t2(x), range(0, 3) t3(c)),
+m AS (SELECT y, x, c,
+             least(greatest((y + 0.5) * (3.0 / 6) - 0.5, 0.0), 2.0) AS ys,
+             least(greatest((x + 0.5) * (7.0 / 14) - 0.5, 0.0), 6.0) AS xs FROM grid),
+m2 AS (SELECT *, CAST(floor(ys) AS INTEGER) AS y0, CAST(floor(xs) AS INTEGER) AS x0 FROM m),
+m3 AS (SELECT *, least(y0 + 1, 2) AS y1, least(x0 + 1, 6) AS x1, ys - y0 AS fy, xs - x0 AS fx FROM m2),
+px AS (
+  SELECT f.video_id, f.frame_idx, m3.c,
+         round_even(
+           (f.pixels[(m3.y0 * 7 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y0 * 7 + m3.x1) * 3 + m3.c + 1] * m3.fx) * (1 - m3.fy)
+         + (f.pixels[(m3.y1 * 7 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y1 * 7 + m3.x1) * 3 + m3.c + 1] * m3.fx) * m3.fy, 0) AS v
+  FROM cframes f, m3)
+SELECT video_id, frame_idx, 6 AS out_height, 14 AS out_width,
+       {r6("sum(CAST(CAST(v AS FLOAT) * CAST(1.0 / 255.0 AS FLOAT) AS DOUBLE))")} AS rgb_norm_sum,
+       max(v) > 0 AS content_ok
+FROM px GROUP BY video_id, frame_idx"""

@@ -866,3 +866,12 @@ def multimodal_positions(spark, sf):
     return mm.select("conv_id", "turn", F.col("p.temporal").alias("temporal"), F.col("p.height").alias("height"),
                      F.col("p.width").alias("width"), F.col("p.mrope_deltas").alias("mrope_deltas"),
                      pr.position_tensor_3d(F.col("n")).alias("position_3d"))
+
+
+@query("image_resize")
+def image_resize(spark, sf):
+    """N10 + N12 + N13 (3x7 -> 6x14 bilinear, BGR -> RGB, / 255) and N19 on image structs."""
+    from framelake.functions import images as im
+    p = im.preprocess_images(_image_frames(spark, sf), 6, 14)
+    return p.select("video_id", "frame_idx", "out_height", "out_width",
+                    r6(F.col("rgb_norm_sum")).alias("rgb_norm_sum"), "content_ok")
