@@ -139,7 +139,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     # anchors that are somebody's nearest and have two members at least; counts combine before the shuffle
     busy = (reps.groupBy("part", "anchor").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("any_home"))
             .filter("m > 1 AND any_home").select("part", "anchor", F.ceil(F.col("m") / block).cast("int").alias("k")))
-    met = reps.join(busy, ["part", "anchor"])  # AQE splits a hot anchor here
+    # a written table is exchanged for the join alone, so that AQE can split a hot anchor's partition
+    met = reps.join(staged(busy, "simhash-anchors"), ["part", "anchor"])
     mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     to = F.transform(F.sequence(F.lit(0), F.col("k") - 1),
                      lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
@@ -166,6 +167,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One large-star or small-star round over edges (a, b), a > b."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("lo")).withColumn("lo", F.least("a", "lo"))
+    least = staged(least, "simhash-least")  # so that AQE can split the neighbours of a hot node
     met = both.join(least, "a")
     if small:  # neighbours below a, and a itself, go to the least of them
         out = met.select(F.col("b").alias("a"), F.col("lo").alias("b")).unionByName(
@@ -198,8 +200,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = components(links(fps.filter("node IS NOT NULL"), max_bits, block))
     classes = fps.join(joined, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id"))
-    # one row per fingerprint on the right; a hot fingerprint on the left is split by AQE
-    return thin.join(classes, "fp").select(
+    # one row per fingerprint on the right, written; AQE can split a hot fingerprint on the left
+    return thin.join(staged(classes, "simhash-classes"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
