@@ -85,8 +85,9 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
     maybe = marked.filter("maybe").select("doc_id", "digest")
-    # groups has one row per digest; a hot digest on the other side is split by AQE's skew join
-    several = maybe.join(_groups(maybe), "digest").select(
+    # a written table has no partitioning of its own: both sides are exchanged for the join alone, so that
+    # AQE can split the partition of a hot digest
+    several = maybe.join(staged(_groups(maybe), "exact-groups"), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"))
     return alone.unionByName(several)
@@ -100,7 +101,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bits = _filter_bits(thin.count())
     repeated = staged(repeated_slots(thin, bits), "exact-filter")
     groups = _groups(possibly_repeated(thin, "digest", repeated, bits, "maybe").filter("maybe"))
-    groups = groups.select(F.col("digest").alias("__of"), F.col("keep_id").alias("__keep"))
+    groups = staged(groups.select(F.col("digest").alias("__of"), F.col("keep_id").alias("__keep")), "exact-groups")
     marked = possibly_repeated(named, "__digest", repeated, bits, "__maybe")
     stays = marked.filter("__maybe").join(
         groups, (F.col("__digest") == F.col("__of")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
