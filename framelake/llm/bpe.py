@@ -42,8 +42,8 @@ from framelake.session import ensure_checkpoint_dir
 from .common import read_table, staged
 
 VOCABULARY = "word_bpe_49k.json"
-LEXICON_WORDS = 1 << 16
-CACHED_WORDS = 1 << 17  # of words met by one Python worker
+LEXICON_WORDS = 1 << 17
+CACHED_WORDS = 1 << 18  # latest words met by one Python worker; as many older ones stay at hand
 WORD_END = "</w>"
 
 # Characters for which lower-casing, NFC and the split are the same rules everywhere: ASCII
@@ -74,9 +74,9 @@ class Vocabulary:
         self.tokens = {i: t for t, i in ids.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
-        self.pairs = {}
-        for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.pairs[ids[a], ids[b]] = (rank, ids[a + b])
+        merges = spec["model"]["merges"]
+        self.pairs = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.merged = [ids[a + b] for a, b in merges]  # by rank
         letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.inner = [ids[c] for c in letters]
@@ -101,32 +101,39 @@ class Vocabulary:
         ids.append(self.last[word[-1]])
         if len(ids) > 48:
             return self._merge_long(ids)
-        pairs, none = self.pairs, (1 << 30, 0)
-        while len(ids) > 1:
-            (rank, new), at = min((pairs.get(p, none), k) for k, p in enumerate(zip(ids, ids[1:])))
-            if rank == none[0]:
+        rank_of, never = self.pairs.get, len(self.merged)
+        ranks = [rank_of(p, never) for p in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == never:
                 break
-            ids[at:at + 2] = [new]
+            k = ranks.index(rank)
+            ids[k:k + 2] = [self.merged[rank]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank_of((ids[k - 1], ids[k]), never)
+            if k < len(ranks):
+                ranks[k] = rank_of((ids[k], ids[k + 1]), never)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over linked positions, for words whose square would be slow."""
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        heap = [(self.pairs[p][0], k, p) for k, p in enumerate(zip(ids, ids[1:])) if p in self.pairs]
+        heap = [(self.pairs[p], k, p) for k, p in enumerate(zip(ids, ids[1:])) if p in self.pairs]
         heapq.heapify(heap)
         alive = [True] * len(ids)
 
         def offer(a: int) -> None:
             b = after[a] if a >= 0 else -1
             if b >= 0 and (p := (ids[a], ids[b])) in self.pairs:
-                heapq.heappush(heap, (self.pairs[p][0], a, p))
+                heapq.heappush(heap, (self.pairs[p], a, p))
 
         while heap:
             _, a, p = heapq.heappop(heap)
             b = after[a]
             if not alive[a] or b < 0 or (ids[a], ids[b]) != p:
                 continue
-            ids[a], alive[b], after[a] = self.pairs[p][1], False, after[b]
+            ids[a], alive[b], after[a] = self.merged[self.pairs[p]], False, after[b]
             if after[b] >= 0:
                 before[after[b]] = a
             offer(a)
@@ -220,15 +227,20 @@ class _Ids(dict):
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
-        got = self.lexicon.get(raw)
+        got = self.older.get(word)
         if got is None:
-            got = np.asarray(self.vocabulary.merge(raw), "<u4").tobytes()
+            raw = word.encode("utf-8")
+            got = self.lexicon.get(raw)
+            if got is None:
+                ids = self.vocabulary.merge(raw)
+                got = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
             self.clear()
-        if len(raw) <= 64:
+        if len(word) <= 64:
             self[word] = got
         return got
 
@@ -267,9 +279,11 @@ def _encoder(vocabulary: str, lexicon: str) -> Encoder:
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent lower-case words, counted over all rows: every word at least as
     frequent as some count, chosen so that there are ``most`` at most."""
-    runs = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), f"[^{_LETTERS}]+")
-    counted = staged(docs.select(F.explode(runs).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-                     .filter("n > 1 AND w <> '' AND length(w) <= 40")
+    # pieces between blanks are counted first; lower case and the split into letters then run on distinct pieces only
+    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" "))
+    pieces = docs.select(F.explode(F.split(text, " ")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    words = pieces.select(F.explode(F.split(F.lower("p"), f"[^{_LETTERS}]+")).alias("w"), "n")
+    counted = staged(words.filter("w <> '' AND length(w) <= 40").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
                      .withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "bpe-words")
     left, least = most, None
     for level, words in sorted(counted.groupBy("level").count().collect(), reverse=True):  # under 520 levels
