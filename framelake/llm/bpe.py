@@ -43,8 +43,9 @@ from .common import read_table, staged
 
 VOCABULARY = "word_bpe_49k.json"
 LEXICON_WORDS = 1 << 17
-CACHED_WORDS = 1 << 18  # latest words met by one Python worker; as many older ones stay at hand
+CACHED_WORDS = 1 << 17  # latest words met by one Python worker; as many older ones stay at hand
 WORD_END = "</w>"
+SLICE = 500  # rows encoded before their ids are handed on
 
 # Characters for which lower-casing, NFC and the split are the same rules everywhere: ASCII
 # without control characters, Latin letters up to U+017F (but not the dotted capital I, whose
@@ -66,8 +67,7 @@ class Vocabulary:
     """Ids, merge ranks and word splitting of one tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         ids = spec["model"]["vocab"]
@@ -81,9 +81,17 @@ class Vocabulary:
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.inner = [ids[c] for c in letters]
         self.last = [ids[c + WORD_END] for c in letters]
-        self.library = Tokenizer.from_file(path)
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
+    @property
+    def library(self):
+        """The tokenizer library's object, made when the first odd text needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings."""
         if not _ODD.search(text):
@@ -327,7 +335,7 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(*shipped)
-        for b in batches:
+        for b in (x.iloc[at:at + SLICE] for x in batches for at in range(0, len(x), SLICE)):
             raw = [enc.encode(t) for t in b["__text"]]
             out = b[list(columns)].copy()
             out["n_tokens"] = [len(r) // 4 for r in raw]

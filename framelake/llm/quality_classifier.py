@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import hashed_fraction, read_table
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 DIMENSIONS = 4096
 THRESHOLD = 0.5  # documents that score less are rejected
 LEVELS = 8
@@ -125,13 +125,15 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 150, l2: float =
     """Weights and bias of a logistic scorer for soft targets; both classes weigh the same."""
     share = min(0.99, max(0.01, float(target.mean()))) if len(target) else 0.5
     weight = target / (2 * share) + (1 - target) / (2 * (1 - share))
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, moved = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    # single precision throughout: a wider vector would copy the whole matrix at every product
+    target, weight = target.astype(np.float32), weight.astype(np.float32)
+    w, moved = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
     for k in range(rounds if len(x) else 0):  # Nesterov's accelerated gradient
-        ahead = w + (k / (k + 3)) * moved
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        step = x.T @ (weight * (p - target)) / len(x) + l2 * ahead
-        new = ahead - 1.0 * step
+        ahead = w + np.float32(k / (k + 3)) * moved
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead[:-1] + ahead[-1], -30, 30)))
+        miss = weight * (p - target) / np.float32(len(x))
+        step = np.append(x.T @ miss, miss.sum()) + np.float32(l2) * ahead
+        new = ahead - step
         moved, w = new - w, new
     return w
 
@@ -173,42 +175,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return posterior, fit_scorer(x, got["target"].to_numpy(float)), report
 
 
-def _score(docs: DataFrame, model: tuple, columns: list[str], text_col: str, threshold: float) -> DataFrame:
+def _judged(docs: DataFrame, model: tuple, text_col: str, threshold: float, name: str) -> DataFrame:
+    """``docs`` with the struct column ``name``: n_votes, posterior, score, kept. Only texts go to Python, and only
+    the four values come back; the other columns stay in the JVM."""
     posterior, weights, _ = model
     w, bias = weights[:-1].astype(np.float32), float(weights[-1])
-    extra = ["__votes", "__posterior", "__score", "__kept"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    @F.pandas_udf("n_votes long, posterior double, score double, kept boolean")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
             rows = []
-            for t in b["__text"]:
+            for t in batch:
                 s = signals(t)
                 p = votes(s)
                 score = 1 / (1 + np.exp(-np.clip(float(features(t, s) @ w) + bias, -30, 30)))
                 rows.append((sum(p // 3 ** k % 3 != 1 for k in range(len(LABELLERS))), posterior[p], score, score >= threshold))
-            out = b[columns].copy()
-            out[extra] = pd.DataFrame(rows, columns=extra, index=b.index)
-            yield out
+            yield pd.DataFrame(rows, columns=["n_votes", "posterior", "score", "kept"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    schema += ", __votes long, __posterior double, __score double, __kept boolean"
-    return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInPandas(run, schema)
+    return docs.withColumn(name, judge(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS,
              threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_votes, posterior (of its votes), score, kept."""
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = _score(thin, fit(thin, train_rows=train_rows), ["doc_id"], "text", threshold)
-    return out.select("doc_id", F.col("__votes").alias("n_votes"), F.col("__posterior").alias("posterior"),
-                      F.col("__score").alias("score"), F.col("__kept").alias("kept"))
+    out = _judged(thin, fit(thin, train_rows=train_rows), "text", threshold, "is")
+    return out.select("doc_id", "is.n_votes", "is.posterior", "is.score", "is.kept")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS,
               threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, that the classifier accepts."""
-    scored = _score(docs, fit(docs, id_col, text_col, train_rows), docs.columns, text_col, threshold)
-    return scored.filter("__kept").select(*docs.columns)
+    out = _judged(docs, fit(docs, id_col, text_col, train_rows), text_col, threshold, "__is")
+    return out.filter("__is.kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
