@@ -21,7 +21,8 @@ equal training blocks, each of which holds every source by its weight.
 
 Defined cases: null text has no tokens; a null source is a source of its own; a source without
 tokens has weight 0 and its documents are used once; rows that repeat an id are taken or left together;
-an empty table gives an empty result; extra columns pass through ``mix``.
+an empty table gives an empty result; extra columns pass through ``mix`` (if one is called copy, position or block, the
+new column's name ends in ``_of_mix``).
 """
 
 from __future__ import annotations
@@ -147,7 +148,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     position = ((F.col("__copy") + place(F.col(id_col), F.col("__copy"), seed))
                 / F.greatest(F.lit(1e-9), F.col("__passes") + F.col("__cut")))
     met = met.withColumn("__position", F.least(position, F.lit(1 - 2.0 ** -53)))
-    copy, pos, block = names
+    taken = set(docs.columns)
+    copy, pos, block = (n if n not in taken else f"{n}_of_mix" for n in names)
     return met.select(*docs.columns, F.col("__copy").alias(copy), F.col("__position").alias(pos),
                       F.floor(F.col("__position") * blocks).alias(block))
 
