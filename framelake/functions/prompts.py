@@ -217,34 +217,33 @@ def chat_template(parts: DataFrame, add_generation_prompt: bool = True, add_visi
     Input: one row per content part: conv_id, turn, role, ppos (part position
     within the turn), kind ('text' | 'image' | 'video'), text. Non-user turns
     use only their text. A default system turn is added when the conversation
-    has none; roles other than system/user/assistant are dropped; image/video
-    numbers run across the whole conversation (segmented running sums).
-    Output: conv_id, part, text -- the template is the parts joined in order.
+    has none; roles other than system/user/assistant are dropped (a conversation
+    of such turns keeps the default system turn and the open assistant turn); image/video
+    numbers count the user's media across the whole conversation (segmented running sums).
+    Output: conv_id, text -- one template per conversation, put together in two levels
+    (runs of ``part_turns`` turns, then the runs).
     """
-    p = parts.withColumn("_img", (F.col("kind") == "image").cast("long")) \
-             .withColumn("_vid", (F.col("kind") == "video").cast("long")) \
-             .withColumn("_ord", F.col("turn") * 65536 + F.col("ppos"))
+    mine = F.col("role") == "user"
+    p = parts.withColumn("_img", F.coalesce((mine & (F.col("kind") == "image")).cast("long"), F.lit(0))) \
+             .withColumn("_vid", F.coalesce((mine & (F.col("kind") == "video")).cast("long"), F.lit(0)))
     p = ordered.with_segments(p, ordered.span_segments("turn"))
-    p = ordered.running_sums(p, ["conv_id"], ["_ord"], {"_img": "image_no", "_vid": "video_no"}).drop(ordered.SEG)
+    p = ordered.running_sums(p, ["conv_id"], ["turn", "ppos"], {"_img": "image_no", "_vid": "video_no"}).drop(ordered.SEG)
     user_piece = content_markup(F.col("kind"), F.col("text"), F.col("image_no"), F.col("video_no"), add_vision_id)
     piece = F.when(F.col("role") == "user", user_piece).otherwise(F.coalesce(F.col("text"), F.lit("")))
     per_turn = (p.withColumn("_piece", piece).groupBy("conv_id", "turn", "role")
                 .agg(F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY ppos)").alias("_body")))
     wrapped = (F.when(F.col("role") == "system", F.concat(F.lit(SYSTEM_START), "_body", F.lit(SYSTEM_END)))
                .when(F.col("role") == "user", F.concat(F.lit(USER_START), "_body", F.lit(USER_END)))
-               .when(F.col("role") == "assistant", F.concat(F.lit(ASSISTANT_START), "_body", F.lit(ASSISTANT_END))))
-    per_turn = per_turn.withColumn("_w", wrapped).filter(F.col("_w").isNotNull())
-    conv = parts.groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("_has_sys"),
-                                        F.max("turn").alias("_last"))
-    body = (per_turn.withColumn("part", F.expr(f"turn div {part_turns}"))
-            .groupBy("conv_id", "part").agg(F.expr("listagg(_w, '') WITHIN GROUP (ORDER BY turn)").alias("_t")))
-    j = body.join(conv, "conv_id")
-    head = F.when((F.col("part") == 0) & ~F.col("_has_sys"), F.lit(SYSTEM_START + DEFAULT_SYSTEM + SYSTEM_END)) \
-        .otherwise(F.lit(""))
-    tail = F.lit("")
-    if add_generation_prompt:
-        tail = F.when(F.col("part") == F.expr(f"_last div {part_turns}"), F.lit(ASSISTANT_START)).otherwise(F.lit(""))
-    return j.select("conv_id", "part", F.concat(head, "_t", tail).alias("text"))
+               .when(F.col("role") == "assistant", F.concat(F.lit(ASSISTANT_START), "_body", F.lit(ASSISTANT_END)))
+               .otherwise(F.lit("")))
+    runs = (per_turn.withColumn("_w", wrapped).withColumn("_run", F.expr(f"turn div {part_turns}"))
+            .groupBy("conv_id", "_run").agg(F.expr("listagg(_w, '') WITHIN GROUP (ORDER BY turn)").alias("_t"),
+                                            F.bool_or(F.col("role") == "system").alias("_sys")))
+    conv = runs.groupBy("conv_id").agg(F.expr("listagg(_t, '') WITHIN GROUP (ORDER BY _run)").alias("_t"),
+                                       F.coalesce(F.bool_or("_sys"), F.lit(False)).alias("_sys"))
+    head = F.when(F.col("_sys"), F.lit("")).otherwise(F.lit(SYSTEM_START + DEFAULT_SYSTEM + SYSTEM_END))
+    tail = F.lit(ASSISTANT_START if add_generation_prompt else "")
+    return conv.select("conv_id", F.concat(head, "_t", tail).alias("text"))
 
 
 def chat_message(role: Column, content: Column) -> Column:

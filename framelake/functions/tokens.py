@@ -45,9 +45,6 @@ UNK_TEXT = "<unk>"
 QWEN_MAX_TOKENS = 2048
 LLAMA_MAX_TOKENS = 4096
 
-# Vocabularies up to this many entries are broadcast for lookups (checked by count).
-VOCAB_BROADCAST_ROWS = 2_000_000
-
 # istringstream word separators, spelled out (a bare \s differs between engines)
 WS_CLASS = "[ \\t\\n\\r\\f\\x0B]"
 
@@ -123,8 +120,6 @@ def tokenize(texts: DataFrame, vocab: DataFrame, key: str, text_col: str = "text
         key, F.posexplode_outer(words(F.col(text_col))).alias("wpos", "word"))
     cmap = single_char_map(vocab)
     vocab_w = vocab.select(F.col("token").alias("word"), F.col("id").cast("long").alias("id"))
-    if vocab_w.limit(VOCAB_BROADCAST_ROWS + 1).count() <= VOCAB_BROADCAST_ROWS:
-        vocab_w = F.broadcast(vocab_w)       # bounded vocabulary: map-side lookup of distinct words
     # the per-character fallback is computed once per distinct word, not per occurrence
     distinct = w.select("word").filter(F.col("word").isNotNull()).distinct()
     word_ids = distinct.join(vocab_w, "word", "left").select(
@@ -226,7 +221,7 @@ def detokenize(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "inpu
     text; else '[id]' for 0 <= id < 50000, else '<unk>'. Then spaces are
     collapsed: leading spaces dropped, runs become one, one trailing kept.
     Reverse lookup is a join of the exploded ids with the reverse vocabulary
-    (broadcast when its size is within the checked bound).
+    (broadcast by the planner when its bytes are few; a frequent id is split by AQE otherwise).
     """
     # outer explode keeps texts without ids; ``carry`` columns ride along so the
     # caller does not need a second pass over ``rows``
@@ -234,10 +229,6 @@ def detokenize(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "inpu
     if skip_special:
         ex = ex.withColumn("tid", F.when(~is_special(F.col("tid")), F.col("tid")))
     rev = vocab.groupBy("id").agg(F.min("token").alias("token")).select(F.col("id").alias("tid"), "token")
-    if rev.limit(VOCAB_BROADCAST_ROWS + 1).count() <= VOCAB_BROADCAST_ROWS:
-        # bounded vocabulary: map-side lookup; also keeps a very frequent id
-        # (the unknown-byte id) from becoming a skewed shuffle key
-        rev = F.broadcast(rev)
     placed = ex.join(rev, "tid", "left").select(
         key, *carry, "ipos",
         F.when(F.col("tid").isNotNull(), F.coalesce(

@@ -131,8 +131,9 @@ def video_features(per_frame: DataFrame) -> DataFrame:
 
 
 def feature_fallback(features: Column) -> Column:
-    """Fixed vector when features could not be computed."""
-    return F.coalesce(features, F.array(*[F.lit(v) for v in FEATURE_FALLBACK]))
+    """Fixed vector when features could not be computed: no vector, or one with a missing value."""
+    failed = features.isNull() | F.exists(features, lambda x: x.isNull())
+    return F.when(failed, F.array(*[F.lit(v) for v in FEATURE_FALLBACK])).otherwise(features)
 
 
 def frame_memory(frames: DataFrame) -> DataFrame:

@@ -13,12 +13,14 @@ oracle can recompute them.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,7 +102,8 @@ def load_model(spec):
     ``spec`` is a registered name or the factory (class) itself; a factory is
     shipped to the workers with the task closure, a name must be registered
     in the worker processes (built-in stubs always are)."""
-    key = spec if isinstance(spec, str) else f"{spec.__module__}.{spec.__qualname__}"
+    # two local classes of one name are different models: their pickles tell them apart
+    key = spec if isinstance(spec, str) else hashlib.sha256(cloudpickle.dumps(spec)).hexdigest()
     m = _MODELS.get(key)
     if m is None:
         m = (_FACTORIES[spec] if isinstance(spec, str) else spec)()
@@ -122,14 +125,14 @@ def retry_wait(attempt: int) -> float:
 
 
 def describe_frames(frames: DataFrame, model_spec: str = "stub-frame", model_name: str = "stub",
-                    timeout_s: float = DEFAULT_TIMEOUT_S, sleep: bool = False) -> DataFrame:
+                    timeout_s: float = DEFAULT_TIMEOUT_S, sleep: bool = True) -> DataFrame:
     """I1 + I6 + I7: one analysis row per frame (frames need video_id, sample_pos,
     frame_idx, pixels).
 
     status 200 -> stripped response; other status -> 'HTTP <code>'; latency at
     or over the timeout -> 'Timeout after <t> seconds' with processing_time =
-    timeout; transient failures are retried up to 3 attempts (waits 4-10 s,
-    only slept when ``sleep`` -- a stub has nothing to wait for); an exception
+    timeout; transient failures are retried up to 3 attempts (waits 4-10 s;
+    ``sleep=False`` skips them for models that have nothing to wait for); an exception
     becomes 'Processing error: ...' with processing_time 0.
     """
     cols = frames.select(F.col("video_id").cast("long"), F.col("sample_pos").cast("long"),
@@ -148,11 +151,18 @@ def describe_frames(frames: DataFrame, model_spec: str = "stub-frame", model_nam
                     break
                 try:
                     out = model.describe(pdf.iloc[idx].reset_index(drop=True), a)
-                except Exception as e:  # noqa: BLE001 - model errors become rows
+                except Exception:  # noqa: BLE001 - frame by frame, so that one bad frame is one error row
+                    done = []
                     for j in idx:
-                        result["error"][j] = f"Processing error: {e}"
-                    pending[idx] = False
-                    break
+                        try:
+                            done.append(model.describe(pdf.iloc[[j]].reset_index(drop=True), a))
+                        except Exception as e:  # noqa: BLE001 - model errors become rows
+                            result["error"][j] = f"Processing error: {e}"
+                            pending[j] = False
+                    idx = idx[pending[idx]]
+                    if len(idx) == 0:
+                        continue
+                    out = pd.concat([pd.DataFrame(x) for x in done], ignore_index=True)
                 for pos, j in enumerate(idx):
                     attempts[j] = a + 1
                     if bool(out["transient"].iloc[pos]):
@@ -193,14 +203,14 @@ GROUP_SCHEMA = "video_id long, n_frames long, description string, confidence dou
 
 
 def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group",
-                          max_frames: int = 16) -> DataFrame:
-    """I2 (+ I4 error rows): several frames of a video, one prompt -> one answer.
+                          max_frames: int | None = None) -> DataFrame:
+    """I2 (+ I4 error rows): all frames of a video, one prompt -> one answer.
 
-    Frames are capped to the first ``max_frames`` sample positions *before*
-    grouping (P9), so every group handed to the model is bounded.
+    A group is what one model call gets: sample the frames before. ``max_frames`` (P9)
+    keeps the first sample positions only, before grouping.
     """
     from framelake.operators.sampling import cap_frames
-    capped = cap_frames(frames, max_frames).select(
+    capped = (frames if max_frames is None else cap_frames(frames, max_frames)).select(
         F.col("video_id").cast("long"), F.col("sample_pos").cast("long"), "pixels")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,30 +228,36 @@ def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group
     return capped.groupBy("video_id").applyInPandas(run, GROUP_SCHEMA)
 
 
-SUMMARY_SCHEMA = "video_id long, part long, summary string, source string"
+# Fixed value: the summary of a video without a successful frame.
+NO_FRAMES = "No frames were successfully analyzed."
+SUMMARY_SCHEMA = "video_id long, summary string, source string"
 
 
-def summarize_videos(parts: DataFrame, fallback: DataFrame, model_spec: str = "stub-summary") -> DataFrame:
-    """Per observation part -> model summary; HTTP failure -> the literal
+def summarize_videos(texts: DataFrame, fallback: DataFrame, model_spec: str = "stub-summary") -> DataFrame:
+    """Observations of a video (video_id, text) -> one model summary; a video of ``fallback`` without
+    observations -> 'No frames were successfully analyzed.'; HTTP failure -> the literal
     'Failed to generate video summary.'; an exception -> the fallback summary
     (A3/A4) computed by Spark and joined in beforehand."""
-    j = parts.join(fallback.select("video_id", F.col("summary").alias("fallback")), "video_id").select(
-        F.col("video_id").cast("long"), F.col("part").cast("long"), "text", "fallback")
+    j = fallback.select("video_id", F.col("summary").alias("fallback")).join(
+        texts.select("video_id", "text"), "video_id", "left").select(F.col("video_id").cast("long"), "text", "fallback")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model(model_spec)
         for pdf in it:
             out, src = [], []
             for vid, text, fb in zip(pdf["video_id"], pdf["text"], pdf["fallback"]):
+                if text is None:
+                    out.append(NO_FRAMES), src.append("none")
+                    continue
                 try:
-                    status, s = model.summarize(int(vid), text or "")
+                    status, s = model.summarize(int(vid), text)
                     if status == 200:
                         out.append(s.strip()), src.append("model")
                     else:
                         out.append(SUMMARY_FAILED), src.append("http_error")
                 except Exception:  # noqa: BLE001
                     out.append(fb), src.append("fallback")
-            yield pd.DataFrame({"video_id": pdf["video_id"], "part": pdf["part"], "summary": out, "source": src})
+            yield pd.DataFrame({"video_id": pdf["video_id"], "summary": out, "source": src})
 
     return j.mapInPandas(run, SUMMARY_SCHEMA)
 

@@ -126,17 +126,20 @@ def theme_tags(parts: DataFrame) -> DataFrame:
 
 
 def join_observations(df: DataFrame, part_frames: int = OBSERVATION_PART_FRAMES) -> DataFrame:
-    """A2: stripped successful descriptions joined by ' | ' in frame order.
+    """A2: stripped successful descriptions joined by ' | ' in frame order, one text per
+    video (video_id, first_frame, text).
 
-    Emitted in parts of ``part_frames`` consecutive frames (video_id, part,
-    first_frame, text); the full text is the parts joined by the same
-    separator in part order. Each group is bounded by ``part_frames`` rows.
+    Two levels: parts of ``part_frames`` consecutive frames are joined first (so a hot
+    video's rows spread over tasks), then the parts in part order.
     """
     ok = filter_successful(df).withColumn("_d", strip_ws(F.coalesce(F.col("description"), F.lit(""))))
-    return (ok.withColumn("part", F.expr(f"frame_idx div {part_frames}"))
-            .groupBy("video_id", "part")
-            .agg(F.min("frame_idx").alias("first_frame"),
-                 F.expr(f"listagg(_d, '{OBSERVATION_SEP}') WITHIN GROUP (ORDER BY frame_idx)").alias("text")))
+    parts = (ok.withColumn("part", F.expr(f"frame_idx div {part_frames}"))
+             .groupBy("video_id", "part")
+             .agg(F.min("frame_idx").alias("first_frame"),
+                  F.expr(f"listagg(_d, '{OBSERVATION_SEP}') WITHIN GROUP (ORDER BY frame_idx)").alias("_t")))
+    return parts.groupBy("video_id").agg(
+        F.min("first_frame").alias("first_frame"),
+        F.expr(f"listagg(_t, '{OBSERVATION_SEP}') WITHIN GROUP (ORDER BY part)").alias("text"))
 
 
 NO_FRAMES_ERROR = "No frames could be extracted from video"
@@ -183,7 +186,7 @@ def batch_stats(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("successful"),
         F.coalesce(F.sum(F.when(ok, F.col("total_processing_time"))), F.lit(0.0)).alias("total_time"))
-    rate = F.expr("(successful * 100) div total")
+    rate = F.expr("if(total = 0, NULL, (successful * 100) div nullif(total, 0))")
     return s.select(
         "total", "successful", (F.col("total") - F.col("successful")).alias("failed"),
         F.round("total_time", 6).alias("total_time"),

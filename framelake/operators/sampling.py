@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.plans import ordered
-from framelake.plans.joins import broadcast_if_small
 
 
 # --- index rules, as columns of (i, total_frames) --------------------------------
@@ -71,8 +70,8 @@ def _candidates(n: int, idx: Column, t: Column, rule: str) -> Column:
 
 
 def with_sizes(frames: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Attach ``total_frames``; the per-video table is broadcast only if small."""
-    return frames.join(broadcast_if_small(sizes.select("video_id", "total_frames")), "video_id")
+    """Attach ``total_frames``; the planner broadcasts the per-video table if its bytes are few."""
+    return frames.join(sizes.select("video_id", "total_frames"), "video_id")
 
 
 def sample_by_rule(frames: DataFrame, sizes: DataFrame, n: int, rule: str = "uniform") -> DataFrame:
@@ -112,9 +111,11 @@ def sample_times(frames: DataFrame, sizes: DataFrame, n: int, fps: float) -> Dat
     """
     if n <= 0:
         return frames.withColumn("sample_pos", F.lit(0).cast("long")).limit(0)
+    if fps <= 0:  # no duration: every seek goes to the first frame
+        return frames.filter("frame_idx = 0").withColumn("sample_pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
     j = with_sizes(frames, sizes)
     t = F.col("total_frames")
-    duration = F.when(F.lit(fps) > 0, t / F.lit(fps)).otherwise(F.lit(0.0))
+    duration = t / F.lit(fps)
     idx = F.col("frame_idx")
     # t_i in (ts(idx-1), ts(idx)]  =>  i in (ts(idx-1)*N/D - 0.5, ts(idx)*N/D - 0.5]
     per_i = duration / F.lit(float(n))
@@ -226,6 +227,6 @@ def sample_frames(frames: DataFrame, sizes: DataFrame, n: int, strategy: str, pi
 def pick_frames_by_index(index: DataFrame, frames: DataFrame) -> DataFrame:
     """Ordered fetch by an index list; duplicates kept, missing frames dropped.
 
-    The index list (N rows per video) is broadcast only behind a size check.
+    The planner decides from bytes whether the index list (N rows per video) is broadcast.
     """
-    return broadcast_if_small(index).join(frames, ["video_id", "frame_idx"], "inner")
+    return index.join(frames, ["video_id", "frame_idx"], "inner")

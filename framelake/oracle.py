@@ -358,9 +358,9 @@ FROM analyses GROUP BY model_used"""
 
 SQL["observation_text"] = f"""
 WITH {LONG}
-SELECT video_id, frame_idx // 4096 AS part, min(frame_idx) AS first_frame,
+SELECT video_id, min(frame_idx) AS first_frame,
        string_agg({strip("coalesce(description, '')")}, ' | ' ORDER BY frame_idx) AS text
-FROM long_analyses WHERE success GROUP BY video_id, frame_idx // 4096"""
+FROM long_analyses WHERE success GROUP BY video_id"""
 
 SQL["fallback_summary_cpu"] = f"""
 WITH {LONG}, {_cpu_summary("long_analyses")}
@@ -516,8 +516,8 @@ cparts AS (
 SQL["chat_template"] = f"""
 WITH {CHAT_PARTS},
 numbered AS (
-  SELECT *, sum(CASE WHEN kind = 'image' THEN 1 ELSE 0 END) OVER w AS image_no,
-            sum(CASE WHEN kind = 'video' THEN 1 ELSE 0 END) OVER w AS video_no
+  SELECT *, sum(CASE WHEN role = 'user' AND kind = 'image' THEN 1 ELSE 0 END) OVER w AS image_no,
+            sum(CASE WHEN role = 'user' AND kind = 'video' THEN 1 ELSE 0 END) OVER w AS video_no
   FROM cparts WINDOW w AS (PARTITION BY conv_id ORDER BY turn, ppos ROWS UNBOUNDED PRECEDING)),
 pieces AS (
   SELECT conv_id, turn, role, ppos,
@@ -534,14 +534,14 @@ wrapped AS (
                    WHEN 'user' THEN '<|im_start|>user' || chr(10) || body || '<|im_end|>' || chr(10)
                    WHEN 'assistant' THEN '<|im_start|>assistant' || chr(10) || body || '<|im_end|>' || chr(10) END AS w
   FROM turns),
-conv AS (SELECT conv_id, bool_or(role = 'system') AS has_sys, max(turn) AS last FROM conversations GROUP BY conv_id)
-SELECT w.conv_id, w.turn // 4096 AS part,
-       CASE WHEN w.turn // 4096 = 0 AND NOT c.has_sys
+conv AS (SELECT conv_id, coalesce(bool_or(role = 'system'), false) AS has_sys FROM conversations GROUP BY conv_id)
+SELECT c.conv_id,
+       CASE WHEN NOT c.has_sys
             THEN '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) ELSE '' END
-       || string_agg(w.w, '' ORDER BY w.turn)
-       || CASE WHEN w.turn // 4096 = c.last // 4096 THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS text
-FROM wrapped w JOIN conv c USING (conv_id) WHERE w.w IS NOT NULL
-GROUP BY w.conv_id, w.turn // 4096, c.has_sys, c.last"""
+       || coalesce(string_agg(w.w, '' ORDER BY w.turn) FILTER (WHERE w.w IS NOT NULL), '')
+       || '<|im_start|>assistant' || chr(10) AS text
+FROM conv c LEFT JOIN wrapped w ON w.conv_id = c.conv_id
+GROUP BY c.conv_id, c.has_sys"""
 
 NL = "chr(10)"
 
@@ -755,22 +755,22 @@ FROM e"""
 RESULT_CHUNKS = f"""
 {ANALYSES},
 rc AS (
-  SELECT video_id, frame_idx // 16 AS chunk, bool_or(success) AS success,
+  SELECT video_id, bool_or(success) AS success,
          count(*) FILTER (WHERE success) AS frames_analyzed, count(*) AS total_frames_extracted,
          round(sum(processing_time), 2) AS total_processing_time, arg_min(model_used, frame_idx) AS model_used,
          coalesce(list(coalesce(description, '') ORDER BY frame_idx) FILTER (WHERE success), []) AS descs,
-         (video_id + frame_idx // 16) % 7 = 0 AS bad
-  FROM analyses GROUP BY video_id, frame_idx // 16)"""
+         video_id % 7 = 0 AS bad
+  FROM analyses GROUP BY video_id)"""
 
 SQL["result_json_roundtrip"] = f"""
 WITH {RESULT_CHUNKS}
-SELECT video_id, chunk,
+SELECT video_id,
        CASE WHEN bad THEN false ELSE success END AS success,
        CASE WHEN bad THEN '' ELSE 'video_' || CAST(video_id AS VARCHAR) END AS video_path,
        CASE WHEN bad THEN 0 ELSE frames_analyzed END AS frames_analyzed,
        CASE WHEN bad THEN 0 ELSE total_frames_extracted END AS total_frames_extracted,
        {r6("CASE WHEN bad THEN 0.0 ELSE total_processing_time END")} AS total_processing_time,
-       CASE WHEN bad THEN '' ELSE 'chunk ' || CAST(chunk AS VARCHAR) END AS video_summary,
+       CASE WHEN bad THEN '' ELSE 'video ' || CAST(video_id AS VARCHAR) END AS video_summary,
        CASE WHEN bad THEN '' ELSE model_used END AS model_used,
        CASE WHEN bad THEN 'JSON parsing error' ELSE '' END AS error,
        CASE WHEN bad THEN CAST([] AS VARCHAR[]) ELSE descs END AS frame_descriptions,
@@ -780,13 +780,13 @@ FROM rc"""
 
 SQL["loose_json_keys"] = f"""
 WITH {RESULT_CHUNKS}
-SELECT video_id, chunk,
+SELECT video_id,
        CASE WHEN bad THEN false ELSE success END AS success,
        CASE WHEN bad THEN '' ELSE 'video_' || CAST(video_id AS VARCHAR) END AS video_path,
        CASE WHEN bad THEN 0 ELSE frames_analyzed END AS frames_analyzed,
        CASE WHEN bad THEN 0 ELSE total_frames_extracted END AS total_frames_extracted,
        {r6("CASE WHEN bad THEN 0.0 ELSE total_processing_time END")} AS total_processing_time,
-       CASE WHEN bad THEN '' ELSE 'chunk ' || CAST(chunk AS VARCHAR) END AS video_summary,
+       CASE WHEN bad THEN '' ELSE 'video ' || CAST(video_id AS VARCHAR) END AS video_summary,
        CASE WHEN bad THEN '' ELSE model_used END AS model_used,
        CASE WHEN bad THEN 'JSON parsing error' ELSE '' END AS error
 FROM rc"""
@@ -830,10 +830,10 @@ FROM samp m JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = m.frame_i
 
 SQL["summary_requests"] = f"""
 WITH {ANALYSES},
-parts AS (SELECT video_id, frame_idx // 4096 AS part,
+parts AS (SELECT video_id,
                  string_agg({strip("coalesce(description, '')")}, ' | ' ORDER BY frame_idx) AS text
-          FROM analyses WHERE success GROUP BY video_id, frame_idx // 4096)
-SELECT video_id, part,
+          FROM analyses WHERE success GROUP BY video_id)
+SELECT video_id,
        '{{"model":"llama3.2-vision:11b","prompt":' || to_json('Create a brief video summary from these observations:' || {NL} || {NL} || text || {NL} || {NL} || 'Summary (1-2 sentences):')
        || ',"stream":false,"options":{{"temperature":0.3,"num_predict":50,"top_k":10,"top_p":0.9,"repeat_penalty":1.1}}}}' AS cpu_request,
        '{{"model":"llava:7b","prompt":' || to_json('Create a brief video summary from these GPU-analyzed observations:' || {NL} || {NL} || text || {NL} || {NL} || 'Summary (1-2 sentences):')
@@ -927,15 +927,16 @@ FROM sf GROUP BY video_id"""
 
 SQL["summarize_stub"] = f"""
 WITH {ANALYSES}, {_cpu_summary("analyses")},
-oparts AS (SELECT video_id, frame_idx // 4096 AS part,
+oparts AS (SELECT video_id,
                   string_agg({strip("coalesce(description, '')")}, ' | ' ORDER BY frame_idx) AS text
-           FROM analyses WHERE success GROUP BY video_id, frame_idx // 4096)
-SELECT CAST(p.video_id AS BIGINT) AS video_id, CAST(p.part AS BIGINT) AS part,
-       CASE WHEN p.video_id % 7 = 0 THEN s.summary
+           FROM analyses WHERE success GROUP BY video_id)
+SELECT CAST(s.video_id AS BIGINT) AS video_id,
+       CASE WHEN p.text IS NULL THEN 'No frames were successfully analyzed.'
+            WHEN p.video_id % 7 = 0 THEN s.summary
             WHEN p.video_id % 5 = 0 THEN 'Failed to generate video summary.'
             ELSE 'Summary of ' || CAST(len(string_split(p.text, ' | ')) AS VARCHAR) || ' observations' END AS summary,
-       CASE WHEN p.video_id % 7 = 0 THEN 'fallback' WHEN p.video_id % 5 = 0 THEN 'http_error' ELSE 'model' END AS source
-FROM oparts p JOIN summ s USING (video_id)"""
+       CASE WHEN p.text IS NULL THEN 'none' WHEN p.video_id % 7 = 0 THEN 'fallback' WHEN p.video_id % 5 = 0 THEN 'http_error' ELSE 'model' END AS source
+FROM summ s LEFT JOIN oparts p ON p.video_id = s.video_id"""
 
 SQL["stream_chunks"] = f"""
 WITH {FRAMES},
@@ -1044,7 +1045,7 @@ bits AS (
 d AS (SELECT vec_id, i, b, b // 32768 AS hs, (b // 1024) % 32 AS he, b % 1024 AS hm FROM bits),
 v AS (SELECT *, CAST(CASE WHEN he = 31 AND hm = 0 THEN (CASE WHEN hs = 1 THEN '-Infinity' ELSE 'Infinity' END)::DOUBLE
                           WHEN he = 31 THEN 'NaN'::DOUBLE
-                          WHEN he = 0 THEN (1 - 2 * hs) * hm * pow(2.0, -24)
+                          WHEN he = 0 THEN CAST(1 - 2 * hs AS DOUBLE) * hm * pow(2.0, -24)
                           ELSE (1 - 2 * hs) * pow(2.0, he - 15) * (1 + hm / 1024.0) END AS FLOAT) AS back FROM d),
 z AS (SELECT *, isnan(back) OR isinf(back) AS bad, NOT (isnan(back) OR isinf(back)) AND abs(back) > 50 AS big FROM v)
 SELECT vec_id, list(b ORDER BY i) AS bits, list(back ORDER BY i) AS back,

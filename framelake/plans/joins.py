@@ -1,25 +1,8 @@
-"""Join helpers: broadcast only behind a measured size bound."""
+"""Small written tables, and more tasks for heavy work on few splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Rows we are willing to ship to every executor (index lists, vocabularies).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check runs ``limit(max_rows + 1).count()``, which stops reading once the
-    bound is exceeded. Above the bound the plain DataFrame is returned and the
-    join shuffles (AQE may still pick a broadcast from runtime sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Compute ``df`` once and cut its lineage: write it as parquet into a fresh
     folder under the shared checkpoint folder (``spark.checkpoint.dir``) and read

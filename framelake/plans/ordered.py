@@ -46,6 +46,13 @@ def span_segments(order_col: str, span: int | None = None) -> Column:
     return F.expr(f"`{order_col}` div {int(span or SEGMENT_SPAN)}")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join on ``keys`` that keeps rows with a NULL key (NULL meets NULL)."""
+    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(right, on, "inner").drop(*[f"_r_{k}" for k in keys])
+
+
 def _local_window(keys: Sequence[str], order: Sequence[str | Column], seg: str = SEG):
     return Window.partitionBy(*keys, seg).orderBy(*order)
 
@@ -75,7 +82,7 @@ def segment_prefix(table: DataFrame, keys: Sequence[str], value: str, out: str,
     w_sup = (Window.partitionBy(*keys) if keys else Window).orderBy("_super") \
         .rowsBetween(Window.unboundedPreceding, -1)
     sup = sup.select(*keys, "_super", agg("_sv").over(w_sup).alias("_psup"))
-    res = local.join(sup, keys + ["_super"], "inner").withColumn(out, comb(F.col("_psup"), F.col("_pin")))
+    res = null_safe_join(local, sup, keys + ["_super"]).withColumn(out, comb(F.col("_psup"), F.col("_pin")))
     if how == "sum":
         res = res.withColumn(out, F.col(out).cast(table.schema[value].dataType))
     return res.drop("_super", "_pin", "_psup")
@@ -91,7 +98,7 @@ def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     local = df.withColumn("_lrn", F.row_number().over(_local_window(keys, order, seg)))
     seg_counts = local.groupBy(*keys, seg).agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = segment_prefix(seg_counts, keys, "_cnt", "_off", "sum", seg).select(*keys, seg, "_off")
-    return (local.join(offsets, on=keys + [seg], how="inner")
+    return (null_safe_join(local, offsets, keys + [seg])
             .withColumn(out, (F.col("_off") + F.col("_lrn") - 1).cast("long"))
             .drop("_lrn", "_off"))
 
@@ -104,7 +111,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     local = df.withColumn("_lsum", F.sum(value).over(w))
     seg_tot = local.groupBy(*keys, seg).agg(F.sum(value).alias("_tot"))
     offsets = segment_prefix(seg_tot, keys, "_tot", "_off", "sum", seg).select(*keys, seg, "_off")
-    return (local.join(offsets, on=keys + [seg], how="inner")
+    return (null_safe_join(local, offsets, keys + [seg])
             .withColumn(out, F.col("_off") + F.col("_lsum"))
             .drop("_lsum", "_off"))
 
@@ -122,7 +129,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     for v in values:
         seg_tot = segment_prefix(seg_tot, keys, f"_t_{v}", f"_o_{v}", "sum", seg)
     seg_tot = seg_tot.select(*keys, seg, *[f"_o_{v}" for v in values])
-    res = local.join(seg_tot, on=keys + [seg], how="inner")
+    res = null_safe_join(local, seg_tot, keys + [seg])
     for v, o in values.items():
         res = res.withColumn(o, F.col(f"_o_{v}") + F.col(f"_l_{v}")).drop(f"_o_{v}", f"_l_{v}")
     return res
@@ -139,7 +146,7 @@ def running_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     seg_ext = local.groupBy(*keys, seg).agg(agg(value).alias("_sext"))
     prior = segment_prefix(seg_ext, keys, "_sext", "_prior", how, seg).select(*keys, seg, "_prior")
     # least/greatest skip NULLs, so the first segment keeps its local value.
-    return (local.join(prior, on=keys + [seg], how="inner")
+    return (null_safe_join(local, prior, keys + [seg])
             .withColumn(out, comb(F.col("_prior"), F.col("_lext")))
             .drop("_lext", "_prior"))
 
@@ -175,7 +182,7 @@ def clamped_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[st
     segt = materialize(segt.select(*keys, seg, "_off", "_pm"))
     # segt is a written parquet table: the planner sees its file size and
     # broadcasts it when small (no extra counting job)
-    j = r1.drop("_M").join(segt, keys + [seg], "inner")
+    j = null_safe_join(r1.drop("_M"), segt, keys + [seg])
     c = F.col("_off") + F.col("_lc")
     run_min = F.least(F.col("_pm"), F.col("_off") + F.col("_lm"))
     j = j.withColumn(out, c - F.least(F.lit(0), run_min)).drop("_lc", "_lm", "_off", "_pm")
@@ -184,7 +191,7 @@ def clamped_running_total(df: DataFrame, keys: Sequence[str], order: Sequence[st
     r2 = j.withColumn("_ls", F.max(out).over(wr))
     segx = r2.groupBy(*keys, seg).agg(F.max(out).alias("_X"))
     segx = materialize(segment_prefix(segx, keys, "_X", "_px", "max", seg).select(*keys, seg, "_px"))
-    res = r2.join(segx, keys + [seg], "inner")
+    res = null_safe_join(r2, segx, keys + [seg])
     return res.withColumn(peak, F.greatest(F.col("_px"), F.col("_ls"), F.lit(0))).drop("_ls", "_px")
 
 

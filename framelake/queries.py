@@ -498,16 +498,13 @@ def probe_metadata(spark, sf):
                     r6(F.col("l.duration")).alias("lenient_duration"))
 
 
-RESULT_CHUNK = 16
-
-
 def _result_docs(spark, sf):
-    """Per (video, chunk of 16 frames) result objects as Python-style JSON text;
-    every 7th (video + chunk) object is cut to 20 characters (malformed)."""
+    """One result object per video as Python-style JSON text; every 7th video's is cut
+    to 20 characters (malformed)."""
     from framelake.sources import json_io
-    a = tb.analyses(spark, sf).withColumn("chunk", F.expr(f"frame_idx div {RESULT_CHUNK}"))
+    a = tb.analyses(spark, sf)
     ok = F.coalesce(F.col("success"), F.lit(False))
-    g = a.groupBy("video_id", "chunk").agg(
+    g = a.groupBy("video_id").agg(
         F.bool_or(ok).alias("success"), F.count_if(ok).alias("frames_analyzed"),
         F.count(F.lit(1)).alias("total_frames_extracted"),
         F.round(F.sum("processing_time"), 2).alias("total_processing_time"),
@@ -520,21 +517,21 @@ def _result_docs(spark, sf):
         video_path=F.concat(F.lit("video_"), F.col("video_id").cast("string")),
         frames_analyzed=F.col("frames_analyzed"), total_frames_extracted=F.col("total_frames_extracted"),
         total_processing_time=F.col("total_processing_time"),
-        video_summary=F.concat(F.lit("chunk "), F.col("chunk").cast("string")),
+        video_summary=F.concat(F.lit("video "), F.col("video_id").cast("string")),
         frame_details=F.transform("_fd", lambda f: F.struct(f["success"].alias("success"),
                                                             f["description"].alias("description"))),
         model_used=F.col("model_used"))
-    bad = F.pmod(F.col("video_id") + F.col("chunk"), F.lit(7)) == 0
-    return g.select("video_id", "chunk", F.when(bad, F.substring(js, 1, 20)).otherwise(js).alias("json"))
+    bad = F.pmod(F.col("video_id"), F.lit(7)) == 0
+    return g.select("video_id", F.when(bad, F.substring(js, 1, 20)).otherwise(js).alias("json"))
 
 
 @query("result_json_roundtrip")
 def result_json_roundtrip(spark, sf):
     """S10 + S11 over result JSON text (some malformed)."""
     from framelake.sources import json_io
-    d = _result_docs(spark, sf).select("video_id", "chunk", json_io.read_results_json(F.col("json")).alias("r"),
+    d = _result_docs(spark, sf).select("video_id", json_io.read_results_json(F.col("json")).alias("r"),
                                        json_io.read_results_json_strict(F.col("json")).alias("s"))
-    return d.select("video_id", "chunk", "r.success", "r.video_path", "r.frames_analyzed",
+    return d.select("video_id", "r.success", "r.video_path", "r.frames_analyzed",
                     "r.total_frames_extracted", r6(F.col("r.total_processing_time")).alias("total_processing_time"),
                     "r.video_summary", "r.model_used", "r.error", "r.frame_descriptions",
                     F.col("s.success").alias("strict_success"), F.col("s.error").alias("strict_error"))
@@ -544,8 +541,8 @@ def result_json_roundtrip(spark, sf):
 def loose_json_keys(spark, sf):
     """The loose key scanner over the same result texts."""
     from framelake.sources import json_io
-    d = json_io.scan_result_json(_result_docs(spark, sf), "json").select("video_id", "chunk", "r")
-    return d.select("video_id", "chunk", "r.success", "r.video_path", "r.frames_analyzed",
+    d = json_io.scan_result_json(_result_docs(spark, sf), "json").select("video_id", "r")
+    return d.select("video_id", "r.success", "r.video_path", "r.frames_analyzed",
                     "r.total_frames_extracted", r6(F.col("r.total_processing_time")).alias("total_processing_time"),
                     "r.video_summary", "r.model_used", "r.error")
 
@@ -579,12 +576,12 @@ def inference_requests(spark, sf):
 
 @query("summary_requests")
 def summary_requests(spark, sf):
-    """T17 + S17: summary prompt over the joined observations (A2 parts), CPU and GPU forms."""
+    """T17 + S17: summary prompt over the joined observations (A2), one per video, CPU and GPU forms."""
     from framelake.functions import prompts as pr
     from framelake.operators import rollups
     from framelake.sources import requests as rq
     parts = rollups.join_observations(tb.analyses(spark, sf))
-    return parts.select("video_id", "part",
+    return parts.select("video_id",
                         rq.summary_request(F.lit(rq.CPU_MODEL), pr.summary_prompt(F.col("text"))).alias("cpu_request"),
                         rq.summary_request(F.lit(rq.GPU_MODEL), pr.summary_prompt(F.col("text"), gpu=True), gpu=True)
                         .alias("gpu_request"))
@@ -673,7 +670,7 @@ def describe_frames_stub(spark, sf):
     from framelake.operators import inference as inf
     frames = tb.frames_gray(spark, sf)
     s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N)
-    return inf.describe_frames(s, timeout_s=300.0)
+    return inf.describe_frames(s, timeout_s=300.0, sleep=False)
 
 
 @query("describe_frame_groups")
@@ -710,7 +707,7 @@ def analyze_videos(spark, sf):
 
 @query("summarize_stub")
 def summarize_stub(spark, sf):
-    """Observation parts -> stub summariser, HTTP failure text, or the A3 fallback."""
+    """Observations of a video -> stub summariser, HTTP failure text, or the A3 fallback."""
     from framelake.operators import inference as inf
     from framelake.operators import rollups
     a = tb.analyses(spark, sf)

@@ -26,10 +26,8 @@ ANALYSIS_SEGMENT_MINUTES = 60
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Small files with few row groups are spread over all
-    cores (``plans.joins.spread``); large scans are left as they are."""
-    from framelake.plans.joins import spread
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table, with the partitions of its scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pixel_values(arr: Column | str) -> Column:

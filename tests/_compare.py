@@ -5,7 +5,7 @@ import math
 
 def norm(v):
     if isinstance(v, float):
-        return "NaN" if math.isnan(v) else round(v, 6) + 0.0
+        return "NaN" if math.isnan(v) else (repr(v) if v == 0 else round(v, 6))
     if hasattr(v, "asDict"):
         return tuple(sorted((k, norm(x)) for k, x in v.asDict().items()))
     if isinstance(v, (list, tuple)):

@@ -35,7 +35,7 @@ def frames(spark):
 
 
 def test_error_rows_timeouts_and_retries(spark):
-    got = {r.sample_pos: r for r in inf.describe_frames(frames(spark), model_spec=scripted_model(),
+    got = {r.sample_pos: r for r in inf.describe_frames(frames(spark), sleep=False, model_spec=scripted_model(),
                                                          timeout_s=300.0).collect()}
     assert got[0].success and got[0].description == "frame 0" and got[0].attempts == 1
     assert got[0].frame_description == "Frame 1" and got[0].processing_time == 1.5
@@ -56,12 +56,13 @@ def test_retry_wait_bounds():
 
 
 def test_summary_fallback_chain(spark):
-    parts = spark.createDataFrame([(1, 0, "a | b"), (5, 0, "x"), (7, 0, "y")], "video_id long, part long, text string")
-    fb = spark.createDataFrame([(1, "fb1"), (5, "fb5"), (7, "fb7")], "video_id long, summary string")
+    parts = spark.createDataFrame([(1, "a | b"), (5, "x"), (7, "y")], "video_id long, text string")
+    fb = spark.createDataFrame([(1, "fb1"), (5, "fb5"), (7, "fb7"), (9, "none")], "video_id long, summary string")
     got = {r.video_id: (r.summary, r.source) for r in inf.summarize_videos(parts, fb).collect()}
     assert got[1] == ("Summary of 2 observations", "model")
     assert got[5] == ("Failed to generate video summary.", "http_error")
     assert got[7] == ("fb7", "fallback")
+    assert got[9] == ("No frames were successfully analyzed.", "none")
 
 
 def test_group_model_failure_row(spark):

@@ -7,14 +7,18 @@ import pytest
 import __spark_entry__ as se
 from _compare import duck_rows, spark_rows
 from conftest import SF_SMALL
+from framelake import oracle as _oracle
+from framelake import queries as _queries
 
-QUERIES = se.queries()
-ORACLE = se.oracle_sql()
+# the training-data queries have their own tests
+QUERIES = _queries.QUERIES
+ORACLE = _oracle.SQL
 
 
 def test_every_query_has_an_oracle_or_is_listed():
     rows_only = {"image_preprocess", "pixel_tensor"}
     assert set(QUERIES) - set(ORACLE) == rows_only
+    assert set(QUERIES) <= set(se.queries()) and set(se.oracle_sql()) <= set(se.queries())
 
 
 def test_entry_runs(spark):
