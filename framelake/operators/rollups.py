@@ -63,20 +63,21 @@ def meaningful_gpu(desc: Column) -> Column:
     return F.length(F.coalesce(desc, F.lit(""))) > GPU_MEANINGFUL
 
 
-def summary_parts(df: DataFrame) -> DataFrame:
+def summary_parts(df: DataFrame, carry: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
     """Per-video pieces both fallback summaries need (all partial aggregates).
 
     The per-row texts (stripped, lower-cased) and keyword flags are computed
     once in a projection, so long descriptions are scanned a fixed number of
-    times whatever the number of keywords.
+    times whatever the number of keywords. ``more`` aggregates over the ``carry``
+    columns (and ``_ok``) are computed in the same pass.
     """
     ok = F.coalesce(F.col("success"), F.lit(False))
     rows = df.select(
         "video_id", "frame_idx", ok.alias("_ok"),
         strip_ws(F.coalesce(F.col("description"), F.lit(""))).alias("_s"),
-        F.coalesce(F.col("description"), F.lit("")).alias("_raw"))
+        F.coalesce(F.col("description"), F.lit("")).alias("_raw"), *carry)
     rows = rows.select(
-        "video_id", "frame_idx", "_ok", "_s", "_raw",
+        "video_id", "frame_idx", "_ok", "_s", "_raw", *carry,
         (F.col("_ok") & (F.length("_s") > 0) & (F.col("_s") != F.lit(NO_DESCRIPTION))).alias("_cpu"),
         (F.col("_ok") & (F.length("_raw") > GPU_MEANINGFUL)).alias("_gpu"),
         F.length("_s").alias("_ls"), F.length("_raw").alias("_lr"), F.lower("_s").alias("_low"))
@@ -92,19 +93,23 @@ def summary_parts(df: DataFrame) -> DataFrame:
         # O3: longest kept description, the first in frame order wins ties
         F.max_by(F.when(F.col("_cpu"), F.col("_s")), F.when(F.col("_cpu"), F.struct("_ls", neg))).alias("cpu_longest"),
         F.max_by(F.when(F.col("_gpu"), F.col("_raw")), F.when(F.col("_gpu"), F.struct("_lr", neg))).alias("gpu_longest"),
-        *[F.bool_or(f"_t_{name}").alias(f"theme_{name}") for name in THEMES])
+        *[F.bool_or(f"_t_{name}").alias(f"theme_{name}") for name in THEMES], *more)
 
 
 def fallback_summary_cpu(parts: DataFrame) -> DataFrame:
     """A3: CPU fallback summary per video."""
+    return parts.select("video_id", cpu_summary_text().alias("summary"))
+
+
+def cpu_summary_text() -> Column:
+    """A3 as a column over ``summary_parts``."""
     n = F.col("n_success")
     longest = F.col("cpu_longest")
     body = F.when(F.length(longest) > LONG_ENOUGH, F.concat(F.lit(PRIMARY), longest)).otherwise(F.lit(CPU_GENERIC))
-    text = (F.when(n == 0, F.lit(NO_FRAMES))
+    return (F.when(n == 0, F.lit(NO_FRAMES))
             .when(F.col("n_cpu_meaningful") == 0, F.lit(NO_MEANINGFUL))
             .otherwise(F.concat(F.lit("Video analysis of "), n.cast("string"),
                                 F.lit(" frames completed. "), body)))
-    return parts.select("video_id", text.alias("summary"))
 
 
 def fallback_summary_gpu(parts: DataFrame) -> DataFrame:
@@ -164,15 +169,13 @@ def video_rollup(df: DataFrame, requested: DataFrame | None = None) -> DataFrame
             F.lit(None).cast("double").alias("total_processing_time"), F.lit(None).cast("string").alias("model_used"),
             F.lit(None).cast("string").alias("summary"), F.lit(NO_FRAMES_ERROR).alias("error"))
         return done.withColumn("error", F.lit(None).cast("string")).unionByName(err)
-    ok = F.coalesce(F.col("success"), F.lit(False))
-    agg = df.groupBy("video_id").agg(
-        F.bool_or(ok).alias("success"),
-        F.count_if(ok).alias("frames_analyzed"),
-        F.count(F.lit(1)).alias("total_frames_extracted"),
+    parts = summary_parts(df, ("processing_time", "model_used"), (
         F.round(F.sum("processing_time"), 2).alias("total_processing_time"),
-        F.min_by("model_used", "frame_idx").alias("model_used"))
-    summ = fallback_summary_cpu(summary_parts(df))
-    return agg.join(summ, "video_id")
+        F.min_by("model_used", "frame_idx").alias("model_used")))
+    return parts.select(
+        "video_id", (F.col("n_success") > 0).alias("success"), F.col("n_success").alias("frames_analyzed"),
+        F.col("n_rows").alias("total_frames_extracted"), "total_processing_time", "model_used",
+        cpu_summary_text().alias("summary"))
 
 
 def batch_stats(results: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ frames AS (
 sizes AS (SELECT video_id, CAST(count(*) AS INTEGER) AS total_frames FROM frames GROUP BY video_id)"""
 
 CFRAMES = FRAMES + """,
-cframes AS (SELECT video_id, frame_idx, vec_id, ts, pixels[1:63] AS pixels FROM frames)"""
+cframes AS (SELECT video_id, frame_idx, vec_id, ts, list_concat(pixels, [0, 0]) AS pixels FROM frames)"""
 
 
 def r6(x: str) -> str:
@@ -102,7 +102,7 @@ scored AS (
   SELECT video_id, frame_idx, total_frames,
          CASE WHEN prev IS NOT NULL THEN
            list_sum([0.299 * abs(pixels[3*j+3] - prev[3*j+3]) + 0.587 * abs(pixels[3*j+2] - prev[3*j+2])
-                     + 0.114 * abs(pixels[3*j+1] - prev[3*j+1]) FOR j IN range(0, 21)]) / 21.0 END AS change
+                     + 0.114 * abs(pixels[3*j+1] - prev[3*j+1]) FOR j IN range(0, 22)]) / 22.0 END AS change
   FROM visited),
 kept AS (
   SELECT video_id, frame_idx, change,
@@ -165,14 +165,14 @@ def strip(x: str) -> str:
 
 
 COLOR_BRIGHT = ("list_sum([0.299 * pixels[3*j+3] + 0.587 * pixels[3*j+2] + 0.114 * pixels[3*j+1] "
-                "FOR j IN range(0, 21)]) / 21.0")
+                "FOR j IN range(0, 22)]) / 22.0")
 
 HIST = f"""
 codes AS (SELECT video_id, frame_idx,
                  unnest(list_transform(pixels, lambda x, k: CAST(((k - 1) % 3) * 32 + x // 8 AS INTEGER))) AS code
           FROM cframes),
 cnt AS (SELECT video_id, frame_idx, code, count(*) AS n FROM codes GROUP BY ALL),
-ent AS (SELECT video_id, frame_idx, sum(-(n / 21.0) * log2(n / 21.0)) AS entropy FROM cnt GROUP BY ALL)"""
+ent AS (SELECT video_id, frame_idx, sum(-(n / 22.0) * log2(n / 22.0)) AS entropy FROM cnt GROUP BY ALL)"""
 
 SQL["frame_color_entropy"] = f"""
 WITH {CFRAMES}, {HIST}
@@ -193,14 +193,14 @@ samp AS (
   FROM sizes s, {positions(16)} p),
 sf AS (
   SELECT m.video_id, m.sample_pos, f.pixels, e.entropy,
-         list_transform(range(0, 21), lambda j: 0.299 * f.pixels[3*j+3] + 0.587 * f.pixels[3*j+2] + 0.114 * f.pixels[3*j+1]) AS gray
+         list_transform(range(0, 22), lambda j: 0.299 * f.pixels[3*j+3] + 0.587 * f.pixels[3*j+2] + 0.114 * f.pixels[3*j+1]) AS gray
   FROM samp m JOIN cframes f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx
   JOIN ent e ON e.video_id = m.video_id AND e.frame_idx = m.frame_idx),
 lagged AS (SELECT *, lag(gray) OVER (PARTITION BY video_id ORDER BY sample_pos) AS prev FROM sf),
 per AS (
   SELECT video_id, {COLOR_BRIGHT} AS brightness, entropy,
          CASE WHEN prev IS NULL THEN 0.0
-              ELSE list_sum(list_transform(gray, lambda g, k: abs(g - prev[k]))) / 21.0 END AS motion
+              ELSE list_sum(list_transform(gray, lambda g, k: abs(g - prev[k]))) / 22.0 END AS motion
   FROM lagged),
 agg AS (
   SELECT video_id, count(*) AS n, sum(brightness) / (count(*) * 255.0) AS b,
@@ -232,7 +232,7 @@ FROM sizes"""
 
 SQL["frame_memory"] = f"""
 WITH {FRAMES}
-SELECT video_id, count(*) AS frames, CAST(sum(3 * 7 * 3) AS BIGINT) AS bytes FROM frames GROUP BY video_id"""
+SELECT video_id, count(*) AS frames, CAST(sum(2 * 11 * 3) AS BIGINT) AS bytes FROM frames GROUP BY video_id"""
 
 SQL["frame_content"] = f"""
 WITH {FRAMES}
@@ -1059,15 +1059,15 @@ SQL["image_resize"] = f"""
 WITH {CFRAMES},
 grid AS (SELECT y, x, c FROM range(0, 6) t1(y), range(0, 14) t2(x), range(0, 3) t3(c)),
 m AS (SELECT y, x, c,
-             least(greatest((y + 0.5) * (3.0 / 6) - 0.5, 0.0), 2.0) AS ys,
-             least(greatest((x + 0.5) * (7.0 / 14) - 0.5, 0.0), 6.0) AS xs FROM grid),
+             least(greatest((y + 0.5) * (2.0 / 6) - 0.5, 0.0), 1.0) AS ys,
+             least(greatest((x + 0.5) * (11.0 / 14) - 0.5, 0.0), 10.0) AS xs FROM grid),
 m2 AS (SELECT *, CAST(floor(ys) AS INTEGER) AS y0, CAST(floor(xs) AS INTEGER) AS x0 FROM m),
-m3 AS (SELECT *, least(y0 + 1, 2) AS y1, least(x0 + 1, 6) AS x1, ys - y0 AS fy, xs - x0 AS fx FROM m2),
+m3 AS (SELECT *, least(y0 + 1, 1) AS y1, least(x0 + 1, 10) AS x1, ys - y0 AS fy, xs - x0 AS fx FROM m2),
 px AS (
   SELECT f.video_id, f.frame_idx, m3.c,
          round_even(
-           (f.pixels[(m3.y0 * 7 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y0 * 7 + m3.x1) * 3 + m3.c + 1] * m3.fx) * (1 - m3.fy)
-         + (f.pixels[(m3.y1 * 7 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y1 * 7 + m3.x1) * 3 + m3.c + 1] * m3.fx) * m3.fy, 0) AS v
+           (f.pixels[(m3.y0 * 11 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y0 * 11 + m3.x1) * 3 + m3.c + 1] * m3.fx) * (1 - m3.fy)
+         + (f.pixels[(m3.y1 * 11 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y1 * 11 + m3.x1) * 3 + m3.c + 1] * m3.fx) * m3.fy, 0) AS v
   FROM cframes f, m3)
 SELECT video_id, frame_idx, 6 AS out_height, 14 AS out_width,
        {r6("sum(CAST(CAST(v AS FLOAT) * CAST(1.0 / 255.0 AS FLOAT) AS DOUBLE))")} AS rgb_norm_sum,

@@ -44,9 +44,8 @@ TIMES_N = 10
 @query("frame_motion_brightness")
 def frame_motion_brightness(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: P1 uniform sample -> N15 brightness -> W1 motion -> A17 per video."""
-    frames = tb.frames_gray(spark, sf)
-    sizes = tb.frame_sizes(spark, sf)
-    s = smp.sample_uniform(frames, sizes, UNIFORM_N)
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = tb.with_pixels(s, spark, sf)
     s = s.withColumn("brightness", feat.brightness(F.col("pixels")))
     s = feat.with_motion(s, pos="sample_pos")
     v = feat.video_features(s)
@@ -552,7 +551,9 @@ def batch_report(spark, sf):
     """S20 over per-video results (A1) in video order."""
     from framelake.operators import rollups
     from framelake.sources import json_io
-    v = rollups.video_rollup(tb.analyses(spark, sf))
+    from framelake.plans.joins import materialize
+    # one row per video, read several times below: computed once
+    v = materialize(rollups.video_rollup(tb.analyses(spark, sf)), "rollup")
     res = v.select(F.col("video_id").alias("seq"),
                    F.concat(F.lit("video_"), F.col("video_id").cast("string")).alias("video_path"),
                    "success", "frames_analyzed", "total_frames_extracted", "total_processing_time",
@@ -568,8 +569,8 @@ def inference_requests(spark, sf):
     """S15 + S16 for the uniform sample of every video."""
     from framelake.functions import prompts as pr
     from framelake.sources import requests as rq
-    frames = tb.frames_gray(spark, sf)
-    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = tb.with_pixels(s, spark, sf)
     return s.select("video_id", "sample_pos", rq.frame_request(
         F.lit(rq.CPU_MODEL), F.lit(pr.FRAME_PROMPT), F.array(rq.pixels_base64(F.col("pixels")))).alias("request"))
 
@@ -668,8 +669,8 @@ def vocab_json(spark, sf):
 def describe_frames_stub(spark, sf):
     """I1 + I6 + I7 over the uniform sample of every video."""
     from framelake.operators import inference as inf
-    frames = tb.frames_gray(spark, sf)
-    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = tb.with_pixels(s, spark, sf)
     return inf.describe_frames(s, timeout_s=300.0, sleep=False)
 
 
@@ -678,8 +679,8 @@ def describe_frame_groups(spark, sf):
     """All sampled frames of a video, one prompt, one answer."""
     from framelake.functions import prompts as pr
     from framelake.operators import inference as inf
-    frames = tb.frames_gray(spark, sf)
-    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = tb.with_pixels(s, spark, sf)
     return inf.describe_frame_groups(s, pr.FRAME_PROMPT)
 
 
@@ -700,8 +701,8 @@ def analyze_videos(spark, sf):
     a failing model gives 'Analysis failed: ...' with confidence 0."""
     from framelake.functions import prompts as pr
     from framelake.operators import inference as inf
-    frames = tb.frames_gray(spark, sf)
-    s = smp.sample_frames(frames, tb.frame_sizes(spark, sf), 16, "adaptive")
+    s = smp.sample_frames(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), 16, "adaptive")
+    s = tb.with_pixels(s, spark, sf)
     return inf.describe_frame_groups(s, pr.DEFAULT_VIDEO_PROMPT, model_spec=FlakyGroupModel)
 
 
@@ -728,7 +729,7 @@ def _image_frames(spark, sf):
 
 @query("image_preprocess")
 def image_preprocess(spark, sf):
-    """N10 + N12 + N13 (3x7 -> 6x14) + N16 + N19 on image structs of the colour frames."""
+    """N10 + N12 + N13 (2x11 -> 6x14) + N16 + N19 on image structs of the colour frames."""
     from framelake.functions import images as im
     p = im.preprocess_images(_image_frames(spark, sf), 6, 14)
     return p.select("video_id", "frame_idx", "out_height", "out_width",
@@ -740,10 +741,10 @@ def image_preprocess(spark, sf):
 def pixel_tensor(spark, sf):
     """N11 per video over its uniform 16-frame sample."""
     from framelake.functions import images as im
-    f = _image_frames(spark, sf)
-    sizes = f.groupBy("video_id").agg(F.count(F.lit(1)).cast("int").alias("total_frames"))
-    s = smp.sample_uniform(f, sizes, 16)
-    t = im.pixel_tensor(s)
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), 16)
+    s = tb.with_pixels(s.drop("height", "width", "channels"), spark, sf, color=True)
+    t = im.pixel_tensor(s.withColumn("image", im.image_struct(
+        F.col("pixels"), F.lit(tb.COLOR_H), F.lit(tb.COLOR_W), F.lit(3))))
     return t.select("video_id", "n_frames", "shape", r6(F.col("value_sum")).alias("value_sum"), "nonzero")
 
 

@@ -18,8 +18,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # Fixed values of the frame fixture: frames come at a constant rate.
 FRAME_FPS = 10.0
 GRAY_SIDE = 8            # 64 elements -> 8x8 single-channel tile
-COLOR_PIXELS = 21        # elements 0..62 -> 21 BGR pixels, 3 rows x 7 columns
-COLOR_H, COLOR_W = 3, 7
+COLOR_PIXELS = 22        # 64 elements and two zeros -> 22 BGR pixels, 2 rows x 11 columns
+COLOR_H, COLOR_W = 2, 11
 
 # Minutes of event time per ordering segment for the analyses fixture.
 ANALYSIS_SEGMENT_MINUTES = 60
@@ -56,12 +56,31 @@ def frames_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colour frames: pixel j of channel c (B=0, G=1, R=2) = element 3j+c, 21 pixels."""
+    """Colour frames: pixel j of channel c (B=0, G=1, R=2) = element 3j+c, 22 pixels; all 64
+    elements are used, elements 64 and 65 are zero."""
     f = frames_gray(spark, sf_dir)
     return f.select(
         "video_id", "frame_idx", "vec_id", "ts",
         F.lit(COLOR_H).alias("height"), F.lit(COLOR_W).alias("width"), F.lit(3).alias("channels"),
-        F.slice("pixels", 1, 3 * COLOR_PIXELS).alias("pixels"))
+        padded(F.col("pixels")).alias("pixels"))
+
+
+def padded(pixels: Column) -> Column:
+    """Levels filled up with zeros to whole BGR pixels."""
+    return F.concat(pixels, F.array_repeat(F.lit(0), F.lit(3 * COLOR_PIXELS) - F.size(pixels)))
+
+
+def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames without pixels: positions are found on (label, vec_id) alone."""
+    return frames_gray(spark, sf_dir).drop("pixels")
+
+
+def with_pixels(picked: DataFrame, spark: SparkSession, sf_dir: str, color: bool = False) -> DataFrame:
+    """Attach the pixels of picked frames (rows of ``frame_index``) by ``vec_id``."""
+    pixels = pixel_values("embedding")
+    emb = read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("_vec"), (padded(pixels) if color else pixels).alias("pixels"))
+    return picked.join(emb, F.col("vec_id") == F.col("_vec")).drop("_vec")
 
 
 def video_sizes(frames: DataFrame) -> DataFrame:
