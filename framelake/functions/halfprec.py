@@ -1,7 +1,7 @@
 """Half-precision bit patterns (N7-N9) as Arrow-batched pandas UDFs.
 
 Spark SQL has no float bit reinterpretation, so these run vectorised in numpy
-on Arrow batches (one call per batch, never per row).
+on Arrow batches (numpy on each row's array).
 
 Conversion rules follow the reference: float32 -> float16 *truncates* the
 mantissa (no rounding), underflow gives a signed zero, overflow gives

@@ -733,7 +733,8 @@ def image_preprocess(spark, sf):
     from framelake.functions import images as im
     p = im.preprocess_images(_image_frames(spark, sf), 6, 14)
     return p.select("video_id", "frame_idx", "out_height", "out_width",
-                    r6(F.col("rgb_norm_sum")).alias("rgb_norm_sum"), r6(F.col("edge_density")).alias("edge_density"),
+                    r6(F.col("rgb_norm_sum")).alias("rgb_norm_sum"), "placed_sum",
+                    r6(F.col("edge_density")).alias("edge_density"),
                     "content_ok")
 
 
@@ -745,7 +746,7 @@ def pixel_tensor(spark, sf):
     s = tb.with_pixels(s.drop("height", "width", "channels"), spark, sf, color=True)
     t = im.pixel_tensor(s.withColumn("image", im.image_struct(
         F.col("pixels"), F.lit(tb.COLOR_H), F.lit(tb.COLOR_W), F.lit(3))))
-    return t.select("video_id", "n_frames", "shape", r6(F.col("value_sum")).alias("value_sum"), "nonzero")
+    return t.select("video_id", "n_frames", "shape", "level_sum", "placed_sum", "nonzero")
 
 
 # --- streaming ---------------------------------------------------------------------------
@@ -868,7 +869,7 @@ def multimodal_positions(spark, sf):
 
 @query("image_resize")
 def image_resize(spark, sf):
-    """N10 + N12 + N13 (3x7 -> 6x14 bilinear, BGR -> RGB, / 255) and N19 on image structs."""
+    """N10 + N12 + N13 (2x11 -> 6x14 bilinear, BGR -> RGB, / 255) and N19 on image structs."""
     from framelake.functions import images as im
     p = im.preprocess_images(_image_frames(spark, sf), 6, 14)
     return p.select("video_id", "frame_idx", "out_height", "out_width",
