@@ -2,7 +2,7 @@
 
 Frame tables here carry small pixel arrays (``pixels array<int>``, BGR
 interleaved for colour). Per-frame features are higher-order SQL functions
-evaluated inside the row (JVM side, whole-stage codegen friendly); nothing is
+evaluated inside the row (JVM side); nothing is
 exploded to one row per pixel. Frame-to-frame differences use the segmented
 previous-row helper, so a long video is never one window partition. Real
 decoded frames use the Arrow kernels in ``framelake.functions.images``.
@@ -46,7 +46,7 @@ def gray_levels(pixels: Column, channels: int) -> Column:
 
 def brightness(pixels: Column, channels: int = 1) -> Column:
     """Mean gray level of a frame."""
-    return arr_sum(gray_levels(pixels, channels), F.lit(0.0)) / F.size(gray_levels(pixels, channels))
+    return arr_sum(gray_levels(pixels, channels), F.lit(0.0)) / (F.size(pixels) / F.lit(channels))
 
 
 def abs_diff_mean(cur: Column, prev: Column) -> Column:

@@ -9,6 +9,7 @@ events documents embeddings pages benchmark labels conversations).
 from __future__ import annotations
 
 from framelake import queries as q
+from framelake.functions.images import CANNY_HIGH, CANNY_LOW
 
 # Fixture CTEs --------------------------------------------------------------------
 
@@ -185,30 +186,58 @@ SELECT video_id, frame_idx, CAST(code // 32 AS INTEGER) AS channel, CAST(code %
        CAST(n AS BIGINT) AS count
 FROM cnt"""
 
+# Edge density per frame: needs RECURSIVE, cframes.
+CANNY = f"""
+cell AS (SELECT y, x FROM range(0, 2) a(y), range(0, 11) b(x)),
+gray AS (SELECT vec_id, y, x, 0.299::DOUBLE * pixels[(y * 11 + x) * 3 + 3] + 0.587::DOUBLE * pixels[(y * 11 + x) * 3 + 2]
+                + 0.114::DOUBLE * pixels[(y * 11 + x) * 3 + 1] AS g FROM cframes, cell),
+rows3 AS (SELECT vec_id, y, list(g ORDER BY x) AS l FROM gray GROUP BY vec_id, y),
+imgs AS (SELECT vec_id, list(l ORDER BY y) AS i FROM rows3 GROUP BY vec_id),
+nb AS (SELECT vec_id, y, x, i[greatest(y, 1)] AS u, i[y + 1] AS m, i[least(y + 2, 2)] AS d,
+              greatest(x, 1) AS w, x + 1 AS o, least(x + 2, 11) AS e FROM imgs, cell),
+sob AS (SELECT vec_id, y, x, (u[e] + 2 * m[e] + d[e]) - (u[w] + 2 * m[w] + d[w]) AS gx,
+               (d[w] + 2 * d[o] + d[e]) - (u[w] + 2 * u[o] + u[e]) AS gy FROM nb),
+mag AS (SELECT *, abs(gx) + abs(gy) AS mg, (degrees(atan2(gy, gx)) + 180) % 180 AS ang FROM sob),
+dirs AS (SELECT *, CASE WHEN ang < 22.5 OR ang >= 157.5 THEN 0 WHEN ang < 67.5 THEN 1 WHEN ang < 112.5 THEN 1 ELSE -1 END AS dy,
+                CASE WHEN ang < 22.5 OR ang >= 157.5 THEN 1 WHEN ang < 67.5 THEN 1 WHEN ang < 112.5 THEN 0 ELSE 1 END AS dx FROM mag),
+peak AS (SELECT a.vec_id, a.y, a.x, a.mg FROM dirs a
+         LEFT JOIN mag p ON p.vec_id = a.vec_id
+              AND p.y = a.y - (CASE WHEN a.dy = -1 THEN 1 ELSE a.dy END)
+              AND p.x = a.x - (CASE WHEN a.dy = -1 THEN -1 ELSE a.dx END)
+         LEFT JOIN mag q ON q.vec_id = a.vec_id
+              AND q.y = a.y + (CASE WHEN a.dy = -1 THEN 1 ELSE a.dy END)
+              AND q.x = a.x + (CASE WHEN a.dy = -1 THEN -1 ELSE a.dx END)
+         WHERE a.mg > coalesce(p.mg, 0) AND a.mg >= coalesce(q.mg, 0) AND a.mg > {CANNY_LOW}),
+edge AS (SELECT vec_id, y, x FROM peak WHERE mg > {CANNY_HIGH}
+         UNION
+         SELECT k.vec_id, k.y, k.x FROM edge e JOIN peak k ON k.vec_id = e.vec_id AND abs(k.y - e.y) <= 1 AND abs(k.x - e.x) <= 1),
+dens AS (SELECT vec_id, count(*) / 22.0 AS edge_density FROM edge GROUP BY vec_id)"""
+
 SQL["frame_features_color"] = f"""
-WITH {CFRAMES}, {HIST},
+WITH RECURSIVE {CFRAMES}, {HIST}, {CANNY},
 samp AS (
   SELECT s.video_id, p.i AS sample_pos,
          CAST(trunc((CAST(p.i AS DOUBLE) / 15) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
   FROM sizes s, {positions(16)} p),
 sf AS (
-  SELECT m.video_id, m.sample_pos, f.pixels, e.entropy,
+  SELECT m.video_id, m.sample_pos, f.pixels, e.entropy, coalesce(d.edge_density, 0.0) AS edge,
          list_transform(range(0, 22), lambda j: 0.299 * f.pixels[3*j+3] + 0.587 * f.pixels[3*j+2] + 0.114 * f.pixels[3*j+1]) AS gray
   FROM samp m JOIN cframes f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx
-  JOIN ent e ON e.video_id = m.video_id AND e.frame_idx = m.frame_idx),
+  JOIN ent e ON e.video_id = m.video_id AND e.frame_idx = m.frame_idx
+  LEFT JOIN dens d ON d.vec_id = f.vec_id),
 lagged AS (SELECT *, lag(gray) OVER (PARTITION BY video_id ORDER BY sample_pos) AS prev FROM sf),
 per AS (
-  SELECT video_id, {COLOR_BRIGHT} AS brightness, entropy,
+  SELECT video_id, {COLOR_BRIGHT} AS brightness, entropy, edge,
          CASE WHEN prev IS NULL THEN 0.0
               ELSE list_sum(list_transform(gray, lambda g, k: abs(g - prev[k]))) / 22.0 END AS motion
   FROM lagged),
 agg AS (
   SELECT video_id, count(*) AS n, sum(brightness) / (count(*) * 255.0) AS b,
          CASE WHEN count(*) > 1 THEN sum(motion) / ((count(*) - 1) * 255.0) END AS m,
-         sum(entropy) / count(*) AS e
+         sum(entropy) / count(*) AS e, sum(edge) / count(*) AS d
   FROM per GROUP BY video_id)
 SELECT video_id, CAST(n AS BIGINT) AS n_frames,
-       list_transform([b, m, e, 0.0, (e + 0.0) / 2, m, b, n / 32.0], lambda x: {r6("x")}) AS features
+       list_transform([b, m, e, d, (e + d) / 2, m, b, n / 32.0], lambda x: {r6("x")}) AS features
 FROM agg"""
 
 SQL["frame_chunks"] = f"""
@@ -1101,34 +1130,9 @@ FROM px JOIN n USING (video_id) GROUP BY video_id"""
 
 # Sobel with repeated borders, suppression along the gradient, hysteresis as reachability over weak pixels;
 # with the resize of image_resize, its levels weighted by RGB channel, row and column.
-from framelake.functions.images import CANNY_HIGH, CANNY_LOW  # noqa: E402
-
 SQL["image_preprocess"] = f"""
 WITH RECURSIVE {CFRAMES},
-cell AS (SELECT y, x FROM range(0, 2) a(y), range(0, 11) b(x)),
-gray AS (SELECT vec_id, y, x, 0.299::DOUBLE * pixels[(y * 11 + x) * 3 + 3] + 0.587::DOUBLE * pixels[(y * 11 + x) * 3 + 2]
-                + 0.114::DOUBLE * pixels[(y * 11 + x) * 3 + 1] AS g FROM cframes, cell),
-rows3 AS (SELECT vec_id, y, list(g ORDER BY x) AS l FROM gray GROUP BY vec_id, y),
-imgs AS (SELECT vec_id, list(l ORDER BY y) AS i FROM rows3 GROUP BY vec_id),
-nb AS (SELECT vec_id, y, x, i[greatest(y, 1)] AS u, i[y + 1] AS m, i[least(y + 2, 2)] AS d,
-              greatest(x, 1) AS w, x + 1 AS o, least(x + 2, 11) AS e FROM imgs, cell),
-sob AS (SELECT vec_id, y, x, (u[e] + 2 * m[e] + d[e]) - (u[w] + 2 * m[w] + d[w]) AS gx,
-               (d[w] + 2 * d[o] + d[e]) - (u[w] + 2 * u[o] + u[e]) AS gy FROM nb),
-mag AS (SELECT *, abs(gx) + abs(gy) AS mg, (degrees(atan2(gy, gx)) + 180) % 180 AS ang FROM sob),
-dirs AS (SELECT *, CASE WHEN ang < 22.5 OR ang >= 157.5 THEN 0 WHEN ang < 67.5 THEN 1 WHEN ang < 112.5 THEN 1 ELSE -1 END AS dy,
-                CASE WHEN ang < 22.5 OR ang >= 157.5 THEN 1 WHEN ang < 67.5 THEN 1 WHEN ang < 112.5 THEN 0 ELSE 1 END AS dx FROM mag),
-peak AS (SELECT a.vec_id, a.y, a.x, a.mg FROM dirs a
-         LEFT JOIN mag p ON p.vec_id = a.vec_id
-              AND p.y = a.y - (CASE WHEN a.dy = -1 THEN 1 ELSE a.dy END)
-              AND p.x = a.x - (CASE WHEN a.dy = -1 THEN -1 ELSE a.dx END)
-         LEFT JOIN mag q ON q.vec_id = a.vec_id
-              AND q.y = a.y + (CASE WHEN a.dy = -1 THEN 1 ELSE a.dy END)
-              AND q.x = a.x + (CASE WHEN a.dy = -1 THEN -1 ELSE a.dx END)
-         WHERE a.mg > coalesce(p.mg, 0) AND a.mg >= coalesce(q.mg, 0) AND a.mg > @LOW@),
-edge AS (SELECT vec_id, y, x FROM peak WHERE mg > @HIGH@
-         UNION
-         SELECT k.vec_id, k.y, k.x FROM edge e JOIN peak k ON k.vec_id = e.vec_id AND abs(k.y - e.y) <= 1 AND abs(k.x - e.x) <= 1),
-dens AS (SELECT vec_id, count(*) / 22.0 AS edge_density FROM edge GROUP BY vec_id),
+{CANNY},
 grid AS (SELECT y, x, c FROM range(0, 6) t1(y), range(0, 14) t2(x), range(0, 3) t3(c)),
 m AS (SELECT y, x, c,
              least(greatest((y + 0.5) * (2.0 / 6) - 0.5, 0.0), 1.0) AS ys,
@@ -1146,4 +1150,4 @@ SELECT video_id, frame_idx, 6 AS out_height, 14 AS out_width,
        CAST(sum(CAST(v AS BIGINT) * ((3 - c) * 5 + (y + 1) * 3 + x + 1)) AS BIGINT) AS placed_sum,
        {r6("any_value(coalesce(edge_density, 0.0))")} AS edge_density,
        max(v) > 0 AS content_ok
-FROM px LEFT JOIN dens USING (vec_id) GROUP BY video_id, frame_idx""".replace("@LOW@", str(CANNY_LOW)).replace("@HIGH@", str(CANNY_HIGH))
+FROM px LEFT JOIN dens USING (vec_id) GROUP BY video_id, frame_idx"""

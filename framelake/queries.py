@@ -112,9 +112,10 @@ def frame_histogram(spark, sf):
 @query("frame_features_color")
 def frame_features_color(spark, sf):
     """A17 over a uniform sample of colour frames: brightness, motion (gray of
-    each frame), colour entropy; edges come from the image path (N16)."""
-    frames = tb.frames_color(spark, sf)
-    s = smp.sample_uniform(frames, tb.frame_sizes(spark, sf), 16)
+    each frame), colour entropy and edge density (N16)."""
+    from framelake.functions import images as im
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), 16)
+    s = im.with_edge_density(tb.with_pixels(s, spark, sf, color=True), tb.COLOR_H, tb.COLOR_W)
     s = feat.with_color_entropy(s.withColumn("brightness", feat.brightness(F.col("pixels"), 3)))
     s = feat.with_motion(s, pos="sample_pos", channels=3)
     v = feat.video_features(s)
