@@ -103,6 +103,8 @@ def _anchors(half: Column) -> Column:
 
 def replicas(fps: DataFrame) -> DataFrame:
     """(part, anchor, home, fp, node) of distinct fingerprints (fp, node)."""
+    # a small table of many replicas each: as many tasks as shuffles have, not as few as the files
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     halves = F.array(F.struct(F.lit(0).alias("part"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")),
                      F.struct(F.lit(1).alias("part"), F.shiftrightunsigned("fp", 32).alias("half")))
     cut = fps.select("fp", "node", F.explode(halves).alias("h")).select("fp", "node", "h.part", "h.half")
