@@ -1,10 +1,10 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Entities: e-mail addresses, IPv4 addresses, payment cards (16 digits, valid check digit), phone numbers,
+Entities: e-mail addresses, IPv4 addresses, payment cards (16 digits), phone numbers,
 US social security numbers, and names after a form of address. Each gets a surrogate by a keyed
 permutation of all values of its own shape (a four-round Feistel network over its letters and digits),
 so equal entities get equal surrogates in every document, and different ones different surrogates.
-Digits stay digits; a card keeps its first digit and gets a valid check digit; an address
+Digits stay digits; a card keeps its first digit, and its surrogate's check digit is valid exactly if its own is; an address
 keeps its first octet; a phone number keeps its country code; separators stay. Letters keep case, script (Latin,
 Greek, Cyrillic) and kind (vowel, consonant); a name keeps its form of address and its last letter, which carry
 the gender. Case (mail) and separators (digits) do not change who is meant: they are put back
@@ -40,12 +40,13 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9]{4}(?:[0-9]{12}| [0-9]{4} [0-9]{4} [0-9]{4}|-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
-             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+             r"|(?<![0-9A-Za-z])\+(?=(?:[ .-]?[0-9]){7,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,6}(?![0-9])"
+             r"|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "name": rf"(?<!\p{{L}})(?:{_FORMS})\.?(?: (?!(?:{_FORMS})\b)\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)*){{1,3}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A cheap test for texts that may hold an entity: every pattern needs one of these.
-MAYBE = rf"[A-Za-z0-9%+._-]@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{_FORMS})\.? \p{{Lu}}"
+MAYBE = rf"[A-Za-z0-9%+._-]@|[0-9]{{3}}|\+[0-9]|[0-9]\.[0-9]|(?:{_FORMS})\.? \p{{Lu}}"
 # Letters that may stand for each other.
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
            "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ"]
@@ -94,11 +95,8 @@ def _check_digit(body: str) -> str:
 
 
 def _type_of(e: str) -> str:
-    cases = " ".join(f"WHEN {e} RLIKE {_q('^(?:' + p + ')$')} THEN '{t}'" for t, p in PATTERNS.items() if t != "card")
-    d = f"regexp_replace({e}, '[ -]', '')"
-    card = (f"WHEN {e} RLIKE {_q('^(?:' + PATTERNS['card'] + ')$')} THEN "
-            f"if({_check_digit(f'substr({d}, 1, 15)')} = substr({d}, 16), 'card', NULL)")
-    return f"CASE {card} {cases} END"
+    cases = " ".join(f"WHEN {e} RLIKE {_q('^(?:' + p + ')$')} THEN '{t}'" for t, p in PATTERNS.items())
+    return f"CASE {cases} END"
 
 
 def _parts(kind: str, e: str) -> str:
@@ -115,8 +113,10 @@ def _surrogate_part(kind: str, v: str, key: str) -> str:
     tail = r"regexp_extract(" + domain + r", '((?:^|\\.)(?:example\\.)?[a-z]+)$', 1)"
     head = f"substr({domain}, 1, length({domain}) - length({tail}))"
     mail = f"concat({_permute(local, f'concat({key}, 1)')}, '@', {_permute(head, f'concat({key}, 2)')}, {tail})"
+    # the last digit's distance from the valid check digit stays: two different cards never meet
+    off = f"CAST(substr({v}, 16) AS INT) - CAST({_check_digit(f'substr({v}, 1, 15)')} AS INT)"
     card = _let(f"concat(substr({v}, 1, 1), {_permute(f'substr({v}, 2, 14)', key)})", "y",
-                f"concat(y, {_check_digit('y')})")
+                f"concat(y, CAST(pmod(CAST({_check_digit('y')} AS INT) + {off}, 10) AS STRING))")
     # 24 bits below the first octet, as two 12-bit halves
     octet = lambda i: f"CAST(split_part({v}, '.', {i}) AS BIGINT)"
     rounds = (f"aggregate(sequence(1, {ROUNDS}), named_struct('a', shiftright(n, 12), 'b', n & 4095), (s, r) -> "
