@@ -1,12 +1,11 @@
 """Token ids: vocabulary, whitespace/byte tokenizer, fallbacks, padding, decoding.
 
-Plan shape for the vocabulary tokenizer (T1): split every text into words
-(exploded with their position), look the *distinct* words up in the
-vocabulary with a join (the vocabulary grows with its source table, so Spark
-picks the join from sizes), compute the per-character fallback once per
-distinct missing word, join the ids back to the word positions and reassemble
-each text with an ordered ``collect_list`` grouped by text -- a group is one
-text, whole. The only thing inlined into expressions is the map of
+Plan shape for the vocabulary tokenizer (T1): exchange the whole texts once by
+their key, split them into words (exploded with their position), look the words up
+in the vocabulary with a join (the vocabulary grows with its source table, so Spark
+picks the join from sizes), compute the per-character fallback of missing
+words, and reassemble each text with an ordered ``collect_list`` grouped by the
+same key -- a group is one text, whole. The only thing inlined into expressions is the map of
 single-ASCII-character tokens, which has at most 128 entries.
 """
 
@@ -113,20 +112,15 @@ def tokenize(texts: DataFrame, vocab: DataFrame, key: str, text_col: str = "text
     Whole-word vocabulary hit -> its id; else the per-character fallback; BOS is
     prepended only to a non-empty result when ``add_special``.
     """
-    # outer explode: a text without words keeps one row (NULL word), so no
-    # second pass over the texts is needed to bring it back
-    from framelake.plans.joins import spread
-    w = spread(texts.select(key, text_col)).select(
+    # whole texts are exchanged once, by key; exploded words stay with their text through a broadcast lookup and the
+    # regrouping. outer explode: a text without words keeps one row (NULL word), so no second pass brings it back
+    w = texts.select(key, text_col).repartition(key).select(
         key, F.posexplode_outer(words(F.col(text_col))).alias("wpos", "word"))
     cmap = single_char_map(vocab)
-    vocab_w = vocab.select(F.col("token").alias("word"), F.col("id").cast("long").alias("id"))
-    # the per-character fallback is computed once per distinct word, not per occurrence
-    distinct = w.select("word").filter(F.col("word").isNotNull()).distinct()
-    word_ids = distinct.join(vocab_w, "word", "left").select(
-        "word", F.when(F.col("id").isNotNull(), F.array("id"))
-        .otherwise(byte_fallback_ids(F.col("word"), cmap)).alias("ids"))
-    placed = w.join(word_ids, "word", "left").select(
-        key, "wpos", F.coalesce(F.col("ids"), F.array().cast("array<bigint>")).alias("ids"))
+    vocab_w = vocab.select(F.col("token").alias("word"), F.col("id").cast("long").alias("_word_id"))
+    placed = w.join(vocab_w, "word", "left").select(
+        key, "wpos", F.when(F.col("word").isNull(), F.array().cast("array<bigint>"))
+        .when(F.col("_word_id").isNotNull(), F.array("_word_id")).otherwise(byte_fallback_ids(F.col("word"), cmap)).alias("ids"))
     grouped = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("wpos", "ids"))).alias("_parts"))
     ids = F.flatten(F.transform("_parts", lambda p: p["ids"]))
     if add_special:

@@ -21,7 +21,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,14 +34,16 @@ SUMMARY_FAILED = "Failed to generate video summary."
 
 
 class FrameModel(Protocol):
-    """one answer per frame. ``describe`` gets a batch with ``pixels`` and
-    ``prompt`` and returns columns status (int), response (str), latency (float)."""
+    """one answer per frame. ``describe`` gets a batch with ``pixels``, ``prompt`` and the
+    frame's keys and returns columns status (int), response (str), transient (bool) and, if the
+    model's server reports it, latency (seconds); otherwise the call is timed."""
 
     def describe(self, batch: pd.DataFrame, attempt: int) -> pd.DataFrame: ...
 
 
 class GroupModel(Protocol):
-    """several frames, one prompt -> one answer."""
+    """several frames, one prompt -> one answer (I2/I4): description and confidence, and
+    optionally objects, actions, temporal_events (lists) and scene_context."""
 
     def analyze(self, frames: pd.DataFrame, prompt: str) -> dict: ...
 
@@ -71,7 +73,9 @@ class StubGroupModel:
         total = int(sum(int(np.sum(p)) for p in frames["pixels"]))
         n_px = int(sum(len(p) for p in frames["pixels"]))
         return {"description": f"{len(frames)} frames, mean level {total // max(n_px, 1)}",
-                "confidence": round(min(1.0, len(frames) / 16.0), 6)}
+                "confidence": round(min(1.0, len(frames) / 16.0), 6),
+                "objects": ["bright area" if total >= 128 * n_px else "dark area"],
+                "scene_context": f"{len(frames)} frames of {n_px // max(len(frames), 1)} pixels"}
 
 
 class StubSummarizer:
@@ -116,7 +120,8 @@ DESCRIBE_SCHEMA = T.StructType([
     T.StructField("frame_idx", T.LongType()), T.StructField("success", T.BooleanType()),
     T.StructField("description", T.StringType()), T.StructField("error", T.StringType()),
     T.StructField("processing_time", T.DoubleType()), T.StructField("frame_description", T.StringType()),
-    T.StructField("model_used", T.StringType()), T.StructField("attempts", T.IntegerType())])
+    T.StructField("model_used", T.StringType()), T.StructField("attempts", T.IntegerType()),
+    T.StructField("timestamp", T.DoubleType())])
 
 
 def retry_wait(attempt: int) -> float:
@@ -125,18 +130,29 @@ def retry_wait(attempt: int) -> float:
 
 
 def describe_frames(frames: DataFrame, model_spec: str = "stub-frame", model_name: str = "stub",
-                    timeout_s: float = DEFAULT_TIMEOUT_S, sleep: bool = True) -> DataFrame:
-    """I1 + I6 + I7: one analysis row per frame (frames need video_id, sample_pos,
-    frame_idx, pixels).
+                    timeout_s: float = DEFAULT_TIMEOUT_S, sleep: bool = True,
+                    prompt: str | Column = "") -> DataFrame:
+    """I1 + I6 + I7 + F4: one analysis row per frame (frames need video_id, sample_pos,
+    frame_idx, pixels; ``ts`` is handed on as timestamp if there is one).
 
-    status 200 -> stripped response; other status -> 'HTTP <code>'; latency at
+    ``prompt`` is a text for all frames or a column of ``frames``.
+    status 200 -> stripped response; other status -> 'HTTP <code>'; a call at
     or over the timeout -> 'Timeout after <t> seconds' with processing_time =
-    timeout; transient failures are retried up to 3 attempts (waits 4-10 s;
+    timeout (the call's seconds over its frames, unless the model reports its own
+    latency); transient failures are retried up to 3 attempts (waits 4-10 s;
     ``sleep=False`` skips them for models that have nothing to wait for); an exception
     becomes 'Processing error: ...' with processing_time 0.
     """
     cols = frames.select(F.col("video_id").cast("long"), F.col("sample_pos").cast("long"),
-                         F.col("frame_idx").cast("long"), "pixels")
+                         F.col("frame_idx").cast("long"), "pixels",
+                         (prompt if isinstance(prompt, Column) else F.lit(prompt)).alias("prompt"),
+                         (F.col("ts") if "ts" in frames.columns else F.lit(None)).cast("double").alias("timestamp"))
+
+    def call(model, batch: pd.DataFrame, attempt: int) -> pd.DataFrame:
+        began = time.monotonic()
+        out = pd.DataFrame(model.describe(batch, attempt))
+        spent = (time.monotonic() - began) / max(1, len(batch))
+        return out if "latency" in out else out.assign(latency=spent)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model(model_spec)
@@ -150,19 +166,19 @@ def describe_frames(frames: DataFrame, model_spec: str = "stub-frame", model_nam
                 if len(idx) == 0:
                     break
                 try:
-                    out = model.describe(pdf.iloc[idx].reset_index(drop=True), a)
+                    out = call(model, pdf.iloc[idx].reset_index(drop=True), a)
                 except Exception:  # noqa: BLE001 - frame by frame, so that one bad frame is one error row
                     done = []
                     for j in idx:
                         try:
-                            done.append(model.describe(pdf.iloc[[j]].reset_index(drop=True), a))
+                            done.append(call(model, pdf.iloc[[j]].reset_index(drop=True), a))
                         except Exception as e:  # noqa: BLE001 - model errors become rows
                             result["error"][j] = f"Processing error: {e}"
                             pending[j] = False
                     idx = idx[pending[idx]]
                     if len(idx) == 0:
                         continue
-                    out = pd.concat([pd.DataFrame(x) for x in done], ignore_index=True)
+                    out = pd.concat(done, ignore_index=True)
                 for pos, j in enumerate(idx):
                     attempts[j] = a + 1
                     if bool(out["transient"].iloc[pos]):
@@ -194,18 +210,21 @@ def describe_frames(frames: DataFrame, model_spec: str = "stub-frame", model_nam
                 "video_id": pdf["video_id"], "sample_pos": pdf["sample_pos"], "frame_idx": pdf["frame_idx"],
                 "success": ok, "description": desc, "error": err, "processing_time": pt,
                 "frame_description": [f"Frame {int(i) + 1}" for i in pdf["sample_pos"]],
-                "model_used": model_name, "attempts": attempts})
+                "model_used": model_name, "attempts": attempts, "timestamp": pdf["timestamp"]})
 
     return cols.mapInPandas(run, DESCRIBE_SCHEMA)
 
 
-GROUP_SCHEMA = "video_id long, n_frames long, description string, confidence double, error string"
+GROUP_SCHEMA = ("video_id long, n_frames long, description string, confidence double, error string, objects array<string>, "
+                "actions array<string>, scene_context string, temporal_events array<string>, processing_time double")
 
 
 def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group",
                           max_frames: int | None = None) -> DataFrame:
     """I2 (+ I4 error rows): all frames of a video, one prompt -> one answer.
 
+    Every result has the fields of a full analysis; what the model does not answer, and all lists of
+    a failed call, are empty. processing_time is the measured time of the call.
     A group is what one model call gets: sample the frames before. ``max_frames`` (P9)
     keeps the first sample positions only, before grouping.
     """
@@ -216,14 +235,16 @@ def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         model = load_model(model_spec)
         vid = int(pdf["video_id"].iloc[0])
-        pdf = pdf.sort_values("sample_pos")
+        pdf, began = pdf.sort_values("sample_pos"), time.monotonic()
         try:
-            r = model.analyze(pdf, prompt)
-            return pd.DataFrame([{"video_id": vid, "n_frames": len(pdf), "description": r["description"],
-                                  "confidence": float(r["confidence"]), "error": None}])
+            r = {"error": None, **model.analyze(pdf, prompt)}
         except Exception as e:  # noqa: BLE001
-            return pd.DataFrame([{"video_id": vid, "n_frames": len(pdf),
-                                  "description": f"{ANALYSIS_FAILED}{e}", "confidence": 0.0, "error": str(e)}])
+            r = {"description": f"{ANALYSIS_FAILED}{e}", "confidence": 0.0, "error": str(e)}
+        return pd.DataFrame([{
+            "video_id": vid, "n_frames": len(pdf), "description": r["description"], "confidence": float(r["confidence"]),
+            "error": r["error"], "objects": list(r.get("objects", ())), "actions": list(r.get("actions", ())),
+            "scene_context": r.get("scene_context", ""), "temporal_events": list(r.get("temporal_events", ())),
+            "processing_time": time.monotonic() - began}])
 
     return capped.groupBy("video_id").applyInPandas(run, GROUP_SCHEMA)
 

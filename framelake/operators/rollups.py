@@ -11,9 +11,12 @@ per-frame details stay a table keyed by video instead of a nested array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.plans import ordered
+from framelake.plans.joins import materialize
+
 # Texts and thresholds of the reference's summaries.
 NO_FRAMES = "No frames were successfully analyzed."
 NO_MEANINGFUL = "Video analysis completed but no meaningful descriptions were generated."
@@ -216,21 +219,43 @@ def throughput(frames: Column, elapsed: Column, videos: Column) -> tuple[Column,
 def latency_profile(df: DataFrame, by: str = "model_used", approx: bool = False) -> DataFrame:
     """Average, P95, P99 of frame time, success rate and frames per second.
 
-    Exact percentiles keep one counter per distinct value in the aggregation
-    buffer, which is bounded for latencies recorded to 0.01 s; ``approx=True``
-    switches to ``percentile_approx`` for unbounded value domains.
+    Exact: rows are counted per distinct value first (map-side), the counts are range-partitioned by
+    (key, value), and a value's rank is the prefix within its partition plus the totals of
+    earlier partitions of its key. No buffer holds the values of a key, however many
+    there are. ``approx=True`` uses ``percentile_approx`` in one aggregation instead.
     """
-    if approx:
-        pct = F.percentile_approx("processing_time", [0.95, 0.99], 10000)
-    else:
-        pct = F.percentile("processing_time", F.array(F.lit(0.95), F.lit(0.99)))
     ok = F.coalesce(F.col("success"), F.lit(False))
-    a = df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.avg("processing_time").alias("avg_time"),
-        pct.alias("_p"),
-        F.avg(ok.cast("double")).alias("success_rate"),
-        F.sum("processing_time").alias("_total"))
-    return a.select(by, "frames", "avg_time",
-                    F.col("_p")[0].alias("p95_time"), F.col("_p")[1].alias("p99_time"),
-                    "success_rate", F.try_divide(F.col("frames"), F.col("_total")).alias("frames_per_sec"))
+    if approx:
+        a = df.groupBy(by).agg(
+            F.count(F.lit(1)).alias("frames"), F.avg("processing_time").alias("avg_time"),
+            F.percentile_approx("processing_time", [0.95, 0.99], 10000).alias("_p"),
+            F.avg(ok.cast("double")).alias("success_rate"), F.sum("processing_time").alias("_total"))
+        return a.select(by, "frames", "avg_time", F.col("_p")[0].alias("p95_time"), F.col("_p")[1].alias("p99_time"),
+                        "success_rate", F.try_divide(F.col("frames"), F.col("_total")).alias("frames_per_sec"))
+    t = F.col("processing_time")
+    counted = df.groupBy(by, t.alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum(ok.cast("long")).alias("_ok"))
+    # written with their partition's id: ranks and totals below must see the same ids
+    placed = materialize(counted.withColumn("_m", F.when(F.col("_t").isNotNull(), F.col("_n")).otherwise(0))
+                         .repartitionByRange(by, "_t").withColumn(ordered.SEG, F.spark_partition_id().cast("long")), "latency")
+    upto = Window.partitionBy(by, ordered.SEG).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    segs = placed.groupBy(by, ordered.SEG).agg(F.sum("_m").alias("_seg_m"))
+    offsets = ordered.segment_prefix(segs, [by], "_seg_m", "_off").select(by, ordered.SEG, "_off")
+    totals = placed.groupBy(by).agg(
+        F.sum("_n").alias("frames"), F.sum("_m").alias("_all"), F.sum(F.col("_t") * F.col("_n")).alias("_total"),
+        (F.sum("_ok") / F.sum("_n")).alias("success_rate"))
+    ranked = ordered.null_safe_join(placed.withColumn("_c", F.sum("_m").over(upto)), offsets, [by, ordered.SEG])
+    ranked = ordered.null_safe_join(ranked.select(by, "_t", (F.col("_off") + F.col("_c")).alias("_hi"), "_m"), totals, [by])
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_hi") - F.col("_m") <= rank) & (rank < F.col("_hi")), F.col("_t")))
+
+    def percentile(p: float) -> Column:
+        rank = F.lit(p) * (F.col("_all") - 1)
+        part = F.first(rank - F.floor(rank))
+        return at(F.floor(rank)) * (1 - part) + at(F.ceil(rank)) * part
+
+    names = ["frames", "_all", "_total", "success_rate"]
+    a = ranked.groupBy(by).agg(percentile(0.95).alias("p95_time"), percentile(0.99).alias("p99_time"),
+                               *[F.first(c).alias(c) for c in names])
+    return a.select(by, "frames", F.try_divide("_total", "_all").alias("avg_time"), "p95_time", "p99_time", "success_rate",
+                    F.try_divide("frames", "_total").alias("frames_per_sec"))

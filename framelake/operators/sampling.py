@@ -224,6 +224,15 @@ def sample_frames(frames: DataFrame, sizes: DataFrame, n: int, strategy: str, pi
     return sample_uniform(frames, sizes, n)
 
 
+def sample_frames_by_strategy(frames: DataFrame, sizes: DataFrame, n: int, pixels: int = 0) -> DataFrame:
+    """P8 with a strategy per video (column ``strategy`` of ``sizes``): (video_id, sample_pos, frame_idx)."""
+    by_change = F.coalesce(F.col("strategy") == "keyframe", F.lit(False))
+    cols = ["video_id", "sample_pos", "frame_idx"]
+    changes = sample_keyframes(frames, sizes.filter(by_change).drop("strategy"), n, pixels).select(cols)
+    evenly = sample_uniform(frames.select("video_id", "frame_idx"), sizes.filter(~by_change).drop("strategy"), n)
+    return changes.unionByName(evenly.select(cols))
+
+
 def pick_frames_by_index(index: DataFrame, frames: DataFrame) -> DataFrame:
     """Ordered fetch by an index list; duplicates kept, missing frames dropped.
 

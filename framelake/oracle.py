@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from framelake import queries as q
 from framelake.functions.images import CANNY_HIGH, CANNY_LOW
+from framelake.functions.tokens import SPECIAL_TEXT
 
 # Fixture CTEs --------------------------------------------------------------------
 
@@ -71,6 +72,10 @@ FROM samp m JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = ({idx_exp
 SQL["frame_sample_uniform"] = _sample_sql(
     f"CAST(trunc((CAST(m.sample_pos AS DOUBLE) / {q.UNIFORM_N - 1}) * (m.t - 1)) AS BIGINT)", q.UNIFORM_N)
 
+SQL["frame_cap"] = f"""
+SELECT video_id, sample_pos, frame_idx FROM ({_sample_sql(
+    f"CAST(trunc((CAST(m.sample_pos AS DOUBLE) / {q.CAP_FROM - 1}) * (m.t - 1)) AS BIGINT)", q.CAP_FROM)}) WHERE sample_pos < 16"""
+
 SQL["frame_sample_midpoint"] = _sample_sql(
     f"least(greatest(CAST(trunc(((m.sample_pos + 0.5) / {q.MIDPOINT_N}) * m.t) AS BIGINT), 0), m.t - 1)",
     q.MIDPOINT_N)
@@ -469,6 +474,17 @@ tok AS (SELECT doc.doc_id,
 
 SQL["vocab_table"] = f"WITH {VOCAB}\nSELECT token, id FROM vocab"
 
+SQL["token_lookup"] = f"""
+WITH {VOCAB},
+special AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {i})" for i, t in SPECIAL_TEXT.items())}) x(token, id)),
+w AS (SELECT DISTINCT unnest({words_sql("text")}) AS token
+      FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)
+      UNION SELECT token FROM special),
+i AS (SELECT w.token, CAST(coalesce(s.id, v.id, -1) AS BIGINT) AS token_id
+      FROM w LEFT JOIN special s USING (token) LEFT JOIN vocab v ON v.token = w.token)
+SELECT i.token, i.token_id, coalesce(s.token, v.token) AS back
+FROM i LEFT JOIN special s ON s.id = i.token_id LEFT JOIN vocab v ON v.id = i.token_id"""
+
 SQL["tokenize_docs"] = f"""
 WITH {TOKENIZE}
 SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_tokens, input_ids FROM tok"""
@@ -826,6 +842,9 @@ v AS (SELECT a.video_id, bool_or(a.success) AS success, count(*) FILTER (WHERE a
              count(*) AS tf, round(sum(a.processing_time), 2) AS t, s.summary
       FROM analyses a JOIN summ s USING (video_id) GROUP BY a.video_id, s.summary),
 n AS (SELECT *, row_number() OVER (ORDER BY video_id) AS no FROM v)
+SELECT 'title' AS section, CAST(0 AS BIGINT) AS item_no,
+       'GPU-Accelerated Video Analysis Batch Report' || {NL} || repeat('=', 44) || {NL} || {NL} AS text
+UNION ALL
 SELECT 'item' AS section, CAST(no AS BIGINT) AS item_no,
        'Video ' || CAST(no AS VARCHAR) || ': video_' || CAST(video_id AS VARCHAR) || {NL} ||
        CASE WHEN success THEN 'Status: SUCCESS' || {NL} || 'Frames: ' || CAST(fa AS VARCHAR) || '/' || CAST(tf AS VARCHAR)
@@ -900,7 +919,10 @@ WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') A
 SELECT event_id,
        CASE WHEN event_type IN ('click', 'purchase') THEN k ELSE 151643 END AS bos_token_id,
        CASE WHEN event_type = 'view' THEN k ELSE 151645 END AS eos_token_id,
-       CASE WHEN event_type = 'view' THEN 1000 WHEN event_type = 'signup' THEN k ELSE 151936 END AS vocab_size
+       CASE WHEN event_type = 'view' THEN 1000 WHEN event_type = 'signup' THEN k ELSE 151936 END AS vocab_size,
+       CASE WHEN event_type = 'signup' THEN k ELSE 151655 END AS image_token_id, 151656 AS video_token_id,
+       151652 AS vision_start_token_id, CASE WHEN event_type = 'signup' THEN 7 ELSE 151653 END AS vision_end_token_id,
+       CASE WHEN event_type = 'signup' THEN 8 ELSE 151654 END AS vision_token_id
 FROM e"""
 
 SQL["vocab_json"] = f"""
@@ -929,7 +951,7 @@ SELECT CAST(video_id AS BIGINT) AS video_id, sample_pos, frame_idx,
        CASE WHEN level % 400 >= 300 THEN 300.0 ELSE CAST(level % 400 AS DOUBLE) END AS processing_time,
        'Frame ' || CAST(sample_pos + 1 AS VARCHAR) AS frame_description,
        'stub' AS model_used,
-       CASE WHEN level % 11 = 0 THEN 2 ELSE 1 END AS attempts
+       CASE WHEN level % 11 = 0 THEN 2 ELSE 1 END AS attempts, frame_idx / 10.0::DOUBLE AS timestamp
 FROM sf"""
 
 SQL["describe_frame_groups"] = f"""
@@ -951,7 +973,13 @@ SELECT CAST(video_id AS BIGINT) AS video_id, count(*) AS n_frames,
        CASE WHEN video_id % 6 = 0 THEN 'Analysis failed: model rejected video ' || CAST(video_id AS VARCHAR)
             ELSE CAST(count(*) AS VARCHAR) || ' frames, mean level ' || CAST(sum(level) // sum(npx) AS VARCHAR) END AS description,
        CASE WHEN video_id % 6 = 0 THEN 0.0 ELSE round(least(1.0, count(*) / 16.0), 6) END AS confidence,
-       CASE WHEN video_id % 6 = 0 THEN 'model rejected video ' || CAST(video_id AS VARCHAR) END AS error
+       CASE WHEN video_id % 6 = 0 THEN 'model rejected video ' || CAST(video_id AS VARCHAR) END AS error,
+       CASE WHEN video_id % 6 = 0 THEN CAST([] AS VARCHAR[]) WHEN sum(level) >= 128 * sum(npx) THEN ['bright area']
+            ELSE ['dark area'] END AS objects,
+       CAST([] AS VARCHAR[]) AS actions,
+       CASE WHEN video_id % 6 = 0 THEN '' ELSE CAST(count(*) AS VARCHAR) || ' frames of ' ||
+            CAST(CAST(sum(npx) // count(*) AS BIGINT) AS VARCHAR) || ' pixels' END AS scene_context,
+       CAST([] AS VARCHAR[]) AS temporal_events
 FROM sf GROUP BY video_id"""
 
 SQL["summarize_stub"] = f"""
@@ -977,9 +1005,18 @@ SELECT CAST(video_id AS BIGINT) AS video_id, chunk, n_frames, first_idx, last_id
        CASE WHEN (video_id + chunk) % 9 = 0 THEN
               CASE WHEN n_frames < 3 THEN 'Final chunk analysis error: ' ELSE 'Streaming analysis error: ' END
               || 'chunk ' || CAST(chunk AS VARCHAR) || ' rejected'
-            ELSE 'chunk ' || CAST(chunk AS VARCHAR) || ': ' || CAST(n_frames AS VARCHAR) || ' frames' END AS result
+            ELSE 'chunk ' || CAST(chunk AS VARCHAR) || ': ' || CAST(n_frames AS VARCHAR) || ' frames' END AS result,
+       CAST(0 AS BIGINT) AS late_frames
 FROM c"""
 
+SQL["stream_callback"] = f"""
+SELECT video_id, count(*) AS chunks, CAST(sum(n_frames) AS BIGINT) AS n_frames, count(*) FILTER (WHERE final) AS partial_chunks
+FROM ({SQL["stream_chunks"]}) GROUP BY video_id"""
+
+SQL["stream_frames_seen"] = f"""
+WITH {FRAMES}
+SELECT CAST(video_id AS BIGINT) AS video_id, count(*) AS frames_seen FROM frames GROUP BY video_id"""
+
 
 SQL["video_info_json"] = f"""
 WITH {FRAMES}
@@ -1008,7 +1045,8 @@ SQL["batch_json"] = f"""
 WITH {RESULTS},
 d AS (SELECT path, arg_max(model_used, seq) AS m, arg_max(confidence, seq) AS c, arg_max(processing_time, seq) AS t
       FROM results GROUP BY path)
-SELECT path, to_json(MAP {{path: struct_pack(description := m, confidence_score := round(c, 6),
+SELECT path, to_json(MAP {{path: struct_pack(description := m, objects := [m], actions := CAST([] AS VARCHAR[]),
+                                            scene_context := 'scene', temporal_events := CAST([] AS VARCHAR[]), confidence_score := round(c, 6),
                                             processing_time_ms := CAST(trunc(t * 1000) AS BIGINT))}}) AS json
 FROM d"""
 
@@ -1017,6 +1055,12 @@ WITH {CFRAMES}
 SELECT k.video_id, k.sample_pos, k.frame_idx, {r6(COLOR_BRIGHT.replace("pixels", "f.pixels"))} AS brightness
 FROM ({SQL["frame_sample_keyframes"]}) k JOIN cframes f ON f.video_id = k.video_id AND f.frame_idx = k.frame_idx"""
 
+SQL["frame_sample_strategy"] = f"""
+SELECT video_id, sample_pos, frame_idx FROM ({SQL["frame_sample_keyframes"]}) WHERE video_id % 2 = 0
+UNION ALL
+SELECT video_id, sample_pos, frame_idx FROM ({_sample_sql(
+    f"CAST(trunc((CAST(m.sample_pos AS DOUBLE) / {q.KEYFRAME_N - 1}) * (m.t - 1)) AS BIGINT)", q.KEYFRAME_N)}) WHERE video_id % 2 <> 0"""
+
 SQL["frame_processor_plugin"] = f"""
 WITH {FRAMES}
 SELECT video_id, frame_idx, CAST(len(pixels) AS INTEGER) AS n_values,

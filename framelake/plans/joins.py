@@ -1,8 +1,10 @@
-"""Small written tables, and more tasks for heavy work on few splits."""
+"""Written tables that are read several times."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Compute ``df`` once and cut its lineage: write it as parquet into a fresh
     folder under the shared checkpoint folder (``spark.checkpoint.dir``) and read
@@ -18,12 +20,3 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = os.path.join(base, "framelake", name, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work (tokenizing long texts) at least one task per
-    core: when a scan yields fewer partitions than the default parallelism
-    (few parquet row groups), round-robin repartition it. At scale the scan
-    already has far more partitions than cores and nothing changes."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -221,7 +221,9 @@ def global_positions(df: DataFrame, order: Sequence[str | Column], out: str = "p
     A global sort range-partitions the rows, so the partition id after the sort
     is monotone in the order and serves as the segment; each range partition is
     bounded by the sort's sampling, and the per-segment table has one row per
-    partition.
+    partition. The sorted rows are written with their partition id, because ranks and
+    per-segment counts must see the same ids however each of them is planned.
     """
-    s = df.orderBy(*order).withColumn(SEG, F.spark_partition_id().cast("long"))
+    from framelake.plans.joins import materialize
+    s = materialize(df.orderBy(*order).withColumn(SEG, F.spark_partition_id().cast("long")), "sorted")
     return dense_positions(s, [], order, out=out).drop(SEG)

@@ -33,6 +33,7 @@ def r6(c):
 
 
 # Fixed parameters of the registered queries (reference test configuration).
+CAP_FROM = 32
 UNIFORM_N = 8
 MIDPOINT_N = 10
 KEYFRAME_N = 8
@@ -67,6 +68,21 @@ def frame_sample_uniform(spark, sf):
     return _sampled(smp.sample_uniform(frames, tb.frame_sizes(spark, sf), UNIFORM_N))
 
 
+@query("frame_cap")
+def frame_cap(spark, sf):
+    """The first 16 of 32 sampled frames of every video."""
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), CAP_FROM)
+    return smp.cap_frames(s).select("video_id", "sample_pos", "frame_idx")
+
+
+@query("frame_sample_strategy")
+def frame_sample_strategy(spark, sf):
+    """P8 with a strategy per video: keyframes for even video ids, else uniform."""
+    sizes = tb.frame_sizes(spark, sf).withColumn(
+        "strategy", F.when(F.col("video_id") % 2 == 0, "keyframe").otherwise("adaptive"))
+    return smp.sample_frames_by_strategy(tb.frames_color(spark, sf), sizes, KEYFRAME_N, tb.COLOR_PIXELS)
+
+
 @query("frame_sample_midpoint")
 def frame_sample_midpoint(spark, sf):
     frames = tb.frames_gray(spark, sf)
@@ -302,6 +318,21 @@ def vocab_table(spark, sf):
     return _vocab(spark, sf)
 
 
+@query("token_lookup")
+def token_lookup(spark, sf):
+    """T11 both ways: the words of ``conversations`` and ``benchmark`` and the special texts to ids, and back."""
+    from framelake.functions import tokens as tk
+    vocab = _vocab(spark, sf)
+    texts = tb.read(spark, sf, "conversations").select("text").unionByName(tb.read(spark, sf, "benchmark").select("text"))
+    words = texts.select(F.explode(tk.words(F.col("text"))).alias("token"))
+    words = words.unionByName(spark.range(1).select(F.explode(F.map_values(tk.special_text_map())).alias("token"))).distinct()
+    to_id = words.join(vocab.select("token", F.col("id").alias("_id")), "token", "left").select(
+        "token", tk.string_to_token(F.col("token"), F.col("_id")).alias("token_id"))
+    back = vocab.select(F.col("id").alias("token_id"), F.col("token").alias("_token"))
+    return to_id.join(back, "token_id", "left").select(
+        "token", "token_id", tk.token_to_string(F.col("token_id"), F.col("_token")).alias("back"))
+
+
 @query("tokenize_docs")
 def tokenize_docs(spark, sf):
     """T1 + J2 over every document."""
@@ -315,8 +346,7 @@ def tokenize_docs(spark, sf):
 def tokenize_fallback(spark, sf):
     """T2 over every document."""
     from framelake.functions import tokens as tk
-    from framelake.plans.joins import spread
-    d = spread(tb.read(spark, sf, "documents").select("doc_id", "text"))
+    d = tb.read(spark, sf, "documents")
     return d.select("doc_id", tk.tokenize_fallback(F.col("text")).alias("ids"))
 
 
@@ -631,7 +661,10 @@ def first_available(spark, sf):
     return rq.first_available(cand, avail, "user_id")
 
 
-CONFIG_DEFAULTS = {"bos_token_id": 151643, "eos_token_id": 151645, "vocab_size": 151936}
+# The tokenizer configuration's keys and defaults.
+CONFIG_DEFAULTS = {"bos_token_id": 151643, "eos_token_id": 151645, "image_token_id": 151655, "video_token_id": 151656,
+                   "vision_start_token_id": 151652, "vision_end_token_id": 151653, "vision_token_id": 151654,
+                   "vocab_size": 151936}
 
 
 @query("config_overlay")
@@ -644,7 +677,8 @@ def config_overlay(spark, sf):
     js = (F.when(et == "click", F.concat(F.lit('{"bos_token_id": '), k, F.lit("}")))
           .when(et == "view", F.concat(F.lit('{"eos_token_id": '), k, F.lit(', "vocab_size": 1000}')))
           .when(et == "purchase", F.concat(F.lit('{"bos_token_id": '), k, F.lit(', "eos_token_id": "x", "vocab_size": 5}')))
-          .when(et == "signup", F.concat(F.lit('{"vocab_size": '), k, F.lit("}")))
+          .when(et == "signup", F.concat(F.lit('{"vocab_size": '), k, F.lit(', "image_token_id": '), k, F.lit(
+              ', "vision_end_token_id": 7, "vision_token_id": 8}')))
           .otherwise(F.lit("not json")))
     return ev.select("event_id", rq.overlay_config(js, CONFIG_DEFAULTS).alias("c")).select("event_id", "c.*")
 
@@ -669,10 +703,12 @@ def vocab_json(spark, sf):
 @query("describe_frames_stub")
 def describe_frames_stub(spark, sf):
     """I1 + I6 + I7 over the uniform sample of every video."""
+    from framelake.functions import prompts as pr
     from framelake.operators import inference as inf
     s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N)
     s = tb.with_pixels(s, spark, sf)
-    return inf.describe_frames(s, timeout_s=300.0, sleep=False)
+    s = s.withColumn("ts", F.col("frame_idx") / F.lit(tb.FRAME_FPS))
+    return inf.describe_frames(s, timeout_s=300.0, sleep=False, prompt=pr.FRAME_PROMPT)
 
 
 @query("describe_frame_groups")
@@ -682,7 +718,8 @@ def describe_frame_groups(spark, sf):
     from framelake.operators import inference as inf
     s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N)
     s = tb.with_pixels(s, spark, sf)
-    return inf.describe_frame_groups(s, pr.FRAME_PROMPT)
+    return inf.describe_frame_groups(s, pr.FRAME_PROMPT).select(
+        "video_id", "n_frames", "description", "confidence", "error")
 
 
 class FlakyGroupModel:
@@ -704,7 +741,7 @@ def analyze_videos(spark, sf):
     from framelake.operators import inference as inf
     s = smp.sample_frames(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), 16, "adaptive")
     s = tb.with_pixels(s, spark, sf)
-    return inf.describe_frame_groups(s, pr.DEFAULT_VIDEO_PROMPT, model_spec=FlakyGroupModel)
+    return inf.describe_frame_groups(s, pr.DEFAULT_VIDEO_PROMPT, model_spec=FlakyGroupModel).drop("processing_time")
 
 
 @query("summarize_stub")
@@ -755,23 +792,57 @@ def pixel_tensor(spark, sf):
 STREAM_CHUNK = 3
 
 
-@query("stream_chunks")
-def stream_chunks(spark, sf):
-    """K1-K5: the gray frame table is written as files, read back as a stream,
-    chunked by 3 per video with the stateful operator (availableNow) and the
-    sink is returned. Same rows as ``frame_chunks`` plus final/result."""
+def _stream_files(spark, sf, name):
+    """The gray frame table as files of a stream: (work folder, schema)."""
     from framelake.session import ensure_checkpoint_dir
     from framelake.streaming import chunks as ch
     frames = tb.frames_gray(spark, sf)
     src = frames.join(tb.frame_sizes(spark, sf), "video_id").select(
         F.col("video_id").cast("long"), "frame_idx", F.col("total_frames").cast("long"),
         feat.brightness(F.col("pixels")).alias("brightness"))
-    work = ch.new_work_dir(ensure_checkpoint_dir(spark), "stream_chunks")
+    work = ch.new_work_dir(ensure_checkpoint_dir(spark), name)
     src.write.mode("overwrite").parquet(work + "/frames")
-    out = ch.run_available_now(spark, work + "/frames", src.schema, STREAM_CHUNK, work)
-    return spark.read.parquet(out).select(
+    return work, src.schema
+
+
+@query("stream_chunks")
+def stream_chunks(spark, sf):
+    """K1-K4: the gray frame table is written as files, read back as a stream,
+    chunked by 3 per video with the stateful operator (availableNow) and the
+    sink is returned. Same rows as ``frame_chunks`` plus final/result."""
+    from framelake.streaming import chunks as ch
+    work, schema = _stream_files(spark, sf, "stream_chunks")
+    out = ch.run_available_now(spark, work + "/frames", schema, STREAM_CHUNK, work)
+    return spark.read.schema(ch.CHUNK_SCHEMA).parquet(out).select(
         "video_id", "chunk", "n_frames", "first_idx", "last_idx", r6(F.col("brightness")).alias("brightness"),
-        "final", "result")
+        "final", "result", "late_frames")
+
+
+@query("stream_callback")
+def stream_callback(spark, sf):
+    """The chunks of every micro-batch go to a callback, which writes them; per video the chunks and frames."""
+    from framelake.streaming import chunks as ch
+    work, schema = _stream_files(spark, sf, "stream_callback")
+    # a repeated batch overwrites its own folder
+    ch.run_available_now(spark, work + "/frames", schema, STREAM_CHUNK, work,
+                         callback=lambda df, k: df.write.mode("overwrite").parquet(f"{work}/called/batch={k}"))
+    got = spark.read.schema(ch.CHUNK_SCHEMA).parquet(work + "/called/batch=*")
+    return got.groupBy("video_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_frames").alias("n_frames"),
+                                       F.count_if("final").alias("partial_chunks"))
+
+
+@query("stream_frames_seen")
+def stream_frames_seen(spark, sf):
+    """K5: frames seen per video, as the last update of the running count."""
+    from framelake.streaming import chunks as ch
+    work, schema = _stream_files(spark, sf, "stream_frames_seen")
+    counts = ch.frames_seen(spark.readStream.schema(schema).parquet(work + "/frames"))
+    run = (counts.writeStream.outputMode("update").option("checkpointLocation", work + "/checkpoint")
+           .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{work}/seen/batch={k}"))
+           .trigger(availableNow=True).start())
+    run.awaitTermination()
+    return spark.read.schema("video_id long, frames_seen long").parquet(work + "/seen/batch=*").groupBy("video_id").agg(
+        F.max("frames_seen").alias("frames_seen"))
 
 
 # --- sinks and plug-ins ------------------------------------------------------------------
@@ -804,10 +875,13 @@ def result_json_write(spark, sf):
 def batch_json(spark, sf):
     """S8 (+A10): last result per path as {"<path>": {...}} lines, key-sorted."""
     from framelake.operators import rollups
+    from framelake.sources import json_io
     d = rollups.dedupe_results(tb.results(spark, sf))
-    return d.select("path", F.to_json(F.create_map(F.col("path"), F.struct(
-        F.col("model_used").alias("description"), F.round("confidence", 6).alias("confidence_score"),
-        (F.col("processing_time") * 1000).cast("long").alias("processing_time_ms")))).alias("json"))
+    none = F.array().cast("array<string>")
+    return json_io.batch_json(d.select(
+        "path", F.col("model_used").alias("description"), F.array("model_used").alias("objects"), none.alias("actions"),
+        F.lit("scene").alias("scene_context"), none.alias("temporal_events"), F.round("confidence", 6).alias("confidence_score"),
+        (F.col("processing_time") * 1000).cast("long").alias("processing_time_ms")))
 
 
 @query("keyframe_frames")

@@ -237,8 +237,12 @@ def py_json(**cols: Column) -> Column:
 
 # --- text report ------------------------------------------------------------------
 
+# Fixed value: the report's title block.
+REPORT_TITLE = "GPU-Accelerated Video Analysis Batch Report\n============================================\n\n"
+
+
 def batch_report(results: DataFrame) -> DataFrame:
-    """A text block per item in input order, then a summary block.
+    """The title, a text block per item in input order, then a summary block.
 
     Input: seq, video_path, success, frames_analyzed, total_frames_extracted,
     total_processing_time, acceleration_method, video_summary, error.
@@ -270,11 +274,13 @@ def batch_report(results: DataFrame) -> DataFrame:
                  F.lit("s\nAverage per video: "),
                  F.round(F.coalesce(F.try_divide("tt", "ok"), F.lit(0.0)), 2).cast("string"),
                  F.lit("s\n")).alias("text"))
-    return items.unionByName(summary)
+    title = summary.select(F.lit("title").alias("section"), F.lit(0).cast("long").alias("item_no"),
+                           F.lit(REPORT_TITLE).alias("text"))
+    return title.unionByName(items).unionByName(summary)
 
 
 def write_text_report(report: DataFrame, path: str) -> None:
-    """Sink for S20: items ordered by number, summary last (range-partitioned sort)."""
+    """Sink for S20: title first, items ordered by number, summary last (range-partitioned sort)."""
     (report.withColumn("_o", F.coalesce(F.col("item_no"), F.lit(1 << 62)))
      .orderBy("_o").select("text").write.mode("overwrite").text(path))
 

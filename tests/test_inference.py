@@ -1,6 +1,7 @@
 """Model stages: plug-in factories, error rows, timeouts, retries, fallbacks."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from framelake.operators import inference as inf
 
@@ -71,3 +72,27 @@ def test_group_model_failure_row(spark):
             raise RuntimeError("boom")
     got = inf.describe_frame_groups(frames(spark), "p", model_spec=Failing).collect()[0]
     assert got.description == "Analysis failed: boom" and got.confidence == 0.0 and got.n_frames == 5
+
+
+def test_prompt_timestamp_and_measured_time(spark):
+    import time
+
+    class Slow:
+        def describe(self, batch, attempt):
+            time.sleep(0.3 if batch["sample_pos"].iloc[0] == 4 else 0)
+            return pd.DataFrame({"status": 200, "response": batch["prompt"], "transient": False}, index=batch.index)
+    df = frames(spark).withColumn("ts", F.col("frame_idx") / 2.0)
+    one = inf.describe_frames(df.filter("sample_pos < 2"), model_spec=Slow, prompt=F.concat(F.lit("p"), F.col("sample_pos")))
+    assert sorted((r.description, r.timestamp) for r in one.collect()) == [("p0", 0.0), ("p1", 5.0)]
+    slow = inf.describe_frames(df.filter("sample_pos = 4"), model_spec=Slow, prompt="x", timeout_s=0.2).first()
+    assert not slow.success and slow.error.startswith("Timeout") and slow.timestamp == 20.0
+
+
+def test_group_result_has_all_fields(spark):
+    class Full:
+        def analyze(self, frames, prompt):
+            return {"description": prompt, "confidence": 0.5, "objects": ["a"], "actions": ["b"], "scene_context": "c",
+                    "temporal_events": ["d"]}
+    r = inf.describe_frame_groups(frames(spark), "p", model_spec=Full).first()
+    assert (r.objects, r.actions, r.scene_context, r.temporal_events) == (["a"], ["b"], "c", ["d"])
+    assert r.processing_time >= 0 and r.error is None
