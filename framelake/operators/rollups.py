@@ -4,9 +4,9 @@ Input rows follow the ``analyses`` shape: video_id, frame_idx, success,
 description, error, processing_time, model_used. Every per-video aggregate
 here is a partial (map-side combined) aggregate -- counts, sums, bool_or,
 max_by -- so a video holding a third of all rows is reduced before the
-shuffle. The one order-dependent string aggregate (A2) is cut into bounded
-parts of consecutive frames instead of one unbounded string per video, and the
-per-frame details stay a table keyed by video instead of a nested array.
+shuffle. The one order-dependent string aggregate (A2) joins parts of consecutive
+frames first and then the parts of a video, and the per-frame details stay a
+table keyed by video instead of a nested array.
 """
 
 from __future__ import annotations
