@@ -335,6 +335,18 @@ def test_pagerank_against_brute_force(spark):
         assert r.trust == pytest.approx(t[r.host] / 0.15, abs=1e-5) and r.distrust == pytest.approx(d[r.host] / 0.15, abs=1e-5)
 
 
+def test_scores_do_not_depend_on_hosts_without_links(spark):
+    """20,000 hosts without links beside a chain to a blocked host, and a linker with a sixtieth of its in-links."""
+    edges = [("a1", "spam", 59), ("a2", "a1", 1), ("a3", "a2", 1), ("thin", "spam", 1)]
+    table = spark.createDataFrame(edges, "src string, dst string, n long")
+    seeds = spark.range(20_000).selectExpr("concat('lone', id) AS host", "0.0D AS trust_seed", "0.0D AS distrust_seed").union(
+        spark.createDataFrame([("spam", 0.0, 1.0)], "host string, trust_seed double, distrust_seed double"))
+    got = {r.host: r.distrust for r in url_filter.propagate(seeds, table).filter("distrust > 0").collect()}
+    a1 = 0.85 * 59 / 60
+    want = {"spam": 1, "a1": a1, "a2": 0.85 * a1, "a3": 0.85 ** 2 * a1, "thin": 0.85 / 60}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 @pytest.mark.parametrize("url, host, path, rule", [
     ("HTTP://WWW.A.Example.NET/en/x?y#z", "www.a.example.net", "/en/x", "example.net/en/"),
     ("http://example.net/EN/", "example.net", "/EN/", "net/"), ("http://badexample.net/en/", "badexample.net", "/en/", "net/"),
