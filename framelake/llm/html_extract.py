@@ -6,7 +6,10 @@ adverts, forms and reader comments, or neither).
 
 Pass 1 decides blocks on their own: boilerplate regions are bad. Else link density, length and the density of
 stop words (English, German, French, Spanish) give good, bad, or undecided for short blocks and
-blocks between the limits. Inside an article a block is never bad for lack of stop words or length.
+blocks between the limits. Inside an article a block is never bad for lack of stop words or length: a block that is mostly
+links is bad, one without links, or a long enough one with few, is good, the others and headings are undecided.
+On pages in none of the four languages stop words do not count: long blocks with few links are good. The language is the one that the
+html element names; if it names none, it is none of the four if stop words are rare in all blocks with few links together.
 Pass 2 gives undecided blocks the label of the nearest decided neighbour in their own region (ties:
 good; none decided: good in an article, else bad); an undecided heading takes the next decided block's.
 
@@ -30,8 +33,10 @@ from .common import read_table
 from .quality_classifier import STOP_WORDS
 
 MAX_LINK_DENSITY = 0.33
+MOSTLY_LINKS = 0.5  # inside an article
 SHORT, LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.08, 0.15
+LANGUAGES = frozenset("en de fr es".split())  # of STOP_WORDS
 
 # Element names and class or id words.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
@@ -56,6 +61,7 @@ _PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{
 """.replace("\n", ""), re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
+_LANG = re.compile(r"""(?:^|[\s"'/])(?:xml:)?lang\s*=\s*["']?\s*([a-z]+)""", re.IGNORECASE)
 
 
 def _is_bad(name: str, attrs: str, in_article: bool) -> bool:
@@ -80,6 +86,7 @@ class _Page:
         self.text: list[str] = []
         self.linked, self.heading, self.in_link = 0, False, False
         self.stack: list[tuple[str, int]] = []  # open containers and the region inside them
+        self.lang = ""  # as the html element names it
         at = 0
         for m in _PIECE.finditer(source):
             if m.start() > at:
@@ -100,7 +107,7 @@ class _Page:
     def add(self, piece: str) -> None:
         self.text.append(piece)
         if self.in_link:
-            self.linked += len(piece.strip())
+            self.linked += len(" ".join(html.unescape(piece).split()))
 
     def tag(self, name: str, closes: bool, attrs: str) -> None:
         if name == "a":
@@ -120,6 +127,8 @@ class _Page:
             self.close(name)
             self.in_link = False
             return
+        if name == "html" and not self.lang and (named := _LANG.search(attrs)):
+            self.lang = named[1].lower()
         region = self.region()
         bad = region == 2 or _is_bad(name, attrs, region == 1)
         if name in CONTAINERS or bad and name not in VOID:
@@ -140,18 +149,38 @@ class _Page:
         self.text, self.linked, self.heading = [], 0, False
 
 
-def _first_pass(text: str, linked: int, heading: bool, region: int) -> int:
+def _stop_words(text: str) -> tuple[int, int]:
+    """The number of stop words and of words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
+
+
+def _listed(page: _Page) -> bool:
+    """Is the page in a language whose stop words are known?"""
+    if page.lang:
+        return page.lang in LANGUAGES
+    counts = [_stop_words(t) for t, linked, _, region in page.blocks if region == 0 and linked <= MAX_LINK_DENSITY * len(t)]
+    return sum(n for n, _ in counts) >= STOP_LOW * sum(n for _, n in counts)
+
+
+def _first_pass(text: str, linked: int, heading: bool, region: int, listed: bool = True) -> int:
     """1 good, -1 bad, 0 undecided."""
     if region == 2:
         return -1
-    if region != 1 and linked > MAX_LINK_DENSITY * len(text):
+    many = linked > MAX_LINK_DENSITY * len(text)
+    if region == 1:
+        if heading or many and linked <= MOSTLY_LINKS * len(text):
+            return 0
+        return -1 if many else 1 if not linked or len(text) >= SHORT else 0
+    if many:
         return -1
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if len(text) >= SHORT and not heading:
-        if stops >= (STOP_LOW if region == 1 or len(text) >= LONG else STOP_HIGH):
+        if not listed:
+            return 1 if len(text) >= LONG else 0
+        n, words = _stop_words(text)
+        if n >= (STOP_LOW if len(text) >= LONG else STOP_HIGH) * words:
             return 1
-        if region != 1 and stops < STOP_LOW:
+        if n < STOP_LOW * words:
             return -1
     return 0
 
@@ -171,8 +200,9 @@ def _nearest(labels: list[int], regions: list[int], k: int, heading: bool) -> in
 
 def main_text(source: str | None) -> str:
     """The main text of one page."""
-    blocks = _Page(source or "").blocks
-    labels = [_first_pass(*b) for b in blocks]
+    page = _Page(source or "")
+    blocks, listed = page.blocks, any(b[3] == 0 for b in page.blocks) and _listed(page)
+    labels = [_first_pass(*b, listed) for b in blocks]
     regions = [b[3] for b in blocks]
     good = [x or _nearest(labels, regions, k, blocks[k][2]) for k, x in enumerate(labels)]
     return "\n\n".join(b[0] for b, x in zip(blocks, good) if x > 0)

@@ -309,6 +309,28 @@ def test_pages_without_an_article():
     assert text[:4] == ["Head", body.strip(), "Well.", body.strip()] and not any("One" in t or "linked" in t for t in text)
 
 
+def test_link_lists_inside_an_article():
+    """Links decide inside an article too; text without links stays, whatever its length and neighbours."""
+    menu = "".join(f"<li><a href=/{k}>Topic number {k} of the site</a></li>" for k in range(4))
+    body = "It was the best of the times and it was the worst of the times, for all that are in the city. "
+    lines = ["Zwo Zeilen", "kurz", "1.0 2.0 3.0 4.0 " * 20]
+    page = (f"<main><h2>Browse</h2><ul>{menu}</ul><h1><a href=/self>Title</a></h1>" + "".join(f"<p>{x}</p>" for x in lines)
+            + f"<ul>{menu}</ul><p>{body}<a href=/r>A source</a></p><p>See <a href=/s>this</a></p><h3>More</h3><ul>{menu}</ul></main>")
+    assert html_extract.main_text(page).split("\n\n") == ["Title", *(x.strip() for x in lines), body + "A source", "See this"]
+
+
+@pytest.mark.parametrize("start", ["<html lang=pl>", "<html>", ""])
+def test_pages_in_other_languages(start):
+    """Stop words of four languages reject nothing on a page in a fifth."""
+    body = "Wczoraj wieczorem nad rzeką zebrali się mieszkańcy miasta, żeby wspólnie obejrzeć pokaz sztucznych ogni. " * 3
+    page = f"{start}<body><div><a href=1>Jeden</a> <a href=2>Dwa</a></div><div><h2>Pokaz</h2><p>{body}</p><p>Krótko.</p></div>"
+    assert html_extract.main_text(page) == f"Pokaz\n\n{body.strip()}\n\nKrótko."
+    junk = "Buy cheap shoes bags belts hats gloves scarves coats boots socks shirts ties rings watches online today " * 3
+    good = "It was the best of the times and it was the worst of the times, for all that are in the city. " * 6
+    assert html_extract.main_text(f"<html lang=en-GB><p>{junk}") == ""
+    assert html_extract.main_text(f"<div><p>{good}</div><div><p>{junk}") == good.strip()
+
+
 def test_pagerank_against_brute_force(spark):
     link = '<a href="http://{}/">x</a>'
     pages = [(1, "http://good.org/fr/a", link.format("mid.com") * 2), (2, "http://mid.com/x", link.format("far.com")),
