@@ -15,7 +15,7 @@ good; none decided: good in an article, else bad); an undecided heading takes th
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order
 by two line feeds. Defined cases: null or empty html, and pages without good blocks, give the empty text; tags and
-comments left open at the end are dropped; elements may be left open; repeated rows are treated alike; an empty table
+comments left open at the end are dropped; elements may be left open or end in ``/>``; repeated rows are treated alike; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -45,7 +45,8 @@ section summary table tbody td tfoot th thead title tr ul""".split())
 CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 hr li dd dt option td th tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Raw elements hold no markup; their content goes with them.
+# Raw elements hold no markup; their content goes with them. A start tag that ends in /> is an empty element: for svg and math
+# always, as in HTML; for the others if no end tag of its own follows before the next start tag of that name.
 RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas title select button".split())
 BAD_ELEMENTS = frozenset("nav aside footer form menu dialog head search".split())
 BAD_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors
@@ -56,7 +57,9 @@ toolbar disclaimer""".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 
 _RAW_NAMES = "|".join(sorted(RAW))
-_PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{_RAW_NAMES})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*[^>]*>|\Z)
+_PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)
+|<(?:svg|math)\b(?:[^>"']|"[^"]*"|'[^']*')*+>(?:(?<=[\s"']/>)|(?<=svg/>)|(?<=math/>))
+|<(?P<raw>{_RAW_NAMES})\b(?:[^>"']|"[^"]*"|'[^']*')*+>(?:(?<=/>)(?!(?:(?!<(?P=raw)\b).)*?</(?P=raw)\b)|.*?(?:</(?P=raw)\s*[^>]*>|\Z))
 |<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<name2>/?[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)
 """.replace("\n", ""), re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)

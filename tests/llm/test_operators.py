@@ -331,6 +331,19 @@ def test_pages_in_other_languages(start):
     assert html_extract.main_text(f"<div><p>{good}</div><div><p>{junk}") == good.strip()
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", "<svg class=icon />", "<SVG a='b'/>", "<math/>", "<iframe src=x />", '<video src="x"/>',
+                                 "<canvas/>", "<script src=x />", "<svg class=icon/>"])
+@pytest.mark.parametrize("rest", ["", "<svg><path/>no</svg><iframe>no</iframe><video>no</video><script>no</script><canvas>no</canvas>"])
+def test_self_closing_raw_elements(tag, rest):
+    assert html_extract.main_text(f"<article><p>One {tag} two.</p>{rest}<p>Three.</p></article>") == "One two.\n\nThree."
+
+
+@pytest.mark.parametrize("tag", ["<iframe src=http://x.com/></iframe>", "<script src=x/>no</script>", "<svg class=icon/><path/>no</svg>",
+                                 "<svg><g/><path d=x />no</svg>", "<svg/>", "<svg />"])
+def test_raw_elements_with_an_end(tag):
+    assert html_extract.main_text(f"<article><p>One {tag} two.<p>Three.") == "One two.\n\nThree."
+
+
 def test_pagerank_against_brute_force(spark):
     link = '<a href="http://{}/">x</a>'
     pages = [(1, "http://good.org/fr/a", link.format("mid.com") * 2), (2, "http://mid.com/x", link.format("far.com")),
