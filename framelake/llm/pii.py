@@ -12,11 +12,15 @@ afterwards, and each name word is replaced by itself, so "Mr. Smith" follows "Mr
 
 Collision check: over the distinct entities of the whole corpus, a surrogate must be nobody's original
 and nobody else's surrogate. Offenders get the permutation of the next key; this repeats until there is
-none. The offenders, found again in the documents, are the only rows joined by entity.
+none. A shape of which the corpus holds more than half has no such permutation, so from the key ``ATTEMPTS`` on, and again with every
+``ATTEMPTS`` more, the shape is widened: by a syllable before a name's last letter or at the end of a local part, by two digits at the end of
+a phone or security number; an address gives up its first octet. Cards have 10**14 numbers to a shape and are only re-keyed.
+If offenders are left after ``LEVELS`` such steps, the job fails. The offenders, found again in the documents, are the only
+rows joined by entity.
 
 Texts never shuffle unless they hold an offender. Defined cases: null text counts as
 empty; texts without entities are returned as they are; repeated rows are treated alike; an empty table gives an empty
-result; extra columns are ignored. A name of two letters may stay (too few names share its shape).
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from .common import read_table, staged
 
 KEY = "surrogates-1"  # production jobs pass a secret of their own
 ROUNDS = 4
-ATTEMPTS = 8
+ATTEMPTS = 8  # keys for each width of a shape
+LEVELS = 8
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # Forms of address, longer ones first.
@@ -51,6 +56,8 @@ MAYBE = rf"[A-Za-z0-9%+._-]@|[0-9]{{3}}|\+[0-9]|[0-9]\.[0-9]|(?:{_FORMS})\.? \p{
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
            "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ"]
 _FORM = r"^[^ ]+ "
+# Letters of the syllables that widen a shape: consonants, vowels.
+_LATIN, _GREEK, _CYRILLIC = (CLASSES[2], CLASSES[1]), (CLASSES[6], CLASSES[5]), (CLASSES[10], CLASSES[9])
 
 
 def _q(s: str) -> str:
@@ -66,7 +73,7 @@ def _permute(x: str, key: str) -> str:
         shift = (f"if(locate(c, {a}) > 0, substr({a}, 1 + CAST(pmod(locate(c, {a}) - 1 + "
                  f"xxhash64({key}, r, k, array_join(s.b, '')), {n}) AS INT), 1), {shift})")
     state = "named_struct('a', slice(u, 1, size(u) div 2), 'b', slice(u, size(u) div 2 + 1, size(u)))"
-    return (f"aggregate(sequence(1, {ROUNDS}), transform(array(split({x}, '')), u -> {state})[0], "
+    return (f"aggregate(sequence(1, {ROUNDS}), transform(array(filter(split({x}, ''), c -> c <> '')), u -> {state})[0], "
             f"(s, r) -> named_struct('a', s.b, 'b', transform(s.a, (c, k) -> {shift})), "
             f"s -> concat(array_join(s.a, ''), array_join(s.b, '')))")
 
@@ -106,25 +113,44 @@ def _parts(kind: str, e: str) -> str:
             f"WHEN 'name' THEN split(regexp_replace({e}, '{_FORM}', ''), '[ -]') ELSE array({digits}) END")
 
 
+def _widen(v: str, key: str, letters: tuple[str, ...]) -> str:
+    """SQL: what a widened shape adds, one letter of each string in ``letters`` for each ``ATTEMPTS`` keys tried; ``key``
+    ends in the number of the attempt."""
+    level = f"CAST(substring_index({key}, '|', -1) AS INT) div {ATTEMPTS}"
+    one = ", ".join(f"substr({_q(a)}, 1 + CAST(pmod(xxhash64({key}, 'wide', {i}, k, {v}), {len(a)}) AS INT), 1)"
+                    for i, a in enumerate(letters))
+    return f"if({level} = 0, '', array_join(transform(sequence(1, {level}), k -> concat({one})), ''))"
+
+
 def _surrogate_part(kind: str, v: str, key: str) -> str:
-    """SQL: the surrogate of one identifying value."""
+    """SQL: the surrogate of one identifying value; ``key`` ends in ``|`` and the number of the attempt."""
     local, domain = f"substring_index({v}, '@', 1)", f"substring_index({v}, '@', -1)"
     # top-level domain, and example.* as a whole, are no personal data
     tail = r"regexp_extract(" + domain + r", '((?:^|\\.)(?:example\\.)?[a-z]+)$', 1)"
     head = f"substr({domain}, 1, length({domain}) - length({tail}))"
-    mail = f"concat({_permute(local, f'concat({key}, 1)')}, '@', {_permute(head, f'concat({key}, 2)')}, {tail})"
+    mail = f"concat({_permute(local, f'concat({key}, 1)')}, {_widen(v, key, _LATIN)}, '@', {_permute(head, f'concat({key}, 2)')}, {tail})"
     # the last digit's distance from the valid check digit stays: two different cards never meet
     off = f"CAST(substr({v}, 16) AS INT) - CAST({_check_digit(f'substr({v}, 1, 15)')} AS INT)"
     card = _let(f"concat(substr({v}, 1, 1), {_permute(f'substr({v}, 2, 14)', key)})", "y",
                 f"concat(y, CAST(pmod(CAST({_check_digit('y')} AS INT) + {off}, 10) AS STRING))")
-    # 24 bits below the first octet, as two 12-bit halves
+    # 24 bits below the first octet, as two 12-bit halves; all 32 bits once the shape is widened
     octet = lambda i: f"CAST(split_part({v}, '.', {i}) AS BIGINT)"
-    rounds = (f"aggregate(sequence(1, {ROUNDS}), named_struct('a', shiftright(n, 12), 'b', n & 4095), (s, r) -> "
-              f"named_struct('a', s.b, 'b', (s.a + xxhash64({key}, r, s.b)) & 4095), s -> shiftleft(s.a, 12) | s.b)")
-    ip = _let(f"65536 * {octet(2)} + 256 * {octet(3)} + {octet(4)}", "n", _let(
-        rounds, "m", f"concat_ws('.', split_part({v}, '.', 1), shiftright(m, 16), shiftright(m, 8) & 255, m & 255)"))
-    name = f"concat({_permute(f'substr({v}, 1, length({v}) - 1)', key)}, substr({v}, -1, 1))"
-    plain = _permute(v, key)
+
+    def rounds(half: int) -> str:
+        low = (1 << half) - 1
+        return (f"aggregate(sequence(1, {ROUNDS}), named_struct('a', shiftright(n, {half}), 'b', n & {low}), (s, r) -> "
+                f"named_struct('a', s.b, 'b', (s.a + xxhash64({key}, r, s.b)) & {low}), s -> shiftleft(s.a, {half}) | s.b)")
+
+    low = f"65536 * {octet(2)} + 256 * {octet(3)} + {octet(4)}"
+    ip = _let(low, "n", _let(
+        rounds(12), "m", f"concat_ws('.', split_part({v}, '.', 1), shiftright(m, 16), shiftright(m, 8) & 255, m & 255)"))
+    any_ip = _let(f"16777216 * {octet(1)} + {low}", "n", _let(
+        rounds(16), "m", "concat_ws('.', shiftright(m, 24), shiftright(m, 16) & 255, shiftright(m, 8) & 255, m & 255)"))
+    ip = f"if(CAST(substring_index({key}, '|', -1) AS INT) < {ATTEMPTS}, {ip}, {any_ip})"
+    syllables = (f"CASE WHEN {v} RLIKE '[а-яА-Я]' THEN {_widen(v, key, _CYRILLIC)} "
+                 f"WHEN {v} RLIKE '[α-ωΑ-Ω]' THEN {_widen(v, key, _GREEK)} ELSE {_widen(v, key, _LATIN)} END")
+    name = f"concat({_permute(f'substr({v}, 1, length({v}) - 1)', key)}, {syllables}, substr({v}, -1, 1))"
+    plain = f"concat({_permute(v, key)}, {_widen(v, key, (CLASSES[0], CLASSES[0]))})"
     return (f"CASE {kind} WHEN 'email' THEN {mail} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card} "
             f"WHEN 'name' THEN {name} ELSE {plain} END")
 
@@ -147,8 +173,11 @@ def _replace(e: str, key: str, attempts: str | None) -> str:
     # names: form of address, then the words with their own separators
     name = (f"concat(regexp_extract({e}, '{_FORM}', 0), array_join(transform(z, (w, i) -> concat(w, "
             f"element_at(concat(regexp_extract_all(regexp_replace({e}, '{_FORM}', ''), '[ -]', 0), array('')), i + 1))), ''))")
-    body = _let(done, "z", f"CASE kind WHEN 'email' THEN {_recase('z[0]', e)} WHEN 'ip' THEN z[0] "
-                           f"WHEN 'name' THEN {name} ELSE {_redress('z[0]', e)} END")
+    # a widened local part is longer than its own dress; widened numbers end in the digits that have no place in theirs
+    like = f"concat(substring_index({e}, '@', 1), repeat('a', length(z[0]) - length({e})), substr({e}, locate('@', {e})))"
+    more = f"substr(z[0], 1 + length(regexp_replace({e}, '[^0-9]', '')))"
+    body = _let(done, "z", f"CASE kind WHEN 'email' THEN {_let(like, 'q', _recase('z[0]', 'q'))} WHEN 'ip' THEN z[0] "
+                           f"WHEN 'name' THEN {name} ELSE concat({_redress('z[0]', e)}, {more}) END")
     return _let(_type_of(e), "kind", f"if(kind IS NULL, {e}, {body})")
 
 
@@ -164,23 +193,37 @@ def offenders(entities: DataFrame, key: str = KEY) -> DataFrame | None:
     """(kind, code, value, attempt > 0) of the values whose first surrogate is somebody's original or collides; None
     if there are none. ``entities``: distinct (kind, code, value)."""
     sql = _surrogate_part("kind", "value", f"concat_ws('|', {_q(key)}, kind, code, attempt)")
-    now = staged(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", F.expr(sql)), "pii-surrogates")
-    one = ["kind", "code"]
-    for _ in range(ATTEMPTS):
-        taken = now.join(entities.select(*one, F.col("value").alias("surrogate")), [*one, "surrogate"], "left_semi")
-        twice = now.groupBy(*one, "surrogate").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value")).alias("first")).filter("n > 1")
-        later = now.join(twice, [*one, "surrogate"]).filter("struct(attempt, value) > first").select(now.columns)
-        bad = taken.select(now.columns).union(later).select(*one, "value").distinct()
-        # too few names of two letters share a shape to tell them all apart
-        bad = staged(bad.filter("kind <> 'name' OR length(value) > 2").withColumn("bad", F.lit(True)), "pii-offenders")
-        if not bad.limit(1).count():
-            break
-        again = now.join(bad, [*one, "value"], "left").withColumn(
-            "attempt", F.col("attempt") + F.when(F.col("bad"), 1).otherwise(0))
-        now = staged(again.select(*one, "value", "attempt").withColumn("surrogate", F.expr(sql)), "pii-surrogates")
-    moved = now.filter("attempt > 0").select(*one, "value", "attempt")
-    return moved if moved.limit(1).count() else None
+    one, row = ["kind", "code"], ["kind", "code", "value"]
+
+    def keyed(values: DataFrame, attempt: int) -> DataFrame:
+        return staged(values.select(*row, F.lit(attempt).alias("attempt")).withColumn("surrogate", F.expr(sql)), "pii-surrogates")
+
+    now = keyed(entities, 0)
+    originals = now.select(*one, F.col("value").alias("surrogate"))
+    settled, moved, attempt = None, None, 0
+    while True:
+        # of the values with the newest key: who meets an original, a settled surrogate, or a smaller value's
+        least = now.groupBy(*one, "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least")).filter("n > 1")
+        bad = now.join(originals, [*one, "surrogate"]).select(*row).union(
+            now.join(least, [*one, "surrogate"]).filter("value > least").select(*row))
+        if settled is not None:
+            bad = bad.union(now.join(settled, [*one, "surrogate"]).select(*row))
+        bad = staged(bad.distinct(), "pii-offenders")
+        done = not bad.limit(1).count()
+        if done and not attempt:
+            return None
+        kept = now.join(bad, row, "left_anti")
+        if attempt:
+            kept = staged(kept, "pii-settled")
+            moved = kept if moved is None else moved.union(kept)
+        if done:
+            return moved.select(*row, "attempt")
+        kept = kept.select(*one, "surrogate")
+        settled = kept if settled is None else settled.union(kept)
+        attempt += 1
+        if attempt >= ATTEMPTS * (LEVELS + 1):
+            raise RuntimeError(f"no surrogate of their own for {bad.count()} values after {attempt} keys")
+        now = keyed(bad, attempt)
 
 
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:

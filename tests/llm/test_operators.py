@@ -290,6 +290,53 @@ def test_collisions_are_resolved(spark):
     assert not {r.s for r in got if r.kind == "ssn"} & {v for k, _, v in values if k == "ssn"}
 
 
+def surrogates(df, moved):
+    from pyspark.sql import functions as F
+    sql = pii._surrogate_part("kind", "value", f"concat_ws('|', {pii._q(pii.KEY)}, kind, code, attempt)")
+    return df.join(moved, ["kind", "code", "value"], "left").na.fill(0, ["attempt"]).withColumn("s", F.expr(sql)).collect()
+
+
+def test_full_shapes_are_widened(spark):
+    """Shapes that the corpus fills by more than half: names of two and three letters, short local parts, short numbers."""
+    names = [f"{a}{b}m" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"] + [f"{a}u" for a in "BCDFGHJKLMNPQRSTVWXYZ"] + ["Öö", "Ли", "Ми"]
+    mails = [f"{a}@example.com" for a in "abcdefghijklmnopqrstuvwxyz"] + ["%@example.com"]
+    values = [("name", "", v) for v in names] + [("email", "", v) for v in mails] + [("phone", "449", f"{i:02d}") for i in range(100)]
+    df = spark.createDataFrame(values, "kind string, code string, value string")
+    got = surrogates(df, pii.offenders(df))
+    assert len(got) == len(values) == len({(r.kind, r.code, r.s) for r in got})
+    assert not {(r.kind, r.code, r.s) for r in got} & set(values)
+    for r in got:
+        if r.kind == "name":
+            assert r.s[-1] == r.value[-1] and r.s.istitle() and (r.value[0] in "ЛМ") == all(c > "а" for c in r.s[1:])
+        assert r.kind != "email" or re.fullmatch(r"[a-z%]+@example\.com", r.s)
+
+
+def test_texts_with_full_shapes(spark):
+    names = [f"{a}u" for a in "BCDFGHJKLMNPQRSTVWXYZ"]
+    rows = [(k, f"Mr. {n} {n}-{n}, {n[0]}@Example.com!") for k, n in enumerate(names)] + [(99, "Ms. Wu")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = {k: re.fullmatch(r"M[rs]\. (\w+u)(?: \1-\1, (\w+@Example\.com)!)?", t).groups() for k, t in got.items()}
+    assert not {n for n, _ in seen.values()} & set(names) and len({n for n, _ in seen.values()}) == len(names)
+    assert seen[99][0] == seen[names.index("Wu")][0]
+    mails = {m.lower() for _, m in seen.values() if m}
+    assert len(mails) == len(names) and not mails & {f"{n[0]}@example.com".lower() for n in names}
+
+
+def test_unresolved_collisions_fail(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LEVELS", 0)
+    with pytest.raises(RuntimeError):
+        pii.offenders(spark.createDataFrame([("name", "", "Öö")], "kind string, code string, value string"))
+
+
+def test_a_full_octet_is_given_up(spark):
+    """The surrogate of an address after ATTEMPTS keys, as it would be in a full first octet."""
+    sql = pii._surrogate_part("kind", "value", f"concat('k|', {pii.ATTEMPTS})")
+    rows = [("ip", f"10.0.{i // 256}.{i % 256}") for i in range(512)]
+    got = spark.createDataFrame(rows, "kind string, value string").selectExpr(f"{sql} AS s").collect()
+    assert len({r.s for r in got}) == 512 and len({r.s.split(".")[0] for r in got}) > 100
+    assert all(re.fullmatch(pii.PATTERNS["ip"], r.s) for r in got)
+
+
 # --- HTML, URLs --------------------------------------------------------------------------------------------------
 
 def test_main_text():
