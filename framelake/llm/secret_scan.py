@@ -1,13 +1,16 @@
 """Secret scans: base patterns plus two character Markov models compared by log-likelihood ratio.
 
 Base kinds: ``assign`` (name, separator, value), ``access`` (key ids), ``hex`` (long hexadecimal runs).
-Method kind ``markov``: a token of ``MIN_TOKEN`` or more characters that mixes letters and digits, lies outside the base
-spans, and is better explained by the model of random strings than by the model of ordinary identifiers.
+Method kind ``markov``: a stretch of a token, outside the base spans, that is better explained by the model of random strings
+than by the model of ordinary identifiers: by ``MIN_RATIO`` nats a character, and by as much in all as a stretch
+of ``MIN_TOKEN`` characters needs, so shorter ones need a higher ratio. A token, or what the base spans leave of it, is
+taken whole if it meets this; else it is cut at / = _ - and the run of parts that exceeds ``MIN_RATIO`` by most is taken, and so
+on left and right of it; if that run is too short, each part is judged alone.
 
 Both models are first-order chains over 64 characters plus the token's edges, with add-one smoothing. The labelled samples:
 random = values that the base patterns find in the corpus and strings drawn from seeded hashes over
 hexadecimal, base32, base62 and base64 alphabets; ordinary = words of the corpus outside base spans, alone and joined
-into identifiers (camel, snake, kebab and upper case, with acronyms, numbers and years). The corpus part comes from a bounded sample of about
+into identifiers (camel, snake, kebab and upper case, with acronyms, numbers and years), and numbers. The corpus part comes from a bounded sample of about
 ``TRAIN_ROWS`` documents, chosen by hash.
 
 Spans are code points, end exclusive. Defined cases: null text counts as empty; empty texts and texts without
@@ -39,7 +42,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 MIN_TOKEN = 16
 MIN_RATIO = 2.0  # nats per character in favour of random
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
+MIN_NATS = MIN_RATIO * MIN_TOKEN
 TRAIN_ROWS = 4000
 DRAWN = 4000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -48,9 +51,12 @@ EDGE = SIZE - 1
 
 _CODE = np.full(256, SIZE - 2, np.int64)
 _CODE[list(ALPHABET.encode())] = np.arange(len(ALPHABET))
-# Byte classes as marks for quick tests: hexadecimal digits, token characters.
+_TOKEN_CODE = np.full(256, EDGE, np.int64)  # the same, but what is no token character is an edge
+_TOKEN_CODE[list((ALPHABET + "_=-").encode())] = _CODE[list((ALPHABET + "_=-").encode())]
+_CUT = np.zeros(SIZE, bool)  # tokens may be cut at / and at _ = -
+_CUT[[ALPHABET.index("/"), SIZE - 2]] = True
+# Byte classes as marks for quick tests: hexadecimal digits.
 _HEX_MARK = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
-_TOKEN_MARK = bytes(49 if b < 128 and re.match(r"[A-Za-z0-9+/_=-]", chr(b)) else 48 for b in range(256))
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -99,6 +105,7 @@ def _ordinary(words: list[str]) -> list[str]:
 
 
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_]+")
+_NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9])")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -117,7 +124,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
                     rest.append(text[at:start])
                     at = max(at, end)
                 rest.append(text[at:])
-                counts[1] += _count(_ordinary(_WORD.findall(" ".join(rest))))
+                left = " ".join(rest)
+                counts[1] += _count(_ordinary(_WORD.findall(left)) + _NUMBER.findall(left))
         pair = np.flatnonzero(counts.any(axis=0))
         yield pd.DataFrame({"pair": pair, "random": counts[0][pair], "ordinary": counts[1][pair]})
 
@@ -134,22 +142,61 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     return np.log(chance[0] / chance[1]).ravel()
 
 
-def markov_spans(text: str, raw: bytes, taken: list[tuple[int, int, int]], model: np.ndarray) -> list[tuple[int, int, int]]:
-    if b"1" * MIN_TOKEN not in raw.translate(_TOKEN_MARK):
-        return []
-    out = []
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        digits = sum(map(t.count, "0123456789"))
-        if not 0 < digits < len(t) or not any(c.isalpha() for c in t):
+def _stretches(code: np.ndarray, model: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the random stretches of one token, given as character classes."""
+    out, todo = [], [(0, len(code))]
+    inner = np.concatenate(([0.0], np.cumsum(model[code[:-1] * SIZE + code[1:]])))  # up to each character
+    first, last = model[EDGE * SIZE + code], model[code * SIZE + EDGE]
+    solid = np.concatenate(([False], ~_CUT[code], [False]))
+    starts, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
+
+    def ratio(a, b):
+        return first[a] + inner[b - 1] - inner[a] + last[b - 1]
+
+    while todo:
+        lo, hi = todo.pop()
+        if lo >= hi:
+            continue
+        if ratio(lo, hi) >= max(MIN_NATS, MIN_RATIO * (hi - lo)):
+            out.append((lo, hi))
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
+        k = slice(np.searchsorted(starts, lo), np.searchsorted(ends, hi, "right"))
+        a, b = starts[k], ends[k]
+        if not len(a):
             continue
-        if model[_pairs(t)].sum() >= MIN_RATIO * len(t):
-            out.append((m.start(), 3, m.end()))
+        head, tail = first[a] - inner[a] + MIN_RATIO * a, inner[b - 1] + last[b - 1] - MIN_RATIO * b
+        j = int(np.argmax(np.maximum.accumulate(head) + tail))
+        i = int(np.argmax(head[:j + 1]))
+        if ratio(a[i], b[j]) >= max(MIN_NATS, MIN_RATIO * (b[j] - a[i])):
+            out.append((int(a[i]), int(b[j])))
+            todo += [(lo, int(a[i])), (int(b[j]), hi)]
+        else:
+            alone = ratio(a, b) >= np.maximum(MIN_NATS, MIN_RATIO * (b - a))
+            out += zip(a[alone].tolist(), b[alone].tolist())
     return out
 
 
+def markov_spans(text: str, raw: bytes, taken: list[tuple[int, int, int]], model: np.ndarray) -> list[tuple[int, int, int]]:
+    byte = np.frombuffer(raw, np.uint8)
+    lead = None if len(raw) == len(text) else np.append(np.flatnonzero(byte & 0xC0 != 0x80), len(raw))  # of each code point
+    code = np.concatenate(([EDGE], _TOKEN_CODE[byte], [EDGE]))
+    for s, _, e in taken:
+        code[1 + (s if lead is None else lead[s]):1 + (e if lead is None else lead[e])] = EDGE
+    # tokens that cannot reach MIN_NATS even by their positive pairs alone, and the best edges at cuts, are out
+    inside = code != EDGE
+    start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    most = np.concatenate(([0.0], np.cumsum(np.maximum(model[code[:-1] * SIZE + code[1:]], 0))))
+    cuts = np.concatenate(([0], np.cumsum(_CUT[code[1:-1] % EDGE] & inside[1:-1])))
+    edges = max(0.0, model[EDGE * SIZE:].max()) + max(0.0, model[EDGE::SIZE].max())
+    may = most[end + 1] - most[start] + np.where(cuts[end] > cuts[start], edges, 0.0) >= MIN_NATS
+    out = []
+    for i, j in zip(start[may].tolist(), end[may].tolist()):
+        for a, b in _stretches(code[i + 1:j + 1], model):
+            s, e = i + a, i + b
+            out.append((s, 3, e) if lead is None else (int(np.searchsorted(lead, s)), 3, int(np.searchsorted(lead, e))))
+    return sorted(out)
+
+
 def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

@@ -212,6 +212,39 @@ def test_markov_held_out(spark):
     assert sum(map(found, names)) < 0.05 * len(names)
 
 
+def test_markov_without_a_gate(spark):
+    """Keys without digits, short keys, and keys in paths, names and beside base spans; ordinary text stays."""
+    model = secret_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+
+    def spans(t):
+        raw = t.encode()
+        return [t[s:e] for s, _, e in secret_scan.markov_spans(t, raw, secret_scan.base_spans(t, raw), model)]
+
+    rnd = random.Random(12)
+
+    def draw(letters, least, most):
+        return ["".join(rnd.choice(letters) for _ in range(rnd.randint(least, most))) for _ in range(300)]
+
+    base62 = secret_scan.ALPHABET[:62]
+    drawn = draw(base62, 16, 40)  # digitless ones too
+    assert sum(bool(spans(t)) for t in drawn) > 0.95 * len(drawn)
+    assert sum(bool(spans(t)) for t in draw(base62[:52], 16, 20)) > 0.8 * 300
+    assert sum(bool(spans(t)) for t in draw(base62, 12, 15)) > 0.75 * 300
+    keys = [t for t in draw(base62, 20, 24) if spans(t) == [t]]
+    assert len(keys) > 280
+    for form in ("/services/team/hooks/incoming/messages/channel/{}", "export user_request_handler_name={}", "é /customer/{}/settings/index_table",
+                 "password=hunter22/{}", "password=hunter22 see /customer/{}"):
+        texts = [form.format(k) for k in keys]
+        whole = [" ".join(spans(t)) for t in texts]
+        if form.startswith("password=hunter22/"):
+            assert whole == [""] * len(keys)  # the base span has it all
+        else:
+            assert sum(k in w and len(w) < len(k) + 12 for k, w in zip(keys, whole)) > 0.9 * len(keys)
+    assert spans(f"AKIA{'Q2' * 8}/{keys[0]}") == ["/" + keys[0]] or spans(f"AKIA{'Q2' * 8}/{keys[0]}") == [keys[0]]
+    for t in ("internationalization of authentication/configuration_table", "2024-01-31T23:59:59 1234567890", "getElementById HTTPServerError", "", "é"):
+        assert spans(t) == []
+
+
 # --- Mixing ------------------------------------------------------------------------------------------------------
 
 def test_exponent_meets_both_demands(spark):
