@@ -65,16 +65,17 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long with the same bits."""
+                 shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``also``: the fingerprint as a signed long with the same bits."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((fingerprint_of(t, shingle) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64), **{c: b[c] for c in also}})
 
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *also).mapInPandas(
+        run, f"doc_id {kind}, fp long{kinds}")
 
 
 def _syndrome_masks() -> list[int]:
@@ -209,11 +210,32 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, all columns, without those whose class has a smaller id."""
-    gone = (near_classes(docs, id_col, text_col, shingle, max_bits)
-            .filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    """The documents, all columns, one of each class: the one with the smallest id (null ids last), then the smallest
+    fingerprint, then the smallest hash of its text. Ids may be null or name several texts: classes are made of
+    fingerprints, and a document is known by its id and its text's hash."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    # ids as text: pandas would turn long ids beside nulls into doubles
+    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    thin = staged(fingerprints(named, "id", "text", shingle, ("h",)).withColumn("doc_id", F.col("doc_id").cast(kind)),
+                  "simhash-fingerprints")
+    fps = staged(thin.select("fp").distinct().withColumn("node", F.col("fp")), "simhash-distinct")
+    joined = components(links(fps, max_bits, block=BLOCK))
+    classes = staged(fps.join(joined, "node", "left").select("fp", F.coalesce("component", "fp").alias("class")), "simhash-classes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h").alias("row")
+    rows = thin.join(classes, "fp").select("class", row)
+    first = rows.groupBy("class", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("class").agg(
+        F.min(F.struct("row", "n")).alias("first"), F.sum("n").alias("size")).filter("size > 1")
+    first = staged(first.select("class", F.col("first.row").alias("stays"), F.col("first.n").alias("n")), "simhash-first")
+    gone = rows.join(first, "class").filter("row <> stays").select(
+        F.col("row.doc_id").alias("__gone"), F.col("row.h").alias("__of")).distinct()
     gone = staged(gone, "simhash-gone")  # its written size lets the planner choose a broadcast or a shuffle
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__h") == F.col("__of"))
+    left = docs.withColumn("__h", F.xxhash64(text_col)).join(gone, same, "left_anti")
+    repeated = first.filter("n > 1").select(F.col("stays.doc_id").alias("__gone"), F.col("stays.h").alias("__of"))
+    if repeated.limit(1).count():
+        once = left.join(repeated, same, "left_semi").dropDuplicates([id_col, "__h"])
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

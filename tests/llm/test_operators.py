@@ -108,6 +108,52 @@ def test_anchors_cover(spark):
         assert r.a[0] in r.b and len(r.b) <= 17 and all((r.y ^ c).bit_count() <= 2 for c in r.b)
 
 
+def awkward_documents(spark):
+    """Texts, some of them near copies, with null ids and with ids that name two texts."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 1500").orderBy("doc_id").limit(60).collect()]
+    rows = [(100 + k, t) for k, t in enumerate(texts)]
+    for k, t in enumerate(texts[:40]):
+        near = t + " again"  # one more shingle among hundreds
+        rows += [[(None, near), (None, near + " and")], [(101 + k, near)], [(k, near)], [(2**60 + k, near)]][k % 4]
+    rows += [(None, t + f" once {k}") for k, t in enumerate(texts[:40:4])]
+    fps = sorted({simhash.fingerprint_of(t) for _, t in rows})
+    return rows, dict(zip(fps, brute_components(fps)))
+
+
+def brute_one_of_each(rows, classes):
+    best = {}
+    for i, t in rows:
+        fp = simhash.fingerprint_of(t)
+        key = (i is None, i or 0, fp - (1 << 64) if fp >> 63 else fp)
+        best.setdefault(classes[fp], []).append((key, i, t))
+    return [[(i, t) for k, i, t in group if k == min(group)[0]] for group in (sorted(g, key=lambda x: x[0]) for g in best.values())]
+
+
+def test_one_of_each_class_whatever_the_ids(spark):
+    rows, classes = awkward_documents(spark)
+    groups = brute_one_of_each(rows, classes)
+    assert max(map(len, groups)) == 1 and len(groups) < len(rows) - 20
+    df = spark.createDataFrame([(*r, "x") for r in rows + rows[:5]], "doc_id long, text string, fp string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(df).collect()]
+    assert sorted(got, key=str) == sorted((g[0] for g in groups), key=str)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, vocabulary):
+    import corpus_pipeline
+    rows, _ = awkward_documents(spark)
+    docs = spark.createDataFrame([(*r, f"s{k % 2}") for k, r in enumerate(rows)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    good = {(r.doc_id, r.text) for r in quality_classifier.keep_good(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    exact = {}
+    for i, t in sorted(good, key=lambda r: (r[0] is None, r[0] or 0)):
+        exact.setdefault(re.sub("[ \t-\r]+", " ", t), (i, t))
+    fps = sorted({simhash.fingerprint_of(t) for _, t in exact.values()})
+    kept = [g[0] for g in brute_one_of_each(exact.values(), dict(zip(fps, brute_components(fps))))]
+    want = {(i, tuple(vocabulary.library.encode(t, add_special_tokens=False).ids)) for i, t in kept}
+    got = [(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(want) > 20 and max(got.count(g) for g in want) <= 2
+
+
 # --- BPE ---------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
