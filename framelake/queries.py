@@ -528,31 +528,44 @@ def probe_metadata(spark, sf):
                     r6(F.col("l.duration")).alias("lenient_duration"))
 
 
-def _result_docs(spark, sf):
-    """One result object per video as Python-style JSON text; every 7th video's is cut
-    to 20 characters (malformed)."""
+def _result_json(a, part_frames):
+    """(video_id, json): Python-style result text of every video. Two levels: the frames' JSON of ``part_frames``
+    consecutive frames first (so a hot video's rows spread over tasks), then the parts in part order."""
     from framelake.sources import json_io
-    a = tb.analyses(spark, sf)
     ok = F.coalesce(F.col("success"), F.lit(False))
-    g = a.groupBy("video_id").agg(
-        F.bool_or(ok).alias("success"), F.count_if(ok).alias("frames_analyzed"),
-        F.count(F.lit(1)).alias("total_frames_extracted"),
-        F.round(F.sum("processing_time"), 2).alias("total_processing_time"),
-        F.min_by("model_used", "frame_idx").alias("model_used"),
-        F.sort_array(F.collect_list(F.struct("frame_idx", ok.alias("success"),
-                                             F.coalesce(F.col("description"), F.lit("")).alias("description"))))
-        .alias("_fd"))
-    js = json_io.py_json(
+    frames = F.sort_array(F.collect_list(F.struct("frame_idx", ok.alias("success"),
+                                                  F.coalesce(F.col("description"), F.lit("")).alias("description"))))
+    details = F.to_json(F.transform(frames, lambda f: F.struct(f["success"].alias("success"),
+                                                               f["description"].alias("description"))))
+    parts = a.withColumn("part", F.expr(f"frame_idx div {part_frames}")).groupBy("video_id", "part").agg(
+        F.bool_or(ok).alias("success"), F.count_if(ok).alias("ok"), F.count(F.lit(1)).alias("n"),
+        F.sum("processing_time").alias("t"), F.min("frame_idx").alias("first_frame"),
+        F.min_by("model_used", "frame_idx").alias("model_used"), details.alias("_d"))
+    parts = parts.withColumn("_d", F.expr("substring(_d, 2, length(_d) - 2)"))
+    g = parts.groupBy("video_id").agg(
+        F.bool_or("success").alias("success"), F.sum("ok").alias("frames_analyzed"),
+        F.sum("n").alias("total_frames_extracted"), F.round(F.sum("t"), 2).alias("total_processing_time"),
+        F.min_by("model_used", "first_frame").alias("model_used"),
+        F.expr("listagg(_d, ',') WITHIN GROUP (ORDER BY part)").alias("_d"))
+    head = json_io.py_json(
         success=F.col("success"),
         video_path=F.concat(F.lit("video_"), F.col("video_id").cast("string")),
         frames_analyzed=F.col("frames_analyzed"), total_frames_extracted=F.col("total_frames_extracted"),
         total_processing_time=F.col("total_processing_time"),
-        video_summary=F.concat(F.lit("video "), F.col("video_id").cast("string")),
-        frame_details=F.transform("_fd", lambda f: F.struct(f["success"].alias("success"),
-                                                            f["description"].alias("description"))),
-        model_used=F.col("model_used"))
+        video_summary=F.concat(F.lit("video "), F.col("video_id").cast("string")))
+    tail = json_io.py_json(model_used=F.col("model_used"))
+    js = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(', "frame_details": ['), F.col("_d"), F.lit("], "),
+                  F.substring(tail, F.lit(2), F.length(tail) - 1))
+    return g.select("video_id", js.alias("json"))
+
+
+def _result_docs(spark, sf):
+    """One result object per video as Python-style JSON text; every 7th video's is cut
+    to 20 characters (malformed)."""
+    from framelake.operators import rollups
+    js = _result_json(tb.analyses(spark, sf), rollups.OBSERVATION_PART_FRAMES)
     bad = F.pmod(F.col("video_id"), F.lit(7)) == 0
-    return g.select("video_id", F.when(bad, F.substring(js, 1, 20)).otherwise(js).alias("json"))
+    return js.select("video_id", F.when(bad, F.substring("json", 1, 20)).otherwise(F.col("json")).alias("json"))
 
 
 @query("result_json_roundtrip")

@@ -109,3 +109,18 @@ def test_repeated_frames_count_once():
                         "arrival": pd.Timestamp("2024-01-01")})
     out = pd.concat(chunks.chunker(3)((1, 0), iter([pdf]), State()))
     assert len(out) == 1 and out.n_frames[0] == 3 and out.brightness[0] == 2.0
+
+
+def test_result_json_from_parts_of_a_video(spark):
+    import json
+
+    from framelake import queries
+    rows = [(1, k, k % 3 > 0, f'd "{k}"' if k % 4 else None, 0.5, f"m{k}") for k in range(11)] + [(2, 0, None, "x", 1.0, None)]
+    df = spark.createDataFrame(rows[::-1], "video_id long, frame_idx long, success boolean, description string, "
+                                           "processing_time double, model_used string")
+    got = {r.video_id: r.json for r in queries._result_json(df, 3).collect()}
+    assert got == {r.video_id: r.json for r in queries._result_json(df, 4096).collect()}
+    one = json.loads(got[1])
+    assert one["frame_details"] == [{"success": k % 3 > 0, "description": f'd "{k}"' if k % 4 else ""} for k in range(11)]
+    assert (one["frames_analyzed"], one["total_frames_extracted"], one["total_processing_time"], one["model_used"]) == (7, 11, 5.5, "m0")
+    assert json.loads(got[2])["model_used"] is None and not json.loads(got[2])["success"]
