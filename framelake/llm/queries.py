@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import (bpe, exact_dedup, html_extract, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash,
+from . import (bpe, decontaminate, exact_dedup, html_extract, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash,
                url_filter)
 
 QUERIES = {
@@ -18,10 +18,12 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_html_extract": html_extract.query,
     "op10_url_filter": url_filter.query,
+    "op13_decontamination": decontaminate.query,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op13_decontamination": decontaminate.ORACLE,
 }
