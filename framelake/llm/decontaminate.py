@@ -3,11 +3,13 @@
 Words are runs of ASCII digits and letters (A-Z lower-cased) and of all other characters beyond ASCII. A window is
 ``WINDOW`` consecutive words of an item; an item with fewer words is one window of all of them.
 
-The scan is one narrow pass: each text is cut into words, every window of every length that the items have is
-hashed, and the windows meet the set of item hashes in a broadcast join. Only hits, and one row per document, leave
-the pass. A hit carries its words, which are verified against the items' windows, so a hash collision hits nothing.
+The scan is one narrow pass. Every window has an anchor, its longest word. In a text, only the windows around words that are
+some window's anchor can be in the set; the others are passed over by one lookup a word. The windows around anchors meet the set of hashes
+in a broadcast join. Only hits, and one row per document, leave the pass. A hit carries its words, which are
+verified against the items' windows, so a hash collision hits nothing. Anchors are looked up in lower case of all letters, which
+merges more words than the lower case of A-Z does and so loses none; windows are taken from the latter.
 
-The set is broadcast as 64-bit hashes, ``MAX_HASHES`` at most (64 MB). More windows are dealt by hash into
+The set is broadcast: ``MAX_WINDOWS`` hashes and as many anchors at most, under 16 MB. More windows are dealt by hash into
 several sets, one pass each; the rows are then numbered once, in a written table, so that all passes agree.
 
 Which items a document holds is found once per distinct set of verified windows, not once per document: documents that
@@ -27,77 +29,82 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, read_table, staged
 
 WINDOW = 10
-MAX_HASHES = 1 << 22
+MAX_WINDOWS = 1 << 16
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SIGMA, SMALL_SIGMA = "\u03a3", "\u03c3"  # the one letter whose lower case depends on the letters beside it
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, lower-cased."""
+    """The words of a text, A-Z lower-cased."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def _window_hash(words: Column, at: Column | int, size: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + F.lit(k)) for k in range(size)])
-
-
-def _hashes(words: Column, n: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), n - size), lambda i: _window_hash(words, i, size))
+def _folded(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit(SIGMA), F.lit(SMALL_SIGMA)))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(gram, size, hash, item): the distinct windows of every item; a gram is its words with single spaces."""
+    """(gram, size, anchor, at, item): the distinct windows of every item; a gram is its words with single spaces, the anchor its
+    longest word (the first of equals), at its place."""
     n = F.size("words")
     grams = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.array_join(
         F.slice("words", i + 1, window), " "))).when(n > 0, F.array(F.array_join("words", " ")))
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("words"))
     rows = rows.select("item", F.explode(grams).alias("gram")).distinct().withColumn("words", F.split("gram", " "))
-    # words beyond the window's end are null and leave the hash as it is
-    return rows.select("gram", F.size("words").alias("size"), _window_hash(F.col("words"), F.lit(0), window).alias("hash"), "item")
-
-
-def _scan(rows: DataFrame, hashes: DataFrame, sizes: list[int], every_row: bool) -> DataFrame:
-    """(row, n_words, start, size, gram) of the windows whose hash is in the set; ``every_row``: and one row with a null start."""
-    t = rows.withColumn("__n", F.size("__words"))
-    none = F.array().cast("array<bigint>")
-    parts, ends, end = [F.array(F.lit(None).cast("bigint"))], [], F.lit(1)
-    for size in sizes:
-        parts.append(F.when(F.col("__n") >= size, _hashes(F.col("__words"), F.col("__n"), size)).otherwise(none))
-        begin, end = end, end + F.greatest(F.col("__n") - size + 1, F.lit(0))
-        ends.append((size, begin, end))
-    dealt = t.withColumn("__all", F.concat(*parts)).select("__row", "__n", "__words", F.posexplode("__all").alias("__k", "__hash"))
-    met = dealt.join(F.broadcast(hashes), F.col("__hash") == F.col("__set"), "left")
-    met = met.filter("__set IS NOT NULL OR __k = 0" if every_row else "__set IS NOT NULL")
-    start, width = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for size, begin, end in ends:
-        inside = (F.col("__k") >= begin) & (F.col("__k") < end)
-        start, width = F.when(inside, F.col("__k") - begin).otherwise(start), F.when(inside, F.lit(size)).otherwise(width)
-    met = met.select("__row", "__n", "__words", start.alias("start"), width.alias("size"))
-    gram = F.when(F.col("start").isNotNull(), F.array_join(F.slice("__words", F.col("start") + 1, F.col("size")), " "))
-    return met.select("__row", "__n", "start", "size", gram.alias("gram"))
+    best = F.array_max(F.transform("words", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))
+    return rows.select("gram", F.size("words").alias("size"), best["w"].alias("anchor"), (-best["i"]).alias("at"), "item")
+
+
+def _scan(rows: DataFrame, windows: DataFrame, window: int, every_row: bool) -> DataFrame:
+    """(__row, __n, start, size, gram) of the texts' windows whose hash is in the set; ``every_row``: and one row each with a null start."""
+    anchors = [r[0] for r in windows.select(_folded(F.col("anchor"))).distinct().collect()]  # MAX_WINDOWS at most
+    places = windows.select(F.col("anchor").alias("__anchor"), "at", "size").distinct()
+    hashes = windows.select(F.xxhash64("gram").alias("__set")).distinct()
+    # the class of gaps names A-Z too, which the lower-cased text does not have
+    t = rows.select("__row", "__text", F.array_remove(F.split(_folded(F.col("__text")), GAP), "").alias("__low"))
+    t = t.withColumn("__n", F.size("__low"))
+    # words have no quotes or backslashes; as one text the list is parsed once, not sent literal by literal
+    known = ", ".join(f"'{w}'" for w in anchors) or "NULL"
+    seen = F.expr(f"filter(sequence(0, __n - 1), i -> __low[i] IN ({known}))")
+    t = t.withColumn("__seen", F.when(F.col("__n") > 0, seen)).drop("__low")
+    t = t.withColumn("__words", F.when(F.size("__seen") > 0, words_of(F.col("__text")))).drop("__text")
+    # an anchor and the words that its windows may reach, so that no row carries a whole text
+    # (a column named twice is computed once, before the lambda, not for each of its elements)
+    around = F.when(F.col("__words").isNotNull(), F.transform("__seen", lambda p: F.struct(
+        p.alias("p"), F.least(p, F.lit(window - 1)).alias("a"), F.slice("__words", F.greatest(p - (window - 2), F.lit(1)), 2 * window - 1).alias("near"))))
+    kind = "array<struct<p:int,a:int,near:array<string>>>"
+    t = t.withColumn("__around", F.concat(F.array(F.lit(None)).cast(kind), F.coalesce(around, F.array().cast(kind))))
+    # outer: else the planner guards the explode by a filter on the array's size and computes the whole array twice, word by word
+    t = t.select("__row", "__n", F.explode_outer("__around").alias("c"))
+    met = t.join(F.broadcast(places), F.get("c.near", F.col("c.a")) == F.col("__anchor"), "left")
+    inside = (F.col("c.a") >= F.col("at")) & (F.size("c.near") >= F.col("c.a") - F.col("at") + F.col("size"))
+    gram = F.when(inside, F.array_join(F.slice("c.near", F.col("c.a") - F.col("at") + 1, F.col("size")), " "))
+    met = met.select("__row", "__n", (F.col("c.p") - F.col("at")).alias("start"), "size", gram.alias("gram"), F.col("c").isNull().alias("row"))
+    met = met.filter("row OR gram IS NOT NULL").join(F.broadcast(hashes), F.xxhash64("gram") == F.col("__set"), "left")
+    return met.filter("row OR __set IS NOT NULL" if every_row else "__set IS NOT NULL").select("__row", "__n", "start", "size", "gram")
 
 
 def find(docs: DataFrame, items: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text",
-         item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_hashes: int = MAX_HASHES) -> DataFrame:
+         item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per document: ``columns``, n_words, spans (sorted [start, end) in words, verified), n_hit, n_items, items_sha256."""
     windows = staged(item_windows(items, item_col, item_text, window), "leak-windows")
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # WINDOW values at most
-    # a hash may stand for two grams; the set holds it once
-    hashes = windows.select(F.col("hash").alias("__set")).distinct()
-    passes = -(-windows.select(F.count_distinct("hash")).first()[0] // max_hashes) or 1
+    grams = windows.drop("item").distinct()
+    passes = -(-grams.count() // max_windows) or 1
     rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("id")).alias("__row"),
-                       words_of(F.col(text_col)).alias("__words"))
+                       F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     if passes > 1:
-        rows = staged(rows, "leak-words")
-        sets = staged(hashes.withColumn("p", F.pmod("__set", F.lit(passes))), "leak-sets")
-        found = [_scan(rows, sets.filter(F.col("p") == p).select("__set"), sizes, p == 0) for p in range(passes)]
+        # twice as many sets as full ones would be, so that sets dealt by hash stay under the bound
+        rows, passes = staged(rows, "leak-texts"), 2 * passes
+        sets = staged(grams.withColumn("p", F.pmod(F.xxhash64("gram"), F.lit(passes))), "leak-sets")
+        found = [_scan(rows, sets.filter(F.col("p") == p), window, p == 0) for p in range(passes)]
         hits = found[0]
         for other in found[1:]:
             hits = hits.unionByName(other)
     else:
-        hits = _scan(rows, hashes, sizes, True)
+        hits = _scan(rows, grams, window, True)
     hits = staged(hits, "leak-hits")
-    seen = hits.filter("gram IS NOT NULL").join(windows.select("gram").distinct(), "gram", "left_semi")  # verified
-    kept = hits.filter("start IS NULL").select("__row", "__n", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
+    seen = hits.filter("gram IS NOT NULL").join(grams.select("gram"), "gram", "left_semi")  # verified
+    kept = hits.filter("gram IS NULL").select("__row", "__n", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
                                                F.lit(None).cast("string").alias("gram"))
     every = kept.unionByName(seen.select("__row", F.lit(None).cast("int").alias("__n"), "start", (F.col("start") + F.col("size")).alias("end"), "gram"))
     # collect_list and collect_set leave nulls out; both are bounded by the document's own windows
