@@ -57,8 +57,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     where = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{where}/{k}-{name}")
+        with common.staging(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{where}/{k}-{name}")
         docs = spark.read.schema(out.schema).parquet(f"{where}/{k}-{name}")
-        common.release(spark)
+        if k:
+            common.delete(spark, f"{where}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

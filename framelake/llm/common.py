@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UNEVEN_SPACE = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_STAGED: list[str] = []
+_SCOPES = threading.local()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,20 +30,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the cluster's shared checkpoint folder and
     read it back: computed once however often it is read, lineage cut, and safe
-    when executors are lost. ``release`` deletes the folders of finished work."""
+    when executors are lost. Inside ``staging`` the folder is deleted at the scope's end;
+    else it stays, as the result that reads it may be used at any time."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_SCOPES, "open", [])[-1:]:
+        paths.append(path)
     df.write.parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every staged folder. Call it once the results that read them are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        p = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        p.getFileSystem(conf).delete(p, True)
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside (by this thread, and not by an inner scope) are deleted at the end: write what reads them inside."""
+    paths: list[str] = []
+    scopes = _SCOPES.open = getattr(_SCOPES, "open", [])
+    scopes.append(paths)
+    try:
+        yield
+    finally:
+        scopes.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def texts_for(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns as text, null as null: pandas would turn whole numbers beside nulls into doubles."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def kinds_of(df: DataFrame, like: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Back from text to the kinds that columns have in ``like``. columns: name here -> name there."""
+    return df.withColumns({c: F.col(c).cast(like.schema[k].dataType) for c, k in columns.items()})
 
 
 def even_spaces(text: Column) -> Column:

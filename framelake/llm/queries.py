@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import (bpe, decontaminate, exact_dedup, html_extract, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash,
+from . import (bpe, decontaminate, exact_dedup, html_extract, lexical_search, mixing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, simhash,
                url_filter)
 
 QUERIES = {
@@ -18,6 +18,8 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_html_extract": html_extract.query,
     "op10_url_filter": url_filter.query,
+    "op11_prefix_trie": prefix_trie.query,
+    "op12_lexical_search": lexical_search.query,
     "op13_decontamination": decontaminate.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -25,5 +27,7 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
     "op13_decontamination": decontaminate.ORACLE,
 }
