@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from framelake.session import ensure_checkpoint_dir
 
-from .common import read_table, staged
+from .common import kinds_of, read_table, staged, texts_for
 
 VOCABULARY = "word_bpe_49k.json"
 LEXICON_WORDS = 1 << 17
@@ -329,8 +329,7 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), t
     """``columns`` and n_tokens with, per row, ids (array<int>), or if ``digests`` the SHA-256 of the ids
     (little-endian unsigned 32-bit) and of the decoded text instead."""
     shipped = _ship(docs.sparkSession, path, build_lexicon(docs, path, text_col, most))
-    kept = [F.col(c) for c in columns]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens long, "
+    schema = "".join(f"`{c}` string, " for c in columns) + "n_tokens long, "
     schema += "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,14 +346,15 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), t
                 out["ids"] = [np.frombuffer(r, "<u4").astype(np.int32) for r in raw]
             yield out
 
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInPandas(run, schema)
+    named = texts_for(docs.select(*columns, F.col(text_col).alias("__text")), columns)
+    return kinds_of(named.mapInPandas(run, schema), docs, {c: c for c in columns})
 
 
 def decode(encoded: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` and text: the tokens of ``ids`` joined by one space (null ids: empty)."""
     encoded.sparkSession.sparkContext.addFile(path)
     name = os.path.basename(path)
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in columns) + ", text string"
+    schema = "".join(f"`{c}` string, " for c in columns) + "text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Vocabulary(SparkFiles.get(name)).tokens
@@ -363,7 +363,8 @@ def decode(encoded: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)
             out["text"] = [" ".join(tokens[i] for i in (() if x is None else x)) for x in b["ids"]]
             yield out
 
-    return encoded.select(*columns, "ids").mapInPandas(run, schema)
+    named = texts_for(encoded.select(*columns, "ids"), columns)
+    return kinds_of(named.mapInPandas(run, schema), encoded, {c: c for c in columns})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,23 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags; each block knows its text, its linked characters, whether it is a
-heading, and which region it lies in (article, boilerplate such as menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, or neither).
+heading, and which region it lies in: article, suspect part of an article, boilerplate (menus, headers, footers, sidebars, notices,
+adverts, forms, reader comments), or none of these. Inline elements never cut a block.
+
+Elements of ``BAD_ELEMENTS`` are boilerplate. Class and id decide by whole words between spaces: a word made of ``BAD_WORDS`` and
+``SHAPES`` only (comment-list) makes a container boilerplate, and a paragraph, heading or item if all of its words are so. A word
+that has another part too (sharing-economy), or stands beside others on a paragraph, only makes the element suspect.
 
 Pass 1 decides blocks on their own: boilerplate regions are bad. Else link density, length and the density of
 stop words (English, German, French, Spanish) give good, bad, or undecided for short blocks and
 blocks between the limits. Inside an article a block is never bad for lack of stop words or length: a block that is mostly
-links is bad, one without links, or a long enough one with few, is good, the others and headings are undecided.
+links is bad, one without links, or a long enough one with few, is good, the others and headings are undecided. In a
+suspect part the text confirms: stop words make a block good, their lack or many links bad, short blocks are undecided.
 On pages in none of the four languages stop words do not count: long blocks with few links are good. The language is the one that the
 html element names; if it names none, it is none of the four if stop words are rare in all blocks with few links together.
 Pass 2 gives undecided blocks the label of the nearest decided neighbour in their own region (ties:
-good; none decided: good in an article, else bad); an undecided heading takes the next decided block's.
+good; none decided: good in an article or a suspect part of one, else bad); an undecided heading takes the next decided block's. Both passes take time in proportion
+to the page.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order
 by two line feeds. Defined cases: null or empty html, and pages without good blocks, give the empty text; tags and
@@ -23,13 +29,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import kinds_of, read_table, texts_for
 from .quality_classifier import STOP_WORDS
 
 MAX_LINK_DENSITY = 0.33
@@ -42,6 +49,8 @@ LANGUAGES = frozenset("en de fr es".split())  # of STOP_WORDS
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search
 section summary table tbody td tfoot th thead title tr ul""".split())
+ENDED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]),
+            "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 hr li dd dt option td th tr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +63,9 @@ promo promotion nav navbar navigation menu menus sidebar sidebars aside footer m
 notice notices notification popup modal overlay newsletter subscribe subscription comment comments disqus respond replies
 share sharing social related recommended breadcrumb breadcrumbs pagination pager widget widgets login signup search skip
 toolbar disclaimer""".split())
+SHAPES = frozenset("""area article articles bar block body bottom box button buttons card cards col column container content count foot
+form group head header holder icon icons inner item items label left link links list main outer panel post posts right row rows section
+site slot story stories text thread title top unit wrap wrapper""".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 
 _RAW_NAMES = "|".join(sorted(RAW))
@@ -63,32 +75,43 @@ _PIECE = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)
 |<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<name2>/?[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)
 """.replace("\n", ""), re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^\W\d_]+")
 _LANG = re.compile(r"""(?:^|[\s"'/])(?:xml:)?lang\s*=\s*["']?\s*([a-z]+)""", re.IGNORECASE)
 
 
-def _is_bad(name: str, attrs: str, in_article: bool) -> bool:
+PLAIN, ARTICLE, BOILERPLATE, SUSPECT = range(4)
+
+
+def _judge(name: str, attrs: str, in_article: bool) -> int:
+    """What a block element opens by its name and attributes: BOILERPLATE, SUSPECT, or PLAIN for nothing of the kind."""
     if name in BAD_ELEMENTS or name == "header" and not in_article:
-        return True
+        return BOILERPLATE
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return PLAIN
+    found = PLAIN
     for key, *values in _NAMED.findall(attrs):
         key, value = key.lower(), next(filter(None, values), "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in BAD_ROLES:
-            return True
-        if key in ("class", "id") and not BAD_WORDS.isdisjoint(_PART.findall(value)):
-            return True
-    return False
+            return BOILERPLATE
+        if key in ("class", "id"):
+            words = [parts for w in html.unescape(value).split() if (parts := _PART.findall(w))]
+            pure = [not BAD_WORDS.isdisjoint(p) and all(x in BAD_WORDS or x in SHAPES for x in p) for p in words]
+            if pure and (any(pure) if name in CONTAINERS else all(pure)):
+                return BOILERPLATE
+            if any(not BAD_WORDS.isdisjoint(p) for p in words):
+                found = SUSPECT
+    return found
 
 
 class _Page:
-    """Blocks of one page: [text, linked characters, heading, region]. Regions: 0 plain, 1 article, 2 boilerplate."""
+    """Blocks of one page: [text, linked characters, heading, region]."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, bool, int]] = []
         self.text: list[str] = []
         self.linked, self.heading, self.in_link = 0, False, False
         self.stack: list[tuple[str, int]] = []  # open containers and the region inside them
+        self.open: Counter[str] = Counter()  # their names
         self.lang = ""  # as the html element names it
         at = 0
         for m in _PIECE.finditer(source):
@@ -105,7 +128,7 @@ class _Page:
         self.flush()
 
     def region(self) -> int:
-        return self.stack[-1][1] if self.stack else 0
+        return self.stack[-1][1] if self.stack else PLAIN
 
     def add(self, piece: str) -> None:
         self.text.append(piece)
@@ -118,32 +141,36 @@ class _Page:
         elif name == "br":
             self.text.append(" ")
         if name not in BLOCKS:
-            # inline elements matter only if they open boilerplate, which then ends with them
-            if not closes and name not in VOID and self.region() < 2 and not attrs.rstrip().endswith("/") and _is_bad(name, attrs, True):
-                self.flush()
-                self.stack.append((name, 2))
-            elif closes and any(n == name for n, _ in self.stack):
-                self.close(name)
             return
         self.flush()
         if closes:
             self.close(name)
             self.in_link = False
             return
+        if self.stack and name in ENDED_BY.get(self.stack[-1][0], ()):
+            self.close(self.stack[-1][0])
         if name == "html" and not self.lang and (named := _LANG.search(attrs)):
             self.lang = named[1].lower()
-        region = self.region()
-        bad = region == 2 or _is_bad(name, attrs, region == 1)
-        if name in CONTAINERS or bad and name not in VOID:
-            self.stack.append((name, 2 if bad else 1 if name in ("article", "main") else region))
+        region, inside = self.region(), self.region()
+        if region != BOILERPLATE:
+            found = _judge(name, attrs, region in (ARTICLE, SUSPECT))
+            if found == BOILERPLATE or found == SUSPECT and region == ARTICLE:  # outside articles the text decides anyway
+                inside = found
+            elif name in ("article", "main") and region == PLAIN:
+                inside = ARTICLE
+        if name in CONTAINERS or inside != region and name not in VOID:
+            self.stack.append((name, inside))
+            self.open[name] += 1
         self.heading = name in HEADINGS
 
     def close(self, name: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
-                self.flush()
-                del self.stack[k:]
-                return
+        if self.open[name]:
+            self.flush()
+            while True:
+                last, _ = self.stack.pop()
+                self.open[last] -= 1
+                if last == name:
+                    return
 
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.text)).split())
@@ -162,16 +189,16 @@ def _listed(page: _Page) -> bool:
     """Is the page in a language whose stop words are known?"""
     if page.lang:
         return page.lang in LANGUAGES
-    counts = [_stop_words(t) for t, linked, _, region in page.blocks if region == 0 and linked <= MAX_LINK_DENSITY * len(t)]
+    counts = [_stop_words(t) for t, linked, _, region in page.blocks if region != BOILERPLATE and linked <= MAX_LINK_DENSITY * len(t)]
     return sum(n for n, _ in counts) >= STOP_LOW * sum(n for _, n in counts)
 
 
 def _first_pass(text: str, linked: int, heading: bool, region: int, listed: bool = True) -> int:
     """1 good, -1 bad, 0 undecided."""
-    if region == 2:
+    if region == BOILERPLATE:
         return -1
     many = linked > MAX_LINK_DENSITY * len(text)
-    if region == 1:
+    if region == ARTICLE:
         if heading or many and linked <= MOSTLY_LINKS * len(text):
             return 0
         return -1 if many else 1 if not linked or len(text) >= SHORT else 0
@@ -181,33 +208,42 @@ def _first_pass(text: str, linked: int, heading: bool, region: int, listed: bool
         if not listed:
             return 1 if len(text) >= LONG else 0
         n, words = _stop_words(text)
-        if n >= (STOP_LOW if len(text) >= LONG else STOP_HIGH) * words:
+        if n >= (STOP_LOW if len(text) >= LONG or region == SUSPECT else STOP_HIGH) * words:
             return 1
         if n < STOP_LOW * words:
             return -1
     return 0
 
 
-def _nearest(labels: list[int], regions: list[int], k: int, heading: bool) -> int:
-    """The label of the nearest decided block of the same region (of the next one for a heading)."""
-    near = []
-    for step in (1,) if heading else (-1, 1):
-        j = k + step
-        while 0 <= j < len(labels) and regions[j] == regions[k]:
-            if labels[j]:
-                near.append((abs(j - k), -labels[j]))
-                break
-            j += step
-    return -min(near)[1] if near else 1 if regions[k] == 1 else -1
+def _decided(labels: list[int], regions: list[int], step: int) -> list[int | None]:
+    """For each block the last decided one before it (step 1) or the next one after it (step -1), with only its own region between."""
+    out: list[int | None] = [None] * len(labels)
+    last = None
+    for k in range(len(labels))[::step]:
+        if 0 <= k - step < len(labels) and regions[k - step] != regions[k]:
+            last = None
+        out[k] = last
+        if labels[k]:
+            last = k
+    return out
+
+
+def second_pass(labels: list[int], regions: list[int], headings: list[bool]) -> list[int]:
+    """The labels with undecided ones filled in."""
+    before, after, out = _decided(labels, regions, 1), _decided(labels, regions, -1), []
+    for k, label in enumerate(labels):
+        near = [j for j in ((after[k],) if headings[k] else (before[k], after[k])) if j is not None]
+        out.append(label or (max((-abs(j - k), labels[j]) for j in near)[1] if near else -1 if regions[k] in (PLAIN, BOILERPLATE) else 1))
+    return out
 
 
 def main_text(source: str | None) -> str:
     """The main text of one page."""
     page = _Page(source or "")
-    blocks, listed = page.blocks, any(b[3] == 0 for b in page.blocks) and _listed(page)
-    labels = [_first_pass(*b, listed) for b in blocks]
-    regions = [b[3] for b in blocks]
-    good = [x or _nearest(labels, regions, k, blocks[k][2]) for k, x in enumerate(labels)]
+    blocks = page.blocks
+    listed = any(b[3] in (PLAIN, SUSPECT) for b in blocks) and _listed(page)
+    labels, regions = [_first_pass(*b, listed) for b in blocks], [b[3] for b in blocks]
+    good = second_pass(labels, regions, [b[2] for b in blocks])
     return "\n\n".join(b[0] for b, x in zip(blocks, good) if x > 0)
 
 
@@ -218,9 +254,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             text = [main_text(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(
-        run, f"page_id {kind}, url string, text string, n_chars long")
+    named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    found = texts_for(named, ("page_id",)).mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return kinds_of(found, pages, {"page_id": id_col})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

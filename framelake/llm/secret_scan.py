@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_fraction, read_table
+from .common import hashed_fraction, kinds_of, read_table, texts_for
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -215,12 +215,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 n = [sum(k == x for _, k, _ in base) for x in range(3)]
                 rows.append((i, *n, len(more), hashlib.sha256(_join(base).encode()).hexdigest(), _join(sorted(base + more))))
             out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
-            out["doc_id"] = b["doc_id"].to_numpy()
             yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    named = texts_for(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ("doc_id",))
+    found = named.mapInPandas(run, "doc_id string, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return kinds_of(found, docs, {"doc_id": id_col})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ written table, until nothing changes.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and is
 linked like any other; with fewer words than a shingle the whole sequence is the shingle;
-rows that repeat an id share its class; documents with a null id get the class of
-their fingerprint's smallest id (null if there is none). An empty table gives an empty result.
+documents are linked by their fingerprints, so rows that repeat an id with another text may be in another class, and
+documents with a null id link like any other; a class is named by its smallest id (null if none has one). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import kinds_of, read_table, staged, texts_for
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -66,16 +66,15 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp) and the columns ``also``: the fingerprint as a signed long with the same bits."""
+    """(doc_id, fp) and the columns ``also`` (without nulls): the fingerprint as a signed long with the same bits."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((fingerprint_of(t, shingle) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64), **{c: b[c] for c in also}})
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *also).mapInPandas(
-        run, f"doc_id {kind}, fp long{kinds}")
+    named = texts_for(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *also), ("doc_id",))
+    return kinds_of(named.mapInPandas(run, f"doc_id string, fp long{kinds}"), docs, {"doc_id": id_col})
 
 
 def _syndrome_masks() -> list[int]:
@@ -199,12 +198,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     thin = staged(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
-    fps = staged(thin.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    joined = components(links(fps.filter("node IS NOT NULL"), max_bits, block))
-    classes = fps.join(joined, "node", "left").select(
-        "fp", F.coalesce("component", "node").alias("component_id"))
+    # nodes are fingerprints, whatever ids their documents have
+    fps = staged(thin.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "simhash-distinct")
+    joined = components(links(fps, max_bits, block))
+    classes = staged(fps.join(joined, "node", "left").select("fp", "least", F.coalesce("component", "fp").alias("class")), "simhash-members")
+    least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     # one row per fingerprint on the right, written; AQE can split a hot fingerprint on the left
-    return thin.join(staged(classes, "simhash-classes"), "fp").select(
+    named = staged(classes.join(staged(least, "simhash-least-ids"), "class").select("fp", "component_id"), "simhash-classes")
+    return thin.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -213,11 +214,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The documents, all columns, one of each class: the one with the smallest id (null ids last), then the smallest
     fingerprint, then the smallest hash of its text. Ids may be null or name several texts: classes are made of
     fingerprints, and a document is known by its id and its text's hash."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    # ids as text: pandas would turn long ids beside nulls into doubles
-    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    thin = staged(fingerprints(named, "id", "text", shingle, ("h",)).withColumn("doc_id", F.col("doc_id").cast(kind)),
-                  "simhash-fingerprints")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    thin = staged(fingerprints(named, "id", "text", shingle, ("h",)), "simhash-fingerprints")
     fps = staged(thin.select("fp").distinct().withColumn("node", F.col("fp")), "simhash-distinct")
     joined = components(links(fps, max_bits, block=BLOCK))
     classes = staged(fps.join(joined, "node", "left").select("fp", F.coalesce("component", "fp").alias("class")), "simhash-classes")
