@@ -14,8 +14,11 @@ oracle can recompute them.
 from __future__ import annotations
 
 import hashlib
+import queue
+import threading
 import time
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -34,9 +37,10 @@ SUMMARY_FAILED = "Failed to generate video summary."
 
 
 class FrameModel(Protocol):
-    """one answer per frame. ``describe`` gets a batch with ``pixels``, ``prompt`` and the
-    frame's keys and returns columns status (int), response (str), transient (bool) and, if the
-    model's server reports it, latency (seconds); otherwise the call is timed."""
+    """one answer per frame. ``describe`` gets a few frames (one, unless ``frames_per_call`` says otherwise) with
+    ``pixels``, ``prompt`` and the frames' keys and returns columns status (int), response (str), transient (bool) and,
+    if the model's server reports it, latency (seconds); otherwise the call is timed. It runs on a thread
+    of the Python worker: with ``calls_at_once`` above 1, or after a timeout, there are several threads, each with a model of its own."""
 
     def describe(self, batch: pd.DataFrame, attempt: int) -> pd.DataFrame: ...
 
@@ -100,6 +104,11 @@ def register_model(spec: str, factory) -> None:
     _FACTORIES[spec] = factory
 
 
+def new_model(spec):
+    """A model of its own for the caller: from a registered name, or a factory (class)."""
+    return (_FACTORIES[spec] if isinstance(spec, str) else spec)()
+
+
 def load_model(spec):
     """Load a model once per Python worker process and reuse it.
 
@@ -110,11 +119,73 @@ def load_model(spec):
     key = spec if isinstance(spec, str) else hashlib.sha256(cloudpickle.dumps(spec)).hexdigest()
     m = _MODELS.get(key)
     if m is None:
-        m = (_FACTORIES[spec] if isinstance(spec, str) else spec)()
-        _MODELS[key] = m
+        m = _MODELS[key] = new_model(spec)
     return m
 
 
+class _Caller:
+    """A thread with a model of its own that answers one call after another."""
+
+    def __init__(self, make: Callable[[], FrameModel], answers: queue.SimpleQueue):
+        self.jobs: queue.SimpleQueue = queue.SimpleQueue()
+        self.make, self.answers = make, answers
+        threading.Thread(target=self._work, daemon=True).start()
+
+    def _work(self) -> None:
+        model = None
+        while (job := self.jobs.get()) is not None:
+            number, batch, attempt = job
+            began = time.monotonic()
+            try:
+                if model is None:
+                    model = self.make()
+                out = pd.DataFrame(model.describe(batch, attempt))
+                if len(out) != len(batch):
+                    raise ValueError(f"{len(out)} answers for {len(batch)} frames")
+            except Exception as e:  # noqa: BLE001 - model errors become rows
+                out = e
+            self.answers.put((self, number, out, time.monotonic() - began))
+
+
+class CallPool:
+    """Calls of a model with a deadline each, a bounded number at once.
+
+    A call that has not answered after ``timeout_s`` is given up: its frames are timeouts, and a new thread with a new model
+    takes its place at once, so the other frames and the task go on. A thread cannot be stopped from outside; the one given up
+    holds its own frames and ends when its call does. Threads are kept from batch to batch; ``close`` ends those that wait."""
+
+    def __init__(self, make: Callable[[], FrameModel], at_once: int = 1):
+        self.make, self.at_once, self.idle = make, max(1, at_once), []
+        self.answers: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run(self, calls: list[pd.DataFrame], attempt: int, timeout_s: float) -> list[tuple[pd.DataFrame | Exception | None, float]]:
+        """For each call its answer, an exception, or None after the deadline; and its seconds."""
+        out: list = [(None, timeout_s)] * len(calls)
+        todo, busy = deque(range(len(calls))), {}
+        while todo or busy:
+            while todo and len(busy) < self.at_once:
+                caller = self.idle.pop() if self.idle else _Caller(self.make, self.answers)
+                busy[caller] = (todo[0], time.monotonic() + timeout_s)
+                caller.jobs.put((todo[0], calls[todo.popleft()], attempt))
+            try:
+                caller, number, answer, seconds = self.answers.get(timeout=max(0.0, min(d for _, d in busy.values()) - time.monotonic()))
+            except queue.Empty:
+                now = time.monotonic()
+                for caller in [c for c, (_, deadline) in busy.items() if deadline <= now]:
+                    del busy[caller]
+                    caller.jobs.put(None)
+                continue
+            if busy.get(caller, (None,))[0] == number:  # else one that was given up answers late
+                del busy[caller]
+                self.idle.append(caller)
+                out[number] = (answer, seconds)
+        return out
+
+    def close(self) -> None:
+        for caller in self.idle:
+            caller.jobs.put(None)
+
+
 DESCRIBE_SCHEMA = T.StructType([
     T.StructField("video_id", T.LongType()), T.StructField("sample_pos", T.LongType()),
     T.StructField("frame_idx", T.LongType()), T.StructField("success", T.BooleanType()),
@@ -129,112 +200,112 @@ def retry_wait(attempt: int) -> float:
     return float(min(WAIT_MAX_S, max(WAIT_MIN_S, 2.0 ** (attempt + 1))))
 
 
+def _whole(values: pd.Series) -> pd.Series:
+    """Whole numbers from text, null as null: pandas would turn longs beside nulls into doubles."""
+    return pd.Series(pd.array([None if v is None else int(v) for v in values], dtype="Int64"), index=values.index)
+
+
 def describe_frames(frames: DataFrame, model_spec: str = "stub-frame", model_name: str = "stub",
                     timeout_s: float = DEFAULT_TIMEOUT_S, sleep: bool = True,
-                    prompt: str | Column = "") -> DataFrame:
+                    prompt: str | Column = "", frames_per_call: int = 1, calls_at_once: int = 1) -> DataFrame:
     """I1 + I6 + I7 + F4: one analysis row per frame (frames need video_id, sample_pos,
-    frame_idx, pixels; ``ts`` is handed on as timestamp if there is one).
+    frame_idx, pixels; ``ts`` is handed on as timestamp if there is one). Any of the numbers may be null.
 
     ``prompt`` is a text for all frames or a column of ``frames``.
-    status 200 -> stripped response; other status -> 'HTTP <code>'; a call at
-    or over the timeout -> 'Timeout after <t> seconds' with processing_time =
-    timeout (the call's seconds over its frames, unless the model reports its own
-    latency); transient failures are retried up to 3 attempts (waits 4-10 s;
-    ``sleep=False`` skips them for models that have nothing to wait for); an exception
-    becomes 'Processing error: ...' with processing_time 0.
+    status 200 -> stripped response; other status -> 'HTTP <code>'. A call without an answer after ``timeout_s`` seconds is given
+    up (``CallPool``) -> 'Timeout after <t> seconds' with processing_time = timeout, and so is a frame whose model
+    reports that much latency; processing_time is else the call's seconds over its frames, unless the model reports its own.
+    Transient failures are retried up to 3 attempts (waits 4-10 s; ``sleep=False`` skips them for models that
+    have nothing to wait for); an exception becomes 'Processing error: ...' with processing_time 0 (a failing
+    call of several frames is repeated frame by frame, so that one bad frame is one error row).
     """
-    cols = frames.select(F.col("video_id").cast("long"), F.col("sample_pos").cast("long"),
-                         F.col("frame_idx").cast("long"), "pixels",
+    keys = ["video_id", "sample_pos", "frame_idx"]
+    cols = frames.select(*[F.col(c).cast("long").cast("string").alias(c) for c in keys], "pixels",
                          (prompt if isinstance(prompt, Column) else F.lit(prompt)).alias("prompt"),
                          (F.col("ts") if "ts" in frames.columns else F.lit(None)).cast("double").alias("timestamp"))
 
-    def call(model, batch: pd.DataFrame, attempt: int) -> pd.DataFrame:
-        began = time.monotonic()
-        out = pd.DataFrame(model.describe(batch, attempt))
-        spent = (time.monotonic() - began) / max(1, len(batch))
-        return out if "latency" in out else out.assign(latency=spent)
+    def answers(pool: CallPool, pdf: pd.DataFrame, idx: np.ndarray, attempt: int) -> dict[int, object]:
+        """Per frame: an answer (a row with latency), an exception, or None after the deadline."""
+        groups, out, again = [idx[k:k + frames_per_call] for k in range(0, len(idx), frames_per_call)], {}, []
+        for g, (got, seconds) in zip(groups, pool.run([pdf.iloc[g].reset_index(drop=True) for g in groups], attempt, timeout_s)):
+            if isinstance(got, Exception) and len(g) > 1:
+                again += list(g)
+            elif got is None or isinstance(got, Exception):
+                out.update({j: got for j in g})
+            else:
+                got = got if "latency" in got else got.assign(latency=seconds / len(g))
+                out.update({j: got.iloc[k] for k, j in enumerate(g)})
+        for j, (got, seconds) in zip(again, pool.run([pdf.iloc[[j]].reset_index(drop=True) for j in again], attempt, timeout_s)):
+            out[j] = got if got is None or isinstance(got, Exception) else (got if "latency" in got else got.assign(latency=seconds)).iloc[0]
+        return out
+
+    def row(got) -> tuple:
+        """(success, description, error, processing_time) of a frame's last answer."""
+        if isinstance(got, Exception):
+            return False, None, f"Processing error: {got}", 0.0
+        if got is None or float(got["latency"]) >= timeout_s:
+            return False, None, f"Timeout after {int(timeout_s)} seconds", float(timeout_s)
+        if int(got["status"]) == 200:
+            return True, str(got["response"]).strip(), None, round(float(got["latency"]), 2)
+        return False, None, f"HTTP {int(got['status'])}", round(float(got["latency"]), 2)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_model(model_spec)
+        pool = CallPool(lambda: new_model(model_spec), calls_at_once)
         for pdf in it:
-            n = len(pdf)
-            attempts = np.ones(n, dtype=np.int32)
-            pending = np.ones(n, dtype=bool)
-            result = {k: [None] * n for k in ("status", "response", "latency", "error")}
+            batch = pdf.assign(**{c: _whole(pdf[c]) for c in keys})
+            attempts, last = np.ones(len(pdf), dtype=np.int32), {}
+            pending = np.arange(len(pdf))
             for a in range(MAX_ATTEMPTS):
-                idx = np.nonzero(pending)[0]
-                if len(idx) == 0:
+                attempts[pending] = a + 1
+                last.update(answers(pool, batch, pending, a))
+                pending = np.array([j for j in pending if isinstance(last[j], pd.Series) and bool(last[j]["transient"])], dtype=int)
+                if not len(pending):
                     break
-                try:
-                    out = call(model, pdf.iloc[idx].reset_index(drop=True), a)
-                except Exception:  # noqa: BLE001 - frame by frame, so that one bad frame is one error row
-                    done = []
-                    for j in idx:
-                        try:
-                            done.append(call(model, pdf.iloc[[j]].reset_index(drop=True), a))
-                        except Exception as e:  # noqa: BLE001 - model errors become rows
-                            result["error"][j] = f"Processing error: {e}"
-                            pending[j] = False
-                    idx = idx[pending[idx]]
-                    if len(idx) == 0:
-                        continue
-                    out = pd.concat(done, ignore_index=True)
-                for pos, j in enumerate(idx):
-                    attempts[j] = a + 1
-                    if bool(out["transient"].iloc[pos]):
-                        if a + 1 < MAX_ATTEMPTS:
-                            continue
-                        result["error"][j] = f"Processing error: transient failure after {MAX_ATTEMPTS} attempts"
-                        pending[j] = False
-                        continue
-                    result["status"][j] = int(out["status"].iloc[pos])
-                    result["response"][j] = str(out["response"].iloc[pos])
-                    result["latency"][j] = float(out["latency"].iloc[pos])
-                    pending[j] = False
-                if pending.any() and sleep:
+                if sleep and a + 1 < MAX_ATTEMPTS:
                     time.sleep(retry_wait(a))
-            ok, desc, err, pt = [], [], [], []
-            for j in range(n):
-                if result["error"][j] is not None:
-                    ok.append(False), desc.append(None), err.append(result["error"][j]), pt.append(0.0)
-                elif result["latency"][j] is not None and result["latency"][j] >= timeout_s:
-                    ok.append(False), desc.append(None)
-                    err.append(f"Timeout after {int(timeout_s)} seconds"), pt.append(float(timeout_s))
-                elif result["status"][j] == 200:
-                    ok.append(True), desc.append(result["response"][j].strip()), err.append(None)
-                    pt.append(round(result["latency"][j], 2))
-                else:
-                    ok.append(False), desc.append(None), err.append(f"HTTP {result['status'][j]}")
-                    pt.append(round(result["latency"][j], 2))
+            last.update({j: RuntimeError(f"transient failure after {MAX_ATTEMPTS} attempts") for j in pending})
+            ok, desc, err, spent = zip(*[row(last[j]) for j in range(len(pdf))]) if len(pdf) else ((), (), (), ())
             yield pd.DataFrame({
                 "video_id": pdf["video_id"], "sample_pos": pdf["sample_pos"], "frame_idx": pdf["frame_idx"],
-                "success": ok, "description": desc, "error": err, "processing_time": pt,
-                "frame_description": [f"Frame {int(i) + 1}" for i in pdf["sample_pos"]],
+                "success": ok, "description": desc, "error": err, "processing_time": spent,
+                "frame_description": [None if i is None else f"Frame {int(i) + 1}" for i in pdf["sample_pos"]],
                 "model_used": model_name, "attempts": attempts, "timestamp": pdf["timestamp"]})
+        pool.close()
 
-    return cols.mapInPandas(run, DESCRIBE_SCHEMA)
+    text = T.StructType([T.StructField(f.name, T.StringType() if f.name in keys else f.dataType) for f in DESCRIBE_SCHEMA])
+    return cols.mapInPandas(run, text).withColumns({c: F.col(c).cast("long") for c in keys})
 
 
 GROUP_SCHEMA = ("video_id long, n_frames long, description string, confidence double, error string, objects array<string>, "
                 "actions array<string>, scene_context string, temporal_events array<string>, processing_time double")
 
 
-def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group",
-                          max_frames: int | None = None) -> DataFrame:
+# Bytes of pixels that one group call may get.
+MAX_GROUP_BYTES = 256 << 20
+
+
+def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group", max_frames: int | None = None,
+                          max_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
     """I2 (+ I4 error rows): all frames of a video, one prompt -> one answer.
 
     Every result has the fields of a full analysis; what the model does not answer, and all lists of
     a failed call, are empty. processing_time is the measured time of the call.
     A group is what one model call gets: sample the frames before. ``max_frames`` (P9)
-    keeps the first sample positions only, before grouping.
+    keeps the first sample positions only, before grouping. A video whose frames still hold over ``max_bytes`` levels is
+    never gathered: it gets an error row. Frames without a video id are a group of their own.
     """
     from framelake.operators.sampling import cap_frames
+    from framelake.plans.joins import materialize
     capped = (frames if max_frames is None else cap_frames(frames, max_frames)).select(
-        F.col("video_id").cast("long"), F.col("sample_pos").cast("long"), "pixels")
+        F.col("video_id").cast("long").cast("string").alias("video_id"), F.col("sample_pos").cast("long").cast("string").alias("sample_pos"), "pixels")
+    weights = capped.groupBy("video_id").agg(F.sum(F.size("pixels").cast("long")).alias("_bytes"), F.count(F.lit(1)).alias("n_frames"))
+    heavy = materialize(weights.filter(F.col("_bytes") > max_bytes), "heavy-groups")  # its written size decides how it is joined
+    light = capped.join(heavy.select(F.col("video_id").alias("_heavy")), F.col("video_id").eqNullSafe(F.col("_heavy")), "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         model = load_model(model_spec)
-        vid = int(pdf["video_id"].iloc[0])
+        vid = pdf["video_id"].iloc[0]
+        pdf = pdf.assign(video_id=_whole(pdf["video_id"]), sample_pos=_whole(pdf["sample_pos"]))
         pdf, began = pdf.sort_values("sample_pos"), time.monotonic()
         try:
             r = {"error": None, **model.analyze(pdf, prompt)}
@@ -246,7 +317,13 @@ def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group
             "scene_context": r.get("scene_context", ""), "temporal_events": list(r.get("temporal_events", ())),
             "processing_time": time.monotonic() - began}])
 
-    return capped.groupBy("video_id").applyInPandas(run, GROUP_SCHEMA)
+    answered = light.groupBy("video_id").applyInPandas(run, GROUP_SCHEMA.replace("video_id long", "video_id string"))
+    error = F.concat(F.col("_bytes").cast("string"), F.lit(f" levels of pixels are over the limit of {max_bytes}"))
+    none = F.array().cast("array<string>")
+    refused = heavy.select("video_id", "n_frames", F.concat(F.lit(ANALYSIS_FAILED), error).alias("description"), F.lit(0.0).alias("confidence"),
+                           error.alias("error"), none.alias("objects"), none.alias("actions"), F.lit("").alias("scene_context"),
+                           none.alias("temporal_events"), F.lit(0.0).alias("processing_time"))
+    return answered.unionByName(refused).withColumn("video_id", F.col("video_id").cast("long"))
 
 
 # Fixed value: the summary of a video without a successful frame.
@@ -260,13 +337,13 @@ def summarize_videos(texts: DataFrame, fallback: DataFrame, model_spec: str = "s
     'Failed to generate video summary.'; an exception -> the fallback summary
     (A3/A4) computed by Spark and joined in beforehand."""
     j = fallback.select("video_id", F.col("summary").alias("fallback")).join(
-        texts.select("video_id", "text"), "video_id", "left").select(F.col("video_id").cast("long"), "text", "fallback")
+        texts.select("video_id", "text"), "video_id", "left").select(F.col("video_id").cast("long").cast("string").alias("video_id"), "text", "fallback")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model(model_spec)
         for pdf in it:
             out, src = [], []
-            for vid, text, fb in zip(pdf["video_id"], pdf["text"], pdf["fallback"]):
+            for vid, text, fb in zip(_whole(pdf["video_id"]), pdf["text"], pdf["fallback"]):
                 if text is None:
                     out.append(NO_FRAMES), src.append("none")
                     continue
@@ -280,7 +357,7 @@ def summarize_videos(texts: DataFrame, fallback: DataFrame, model_spec: str = "s
                     out.append(fb), src.append("fallback")
             yield pd.DataFrame({"video_id": pdf["video_id"], "summary": out, "source": src})
 
-    return j.mapInPandas(run, SUMMARY_SCHEMA)
+    return j.mapInPandas(run, SUMMARY_SCHEMA.replace("video_id long", "video_id string")).withColumn("video_id", F.col("video_id").cast("long"))
 
 
 class FrameProcessor(Protocol):

@@ -4,8 +4,8 @@ All index rules are evaluated exactly as the reference writes them: doubles in
 the written order, then truncation.
 
 Plan shape. A sampler needs ``total_frames`` of the video, so frames are joined
-to the per-video size table (one row per video, broadcast behind a row-count
-check). Each frame then works out which sample positions ``i`` select it: the
+to the per-video size table (one row per video; the planner broadcasts it if its bytes
+are few). Each frame then works out which sample positions ``i`` select it: the
 index rules are monotone and close to linear in ``i``, so only a handful of
 candidates around ``idx / slope`` can hit a frame, and the exact rule is
 re-evaluated on each candidate. Selection is therefore a map-side
@@ -133,6 +133,52 @@ def sample_times(frames: DataFrame, sizes: DataFrame, n: int, fps: float) -> Dat
             .withColumn("t", t_of(F.col("sample_pos"))))
 
 
+# --- seeks on real timestamps ----------------------------------------------------
+
+def midpoint_time(n: int, i: Column, duration: Column) -> Column:
+    """t_i = (i + 0.5) * duration / N."""
+    return (i.cast("double") + 0.5) * duration / F.lit(float(n))
+
+
+def linspace_time(n: int, i: Column, duration: Column) -> Column:
+    """P4, time form: t_i = i * duration / (N - 1); N=1 -> 0."""
+    return i.cast("double") * duration / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)
+
+
+def seek_times(durations: DataFrame, n: int, rule: str = "midpoint") -> DataFrame:
+    """(video_id, sample_pos, t): the N seek times of every video (video_id, duration in seconds)."""
+    time = {"midpoint": midpoint_time, "linspace": linspace_time}[rule]
+    at = durations.select("video_id", "duration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("sample_pos")) \
+        if n > 0 else durations.select("video_id", "duration", F.lit(0).cast("long").alias("sample_pos")).limit(0)
+    return at.select("video_id", "sample_pos", time(n, F.col("sample_pos"), F.col("duration")).alias("t"))
+
+
+def seek_frames(seeks: DataFrame, frames: DataFrame) -> DataFrame:
+    """For each seek (video_id, sample_pos, t) the first frame (video_id, frame_idx, ts) of its video with ts >= t.
+
+    Frames may come at any rate: no range join, but one sort of seeks and frames together and the next frame
+    carried back to each seek (``ordered.next_match``). Only index and time are sorted; join other columns by (video_id,
+    frame_idx). Of frames with equal ts the smallest index is the first; a seek past the last frame, or with a null t, selects nothing.
+    """
+    none = F.lit(None)
+    frame = F.struct(F.col("frame_idx").cast("long").alias("frame_idx"), F.col("ts").cast("double").alias("ts"))
+    both = seeks.filter("t IS NOT NULL").select(
+        "video_id", F.col("t").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("sample_pos").cast("long").alias("n"),
+        none.cast("struct<frame_idx:bigint,ts:double>").alias("frame"))
+    both = both.unionByName(frames.filter("ts IS NOT NULL").select(
+        "video_id", F.col("ts").cast("double").alias("at"), F.lit(1).alias("kind"), F.col("frame_idx").cast("long").alias("n"), frame.alias("frame")))
+    met = ordered.next_match(both, ["video_id"], ["at", "kind", "n"], "frame", "hit")
+    return met.filter("kind = 0 AND hit IS NOT NULL").select(
+        "video_id", F.col("n").alias("sample_pos"), F.col("at").alias("t"), F.col("hit.frame_idx").alias("frame_idx"), F.col("hit.ts").alias("ts"))
+
+
+def sample_times_asof(frames: DataFrame, n: int, rule: str = "midpoint", durations: DataFrame | None = None) -> DataFrame:
+    """P3 / P4 + J6 on frames with real timestamps; durations default to the last timestamp of each video."""
+    if durations is None:
+        durations = frames.groupBy("video_id").agg(F.max("ts").alias("duration"))
+    return seek_frames(seek_times(durations, n, rule), frames)
+
+
 def frame_timestamps(pos: Column, fps: Column) -> Column:
     """P10: pos/fps if fps > 0 else pos."""
     return F.when(fps > 0, pos / fps).otherwise(pos.cast("double"))

@@ -95,6 +95,24 @@ hit AS (SELECT r.video_id, r.sample_pos, r.t, min(f.frame_idx) AS frame_idx
 SELECT h.video_id, h.sample_pos, {r6("h.t")} AS t, h.frame_idx, {r6("f.ts")} AS ts
 FROM hit h JOIN frames f ON f.video_id = h.video_id AND f.frame_idx = h.frame_idx"""
 
+TIMED = """
+timed AS (SELECT user_id AS video_id, event_id AS frame_idx,
+                 (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS ts FROM events),
+firsts AS (SELECT video_id, ts, min(frame_idx) AS frame_idx FROM timed GROUP BY video_id, ts),
+durations AS (SELECT video_id, max(ts) AS duration FROM timed GROUP BY video_id)"""
+
+
+def _seek_sql(time: str) -> str:
+    return f"""
+WITH {TIMED},
+req AS (SELECT d.video_id, p.i AS sample_pos, {time} AS t FROM durations d, {positions(q.TIMES_N)} p)
+SELECT r.video_id, r.sample_pos, r.t, f.frame_idx, f.ts
+FROM req r ASOF JOIN firsts f ON r.video_id IS NOT DISTINCT FROM f.video_id AND r.t <= f.ts"""
+
+
+SQL["frame_seek_times"] = _seek_sql(f"(p.i + 0.5) * d.duration / {q.TIMES_N}.0")
+SQL["frame_linspace_times"] = _seek_sql(f"p.i * d.duration / {q.TIMES_N - 1}.0")
+
 _KN = q.KEYFRAME_N
 SQL["frame_sample_keyframes"] = f"""
 WITH RECURSIVE {CFRAMES},
@@ -954,6 +972,17 @@ SELECT CAST(video_id AS BIGINT) AS video_id, sample_pos, frame_idx,
        CASE WHEN level % 11 = 0 THEN 2 ELSE 1 END AS attempts, frame_idx / 10.0::DOUBLE AS timestamp
 FROM sf"""
 
+SQL["describe_frames_prompt"] = f"""
+WITH {FRAMES},
+samp AS (SELECT s.video_id, p.i AS sample_pos,
+                CAST(trunc((CAST(p.i AS DOUBLE) / {q.UNIFORM_N - 1}) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
+         FROM sizes s, {positions(q.UNIFORM_N)} p)
+SELECT CAST(m.video_id AS BIGINT) AS video_id, m.sample_pos, m.frame_idx, m.sample_pos % 3 <> 2 AS success,
+       CASE WHEN m.sample_pos % 3 <> 2 THEN CAST(len(list_filter(f.pixels, lambda x: x > m.sample_pos * 20 + 30)) AS VARCHAR)
+            || ' of ' || CAST(len(f.pixels) AS VARCHAR) END AS description,
+       CASE WHEN m.sample_pos % 3 = 2 THEN 'HTTP 400' END AS error, 'level-counter' AS model_used, 1 AS attempts
+FROM samp m JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx"""
+
 SQL["describe_frame_groups"] = f"""
 WITH {FRAMES}, {UNIFORM_SAMPLE}
 SELECT CAST(video_id AS BIGINT) AS video_id, count(*) AS n_frames,

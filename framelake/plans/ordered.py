@@ -12,6 +12,8 @@ small per-segment table:
 * running min/max local running extreme combined with the extreme of all
                  earlier segments
 * previous row   the last row of each segment is copied into the next one
+* next match     the first matching row of later segments is handed back to
+                 rows with no match left in their own
 
 Each step is one shuffle of the data on ``(keys, segment)``; later steps on the
 same segments reuse that partitioning, so only the per-segment table (rows /
@@ -227,3 +229,25 @@ def global_positions(df: DataFrame, order: Sequence[str | Column], out: str = "p
     from framelake.plans.joins import materialize
     s = materialize(df.orderBy(*order).withColumn(SEG, F.spark_partition_id().cast("long")), "sorted")
     return dense_positions(s, [], order, out=out).drop(SEG)
+
+
+def next_match(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """The first non-null ``value`` at or after each row, within ``keys`` in ascending ``order`` (NULLs first).
+
+    A forward as-of join is this over the union of both sides. Rows are sorted globally, so a segment
+    is one range partition: bounded by the sort's sampling, whatever the gaps in the order and
+    however many rows a key has. A row without a match left in its segment takes the first one of later
+    segments, from a table with one row per key and range partition.
+    """
+    from framelake.plans.joins import materialize
+    keys = list(keys)
+    s = materialize(df.orderBy(*keys, *order).withColumn(SEG, F.spark_partition_id().cast("long")), "sorted")
+    # backwards, so that the frame only grows: the latest non-null value is the nearest one ahead
+    back = Window.partitionBy(*keys, SEG).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    local = s.withColumn("_here", F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v"))))
+    heads = s.groupBy(*keys, SEG).agg(first.alias("_head"))
+    later = Window.partitionBy(*keys).orderBy(F.col(SEG).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_ahead", F.last("_head", ignorenulls=True).over(later)).select(*keys, SEG, "_ahead")
+    return (null_safe_join(local, heads, keys + [SEG])
+            .withColumn(out, F.coalesce("_here", F.col("_ahead")["_v"])).drop("_here", "_ahead", SEG))

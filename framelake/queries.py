@@ -104,6 +104,20 @@ def frame_sample_times(spark, sf):
         r6(F.col("t")).alias("t"), "frame_idx", r6(F.col("ts")).alias("ts"))
 
 
+@query("frame_seek_times")
+def frame_seek_times(spark, sf):
+    """P3 + J6 on the uneven timestamps of ``events``: the first frame at or after each of 10 midpoints of its video."""
+    s = smp.sample_times_asof(tb.timed_frames(spark, sf), TIMES_N)
+    return s.select("video_id", "sample_pos", "t", "frame_idx", "ts")  # equal doubles: the same operations in the same order
+
+
+@query("frame_linspace_times")
+def frame_linspace_times(spark, sf):
+    """P4, time form, + J6: t_i = i * duration / (N - 1), from the first frame to the last."""
+    s = smp.sample_times_asof(tb.timed_frames(spark, sf), TIMES_N, "linspace")
+    return s.select("video_id", "sample_pos", "t", "frame_idx", "ts")  # equal doubles: the same operations in the same order
+
+
 @query("frame_sample_keyframes")
 def frame_sample_keyframes(spark, sf):
     frames = tb.frames_color(spark, sf)
@@ -724,6 +738,31 @@ def describe_frames_stub(spark, sf):
     return inf.describe_frames(s, timeout_s=300.0, sleep=False, prompt=pr.FRAME_PROMPT)
 
 
+class LevelCounter:
+    """A frame model that does what its prompt asks: 'over N' counts the pixel levels above N; other prompts are HTTP 400."""
+
+    def describe(self, batch, attempt):
+        import numpy as np
+        import pandas as pd
+        rows = []
+        for prompt, pixels in zip(batch["prompt"], batch["pixels"]):
+            word, _, number = prompt.partition(" ")
+            good = word == "over" and number.isdigit()
+            rows.append((200, f" {int((np.asarray(pixels) > int(number)).sum())} of {len(pixels)} ", False) if good else (400, "", False))
+        return pd.DataFrame(rows, columns=["status", "response", "transient"])
+
+
+@query("describe_frames_prompt")
+def describe_frames_prompt(spark, sf):
+    """F4 + I1: a prompt per frame that the answer depends on; every third sample position asks what the model refuses."""
+    from framelake.operators import inference as inf
+    s = tb.with_pixels(smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N), spark, sf)
+    asks = F.when(F.col("sample_pos") % 3 == 2, F.lit("describe it")).otherwise(
+        F.concat(F.lit("over "), (F.col("sample_pos") * 20 + 30).cast("string")))
+    d = inf.describe_frames(s, model_spec=LevelCounter, model_name="level-counter", prompt=asks, calls_at_once=2)
+    return d.select("video_id", "sample_pos", "frame_idx", "success", "description", "error", "model_used", "attempts")
+
+
 @query("describe_frame_groups")
 def describe_frame_groups(spark, sf):
     """All sampled frames of a video, one prompt, one answer."""

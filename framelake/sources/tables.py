@@ -121,6 +121,14 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "props")
 
 
+def timed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames at real, uneven times: video = user_id, frame_idx = event_id, ts = seconds since the video's first event."""
+    ev = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_idx"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = ev.groupBy("video_id").agg(F.min("us").alias("_first"))
+    return ordered.null_safe_join(ev, first, ["video_id"]).select("video_id", "frame_idx", ((F.col("us") - F.col("_first")) / F.lit(1e6)).alias("ts"))
+
+
 def long_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long descriptions: video = source, frame_idx = position by doc_id,
     description = text, success = the document is not labelled toxic."""

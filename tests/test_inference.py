@@ -96,3 +96,58 @@ def test_group_result_has_all_fields(spark):
     r = inf.describe_frame_groups(frames(spark), "p", model_spec=Full).first()
     assert (r.objects, r.actions, r.scene_context, r.temporal_events) == (["a"], ["b"], "c", ["d"])
     assert r.processing_time >= 0 and r.error is None
+
+
+def test_deadline_is_real(spark):
+    """A hanging call is one timeout row; its neighbours succeed and the task ends in time."""
+    import time
+
+    class Sleeper:
+        def describe(self, batch, attempt):
+            if batch["sample_pos"].iloc[0] in (1, 3):
+                time.sleep(600)
+            return pd.DataFrame({"status": 200, "response": [f"f{p}" for p in batch["sample_pos"]], "transient": False})
+
+    for at_once in (1, 3):
+        began = time.monotonic()
+        got = {r.sample_pos: r for r in inf.describe_frames(frames(spark).coalesce(1), model_spec=Sleeper, timeout_s=1.0, calls_at_once=at_once).collect()}
+        assert time.monotonic() - began < 30
+        assert {p: r.success for p, r in got.items()} == {0: True, 1: False, 2: True, 3: False, 4: True}
+        assert got[1].error == "Timeout after 1 seconds" and got[1].processing_time == 1.0 and got[1].attempts == 1
+        assert got[4].description == "f4" and got[4].processing_time < 1.0
+
+
+def test_long_call_is_not_shared_out(spark):
+    """A call of several frames has one deadline, and fails frame by frame."""
+    class Picky:
+        def describe(self, batch, attempt):
+            if (batch["sample_pos"] == 2).any():
+                raise ValueError("bad frame")
+            return pd.DataFrame({"status": 200, "response": "ok", "transient": False}, index=batch.index)
+    got = inf.describe_frames(frames(spark).coalesce(1), model_spec=Picky, frames_per_call=3).collect()
+    assert sorted((r.sample_pos, r.success, r.error) for r in got) == [
+        (p, p != 2, None if p != 2 else "Processing error: bad frame") for p in range(5)]
+
+
+def test_null_and_large_ids(spark):
+    rows = [(2**60 + 1, 0, 2**60 + 3, [1]), (None, 1, None, [2]), (2**60 + 3, None, 5, [3])]
+    df = spark.createDataFrame(rows, "video_id long, sample_pos long, frame_idx long, pixels array<int>").coalesce(1)
+
+    class Ok:
+        def describe(self, batch, attempt):
+            return pd.DataFrame({"status": 200, "response": [str(v) for v in batch["video_id"]], "transient": False})
+
+        def analyze(self, frames, prompt):
+            return {"description": str(len(frames)), "confidence": 1.0}
+    got = inf.describe_frames(df, model_spec=Ok).collect()
+    assert {(r.video_id, r.sample_pos, r.frame_idx) for r in got} == {r[:3] for r in rows}
+    assert {r.description for r in got} == {str(2**60 + 1), "<NA>", str(2**60 + 3)}
+    groups = inf.describe_frame_groups(df, "p", model_spec=Ok).collect()
+    assert {(r.video_id, r.n_frames, r.error) for r in groups} == {(2**60 + 1, 1, None), (None, 1, None), (2**60 + 3, 1, None)}
+
+
+def test_heavy_groups_are_refused(spark):
+    rows = [(1, p, p, [0] * 100) for p in range(5)] + [(2, 0, 0, [0] * 10)]
+    df = spark.createDataFrame(rows, "video_id long, sample_pos long, frame_idx long, pixels array<int>")
+    got = {r.video_id: r for r in inf.describe_frame_groups(df, "p", max_bytes=400).collect()}
+    assert got[1].n_frames == 5 and got[1].error == "500 levels of pixels are over the limit of 400" and got[2].error is None

@@ -85,3 +85,35 @@ def test_keyframe_fill_stops_at_end(spark):
     k = smp.sample_keyframes(f, s, 4, 2).orderBy("sample_pos").collect()
     # no changes; step = 10 div 4 = 2 -> 0, 2, 4, 6
     assert [r.frame_idx for r in k] == [0, 2, 4, 6]
+
+
+def plain_seeks(seeks, frames):
+    out = []
+    for v, i, t in seeks:
+        ahead = sorted((ts, k) for w, k, ts in frames if w == v and t is not None and ts is not None and ts >= t)
+        if ahead:
+            out.append((v, i, t, ahead[0][1], ahead[0][0]))
+    return sorted(out, key=str)
+
+
+def test_seek_at_real_times(spark):
+    """Uneven gaps, equal times, frames without a video, a hot video over many partitions, seeks past the end."""
+    import random
+    rnd = random.Random(1)
+    frames = [(v, k, round(rnd.expovariate(1) * 10 ** rnd.randint(-2, 2), 3)) for v in (1, 2, None) for k in range(30)]
+    frames += [(3, k, float(k // 7)) for k in range(3000)] + [(4, 0, None), (5, 7, 0.0)]
+    seeks = [(v, i, rnd.random() * 60) for v in (1, 2, None, 9) for i in range(20)]
+    seeks += [(3, i, i * 9.5) for i in range(60)] + [(3, 100, 428.0), (3, 101, 428.01), (4, 0, 0.0), (5, 0, 0.0), (5, 1, 0.1), (1, 50, None)]
+    f = spark.createDataFrame(frames, "video_id long, frame_idx long, ts double").repartition(5)
+    s = spark.createDataFrame(seeks, "video_id long, sample_pos long, t double")
+    got = sorted(map(tuple, smp.seek_frames(s, f).select("video_id", "sample_pos", "t", "frame_idx", "ts").collect()), key=str)
+    assert got == plain_seeks(seeks, frames)
+    assert smp.seek_frames(s, f.limit(0)).collect() == [] and smp.seek_frames(s.limit(0), f).collect() == []
+
+
+def test_linspace_times(spark):
+    f = spark.createDataFrame([(1, k, t) for k, t in enumerate([0.0, 0.5, 2.0, 2.1, 9.0])], "video_id long, frame_idx long, ts double")
+    got = sorted((r.sample_pos, r.t, r.frame_idx) for r in smp.sample_times_asof(f, 4, "linspace").collect())
+    assert got == [(0, 0.0, 0), (1, 3.0, 4), (2, 6.0, 4), (3, 9.0, 4)]
+    assert [(r.sample_pos, r.t, r.frame_idx) for r in smp.sample_times_asof(f, 1, "linspace").collect()] == [(0, 0.0, 0)]
+    assert smp.sample_times_asof(f, 0).collect() == []
