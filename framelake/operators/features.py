@@ -4,8 +4,8 @@ Frame tables here carry small pixel arrays (``pixels array<int>``, BGR
 interleaved for colour). Per-frame features are higher-order SQL functions
 evaluated inside the row (JVM side); nothing is
 exploded to one row per pixel. Frame-to-frame differences use the segmented
-previous-row helper, so a long video is never one window partition. Real
-decoded frames use the Arrow kernels in ``framelake.functions.images``.
+previous-row helper, so a long video is never one window partition. Histograms, and
+decoded frames, use the Arrow kernels in ``framelake.functions.images``.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions import images
 from framelake.operators.sampling import gray_of
 from framelake.plans import ordered
 
 # Fixed values from the reference's feature code.
-HIST_BINS = 32                  # bins on [0, 256) per channel
-HIST_WIDTH = 256 // HIST_BINS   # 8 levels per bin
 FEATURE_FALLBACK = [0.5, 0.2, 0.3, 0.4, 0.35, 0.2, 0.5, 0.5]
 FRAME_COUNT_NORM = 32.0
 VALUE_LIMIT = 100.0             # |x| > 100 counts as extreme
@@ -66,39 +65,23 @@ def with_motion(frames: DataFrame, pos: str = "frame_idx", channels: int = 1) ->
             .drop("_gray", "prev_gray"))
 
 
-def channel_codes(pixels: Column) -> Column:
-    """channel * 32 + (level div 8) for every element of a BGR-interleaved array."""
-    return F.transform(pixels, lambda x, k: (k % 3) * HIST_BINS + (x / HIST_WIDTH).cast("int"))
-
-
-def entropy_of_codes(codes: Column, n_px: Column) -> Column:
-    """-sum p*log2(p) over code counts; ``codes`` must be a column reference
-    (computed once) so the lambda does not recompute it."""
-    counts = F.transform(F.array_distinct(codes), lambda d: F.size(F.filter(codes, lambda x: x == d)))
-    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - (c / n_px) * F.log2(c / n_px))
-
-
-def with_color_entropy(frames: DataFrame, out: str = "entropy") -> DataFrame:
+def with_color_entropy(frames: DataFrame, out: str = "entropy", image: str = "pixels") -> DataFrame:
     """-sum p*log2(p) over the 32-bin histograms of the 3 channels,
-    p = count / (rows*cols)."""
-    f = frames.withColumn("_codes", channel_codes(F.col("pixels")))
-    return f.withColumn(out, entropy_of_codes(F.col("_codes"), (F.size("pixels") / 3).cast("double"))).drop("_codes")
+    p = count / (rows*cols); ``image`` is a column of BGR levels or an image struct."""
+    f = images.with_level_counts(frames, image, "_counts")
+    return f.withColumn(out, images.entropy_of_counts(F.col("_counts"))).drop("_counts")
 
 
-def channel_histogram(frames: DataFrame) -> DataFrame:
+def channel_histogram(frames: DataFrame, image: str = "pixels") -> DataFrame:
     """(video_id, frame_idx, channel, bin, count) with count > 0.
 
-    Histograms are counted inside the row (one entry per non-empty bin), then
-    exploded: at most 96 rows per frame, never one row per pixel.
+    Levels are counted in one pass inside the row, then the bins are exploded: at most 32 rows per
+    frame and channel, never one row per pixel.
     """
-    f = frames.select("video_id", "frame_idx", channel_codes(F.col("pixels")).alias("_codes"))
-    hist = F.transform(F.array_distinct("_codes"),
-                       lambda d: F.struct(d.alias("code"), F.size(F.filter("_codes", lambda x: x == d)).alias("n")))
-    return (f.select("video_id", "frame_idx", F.explode(hist).alias("h"))
-            .select("video_id", "frame_idx",
-                    (F.col("h.code") / HIST_BINS).cast("int").alias("channel"),
-                    (F.col("h.code") % HIST_BINS).cast("int").alias("bin"),
-                    F.col("h.n").cast("long").alias("count")))
+    f = images.with_level_counts(frames.select("video_id", "frame_idx", image), image, "_counts")
+    return (f.select("video_id", "frame_idx", F.posexplode("_counts").alias("code", "count")).filter("count > 0")
+            .select("video_id", "frame_idx", F.expr(f"CAST(code div {images.HIST_BINS} AS INT)").alias("channel"),
+                    (F.col("code") % images.HIST_BINS).alias("bin"), "count"))
 
 
 def video_features(per_frame: DataFrame) -> DataFrame:

@@ -209,33 +209,57 @@ SELECT video_id, frame_idx, CAST(code // 32 AS INTEGER) AS channel, CAST(code %
        CAST(n AS BIGINT) AS count
 FROM cnt"""
 
-# Edge density per frame: needs RECURSIVE, cframes.
+# Edge density per frame in whole numbers: needs RECURSIVE, cframes.
+GRAY8 = "(({b} * 3735 + {g} * 19235 + {r} * 9798 + 16384) >> 15)"
 CANNY = f"""
 cell AS (SELECT y, x FROM range(0, 2) a(y), range(0, 11) b(x)),
-gray AS (SELECT vec_id, y, x, 0.299::DOUBLE * pixels[(y * 11 + x) * 3 + 3] + 0.587::DOUBLE * pixels[(y * 11 + x) * 3 + 2]
-                + 0.114::DOUBLE * pixels[(y * 11 + x) * 3 + 1] AS g FROM cframes, cell),
+gray AS (SELECT vec_id, y, x, {GRAY8.format(b="CAST(pixels[(y * 11 + x) * 3 + 1] AS BIGINT)", g="pixels[(y * 11 + x) * 3 + 2]",
+                                            r="pixels[(y * 11 + x) * 3 + 3]")} AS g FROM cframes, cell),
 rows3 AS (SELECT vec_id, y, list(g ORDER BY x) AS l FROM gray GROUP BY vec_id, y),
 imgs AS (SELECT vec_id, list(l ORDER BY y) AS i FROM rows3 GROUP BY vec_id),
 nb AS (SELECT vec_id, y, x, i[greatest(y, 1)] AS u, i[y + 1] AS m, i[least(y + 2, 2)] AS d,
               greatest(x, 1) AS w, x + 1 AS o, least(x + 2, 11) AS e FROM imgs, cell),
 sob AS (SELECT vec_id, y, x, (u[e] + 2 * m[e] + d[e]) - (u[w] + 2 * m[w] + d[w]) AS gx,
                (d[w] + 2 * d[o] + d[e]) - (u[w] + 2 * u[o] + u[e]) AS gy FROM nb),
-mag AS (SELECT *, abs(gx) + abs(gy) AS mg, (degrees(atan2(gy, gx)) + 180) % 180 AS ang FROM sob),
-dirs AS (SELECT *, CASE WHEN ang < 22.5 OR ang >= 157.5 THEN 0 WHEN ang < 67.5 THEN 1 WHEN ang < 112.5 THEN 1 ELSE -1 END AS dy,
-                CASE WHEN ang < 22.5 OR ang >= 157.5 THEN 1 WHEN ang < 67.5 THEN 1 WHEN ang < 112.5 THEN 0 ELSE 1 END AS dx FROM mag),
+mag AS (SELECT *, abs(gx) + abs(gy) AS mg, abs(gy) * 32768 AS rise, abs(gx) * 13573 AS flat FROM sob),
+dirs AS (SELECT *, CASE WHEN rise < flat THEN 0 ELSE 1 END AS dy,
+                CASE WHEN rise < flat THEN 1 WHEN rise > flat + abs(gx) * 65536 THEN 0 WHEN (gx < 0) <> (gy < 0) THEN -1 ELSE 1 END AS dx FROM mag),
 peak AS (SELECT a.vec_id, a.y, a.x, a.mg FROM dirs a
-         LEFT JOIN mag p ON p.vec_id = a.vec_id
-              AND p.y = a.y - (CASE WHEN a.dy = -1 THEN 1 ELSE a.dy END)
-              AND p.x = a.x - (CASE WHEN a.dy = -1 THEN -1 ELSE a.dx END)
-         LEFT JOIN mag q ON q.vec_id = a.vec_id
-              AND q.y = a.y + (CASE WHEN a.dy = -1 THEN 1 ELSE a.dy END)
-              AND q.x = a.x + (CASE WHEN a.dy = -1 THEN -1 ELSE a.dx END)
-         WHERE a.mg > coalesce(p.mg, 0) AND a.mg >= coalesce(q.mg, 0) AND a.mg > {CANNY_LOW}),
+         LEFT JOIN mag p ON p.vec_id = a.vec_id AND p.y = a.y - a.dy AND p.x = a.x - a.dx
+         LEFT JOIN mag q ON q.vec_id = a.vec_id AND q.y = a.y + a.dy AND q.x = a.x + a.dx
+         WHERE a.mg > coalesce(p.mg, 0) AND a.mg > {CANNY_LOW}
+           AND (a.mg > coalesce(q.mg, 0) OR a.mg = coalesce(q.mg, 0) AND NOT (a.dy = 1 AND a.dx <> 0))),
 edge AS (SELECT vec_id, y, x FROM peak WHERE mg > {CANNY_HIGH}
          UNION
          SELECT k.vec_id, k.y, k.x FROM edge e JOIN peak k ON k.vec_id = e.vec_id AND abs(k.y - e.y) <= 1 AND abs(k.x - e.x) <= 1),
 dens AS (SELECT vec_id, count(*) / 22.0 AS edge_density FROM edge GROUP BY vec_id)"""
 
+
+def places(axis: str, size: int, out: int) -> str:
+    """Source places and 11-bit weights of every output place along x (beyond the outer centres the edge alone) or y."""
+    beyond = f"low < 0 OR low >= {size - 1}" if axis == "x" else "false"
+    return f"""
+{axis}s AS (
+  SELECT {axis}, least(greatest(low, 0), {size - 1}) AS {axis}0, least(greatest({"least(greatest(low, 0), %d)" % (size - 1) if axis == "x" else "low"} + 1, 0), {size - 1}) AS {axis}1,
+         CAST(round_even((1 - part) * 2048, 0) AS BIGINT) AS {axis}a, CAST(round_even(part * 2048, 0) AS BIGINT) AS {axis}b
+  FROM (SELECT {axis}, low, CASE WHEN {beyond} THEN 0.0 ELSE pt - low END AS part
+        FROM (SELECT {axis}, pt, CAST(floor(pt) AS BIGINT) AS low
+              FROM (SELECT {axis}, ({axis} + 0.5) * ({size}.0 / {out}) - 0.5 AS pt FROM range(0, {out}) t({axis})))))"""
+
+
+def down(top: str, bottom: str) -> str:
+    """The level of two intermediate sums."""
+    return f"((({top} * ya) >> 16) + (({bottom} * yb) >> 16) + 2) >> 2"
+
+
+def across(row: str, px: str = "f.pixels") -> str:
+    return f"(({px}[({row} * 11 + x0) * 3 + c + 1] * xa + {px}[({row} * 11 + x1) * 3 + c + 1] * xb) >> 4)"
+
+
+RESIZED = f"""{places("y", 2, 6)},{places("x", 11, 14)},
+px AS (SELECT f.video_id, f.frame_idx, f.vec_id, y, x, c, {down(across("y0"), across("y1"))} AS v
+       FROM cframes f, ys, xs, range(0, 3) t3(c))"""
+
 SQL["frame_features_color"] = f"""
 WITH RECURSIVE {CFRAMES}, {HIST}, {CANNY},
 samp AS (
@@ -1156,21 +1180,9 @@ SELECT vec_id, list(b ORDER BY i) AS bits, list(back ORDER BY i) AS back,
        CAST(count(*) FILTER (WHERE big) AS INTEGER) AS clamped_count
 FROM z GROUP BY vec_id"""
 
-# Bilinear resize with half-pixel centres, rounded half to even (numpy rint).
+# Bilinear resize with half-pixel centres, in whole numbers.
 SQL["image_resize"] = f"""
-WITH {CFRAMES},
-grid AS (SELECT y, x, c FROM range(0, 6) t1(y), range(0, 14) t2(x), range(0, 3) t3(c)),
-m AS (SELECT y, x, c,
-             least(greatest((y + 0.5) * (2.0 / 6) - 0.5, 0.0), 1.0) AS ys,
-             least(greatest((x + 0.5) * (11.0 / 14) - 0.5, 0.0), 10.0) AS xs FROM grid),
-m2 AS (SELECT *, CAST(floor(ys) AS INTEGER) AS y0, CAST(floor(xs) AS INTEGER) AS x0 FROM m),
-m3 AS (SELECT *, least(y0 + 1, 1) AS y1, least(x0 + 1, 10) AS x1, ys - y0 AS fy, xs - x0 AS fx FROM m2),
-px AS (
-  SELECT f.video_id, f.frame_idx, m3.c,
-         round_even(
-           (f.pixels[(m3.y0 * 11 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y0 * 11 + m3.x1) * 3 + m3.c + 1] * m3.fx) * (1 - m3.fy)
-         + (f.pixels[(m3.y1 * 11 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y1 * 11 + m3.x1) * 3 + m3.c + 1] * m3.fx) * m3.fy, 0) AS v
-  FROM cframes f, m3)
+WITH {CFRAMES}, {RESIZED}
 SELECT video_id, frame_idx, 6 AS out_height, 14 AS out_width,
        {r6("sum(CAST(CAST(v AS FLOAT) * CAST(1.0 / 255.0 AS FLOAT) AS DOUBLE))")} AS rgb_norm_sum,
        max(v) > 0 AS content_ok
@@ -1178,49 +1190,54 @@ FROM px GROUP BY video_id, frame_idx"""
 
 # 16 uniform frames, bilinear resize to 336 x 336 from 2 x 11, channels R, G, B; levels before the division
 # by 255. Columns and rows are interpolated from few distinct positions, so the grid is one row per output pixel.
-SQL["pixel_tensor"] = f"""
-WITH {CFRAMES},
+TENSOR = f"""
 samp AS (
   SELECT s.video_id, p.i AS pos, CAST(trunc((CAST(p.i AS DOUBLE) / 15) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
-  FROM sizes s, {positions(16)} p),
-n AS (SELECT video_id, count(*) AS n FROM samp GROUP BY 1),
-ys AS (SELECT y, CAST(floor(p) AS INTEGER) AS y0, least(CAST(floor(p) AS INTEGER) + 1, 1) AS y1, p - floor(p) AS fy
-       FROM (SELECT y, least(greatest((y + 0.5) * (2.0 / 336) - 0.5, 0.0), 1.0) AS p FROM range(0, 336) t(y))),
-xs AS (SELECT x, CAST(floor(p) AS INTEGER) AS x0, least(CAST(floor(p) AS INTEGER) + 1, 10) AS x1, p - floor(p) AS fx
-       FROM (SELECT x, least(greatest((x + 0.5) * (11.0 / 336) - 0.5, 0.0), 10.0) AS p FROM range(0, 336) t(x))),
+  FROM sizes s, {positions(16)} p),{places("y", 2, 336)},{places("x", 11, 336)},
 cols AS (
-  SELECT f.video_id, s.pos, c.c, x, r.r, f.pixels[(r.r * 11 + x0) * 3 + 3 - c.c] * (1 - fx)
-         + f.pixels[(r.r * 11 + x1) * 3 + 3 - c.c] * fx AS v
-  FROM samp s JOIN cframes f ON f.video_id = s.video_id AND f.frame_idx = s.frame_idx, xs, range(0, 3) c(c), range(0, 2) r(r)),
-px AS (
-  SELECT a.video_id, a.pos, a.c, y, a.x, CAST(round_even(a.v * (1 - fy) + (CASE WHEN y1 = y0 THEN a.v ELSE b.v END) * fy, 0) AS BIGINT) AS v
-  FROM ys JOIN cols a ON a.r = y0 JOIN cols b ON b.video_id = a.video_id AND b.pos = a.pos AND b.c = a.c AND b.x = a.x AND b.r = 1)
+  SELECT f.video_id, s.pos, 2 - c AS c, x, {across("0")} AS top, {across("1")} AS bottom
+  FROM samp s JOIN cframes f ON f.video_id = s.video_id AND f.frame_idx = s.frame_idx, xs, range(0, 3) c(c)),
+px AS (SELECT video_id, pos, c, y, x, CAST({down("(CASE y0 WHEN 0 THEN top ELSE bottom END)", "(CASE y1 WHEN 0 THEN top ELSE bottom END)")} AS BIGINT) AS v
+       FROM ys, cols)"""
+
+SQL["pixel_tensor"] = f"""
+WITH {CFRAMES}, {TENSOR},
+n AS (SELECT video_id, count(*) AS n FROM samp GROUP BY 1)
 SELECT video_id, CAST(any_value(n.n) AS INTEGER) AS n_frames, CAST([1, any_value(n.n), 3, 336, 336] AS INTEGER[]) AS shape,
        CAST(sum(v) AS BIGINT) AS level_sum,
        CAST(sum(v * ((pos + 1) * 7 + (c + 1) * 5 + (y + 1) * 3 + x + 1)) AS BIGINT) AS placed_sum,
        count(*) FILTER (WHERE v > 0) AS nonzero
 FROM px JOIN n USING (video_id) GROUP BY video_id"""
 
+SQL["pixel_blocks"] = f"""
+WITH {CFRAMES}, {TENSOR}
+SELECT video_id, pos AS sample_pos, CAST(c AS INTEGER) AS channel, CAST(4 * count(*) AS INTEGER) AS n_bytes,
+       CAST(sum(v) AS BIGINT) AS level_sum, CAST(sum(v * ((pos + 1) * 7 + (c + 1) * 5 + (y + 1) * 3 + x + 1)) AS BIGINT) AS placed_sum,
+       count(*) FILTER (WHERE v > 0) AS nonzero,
+       list(CAST(v AS INTEGER) ORDER BY y, x) FILTER (WHERE (y * 336 + x) % {q.BLOCK_STEP} = 0) AS levels
+FROM px GROUP BY video_id, pos, c"""
+
 # Sobel with repeated borders, suppression along the gradient, hysteresis as reachability over weak pixels;
 # with the resize of image_resize, its levels weighted by RGB channel, row and column.
 SQL["image_preprocess"] = f"""
 WITH RECURSIVE {CFRAMES},
-{CANNY},
-grid AS (SELECT y, x, c FROM range(0, 6) t1(y), range(0, 14) t2(x), range(0, 3) t3(c)),
-m AS (SELECT y, x, c,
-             least(greatest((y + 0.5) * (2.0 / 6) - 0.5, 0.0), 1.0) AS ys,
-             least(greatest((x + 0.5) * (11.0 / 14) - 0.5, 0.0), 10.0) AS xs FROM grid),
-m2 AS (SELECT *, CAST(floor(ys) AS INTEGER) AS y0, CAST(floor(xs) AS INTEGER) AS x0 FROM m),
-m3 AS (SELECT *, least(y0 + 1, 1) AS y1, least(x0 + 1, 10) AS x1, ys - y0 AS fy, xs - x0 AS fx FROM m2),
-px AS (
-  SELECT f.video_id, f.frame_idx, f.vec_id, m3.y, m3.x, m3.c,
-         round_even(
-           (f.pixels[(m3.y0 * 11 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y0 * 11 + m3.x1) * 3 + m3.c + 1] * m3.fx) * (1 - m3.fy)
-         + (f.pixels[(m3.y1 * 11 + m3.x0) * 3 + m3.c + 1] * (1 - m3.fx) + f.pixels[(m3.y1 * 11 + m3.x1) * 3 + m3.c + 1] * m3.fx) * m3.fy, 0) AS v
-  FROM cframes f, m3)
+{CANNY}, {RESIZED}
 SELECT video_id, frame_idx, 6 AS out_height, 14 AS out_width,
        {r6("sum(CAST(CAST(v AS FLOAT) * CAST(1.0 / 255.0 AS FLOAT) AS DOUBLE))")} AS rgb_norm_sum,
        CAST(sum(CAST(v AS BIGINT) * ((3 - c) * 5 + (y + 1) * 3 + x + 1)) AS BIGINT) AS placed_sum,
        {r6("any_value(coalesce(edge_density, 0.0))")} AS edge_density,
        max(v) > 0 AS content_ok
 FROM px LEFT JOIN dens USING (vec_id) GROUP BY video_id, frame_idx"""
+
+SQL["image_histogram"] = f"""
+WITH {CFRAMES}, {HIST}
+SELECT video_id, frame_idx, CAST(code // 32 AS INTEGER) AS channel, CAST(code % 32 AS INTEGER) AS bin, CAST(n AS BIGINT) AS count,
+       {r6("entropy")} AS entropy
+FROM cnt JOIN ent USING (video_id, frame_idx)"""
+
+SQL["frame_gray_fixed"] = f"""
+WITH {CFRAMES}
+SELECT video_id, frame_idx, CAST(list_sum(g) AS BIGINT) AS gray_sum, {r6("list_sum(g) / 22.0")} AS gray_mean,
+       CAST(list_max(g) AS BIGINT) AS gray_max
+FROM (SELECT video_id, frame_idx, list_transform(range(0, 22), lambda j: {GRAY8.format(
+    b="CAST(pixels[3*j+1] AS BIGINT)", g="pixels[3*j+2]", r="pixels[3*j+3]")}) AS g FROM cframes)"""

@@ -839,6 +839,43 @@ def pixel_tensor(spark, sf):
     return t.select("video_id", "n_frames", "shape", "level_sum", "placed_sum", "nonzero")
 
 
+BLOCK_STEP = 9973  # every so many values of a block are shown
+
+
+@query("pixel_blocks")
+def pixel_blocks(spark, sf):
+    """N11 as data: a block per (video, frame, channel) of the uniform 16-frame sample; its size, checksums and some of its values."""
+    from framelake.functions import images as im
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), 16)
+    s = tb.with_pixels(s.drop("height", "width", "channels"), spark, sf, color=True)
+    b = im.pixel_blocks(s.withColumn("image", im.image_struct(F.col("pixels"), F.lit(tb.COLOR_H), F.lit(tb.COLOR_W), F.lit(3))))
+    places = list(range(0, im.TENSOR_SIDE ** 2, BLOCK_STEP))
+    return b.select("video_id", "sample_pos", "channel", F.octet_length("block").alias("n_bytes"), "level_sum", "placed_sum", "nonzero",
+                    im.block_values(F.col("block"), places).alias("levels"))
+
+
+@query("image_histogram")
+def image_histogram(spark, sf):
+    """A15 + A16 on image structs: non-empty (channel, bin) counts in one pass over the bytes, and the frame's entropy."""
+    from framelake.functions import images as im
+    f = im.with_level_counts(_image_frames(spark, sf).drop("pixels"))
+    f = f.select("video_id", "frame_idx", r6(im.entropy_of_counts(F.col("counts"))).alias("entropy"), F.posexplode("counts").alias("code", "count"))
+    return f.filter("count > 0").select("video_id", "frame_idx", F.expr(f"CAST(code div {im.HIST_BINS} AS INT)").alias("channel"),
+                                        (F.col("code") % im.HIST_BINS).alias("bin"), "count", "entropy")
+
+
+@query("frame_gray_fixed")
+def frame_gray_fixed(spark, sf):
+    """N15 in 8-bit arithmetic: sum, mean and highest of the rounded gray levels of a colour frame."""
+    from framelake.functions import images as im
+    px = F.col("pixels")
+    g = F.transform(F.sequence(F.lit(0), F.lit(tb.COLOR_PIXELS - 1)), lambda j: im.gray_level(*[F.get(px, j * 3 + k) for k in range(3)]))
+    f = tb.frames_color(spark, sf).select("video_id", "frame_idx", g.alias("g"))
+    total = feat.arr_sum(F.col("g"))
+    return f.select("video_id", "frame_idx", total.alias("gray_sum"), r6(total / F.lit(float(tb.COLOR_PIXELS))).alias("gray_mean"),
+                    F.array_max("g").cast("long").alias("gray_max"))
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 STREAM_CHUNK = 3
