@@ -105,27 +105,33 @@ def byte_fallback_ids(word: Column, char_map: Column) -> Column:
         .otherwise(F.array_repeat(F.lit(UNKNOWN_BYTE_ID).cast("long"), F.octet_length(ch)))))
 
 
+def _row_number(key: str) -> Column:
+    """A row's key together with a number of its own."""
+    return F.struct(F.monotonically_increasing_id().alias("n"), F.col(key).alias("key")).alias("_row")
+
+
 def tokenize(texts: DataFrame, vocab: DataFrame, key: str, text_col: str = "text",
              add_special: bool = True, out: str = "input_ids") -> DataFrame:
     """T1 + J2: ``encode(text)`` for every row; returns (key, out array<bigint>).
 
     Whole-word vocabulary hit -> its id; else the per-character fallback; BOS is
-    prepended only to a non-empty result when ``add_special``.
+    prepended only to a non-empty result when ``add_special``. Keys may repeat or be NULL: words are regrouped by a
+    number that every row gets before it is cut up.
     """
-    # whole texts are exchanged once, by key; exploded words stay with their text through a broadcast lookup and the
+    # whole texts are exchanged once, by row; exploded words stay with their text through a broadcast lookup and the
     # regrouping. outer explode: a text without words keeps one row (NULL word), so no second pass brings it back
-    w = texts.select(key, text_col).repartition(key).select(
-        key, F.posexplode_outer(words(F.col(text_col))).alias("wpos", "word"))
+    w = texts.select(_row_number(key), text_col).repartition("_row").select(
+        "_row", F.posexplode_outer(words(F.col(text_col))).alias("wpos", "word"))
     cmap = single_char_map(vocab)
     vocab_w = vocab.select(F.col("token").alias("word"), F.col("id").cast("long").alias("_word_id"))
     placed = w.join(vocab_w, "word", "left").select(
-        key, "wpos", F.when(F.col("word").isNull(), F.array().cast("array<bigint>"))
+        "_row", "wpos", F.when(F.col("word").isNull(), F.array().cast("array<bigint>"))
         .when(F.col("_word_id").isNotNull(), F.array("_word_id")).otherwise(byte_fallback_ids(F.col("word"), cmap)).alias("ids"))
-    grouped = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("wpos", "ids"))).alias("_parts"))
+    grouped = placed.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("wpos", "ids"))).alias("_parts"))
     ids = F.flatten(F.transform("_parts", lambda p: p["ids"]))
     if add_special:
         ids = F.when(F.size(ids) > 0, F.concat(F.array(F.lit(BOS_ID).cast("long")), ids)).otherwise(ids)
-    return grouped.select(key, ids.alias(out))
+    return grouped.select(F.col("_row.key").alias(key), ids.alias(out))
 
 
 def tokenize_fallback(text: Column) -> Column:
@@ -216,22 +222,24 @@ def detokenize(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "inpu
     collapsed: leading spaces dropped, runs become one, one trailing kept.
     Reverse lookup is a join of the exploded ids with the reverse vocabulary
     (broadcast by the planner when its bytes are few; a frequent id is split by AQE otherwise).
+    Keys may repeat or be NULL, as in ``tokenize``.
     """
-    # outer explode keeps texts without ids; ``carry`` columns ride along so the
+    # arrays are exchanged once, by row. outer explode keeps texts without ids; ``carry`` columns ride along so the
     # caller does not need a second pass over ``rows``
-    ex = rows.select(key, *carry, F.posexplode_outer(F.col(ids_col)).alias("ipos", "tid"))
+    ex = rows.select(_row_number(key), *carry, ids_col).repartition("_row").select(
+        "_row", *carry, F.posexplode_outer(F.col(ids_col)).alias("ipos", "tid"))
     if skip_special:
         ex = ex.withColumn("tid", F.when(~is_special(F.col("tid")), F.col("tid")))
     rev = vocab.groupBy("id").agg(F.min("token").alias("token")).select(F.col("id").alias("tid"), "token")
     placed = ex.join(rev, "tid", "left").select(
-        key, *carry, "ipos",
+        "_row", *carry, "ipos",
         F.when(F.col("tid").isNotNull(), F.coalesce(
             F.col("token"), F.try_element_at(special_text_map(), F.col("tid")),
             F.when((F.col("tid") >= 0) & (F.col("tid") < KNOWN_ID_LIMIT),
                    F.concat(F.lit("["), F.col("tid").cast("string"), F.lit("]")))
             .otherwise(F.lit(UNK_TEXT)))).alias("piece"),
         F.col("token").isNotNull().alias("from_vocab"))
-    grouped = placed.groupBy(key).agg(
+    grouped = placed.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("ipos", "piece", "from_vocab"))).alias("_p"),
         *[F.first(c).alias(c) for c in carry])
     # NULL pieces (skipped specials, texts without ids) stay in the array: both
@@ -243,11 +251,11 @@ def detokenize(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "inpu
     # it), and decoding stays linear in the text length.
     bpe = lambda p: p["from_vocab"] & F.startswith(p["piece"], F.lit(BPE_SPACE))
     writes = F.transform("_p", lambda p: F.when(bpe(p), F.length(p["piece"]) > 1).otherwise(F.length(p["piece"]) > 0))
-    parts = parts.select(key, *carry, "_p", F.coalesce(F.array_position(writes, True), F.lit(0)).alias("_first"))
+    parts = parts.select("_row", *carry, "_p", F.coalesce(F.array_position(writes, True), F.lit(0)).alias("_first"))
     first = F.col("_first")   # 1-based, 0 = nothing written
     rendered = F.transform("_p", lambda p, i: F.when(
         bpe(p), F.concat(F.when((first > 0) & (i + 1 > first), F.lit(" ")).otherwise(F.lit("")),
                          F.substring(p["piece"], 2, 1 << 30))).otherwise(p["piece"]))
     raw = F.array_join(rendered, "")
     cleaned = F.regexp_replace(F.regexp_replace(raw, "^ +", ""), " +", " ")
-    return parts.select(key, cleaned.alias(out), *carry)
+    return parts.select(F.col("_row.key").alias(key), cleaned.alias(out), *carry)

@@ -181,6 +181,17 @@ def video_rollup(df: DataFrame, requested: DataFrame | None = None) -> DataFrame
         cpu_summary_text().alias("summary"))
 
 
+def frame_details(df: DataFrame, part_frames: int = OBSERVATION_PART_FRAMES) -> DataFrame:
+    """A1's frame details, in order: (video_id, part, first_frame, n_frames, details) with the details of ``part_frames``
+    consecutive frames as one array, so that no row grows with its video. A detail has what a frame's result
+    has: success, timestamp, description or error, processing_time, the frame's label and its model."""
+    detail = F.struct(F.col("frame_idx"), F.coalesce(F.col("success"), F.lit(False)).alias("success"), F.col("timestamp"), F.col("description"), F.col("error"),
+                      F.col("processing_time"), F.concat(F.lit("Frame "), (F.col("frame_idx") + 1).cast("string")).alias("frame_description"),
+                      F.col("model_used"))
+    return df.groupBy("video_id", F.expr(f"frame_idx div {part_frames}").alias("part")).agg(
+        F.min("frame_idx").alias("first_frame"), F.count(F.lit(1)).alias("n_frames"), F.sort_array(F.collect_list(detail)).alias("details"))
+
+
 def batch_stats(results: DataFrame) -> DataFrame:
     """A6 + A7 + A8 over per-video results (success, total_processing_time).
 
@@ -216,8 +227,9 @@ def throughput(frames: Column, elapsed: Column, videos: Column) -> tuple[Column,
     return F.try_divide(frames, elapsed), F.try_divide(elapsed, videos)
 
 
-def latency_profile(df: DataFrame, by: str = "model_used", approx: bool = False) -> DataFrame:
-    """Average, P95, P99 of frame time, success rate and frames per second.
+def latency_profile(df: DataFrame, by: str = "model_used", approx: bool = False, memory: str | None = None) -> DataFrame:
+    """Average, P95, P99 of frame time, success rate, frames per second, and with ``memory`` (a column of bytes in use)
+    its peak.
 
     Exact: rows are counted per distinct value first (map-side), the counts are range-partitioned by
     (key, value), and a value's rank is the prefix within its partition plus the totals of
@@ -225,15 +237,18 @@ def latency_profile(df: DataFrame, by: str = "model_used", approx: bool = False)
     there are. ``approx=True`` uses ``percentile_approx`` in one aggregation instead.
     """
     ok = F.coalesce(F.col("success"), F.lit(False))
+    used = F.max(memory if memory else F.lit(None).cast("long"))
+    peak = ["peak_memory"] if memory else []
     if approx:
         a = df.groupBy(by).agg(
             F.count(F.lit(1)).alias("frames"), F.avg("processing_time").alias("avg_time"),
             F.percentile_approx("processing_time", [0.95, 0.99], 10000).alias("_p"),
-            F.avg(ok.cast("double")).alias("success_rate"), F.sum("processing_time").alias("_total"))
+            F.avg(ok.cast("double")).alias("success_rate"), F.sum("processing_time").alias("_total"),
+            used.alias("peak_memory"))
         return a.select(by, "frames", "avg_time", F.col("_p")[0].alias("p95_time"), F.col("_p")[1].alias("p99_time"),
-                        "success_rate", F.try_divide(F.col("frames"), F.col("_total")).alias("frames_per_sec"))
+                        "success_rate", F.try_divide(F.col("frames"), F.col("_total")).alias("frames_per_sec"), *peak)
     t = F.col("processing_time")
-    counted = df.groupBy(by, t.alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum(ok.cast("long")).alias("_ok"))
+    counted = df.groupBy(by, t.alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.sum(ok.cast("long")).alias("_ok"), used.alias("_mem"))
     # written with their partition's id: ranks and totals below must see the same ids
     placed = materialize(counted.withColumn("_m", F.when(F.col("_t").isNotNull(), F.col("_n")).otherwise(0))
                          .repartitionByRange(by, "_t").withColumn(ordered.SEG, F.spark_partition_id().cast("long")), "latency")
@@ -242,7 +257,7 @@ def latency_profile(df: DataFrame, by: str = "model_used", approx: bool = False)
     offsets = ordered.segment_prefix(segs, [by], "_seg_m", "_off").select(by, ordered.SEG, "_off")
     totals = placed.groupBy(by).agg(
         F.sum("_n").alias("frames"), F.sum("_m").alias("_all"), F.sum(F.col("_t") * F.col("_n")).alias("_total"),
-        (F.sum("_ok") / F.sum("_n")).alias("success_rate"))
+        (F.sum("_ok") / F.sum("_n")).alias("success_rate"), F.max("_mem").alias("peak_memory"))
     ranked = ordered.null_safe_join(placed.withColumn("_c", F.sum("_m").over(upto)), offsets, [by, ordered.SEG])
     ranked = ordered.null_safe_join(ranked.select(by, "_t", (F.col("_off") + F.col("_c")).alias("_hi"), "_m"), totals, [by])
 
@@ -254,8 +269,8 @@ def latency_profile(df: DataFrame, by: str = "model_used", approx: bool = False)
         part = F.first(rank - F.floor(rank))
         return at(F.floor(rank)) * (1 - part) + at(F.ceil(rank)) * part
 
-    names = ["frames", "_all", "_total", "success_rate"]
+    names = ["frames", "_all", "_total", "success_rate", "peak_memory"]
     a = ranked.groupBy(by).agg(percentile(0.95).alias("p95_time"), percentile(0.99).alias("p99_time"),
                                *[F.first(c).alias(c) for c in names])
     return a.select(by, "frames", F.try_divide("_total", "_all").alias("avg_time"), "p95_time", "p99_time", "success_rate",
-                    F.try_divide("frames", "_total").alias("frames_per_sec"))
+                    F.try_divide("frames", "_total").alias("frames_per_sec"), *peak)

@@ -1241,3 +1241,85 @@ SELECT video_id, frame_idx, CAST(list_sum(g) AS BIGINT) AS gray_sum, {r6("list_s
        CAST(list_max(g) AS BIGINT) AS gray_max
 FROM (SELECT video_id, frame_idx, list_transform(range(0, 22), lambda j: {GRAY8.format(
     b="CAST(pixels[3*j+1] AS BIGINT)", g="pixels[3*j+2]", r="pixels[3*j+3]")}) AS g FROM cframes)"""
+
+SQL["stream_image_chunks"] = f"""
+WITH {CFRAMES}, {RESIZED},
+cells AS (SELECT video_id, frame_idx, y, x, max(v) FILTER (WHERE c = 0) AS b, max(v) FILTER (WHERE c = 1) AS g, max(v) FILTER (WHERE c = 2) AS r
+          FROM px GROUP BY ALL),
+per AS (SELECT video_id, frame_idx, avg({GRAY8.format(b="b", g="g", r="r")}) AS bright, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM cells GROUP BY ALL)
+SELECT CAST(video_id AS BIGINT) AS video_id, frame_idx // 3 AS chunk, count(*) AS n_frames, min(frame_idx) AS first_idx, max(frame_idx) AS last_idx,
+       {r6("avg(bright)")} AS brightness, count(*) < 3 AS final,
+       CAST(CAST(sum(r) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(sum(g) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(sum(b) AS BIGINT) AS VARCHAR) AS result,
+       CAST(0 AS BIGINT) AS late_frames
+FROM per GROUP BY video_id, frame_idx // 3"""
+
+SQL["frame_files_sample"] = f"""
+WITH {CFRAMES},
+samp AS (SELECT s.video_id, p.i AS sample_pos,
+                CAST(trunc((CAST(p.i AS DOUBLE) / {q.UNIFORM_N - 1}) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
+         FROM sizes s, {positions(q.UNIFORM_N)} p)
+SELECT m.video_id, m.sample_pos, m.frame_idx, CAST(126 AS BIGINT) AS bytes, 2 AS height, 11 AS width, 3 AS channels, f.pixels
+FROM samp m JOIN cframes f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx"""
+
+SQL["frame_source_filter"] = f"""
+WITH {CFRAMES}
+SELECT CAST(video_id AS VARCHAR) AS video_id, frame_idx, 2 AS height, 11 AS width, 3 AS channels,
+       sha256(unhex(array_to_string(list_transform(pixels, lambda x: printf('%02x', x)), ''))) AS data_sha256
+FROM cframes WHERE video_id IN (1, 3, 4, 7) AND frame_idx >= 2 AND frame_idx < 12"""
+
+SQL["missing_frame_files"] = f"""
+WITH {FRAMES},
+asked AS (SELECT video_id, total_frames, unnest(generate_series(greatest(total_frames - 3, 0), total_frames + 1)) AS frame_idx FROM sizes)
+SELECT video_id, CAST(frame_idx AS BIGINT) AS frame_idx, frame_idx < total_frames AS found,
+       CAST(video_id AS VARCHAR) || '/frame_' || CAST(total_frames - 1 AS VARCHAR) AS best
+FROM asked"""
+
+SQL["frame_sample_sql"] = SQL["frame_sample_uniform"]
+
+SQL["video_rollup_requested"] = f"""
+WITH {ANALYSES}
+SELECT coalesce(a.video_id, c.c_custkey) AS video_id, coalesce(bool_or(a.success), false) AS success, count(*) FILTER (WHERE a.success) AS frames_analyzed,
+       count(a.video_id) AS total_frames_extracted, round(sum(a.processing_time), 2) AS total_processing_time,
+       arg_min(a.model_used, a.frame_idx) AS model_used,
+       CASE WHEN count(a.video_id) = 0 THEN 'No frames could be extracted from video' END AS error
+FROM analyses a FULL JOIN (SELECT DISTINCT c_custkey FROM customer) c ON a.video_id = c.c_custkey GROUP BY 1"""
+
+SQL["video_frame_details"] = f"""
+WITH {ANALYSES}
+SELECT video_id, frame_idx // 16 AS part, min(frame_idx) AS first_frame, count(*) AS n_frames,
+       list(concat_ws('|', CAST(frame_idx AS VARCHAR), CAST(success AS VARCHAR), coalesce(description, error),
+                      'Frame ' || CAST(frame_idx + 1 AS VARCHAR), model_used) ORDER BY frame_idx) AS details
+FROM analyses GROUP BY video_id, frame_idx // 16"""
+
+SQL["latency_memory"] = f"""
+WITH {ANALYSES}
+SELECT a.model_used, count(*) AS frames, {r6("quantile_cont(a.processing_time, 0.95)")} AS p95_time,
+       max(CAST(json_extract_string(e.props, '$.k') AS BIGINT) * 1024) AS peak_memory
+FROM analyses a JOIN events e ON e.event_id = a.event_id GROUP BY a.model_used"""
+
+SQL["frame_features_fallback"] = f"""
+WITH {FRAMES},
+samp AS (SELECT s.video_id, p.i AS sample_pos,
+                CAST(trunc((CAST(p.i AS DOUBLE) / {q.UNIFORM_N - 1}) * (s.total_frames - 1)) AS BIGINT) AS frame_idx
+         FROM sizes s, {positions(q.UNIFORM_N)} p WHERE s.video_id % 2 = 0 OR p.i = 0),
+sf AS (SELECT m.video_id, m.sample_pos, f.pixels, lag(f.pixels) OVER (PARTITION BY m.video_id ORDER BY m.sample_pos) AS prev
+       FROM samp m JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = m.frame_idx),
+per AS (SELECT video_id, list_sum(pixels) / len(pixels) AS brightness,
+               CASE WHEN prev IS NULL THEN 0.0 ELSE list_sum(list_transform(pixels, lambda x, k: abs(x - prev[k]))) / len(pixels) END AS motion FROM sf),
+agg AS (SELECT video_id, count(*) AS n, sum(brightness) / (count(*) * 255.0) AS b,
+               CASE WHEN count(*) > 1 THEN sum(motion) / ((count(*) - 1) * 255.0) END AS m FROM per GROUP BY video_id)
+SELECT video_id, CAST(n AS BIGINT) AS n_frames,
+       CASE WHEN m IS NULL THEN [0.5::DOUBLE, 0.2, 0.3, 0.4, 0.35, 0.2, 0.5, 0.5]
+            ELSE list_transform([b, m, 0.0, 0.0, 0.0, m, b, n / 32.0], lambda x: {r6("x")}) END AS features
+FROM agg"""
+
+SQL["batch_document"] = f"""
+WITH {RESULTS},
+d AS (SELECT path, arg_max(model_used, seq) AS m, arg_max(confidence, seq) AS c, arg_max(processing_time, seq) AS t FROM results GROUP BY path),
+lines AS (
+  SELECT 1 AS place, path, '  ' || to_json(path) || ': ' || to_json(struct_pack(
+           actions := CAST([] AS VARCHAR[]), confidence_score := round(c, 6), description := m, objects := [m],
+           processing_time_ms := CAST(trunc(t * 1000) AS BIGINT), scene_context := 'scene', temporal_events := CAST([] AS VARCHAR[])))
+           || CASE WHEN path = (SELECT max(path) FROM d) THEN '' ELSE ',' END AS text FROM d
+  UNION ALL SELECT 0, NULL, '{{' UNION ALL SELECT 2, NULL, '}}')
+SELECT CAST(row_number() OVER (ORDER BY place, path) - 1 AS BIGINT) AS line_no, text FROM lines"""

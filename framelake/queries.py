@@ -111,6 +111,16 @@ def frame_seek_times(spark, sf):
     return s.select("video_id", "sample_pos", "t", "frame_idx", "ts")  # equal doubles: the same operations in the same order
 
 
+@query("frame_sample_sql")
+def frame_sample_sql(spark, sf):
+    """the uniform sampler as a table function, from SQL."""
+    from framelake.functions import table_functions
+    table_functions.register(spark)
+    frames = tb.frame_index(spark, sf).join(tb.frame_sizes(spark, sf), "video_id").select("video_id", "frame_idx", "ts", "total_frames")
+    picked = spark.sql("SELECT * FROM sample_frames(TABLE({frames}), {n}, 'uniform')", frames=frames, n=UNIFORM_N)
+    return _sampled(picked)
+
+
 @query("frame_linspace_times")
 def frame_linspace_times(spark, sf):
     """P4, time form, + J6: t_i = i * duration / (N - 1), from the first frame to the last."""
@@ -153,6 +163,17 @@ def frame_features_color(spark, sf):
                     F.transform(feat.feature_fallback(F.col("features")), lambda x: r6(x)).alias("features"))
 
 
+@query("frame_features_fallback")
+def frame_features_fallback(spark, sf):
+    """A18 acting: of videos with odd ids one frame is sampled, so that their motion is undefined and the fixed vector stands in."""
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), UNIFORM_N)
+    s = s.filter((F.col("video_id") % 2 == 0) | (F.col("sample_pos") == 0))
+    s = tb.with_pixels(s, spark, sf)
+    v = feat.video_features(feat.with_motion(s.withColumn("brightness", feat.brightness(F.col("pixels"))), pos="sample_pos"))
+    return v.select("video_id", F.col("n_frames").cast("long").alias("n_frames"),
+                    F.transform(feat.feature_fallback(F.col("features")), lambda x: r6(x)).alias("features"))
+
+
 @query("frame_chunks")
 def frame_chunks(spark, sf):
     """Chunks of 3 consecutive frames per video, last partial kept."""
@@ -252,6 +273,24 @@ def video_rollup(spark, sf):
     return rollups.video_rollup(tb.analyses(spark, sf))
 
 
+@query("video_rollup_requested")
+def video_rollup_requested(spark, sf):
+    """A1 with a request list: every customer is asked for; those without an event get the no-frames error row."""
+    from framelake.operators import rollups
+    asked = tb.read(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"))
+    done = rollups.video_rollup(tb.analyses(spark, sf), asked)
+    return done.select("video_id", "success", "frames_analyzed", "total_frames_extracted", "total_processing_time", "model_used", "error")
+
+
+@query("video_frame_details")
+def video_frame_details(spark, sf):
+    """A1's ordered frame details, in parts of 16 frames here."""
+    from framelake.operators import rollups
+    d = rollups.frame_details(tb.analyses(spark, sf), 16)
+    return d.select("video_id", "part", "first_frame", "n_frames", F.transform("details", lambda x: F.concat_ws(
+        "|", x["frame_idx"].cast("string"), x["success"].cast("string"), F.coalesce(x["description"], x["error"]), x["frame_description"], x["model_used"])).alias("details"))
+
+
 @query("batch_stats")
 def batch_stats(spark, sf):
     from framelake.operators import rollups
@@ -293,6 +332,15 @@ def latency_profile(spark, sf):
                     ("avg_time", "p95_time", "p99_time", "success_rate", "frames_per_sec")])
 
 
+@query("latency_memory")
+def latency_memory(spark, sf):
+    """A11 with peak memory: the bytes in use are those of the ledger's event."""
+    from framelake.operators import rollups
+    a = tb.analyses(spark, sf).withColumn("used", F.get_json_object("props", "$.k").cast("long") * 1024)
+    p = rollups.latency_profile(a, memory="used")
+    return p.select("model_used", "frames", r6(F.col("p95_time")).alias("p95_time"), "peak_memory")
+
+
 @query("observation_text")
 def observation_text(spark, sf):
     from framelake.operators import rollups
@@ -366,7 +414,7 @@ def tokenize_fallback(spark, sf):
 
 @query("token_padding")
 def token_padding(spark, sf):
-    """T3-T7 over page urls and conversation texts: padding, truncation, byte encodings."""
+    """T3-T7 over conversation texts: padding, truncation, byte encodings."""
     from framelake.functions import tokens as tk
     c = tb.read(spark, sf, "conversations").select(
         "conv_id", "turn", "text", tk.tokenize_fallback(F.col("text")).alias("_fb"),
@@ -377,9 +425,8 @@ def token_padding(spark, sf):
         tk.pad_or_truncate(fb, 1024, tk.SPACE_ID).alias("padded_1024"),
         F.size(tk.truncate_tokens(fb, tk.QWEN_MAX_TOKENS)).alias("n_2048"),
         F.size(tk.truncate_tokens(b, tk.LLAMA_MAX_TOKENS)).alias("n_4096"),
-        tk.pad_min(F.transform(b, lambda x: F.when((x >= 32) & (x <= 126), x).otherwise(F.lit(32).cast("long"))),
-                   16, 32).alias("ascii_16"),
-        tk.pad_or_truncate(b, 512, 0).alias("bytes_512"),
+        tk.ascii_padded(F.col("text")).alias("ascii_16"),
+        tk.prompt_bytes_512(F.col("text")).alias("bytes_512"),
         F.size(b).alias("n_bytes"),
         F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes_sum"))
 
@@ -707,7 +754,7 @@ def config_overlay(spark, sf):
           .when(et == "signup", F.concat(F.lit('{"vocab_size": '), k, F.lit(', "image_token_id": '), k, F.lit(
               ', "vision_end_token_id": 7, "vision_token_id": 8}')))
           .otherwise(F.lit("not json")))
-    return ev.select("event_id", rq.overlay_config(js, CONFIG_DEFAULTS).alias("c")).select("event_id", "c.*")
+    return rq.overlay_configs(ev.select("event_id", js.alias("js")), F.col("js"), CONFIG_DEFAULTS).select("event_id", "config.*")
 
 
 @query("vocab_json")
@@ -907,6 +954,68 @@ def stream_chunks(spark, sf):
         "final", "result", "late_frames")
 
 
+def _frame_files(spark, sf, name):
+    """The colour frames of ``embeddings`` as BMP files in a fresh shared folder."""
+    from framelake.session import ensure_checkpoint_dir
+    from framelake.sources import frame_files as ff
+    from framelake.streaming import chunks as ch
+    root = ch.new_work_dir(ensure_checkpoint_dir(spark), name) + "/frames"
+    ff.write_frames(tb.frames_color(spark, sf), root)
+    return root
+
+
+def rgb_sums(video_id, chunk, frames):
+    """An analysis of real frames: the sums of their red, green and blue levels."""
+    return " ".join(str(sum(int(f[..., c].sum()) for f in frames)) for c in range(3))
+
+
+@query("stream_image_chunks")
+def stream_image_chunks(spark, sf):
+    """K1-K4 on image files: read as a stream, decoded, resized to 6 x 14, RGB, chunked by 3 per video, analysed."""
+    from framelake.sources import frame_files as ff
+    from framelake.streaming import chunks as ch
+    root = _frame_files(spark, sf, "stream_image_chunks")
+    sizes = ff.list_frames(spark, root).groupBy("video_id").agg(F.count(F.lit(1)).alias("total_frames"))
+    chunks = ch.stream_image_chunks(ch.image_stream(spark, root, 6, 14), sizes, STREAM_CHUNK, 6, 14, rgb_sums)
+    out = ch.write_available_now(chunks, root.removesuffix("/frames"))
+    return spark.read.schema(ch.CHUNK_SCHEMA).parquet(out).select(
+        "video_id", "chunk", "n_frames", "first_idx", "last_idx", r6(F.col("brightness")).alias("brightness"), "final", "result", "late_frames")
+
+
+@query("frame_files_sample")
+def frame_files_sample(spark, sf):
+    """S1 + S2 + P1 + P7: frames as image files; listed, sampled by name, and only the picked files opened."""
+    from framelake.sources import frame_files as ff
+    listed = ff.list_frames(spark, _frame_files(spark, sf, "frame_files"))
+    picks = smp.sample_uniform(listed, tb.video_sizes(listed), UNIFORM_N)
+    f = ff.fetch_frames(picks.select(F.col("video_id").cast("int").alias("video_id"), F.col("sample_pos").cast("long"), "frame_idx", "bytes", "path"))
+    levels = F.transform(F.regexp_extract_all(F.hex("data"), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    return f.select("video_id", "sample_pos", "frame_idx", "bytes", "height", "width", "channels", levels.alias("pixels"))
+
+
+@query("frame_source_filter")
+def frame_source_filter(spark, sf):
+    """S2 through the Python data source, with filters on video and frame index pushed into its planning."""
+    from framelake.sources import frame_files as ff
+    f = ff.read_frame_source(spark, _frame_files(spark, sf, "frame_source"), unreadable="fail")
+    f = f.filter(F.col("video_id").isin("1", "3", "4", "7") & (F.col("frame_idx") >= 2) & (F.col("frame_idx") < 12) & (F.col("height") > 1))
+    return f.select("video_id", "frame_idx", "height", "width", "channels", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query("missing_frame_files")
+def missing_frame_files(spark, sf):
+    """S19 + J5 + P13 against a file listing: which requested frames have a file, and the best one of each video that has
+    (the highest index asked for). Two frames more than there are are requested of every video."""
+    from framelake.sources import frame_files as ff, requests as rq
+    root = _frame_files(spark, sf, "missing_frames")
+    asked = tb.frame_sizes(spark, sf).select("video_id", F.explode(F.sequence(
+        F.greatest(F.col("total_frames") - 3, F.lit(0)).cast("long"), F.col("total_frames").cast("long") + 1)).alias("frame_idx"))
+    found = ff.existing(asked, spark, root)
+    name = F.concat(F.col("video_id").cast("string"), F.lit("/frame_"), F.col("frame_idx").cast("string")).alias("path")
+    best = rq.first_available(found.select("video_id", name, (-F.col("frame_idx")).alias("priority")), found.filter("found").select(name), "video_id")
+    return found.join(best, "video_id").select("video_id", "frame_idx", "found", F.col("chosen").alias("best"))
+
+
 @query("stream_callback")
 def stream_callback(spark, sf):
     """The chunks of every micro-batch go to a callback, which writes them; per video the chunks and frames."""
@@ -973,6 +1082,21 @@ def batch_json(spark, sf):
         (F.col("processing_time") * 1000).cast("long").alias("processing_time_ms")))
 
 
+@query("batch_document")
+def batch_document(spark, sf):
+    """S8 + O2: the batch's one JSON object, keyed and sorted by path: its lines, numbered in their order."""
+    from framelake.operators import rollups
+    from framelake.plans import ordered
+    from framelake.sources import json_io
+    d = rollups.dedupe_results(tb.results(spark, sf))
+    none = F.array().cast("array<string>")
+    lines = json_io.batch_document(d.select(
+        "path", F.col("model_used").alias("description"), F.array("model_used").alias("objects"), none.alias("actions"),
+        F.lit("scene").alias("scene_context"), none.alias("temporal_events"), F.round("confidence", 6).alias("confidence_score"),
+        (F.col("processing_time") * 1000).cast("long").alias("processing_time_ms")))
+    return ordered.global_positions(lines, ["place", "path"], out="line_no").select("line_no", "text")
+
+
 @query("keyframe_frames")
 def keyframe_frames(spark, sf):
     """P8 ('keyframe') -> P7/J1 ordered fetch of the picked colour frames."""

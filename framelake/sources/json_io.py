@@ -125,6 +125,31 @@ def batch_json(df: DataFrame) -> DataFrame:
                                 "confidence_score", "processing_time_ms"))).alias("json")).orderBy("path")
 
 
+def batch_document(df: DataFrame) -> DataFrame:
+    """S8 as the one object that it is: (place, path, text), the lines of a JSON document keyed and sorted by path (in byte order).
+
+    Which path is the last one is known from one maximum, so every line is made where its row is. ``write_document`` writes
+    them; without rows the document is ``null``. Paths are keys: remove repeats first (``rollups.dedupe_results``).
+    """
+    last = df.agg(F.max("path").alias("_last"))
+    value = F.to_json(F.struct("actions", "confidence_score", "description", "objects", "processing_time_ms", "scene_context", "temporal_events"))
+    key = F.to_json(F.array("path"))
+    lines = df.join(F.broadcast(last), F.lit(True)).select(  # one row
+        F.lit(1).alias("place"), "path", F.concat(F.lit("  "), F.substring(key, F.lit(2), F.length(key) - 2), F.lit(": "), value,
+                                                  F.when(F.col("path") < F.col("_last"), ",").otherwise("")).alias("text"))
+    none = F.lit(None).cast("string").alias("path")
+    some = F.col("_last").isNotNull()
+    head = last.select(F.lit(0).alias("place"), none, F.when(some, "{").otherwise("null").alias("text"))
+    tail = last.filter(some).select(F.lit(2).alias("place"), none, F.lit("}").alias("text"))
+    return lines.unionByName(head).unionByName(tail)
+
+
+def write_document(lines: DataFrame, path: str, order: tuple[str, ...] = ("place", "path")) -> None:
+    """Ordered text over many part files: sorted by ranges, one file a range. The parts, put together in the order of their
+    names, are the document."""
+    lines.orderBy(*order).select("text").write.mode("overwrite").text(path)
+
+
 def read_results_json(js: Column) -> Column:
     """Result JSON with per-key defaults; successful frame descriptions.
     Malformed text -> defaults with error 'JSON parsing error'."""
@@ -237,8 +262,13 @@ def py_json(**cols: Column) -> Column:
 
 # --- text report ------------------------------------------------------------------
 
-# Fixed value: the report's title block.
+# The report's title block and its labels.
 REPORT_TITLE = "GPU-Accelerated Video Analysis Batch Report\n============================================\n\n"
+REPORT_ITEM = "Video "
+REPORT_OK, REPORT_TIME, REPORT_METHOD, REPORT_SUMMARY = "Status: SUCCESS\nFrames: ", "\nTime: ", "s\nMethod: ", "\nSummary: "
+REPORT_FAILED = "Status: FAILED\nError: "
+REPORT_RULE = "\n" + "-" * 50 + "\n"
+REPORT_TOTALS = ["SUMMARY\n=======\nTotal videos: ", "\nSuccessful: ", "\nFailed: ", "\nTotal processing time: ", "s\nAverage per video: ", "s\n"]
 
 
 def batch_report(results: DataFrame) -> DataFrame:
@@ -254,35 +284,30 @@ def batch_report(results: DataFrame) -> DataFrame:
     df = ordered.dense_positions(df, [], ["seq"], out="pos").drop(ordered.SEG)
     t2 = F.round("total_processing_time", 2).cast("string")
     body = F.when(F.col("success"), F.concat(
-        F.lit("Status: SUCCESS\nFrames: "), F.col("frames_analyzed").cast("string"), F.lit("/"),
-        F.col("total_frames_extracted").cast("string"), F.lit("\nTime: "), t2, F.lit("s\nMethod: "),
-        F.col("acceleration_method"), F.lit("\nSummary: "), F.col("video_summary"), F.lit("\n"))
-    ).otherwise(F.concat(F.lit("Status: FAILED\nError: "), F.col("error"), F.lit("\n")))
+        F.lit(REPORT_OK), F.col("frames_analyzed").cast("string"), F.lit("/"),
+        F.col("total_frames_extracted").cast("string"), F.lit(REPORT_TIME), t2, F.lit(REPORT_METHOD),
+        F.col("acceleration_method"), F.lit(REPORT_SUMMARY), F.col("video_summary"), F.lit("\n"))
+    ).otherwise(F.concat(F.lit(REPORT_FAILED), F.col("error"), F.lit("\n")))
     items = df.select(
         F.lit("item").alias("section"), (F.col("pos") + 1).alias("item_no"),
-        F.concat(F.lit("Video "), (F.col("pos") + 1).cast("string"), F.lit(": "), F.col("video_path"),
-                 F.lit("\n"), body, F.lit("\n" + "-" * 50 + "\n")).alias("text"))
+        F.concat(F.lit(REPORT_ITEM), (F.col("pos") + 1).cast("string"), F.lit(": "), F.col("video_path"),
+                 F.lit("\n"), body, F.lit(REPORT_RULE)).alias("text"))
     s = results.agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("ok"),
                     F.coalesce(F.sum(F.when(F.col("success"), F.col("total_processing_time"))),
                                F.lit(0.0)).alias("tt"))
     summary = s.select(
         F.lit("summary").alias("section"), F.lit(None).cast("long").alias("item_no"),
-        F.concat(F.lit("SUMMARY\n=======\nTotal videos: "), F.col("n").cast("string"),
-                 F.lit("\nSuccessful: "), F.col("ok").cast("string"),
-                 F.lit("\nFailed: "), (F.col("n") - F.col("ok")).cast("string"),
-                 F.lit("\nTotal processing time: "), F.round("tt", 2).cast("string"),
-                 F.lit("s\nAverage per video: "),
-                 F.round(F.coalesce(F.try_divide("tt", "ok"), F.lit(0.0)), 2).cast("string"),
-                 F.lit("s\n")).alias("text"))
+        F.concat(*[x for label, value in zip(REPORT_TOTALS, (
+            F.col("n"), F.col("ok"), F.col("n") - F.col("ok"), F.round("tt", 2), F.round(F.coalesce(F.try_divide("tt", "ok"), F.lit(0.0)), 2)))
+            for x in (F.lit(label), value.cast("string"))], F.lit(REPORT_TOTALS[-1])).alias("text"))
     title = summary.select(F.lit("title").alias("section"), F.lit(0).cast("long").alias("item_no"),
                            F.lit(REPORT_TITLE).alias("text"))
     return title.unionByName(items).unionByName(summary)
 
 
 def write_text_report(report: DataFrame, path: str) -> None:
-    """Sink for S20: title first, items ordered by number, summary last (range-partitioned sort)."""
-    (report.withColumn("_o", F.coalesce(F.col("item_no"), F.lit(1 << 62)))
-     .orderBy("_o").select("text").write.mode("overwrite").text(path))
+    """Sink for S20: title first, items ordered by number, summary last."""
+    write_document(report.withColumn("_o", F.coalesce(F.col("item_no"), F.lit(1 << 62))), path, ("_o",))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

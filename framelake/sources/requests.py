@@ -100,3 +100,21 @@ def overlay_config(js: Column, defaults: dict[str, int]) -> Column:
         fields.append(F.when(use, parsed[k]).otherwise(F.lit(v).cast("long")).alias(k))
         ok_so_far = ok_so_far & (~present | good)
     return F.struct(*fields)
+
+
+def overlay_configs(df: DataFrame, js: Column, defaults: dict[str, int], out: str = "config") -> DataFrame:
+    """``overlay_config`` of a table's texts, as a struct ``out``.
+
+    The text is parsed once as numbers and once as text (which tells presence), and the place of the first bad key
+    is found once, each in a projection of its own."""
+    whole = T.StructType([T.StructField(k, T.LongType()) for k in defaults])
+    named = T.StructType([T.StructField(k, T.StringType()) for k in defaults])
+    cols = df.columns
+    d = df.select(*cols, js.alias("_js"))
+    d = d.select(*cols, F.from_json("_js", whole).alias("_n"), F.from_json("_js", named).alias("_t"),
+                 (F.get_json_object("_js", "$").isNotNull() & F.trim("_js").startswith("{")).alias("_valid"))
+    bad = F.array_position(F.array(*[F.col("_t")[k].isNotNull() & F.col("_n")[k].isNull() for k in defaults]), True)
+    d = d.select(*cols, "_n", F.when(~F.coalesce("_valid", F.lit(False)), F.lit(1).cast("long")).otherwise(F.coalesce(bad, F.lit(0).cast("long"))).alias("_stop"))
+    fields = [F.when((F.col("_stop") == 0) | (F.col("_stop") > i), F.coalesce(F.col("_n")[k], F.lit(v).cast("long"))).otherwise(F.lit(v).cast("long")).alias(k)
+              for i, (k, v) in enumerate(defaults.items(), 1)]
+    return d.select(*cols, F.struct(*fields).alias(out))

@@ -79,3 +79,13 @@ def test_model_input_positions(spark):
     assert r.image_positions == [1] and r.video_positions == [4] and r.sequence_length == 6
     e = spark.range(1).select(pr.positions(F.lit(0)).alias("p")).first().p
     assert e == []
+
+
+def test_repeated_and_null_keys_stay_apart(spark):
+    v = vocab(spark, [("a", 1), ("b", 2)])
+    docs = spark.createDataFrame([(1, "a b"), (1, "b"), (None, "a"), (None, "b a"), (2**60 + 1, ""), (2**60 + 3, None)], "id long, text string")
+    ids = tk.tokenize(docs, v, "id", add_special=False)
+    assert sorted(((r.id, r.input_ids) for r in ids.collect()), key=str) == sorted(
+        [(1, [1, 2]), (1, [2]), (None, [1]), (None, [2, 1]), (2**60 + 1, []), (2**60 + 3, [])], key=str)
+    back = tk.detokenize(spark.createDataFrame([(1, [1, 2]), (1, [2]), (None, [1]), (None, [2])], "id long, input_ids array<bigint>"), v, "id")
+    assert sorted(((r.id, r.text) for r in back.collect()), key=str) == sorted([(1, "ab"), (1, "b"), (None, "a"), (None, "b")], key=str)
