@@ -34,6 +34,7 @@ WAIT_MIN_S, WAIT_MAX_S = 4.0, 10.0
 DEFAULT_TIMEOUT_S = 300.0
 ANALYSIS_FAILED = "Analysis failed: "
 SUMMARY_FAILED = "Failed to generate video summary."
+NO_FRAMES_EXTRACTED = "No frames extracted from video"
 
 
 class FrameModel(Protocol):
@@ -298,7 +299,9 @@ def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group
     from framelake.plans.joins import materialize
     capped = (frames if max_frames is None else cap_frames(frames, max_frames)).select(
         F.col("video_id").cast("long").cast("string").alias("video_id"), F.col("sample_pos").cast("long").cast("string").alias("sample_pos"), "pixels")
-    weights = capped.groupBy("video_id").agg(F.sum(F.size("pixels").cast("long")).alias("_bytes"), F.count(F.lit(1)).alias("n_frames"))
+    packed = isinstance(capped.schema["pixels"].dataType, T.BinaryType)  # bytes, or an array of levels
+    size = F.octet_length("pixels") if packed else F.size("pixels")
+    weights = capped.groupBy("video_id").agg(F.sum(size.cast("long")).alias("_bytes"), F.count(F.lit(1)).alias("n_frames"))
     heavy = materialize(weights.filter(F.col("_bytes") > max_bytes), "heavy-groups")  # its written size decides how it is joined
     light = capped.join(heavy.select(F.col("video_id").alias("_heavy")), F.col("video_id").eqNullSafe(F.col("_heavy")), "left_anti")
 
@@ -326,6 +329,20 @@ def describe_frame_groups(frames: DataFrame, prompt: str, model_spec="stub-group
     return answered.unionByName(refused).withColumn("video_id", F.col("video_id").cast("long"))
 
 
+def analyze_videos(frames: DataFrame, prompt: str, model_spec, height: int, width: int, max_frames: int | None = None) -> DataFrame:
+    """I4: the whole chain on sampled frames with an ``image`` struct: resize and channel swap, then one model call per video. Videos of
+    which no frame has an image get the error result 'Analysis failed: No frames extracted from video'."""
+    from framelake.functions.images import model_frames
+    some = frames.filter(F.col("image").isNotNull())
+    answered = describe_frame_groups(model_frames(some, height, width), prompt, model_spec, max_frames)
+    empty = frames.select(F.col("video_id").cast("long")).distinct().exceptAll(some.select(F.col("video_id").cast("long")).distinct())
+    none = F.array().cast("array<string>")
+    failed = empty.select("video_id", F.lit(0).cast("long").alias("n_frames"), F.lit(ANALYSIS_FAILED + NO_FRAMES_EXTRACTED).alias("description"),
+                          F.lit(0.0).alias("confidence"), F.lit(NO_FRAMES_EXTRACTED).alias("error"), none.alias("objects"), none.alias("actions"),
+                          F.lit("").alias("scene_context"), none.alias("temporal_events"), F.lit(0.0).alias("processing_time"))
+    return answered.unionByName(failed)
+
+
 # Fixed value: the summary of a video without a successful frame.
 NO_FRAMES = "No frames were successfully analyzed."
 SUMMARY_SCHEMA = "video_id long, summary string, source string"

@@ -232,7 +232,7 @@ def sample_keyframes(frames: DataFrame, sizes: DataFrame, n: int, pixels: int,
     visited = (j.withColumn("stride", r)
                .filter((F.col("frame_idx") >= F.col("stride")) & (F.col("frame_idx") % F.col("stride") == 0))
                .withColumn("vpos", (F.col("frame_idx") / F.col("stride")).cast("long") - 1))
-    visited = ordered.with_previous(visited, ["video_id"], "vpos", ["pixels"], prefix="prev_")
+    visited = ordered.with_previous(visited, ["video_id"], "vpos", ["pixels"], prefix="prev_", span=ordered.FRAME_SPAN)
     scored = visited.withColumn(
         "change", F.when(F.col("prev_pixels").isNotNull(),
                          mean_gray_absdiff(F.col("pixels"), F.col("prev_pixels"), pixels)))

@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 # per key). Bounded window partitions whatever the skew.
 SEGMENT_SPAN = 1 << 16
 
+# Frames of one video per window task where the rows carry pixels.
+FRAME_SPAN = 1 << 9
+
 SEG = "_seg"
 
 

@@ -843,6 +843,33 @@ def analyze_videos(spark, sf):
     return inf.describe_frame_groups(s, pr.DEFAULT_VIDEO_PROMPT, model_spec=FlakyGroupModel).drop("processing_time")
 
 
+class ColourModel:
+    """A group model that measures what it gets: the sums of red, green and blue levels of frames of 6 x 14 RGB pixels."""
+
+    def analyze(self, frames, prompt):
+        import numpy as np
+        levels = np.stack([np.frombuffer(p, np.uint8).reshape(6, 14, 3) for p in frames["pixels"]]).astype(np.int64)
+        r, g, b = levels.sum(axis=(0, 1, 2)).tolist()
+        if r == max(r, g, b) and r > g:
+            raise RuntimeError(f"too red: {r}")
+        return {"description": f"{len(frames)} frames: {r} {g} {b}", "confidence": 1.0, "objects": ["green" if g >= b else "blue"],
+                "temporal_events": [str(int(f.sum())) for f in levels]}
+
+
+@query("analyze_videos_rgb")
+def analyze_videos_rgb(spark, sf):
+    """I4 with its whole chain: 16 uniform frames, resized and turned to RGB before the model; a failing model is an error row,
+    and so is a video without a readable frame (here: video 3 has no images)."""
+    from framelake.functions import images as im
+    from framelake.functions import prompts as pr
+    from framelake.operators import inference as inf
+    s = smp.sample_uniform(tb.frame_index(spark, sf), tb.frame_sizes(spark, sf), 16)
+    s = tb.with_pixels(s.drop("height", "width", "channels"), spark, sf, color=True)
+    image = im.image_struct(F.col("pixels"), F.lit(tb.COLOR_H), F.lit(tb.COLOR_W), F.lit(3))
+    s = s.withColumn("image", F.when(F.col("video_id") != 3, image)).drop("pixels")
+    return inf.analyze_videos(s, pr.DEFAULT_VIDEO_PROMPT, ColourModel, 6, 14).drop("processing_time")
+
+
 @query("summarize_stub")
 def summarize_stub(spark, sf):
     """Observations of a video -> stub summariser, HTTP failure text, or the A3 fallback."""
