@@ -21,6 +21,8 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +60,10 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return pairs.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING,
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
               tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust_seed, distrust_seed) over edges (src, dst, n)."""
+    """(host, trust, distrust) from seeds (host, trust_seed, distrust_seed) over edges (src, dst, n). ``rounds`` asks for the walks of so
+    many links at most; else the tolerance alone ends them."""
     edges = staged(edges, "url-edges")
     ends = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
     nodes = staged(ends.join(seeds, "host", "full").na.fill(0.0, ["trust_seed", "distrust_seed"]), "url-nodes")
@@ -72,7 +75,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING,
     by_dst = edges.groupBy("dst").agg(F.sum("n").alias("into"))
     shares = staged(edges.join(by_src, "src").join(by_dst, "dst").select(
         "src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")), "url-shares")
-    while True:
+    for _ in count() if rounds is None else range(rounds):
         forth = shares.join(scores, F.col("src") == F.col("host")).select(
             F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         back = shares.join(scores, F.col("dst") == F.col("host")).select(
