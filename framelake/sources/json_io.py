@@ -226,11 +226,17 @@ SCAN_KEYS = ("success", "video_path", "frames_analyzed", "total_frames_extracted
 def scan_result_json(df: DataFrame, js: str, out: str = "r") -> DataFrame:
     """S12 applied to result objects: booleans by == 'true', numbers like
     stoi/stod; a missing number aborts the parse (all fields default, error
-    'JSON parsing error'). Staged projections: the text after each key is cut
-    once, then each value is read from it, then converted."""
+    'JSON parsing error'). Two scans of the text find all keys and their values (a value is looked ahead at, so that a key inside
+    another's value is met too); the first of each key counts. No copy of the text is made per key."""
     cols = [c for c in df.columns]
-    d = df.select(*cols, *[_after_key(F.col(js), k).alias(f"_r_{k}") for k in SCAN_KEYS])
-    d = d.select(*cols, *[_scan_value(F.col(f"_r_{k}")).alias(f"_v_{k}") for k in SCAN_KEYS])
+    found = rf'"({"|".join(SCAN_KEYS)})": (?=("[^"]*"|[^",}}][^,}}]*(?=[,}}])|))'
+    d = df.select(*cols, *[F.regexp_extract_all(F.col(js), F.lit(found), F.lit(g)).alias(c) for g, c in ((1, "_keys"), (2, "_values"))])
+
+    def value(key: str) -> Column:
+        v = F.get("_values", (F.array_position("_keys", key) - 1).cast("int"))
+        return F.coalesce(F.when(v.startswith('"'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v), F.lit(""))
+
+    d = d.select(*cols, *[value(k).alias(f"_v_{k}") for k in SCAN_KEYS])
     d = d.select(*cols, *[F.col(f"_v_{k}") for k in SCAN_KEYS],
                  leading_int(F.col("_v_frames_analyzed")).alias("_fa"),
                  leading_int(F.col("_v_total_frames_extracted")).alias("_tf"),

@@ -82,3 +82,19 @@ def test_responses_and_overlay(spark):
     js = spark.createDataFrame([('{"a": 1, "b": "x", "c": 3}',), ("nope",)], "j string")
     o = [r.o for r in js.select(rq.overlay_config(F.col("j"), {"a": 10, "b": 20, "c": 30}).alias("o")).collect()]
     assert (o[0].a, o[0].b, o[0].c) == (1, 20, 30) and (o[1].a, o[1].b, o[1].c) == (10, 20, 30)
+
+
+def test_loose_scan_of_all_keys_is_the_scan_of_each(spark):
+    """Two passes over the text find what a scan per key finds, on broken texts as well."""
+    import random
+    rnd = random.Random(1)
+    bits = ['"success": ', '"video_path": ', '"frames_analyzed": 1', '"error": ', '"total_frames_extracted": 2,', '"total_processing_time": 3.5}', "true", "false",
+            '"a b"', '"x', "12", ",", "}", "{", "\n", " ", '"', '"gpu_accelerated": ', '"model_used": "m"']
+    df = spark.createDataFrame([("".join(rnd.choices(bits, k=rnd.randint(0, 14))),) for _ in range(1500)], "js string")
+    rows = json_io.scan_result_json(df, "js").select("js", "r.*", *[json_io.scan_json_key(F.col("js"), k).alias(f"one_{k}") for k in json_io.SCAN_KEYS]).collect()
+    whole = 0
+    for r in rows:
+        if r.error != "JSON parsing error":
+            whole += 1
+            assert (r.video_path, r.model_used, r.error, r.success) == (r.one_video_path, r.one_model_used, r.one_error, r.one_success == "true"), r.js
+    assert whole > 20
