@@ -1,20 +1,26 @@
 """Token ids: vocabulary, whitespace/byte tokenizer, fallbacks, padding, decoding.
 
-Plan shape for the vocabulary tokenizer (T1): exchange the whole texts once by
-their key, split them into words (exploded with their position), look the words up
-in the vocabulary with a join (the vocabulary grows with its source table, so Spark
-picks the join from sizes), compute the per-character fallback of missing
-words, and reassemble each text with an ordered ``collect_list`` grouped by the
-same key -- a group is one text, whole. The only thing inlined into expressions is the map of
-single-ASCII-character tokens, which has at most 128 entries.
+Plan shape for the vocabulary tokenizer (T1) and its reverse (T8): rows are numbered into
+blocks of bounded size, the distinct words (ids) of a block are looked up in the vocabulary with a join
+(the vocabulary grows with its source table, so Spark picks the join from sizes), and every block
+meets its own entries in a cogroup, where whole texts are encoded or decoded in Arrow. No row
+per word or id is shuffled, sorted or regrouped. The only thing that tasks hold besides is the ids of
+single-ASCII-character tokens, at most 128.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.plans import ordered
+from framelake.plans.joins import look_up_in_blocks
 
 # Special token ids and texts of the reference tokenizers.
 BOS_ID = 151643
@@ -81,33 +87,11 @@ def vocab_from_json(tokenizer_json: Column) -> Column:
     return F.coalesce(m, F.create_map().cast("map<string,bigint>"))
 
 
-def single_char_map(vocab: DataFrame) -> Column:
-    """Map of 1-character ASCII tokens -> id. At most 128 entries by construction,
-    so it is inlined as a literal map."""
+def single_char_ids(vocab: DataFrame) -> dict[str, int]:
+    """1-character ASCII tokens -> id, at most 128 by construction."""
     rows = (vocab.filter((F.length("token") == 1) & (F.ascii("token") < 128))
             .groupBy("token").agg(F.min("id").alias("id")).collect())
-    if not rows:
-        return F.create_map().cast("map<string,bigint>")
-    kv = []
-    for r in sorted(rows, key=lambda r: r["token"]):
-        kv += [F.lit(r["token"]), F.lit(int(r["id"])).cast("long")]
-    return F.create_map(*kv)
-
-
-def byte_fallback_ids(word: Column, char_map: Column) -> Column:
-    """Per-character fallback of a word missing from the vocabulary: an ASCII
-    character maps to its 1-character token or 100; a non-ASCII character gives
-    one 100 per UTF-8 byte."""
-    return F.flatten(F.transform(
-        chars(word),
-        lambda ch: F.when(F.ascii(ch) < 128,
-                          F.array(F.coalesce(F.try_element_at(char_map, ch), F.lit(UNKNOWN_BYTE_ID).cast("long"))))
-        .otherwise(F.array_repeat(F.lit(UNKNOWN_BYTE_ID).cast("long"), F.octet_length(ch)))))
-
-
-def _row_number(key: str) -> Column:
-    """A row's key together with a number of its own."""
-    return F.struct(F.monotonically_increasing_id().alias("n"), F.col(key).alias("key")).alias("_row")
+    return {r["token"]: int(r["id"]) for r in rows if r["id"] is not None}
 
 
 def tokenize(texts: DataFrame, vocab: DataFrame, key: str, text_col: str = "text",
@@ -115,23 +99,57 @@ def tokenize(texts: DataFrame, vocab: DataFrame, key: str, text_col: str = "text
     """T1 + J2: ``encode(text)`` for every row; returns (key, out array<bigint>).
 
     Whole-word vocabulary hit -> its id; else the per-character fallback; BOS is
-    prepended only to a non-empty result when ``add_special``. Keys may repeat or be NULL: words are regrouped by a
-    number that every row gets before it is cut up.
+    prepended only to a non-empty result when ``add_special``. Keys may repeat or be NULL: texts are
+    not cut up across rows.
+
+    A word missing from the vocabulary goes by characters: an ASCII character maps to its 1-character token or 100; a non-ASCII
+    character gives one 100 per UTF-8 byte.
     """
-    # whole texts are exchanged once, by row; exploded words stay with their text through a broadcast lookup and the
-    # regrouping. outer explode: a text without words keeps one row (NULL word), so no second pass brings it back
-    w = texts.select(_row_number(key), text_col).repartition("_row").select(
-        "_row", F.posexplode_outer(words(F.col(text_col))).alias("wpos", "word"))
-    cmap = single_char_map(vocab)
+    cmap = single_char_ids(vocab)
+    char_ids = np.full(256, UNKNOWN_BYTE_ID, np.int64)
+    for ch, i in cmap.items():
+        char_ids[ord(ch)] = i
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        hits: dict[bytes, list[int | None]] = {}
+        for word, i in zip(_utf8(found["word"]), found["_word_id"].to_pylist()):
+            hits.setdefault(word, []).append(i)
+        numbers: dict[bytes, int] = {}   # word of the block -> its number, which names its ids
+        texts = [[numbers.setdefault(w, len(numbers)) for w in t.split()] if t else [] for t in _utf8(block[text_col])]
+        table, starts, sizes = _word_ids(numbers, hits, char_ids, BOS_ID)
+        if add_special:
+            texts = [[len(numbers), *t] if t else t for t in texts]
+        picked = np.fromiter(chain.from_iterable(texts), np.int64)
+        n = sizes[picked]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = table[np.arange(ends[-1]) + np.repeat(starts[picked] - ends[:-1], n)]
+        offsets = ends[np.cumsum([0, *map(len, texts)])]
+        return pa.table([block[key], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=[key, out])
+
     vocab_w = vocab.select(F.col("token").alias("word"), F.col("id").cast("long").alias("_word_id"))
-    placed = w.join(vocab_w, "word", "left").select(
-        "_row", "wpos", F.when(F.col("word").isNull(), F.array().cast("array<bigint>"))
-        .when(F.col("_word_id").isNotNull(), F.array("_word_id")).otherwise(byte_fallback_ids(F.col("word"), cmap)).alias("ids"))
-    grouped = placed.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("wpos", "ids"))).alias("_parts"))
-    ids = F.flatten(F.transform("_parts", lambda p: p["ids"]))
-    if add_special:
-        ids = F.when(F.size(ids) > 0, F.concat(F.array(F.lit(BOS_ID).cast("long")), ids)).otherwise(ids)
-    return grouped.select(F.col("_row.key").alias(key), ids.alias(out))
+    return look_up_in_blocks(texts.select(key, text_col), words(F.col(text_col)), F.coalesce(F.octet_length(text_col), F.lit(0)), vocab_w, "word",
+                             run, T.StructType([texts.schema[key], T.StructField(out, T.ArrayType(T.LongType()))]))
+
+
+def _utf8(strings: pa.ChunkedArray) -> list[bytes | None]:
+    """The UTF-8 bytes of strings: ``bytes.split`` cuts them at the six characters of ``WS_CLASS``."""
+    return strings.cast(pa.large_binary()).to_pylist()
+
+
+def _word_ids(words: Iterable[bytes], hits: dict[bytes, list[int | None]], char_ids: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of words in one table, with the start and the number of each word's: those of its vocabulary entries in ascending order, else
+    (no entry, or one without id) by bytes. One id more, ``last``, goes by the number after the last word's."""
+    words = list(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    table, more = char_ids[np.frombuffer(b"".join(words), np.uint8)], [last]
+    for k, word in enumerate(words):
+        if word in hits:
+            by_bytes = table[starts[k]:starts[k] + sizes[k]].tolist()
+            ids = sum(sorted(by_bytes if i is None else [i] for i in hits[word]), [])
+            starts[k], sizes[k] = len(table) + len(more), len(ids)
+            more += ids
+    return np.concatenate([table, np.array(more, np.int64)]), np.append(starts, len(table)), np.append(sizes, 1)
 
 
 def tokenize_fallback(text: Column) -> Column:
@@ -220,42 +238,45 @@ def detokenize(rows: DataFrame, vocab: DataFrame, key: str, ids_col: str = "inpu
     becomes one space if something was already written; else the special
     text; else '[id]' for 0 <= id < 50000, else '<unk>'. Then spaces are
     collapsed: leading spaces dropped, runs become one, one trailing kept.
-    Reverse lookup is a join of the exploded ids with the reverse vocabulary
-    (broadcast by the planner when its bytes are few; a frequent id is split by AQE otherwise).
+    Reverse lookup is a join of each block's distinct ids with the reverse vocabulary
+    (broadcast by the planner when its bytes are few).
     Keys may repeat or be NULL, as in ``tokenize``.
     """
-    # arrays are exchanged once, by row. outer explode keeps texts without ids; ``carry`` columns ride along so the
-    # caller does not need a second pass over ``rows``
-    ex = rows.select(_row_number(key), *carry, ids_col).repartition("_row").select(
-        "_row", *carry, F.posexplode_outer(F.col(ids_col)).alias("ipos", "tid"))
-    if skip_special:
-        ex = ex.withColumn("tid", F.when(~is_special(F.col("tid")), F.col("tid")))
-    rev = vocab.groupBy("id").agg(F.min("token").alias("token")).select(F.col("id").alias("tid"), "token")
-    placed = ex.join(rev, "tid", "left").select(
-        "_row", *carry, "ipos",
-        F.when(F.col("tid").isNotNull(), F.coalesce(
-            F.col("token"), F.try_element_at(special_text_map(), F.col("tid")),
-            F.when((F.col("tid") >= 0) & (F.col("tid") < KNOWN_ID_LIMIT),
-                   F.concat(F.lit("["), F.col("tid").cast("string"), F.lit("]")))
-            .otherwise(F.lit(UNK_TEXT)))).alias("piece"),
-        F.col("token").isNotNull().alias("from_vocab"))
-    grouped = placed.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("ipos", "piece", "from_vocab"))).alias("_p"),
-        *[F.first(c).alias(c) for c in carry])
-    # NULL pieces (skipped specials, texts without ids) stay in the array: both
-    # array_position and array_join below ignore them, so no extra filter pass
-    parts = grouped
-    # A BPE-marked piece gets its space only once something has been written,
-    # i.e. after the first piece that writes a character. That index is found
-    # with one pass (its own column, so the lambda below does not recompute
-    # it), and decoding stays linear in the text length.
-    bpe = lambda p: p["from_vocab"] & F.startswith(p["piece"], F.lit(BPE_SPACE))
-    writes = F.transform("_p", lambda p: F.when(bpe(p), F.length(p["piece"]) > 1).otherwise(F.length(p["piece"]) > 0))
-    parts = parts.select("_row", *carry, "_p", F.coalesce(F.array_position(writes, True), F.lit(0)).alias("_first"))
-    first = F.col("_first")   # 1-based, 0 = nothing written
-    rendered = F.transform("_p", lambda p, i: F.when(
-        bpe(p), F.concat(F.when((first > 0) & (i + 1 > first), F.lit(" ")).otherwise(F.lit("")),
-                         F.substring(p["piece"], 2, 1 << 30))).otherwise(p["piece"]))
-    raw = F.array_join(rendered, "")
-    cleaned = F.regexp_replace(F.regexp_replace(raw, "^ +", ""), " +", " ")
-    return parts.select(F.col("_row.key").alias(key), cleaned.alias(out), *carry)
+    skipped = set(SPECIAL_IDS) if skip_special else set()
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        tokens = dict(zip(found["tid"].to_pylist(), found["token"].to_pylist()))
+        lists = block[ids_col].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat = lists.flatten()   # without the null lists, whose length is 0 here
+        lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        code = flat.dictionary_encode()
+        known = [_piece(i, tokens.get(i), skipped) for i in code.dictionary.to_pylist()]
+        # a piece as it is up to the first one that writes, and after it; null writes nothing
+        early, late = [k[0] for k in known] + [None], [k[1] for k in known] + [None]
+        writes = np.array([bool(p) for p in early])
+        codes = code.indices.fill_null(len(known)).to_numpy().astype(np.int64)
+        texts, at = [], 0
+        for n in lengths:
+            c = codes[at:at + n].tolist()
+            first = int(np.argmax(writes[codes[at:at + n]])) + 1 if n else 0
+            texts.append("".join([p for p in map(early.__getitem__, c[:first]) if p] + [p for p in map(late.__getitem__, c[first:]) if p]))
+            at += n
+        return block.drop_columns([ids_col]).append_column("_raw", pa.array(texts, pa.string()))
+
+    rev = vocab.groupBy("id").agg(F.min("token").alias("token")).select(F.col("id").cast("long").alias("tid"), "token")
+    fields = [rows.schema[key], *[rows.schema[c] for c in carry], T.StructField("_raw", T.StringType())]
+    parts = look_up_in_blocks(rows.select(key, *carry, F.col(ids_col).cast("array<bigint>").alias(ids_col)), F.col(ids_col),
+                              F.coalesce(F.size(ids_col), F.lit(0)), rev, "tid", run, T.StructType(fields))
+    cleaned = F.regexp_replace(F.regexp_replace("_raw", "^ +", ""), " +", " ")
+    return parts.select(key, cleaned.alias(out), *carry)
+
+
+def _piece(token_id: int | None, token: str | None, skipped: set[int]) -> tuple[str | None, str | None]:
+    """What an id writes while nothing is written yet, and after that; null for a skipped id."""
+    if token_id is None or token_id in skipped:
+        return None, None
+    if token is not None:
+        return (token[1:], " " + token[1:]) if token.startswith(BPE_SPACE) else (token, token)
+    text = SPECIAL_TEXT.get(token_id, f"[{token_id}]" if 0 <= token_id < KNOWN_ID_LIMIT else UNK_TEXT)
+    return text, text
