@@ -89,3 +89,24 @@ def test_repeated_and_null_keys_stay_apart(spark):
         [(1, [1, 2]), (1, [2]), (None, [1]), (None, [2, 1]), (2**60 + 1, []), (2**60 + 3, [])], key=str)
     back = tk.detokenize(spark.createDataFrame([(1, [1, 2]), (1, [2]), (None, [1]), (None, [2])], "id long, input_ids array<bigint>"), v, "id")
     assert sorted(((r.id, r.text) for r in back.collect()), key=str) == sorted([(1, "ab"), (1, "b"), (None, "a"), (None, "b")], key=str)
+
+
+def test_no_row_per_word_or_id_is_regrouped(spark):
+    """Whole texts are encoded and decoded in their blocks, whatever the size of a row; the plan neither cuts texts into rows that it
+    collects again nor loses the order. Vocabulary entries may repeat or be without id."""
+    v = vocab(spark, [("a", 1), ("bb", 1000), ("bb", 900), ("cc", None), ("Ġd", 1001), (None, 1002)])
+    long = "bb x " * 20_000
+    texts = {k: "" if k % 7 == 0 else f"a\x0bbb a{k} cc é\x1c a" if k % 5 else None for k in range(300)} | {300: long, 301: "a"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(2)
+    char = lambda w: [1 if c == "a" else 100 for c in w.encode("latin-1", "replace").decode("latin-1") for _ in c.encode()]
+    enc = lambda w: {"bb": [900, 1000], "a": [1]}.get(w) or char(w)
+    want = {k: [tk.BOS_ID, *sum(map(enc, t.replace("\x0b", " ").split(" ")), [])] if t else [] for k, t in texts.items() if k != 300}
+    want[300] = [tk.BOS_ID, *[900, 1000, 100] * 20_000]
+    ids = tk.tokenize(docs, v, "id")
+    assert {r.id: r.input_ids for r in ids.collect()} == want
+    some = spark.createDataFrame([(1, [1001, None, 1001, 900, 7]), (2, None), (3, []), (4, [1, 1001, tk.BOS_ID, 1001, 1002])], "id long, input_ids array<bigint>")
+    back = tk.detokenize(some.withColumn("c", F.col("id") * 2), v, "id", carry=("c",))
+    assert {(r.id, r.c, r.text) for r in back.collect()} == {(1, 2, "d dbb[7]"), (2, 4, ""), (3, 6, ""), (4, 8, "a d d[1002]")}
+    for df in (ids, back):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
